@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, chat, simhash
+from . import bitslice, chat, simhash, suffix
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(_t(spark, sf_dir, "documents"), window=50)
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_t(spark, sf_dir, "conversations"))
 
@@ -24,7 +28,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_rotation, op8_bitsliced_topk, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op6_chat_rotation, op8_bitsliced_topk, op10_simhash_neardup)}
 
 ORACLE: dict[str, str] = {
     "op6_chat_rotation": chat.ORACLE,
