@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, chat, simhash, suffix
+from . import bitslice, chat, phrases, simhash, suffix
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_t(spark, sf_dir, "conversations"))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup(_t(spark, sf_dir, "documents"), window=20)
+
+
 def op8_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "embeddings")
     return bitslice.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
@@ -28,7 +32,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op6_chat_rotation, op8_bitsliced_topk, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op10_simhash_neardup)}
 
 ORACLE: dict[str, str] = {
     "op6_chat_rotation": chat.ORACLE,
