@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, chat, phrases, simhash, suffix
+from . import bitslice, chat, decontaminate, phrases, simhash, suffix, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, _t(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(_t(spark, sf_dir, "documents"), window=50)
 
 
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_t(spark, sf_dir, "conversations"))
 
@@ -32,7 +41,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity_kernel, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op10_simhash_neardup)}
 
 ORACLE: dict[str, str] = {
     "op6_chat_rotation": chat.ORACLE,
