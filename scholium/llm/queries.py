@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, chat, decontaminate, phrases, simhash, suffix, toxicity
+from . import bitslice, chat, decontaminate, extract, mixing, phrases, quality, simhash, suffix, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(_t(spark, sf_dir, "pages"))
+
+
 def op2_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, _t(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+#: Target token shares of the query and of the pipeline.
+MIX = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.fitted(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), MIX)
+    return out.withColumn("copies", mixing.copies(out["rate"]))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(_t(spark, sf_dir, "documents"), window=50)
 
@@ -37,11 +50,15 @@ def op8_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_t(spark, sf_dir, "documents"))
+
+
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity_kernel, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_toxicity_kernel, op3_soft_mixing, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op9_weak_label_quality, op10_simhash_neardup)}
 
 ORACLE: dict[str, str] = {
     "op6_chat_rotation": chat.ORACLE,
