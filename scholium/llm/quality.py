@@ -3,6 +3,7 @@ expectation-maximisation, and a hashed linear scorer on the posterior labels."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 GOOD, NONE, BAD = 2, 1, 0
-LABELLERS = ("capitals", "symbols", "repeats", "variety", "endings", "lengths", "size", "dominance")
+LABELLERS = ("capitals", "symbols", "purity", "doubled", "isolated", "repeats", "variety", "dominance", "endings")
 BITS = 12
 _SIGNS = frozenset("#%&$*|!<>{}[]=_~^@\\")
 _SHAPE = np.array([1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in (32, 9, 10, 11, 12, 13) else 5 + c % 27 for c in range(256)], np.int64)
@@ -23,32 +24,37 @@ def _three(good: bool, bad: bool) -> int:
     return GOOD if good else BAD if bad else NONE
 
 
+_PURE = re.compile(r"(?<!\S)[^\W\d_]+[.,;:!?]?(?!\S)")
+_DOUBLED = re.compile(r"[^\w\s]{2,}")
+_ISOLATED = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
+
+
 def votes(text: str) -> list[int]:
-    """One vote per labeller; an empty text gets bad from size and none from the others."""
+    """One vote per labeller; on an empty text each votes bad."""
     words = text.split()
     n = len(words)
     if not n:
-        return [NONE] * 6 + [BAD, NONE]
+        return [BAD] * len(LABELLERS)
     letters = len(text) - sum(map(text.count, " \n.,;:!?|#%&$*"))
-    upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    caps = upper / max(1, letters)
+    caps = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / max(1, letters)
     signs = sum(map(text.count, _SIGNS)) / len(text)
+    pure, doubled, isolated = (len(rx.findall(text)) / n for rx in (_PURE, _DOUBLED, _ISOLATED))
     again = sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
     count = Counter(words)
     variety, top = len(count) / n, count.most_common(1)[0][1] / n
     lines = [x for x in text.split("\n") if x.strip()]
     ended = sum(x.rstrip()[-1] in ".!?…:\"'" for x in lines) / len(lines)
-    mean = sum(map(len, words)) / n
     long = n >= 20
     return [
-        _three(caps < 0.12, caps > 0.3),
-        _three(signs < 0.003, signs > 0.015),
-        _three(again < 0.03, again > 0.12) if n >= 5 else NONE,
-        _three(variety > 0.5, variety < 0.2 and n < 2000) if long else NONE,
-        _three(ended > 0.7, ended < 0.2),
-        _three(3 <= mean <= 9, mean < 2 or mean > 14),
-        _three(n >= 20, n < 4),
-        _three(top < 0.12, top > 0.25) if long else NONE,
+        _three(caps < 0.15, caps > 0.3),
+        _three(signs < 0.004, signs > 0.015),
+        _three(pure > 0.85, pure < 0.6),
+        _three(doubled < 0.02, doubled > 0.1),
+        _three(isolated < 0.02, isolated > 0.1),
+        _three(again < 0.05, again > 0.12) if n >= 5 else NONE,
+        _three(variety > 0.4, variety < 0.15 and n < 2000) if long else NONE,
+        _three(top < 0.15, top > 0.25) if long else NONE,
+        _three(ended > 0.6, ended < 0.2),
     ]
 
 
@@ -136,7 +142,7 @@ def scored(docs: DataFrame, max_fit: int = 4000, threshold: float = 0.5) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern(votes(t)) for t in b.column(1).to_pylist()], pa.int32())], names=["doc_id", "pattern"])
 
     voted = checkpoint(base.mapInArrow(vote, "doc_id long, pattern int"))
-    counts = {r[0]: r[1] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** 8 patterns
+    counts = {r[0]: r[1] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** 9 patterns
     post = estimate(counts)[2] if counts else {}
     good = sorted(k for k, p in post.items() if p > 0.5)
     ids = None
