@@ -1,6 +1,621 @@
-"""Registry of the engine's queries and their DuckDB equivalents."""
+"""The engine's named queries over the driver tables, and the SQL that gives the same rows in DuckDB.
+
+Bindings: a document is a one-page fragment of the course ``source``; events
+are a learner's activity (an ``error`` is a wrong answer and a mistake);
+customers and orders stand for mistakes and exercises, parts and line items for
+exercises and answers.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scholium.functions import batch
+from scholium.functions import text as T
+from scholium.operators import analytics as A
+from scholium.operators import knowledge as KN
+from scholium.operators import retrieval as R
+from scholium.operators import structure as S
+from scholium.streaming import activity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+QUERY = "the worthless theory of inthis and onon"
+PHRASE = "and the"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents")
+
+
+def _fragments(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("course_id"), "text", "lang", "n_chars")
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("concept")).when(k % 4 == 2, F.lit("method"))
+    return e.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"), F.floor("value").cast("long").alias("seconds"), (F.col("event_type") != "error").alias("is_correct"), kind.alias("error_type"), (F.col("event_id") % 2 == 0).alias("mastered"))
+
+
+def r(x: Column, n: int = 6) -> Column:
+    """A double rounded half up at a fixed scale, for comparable results."""
+    return F.round(x.cast("decimal(30,12)"), n).cast("double")
+
+
+ANSWERS_SQL = """a AS (SELECT event_id, user_id, ts, event_type AS action, CAST(floor(value) AS BIGINT) AS seconds, event_type <> 'error' AS is_correct,
+  CASE CAST(json_extract(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN 'concept' WHEN 2 THEN 'method' END AS error_type, event_id % 2 = 0 AS mastered FROM events)"""
+LINES_SQL = r"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l1 AS (SELECT doc_id, i, regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS line FROM l0),
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line_no, line FROM l1 WHERE line <> '')"""
+BM25_SQL = """tok AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM documents),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tok),
+x AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM tok),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM x WHERE term IN ('the', 'worthless', 'theory', 'of', 'inthis', 'and', 'onon') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term), st GROUP BY 1)"""
+R6 = "CAST(round(CAST({} AS DECIMAL(30,12)), 6) AS DOUBLE)"
+
+
+# --- retrieval ---
+@query(
+    f"WITH {BM25_SQL} SELECT doc_id AS chunk_id, source AS course_id, {R6.format('bm25')} AS score, source || ' 正文 第 1 页 doc-' || CAST(doc_id AS VARCHAR) AS citation "
+    "FROM bm JOIN documents USING (doc_id) WHERE source = 'src0' ORDER BY bm25 DESC, doc_id LIMIT 10"
+)
+def bm25_topk(spark, sf):
+    f = _fragments(spark, sf)
+    top = R.bm25(f, QUERY).join(f.where("course_id = 'src0'").select("chunk_id", "course_id"), "chunk_id").orderBy(F.col("bm25").desc(), "chunk_id").limit(10)
+    cite = T.citation(F.col("course_id"), F.lit(None).cast("string"), F.lit(1), F.lit(1), F.concat(F.lit("doc-"), F.col("chunk_id").cast("string")))
+    return top.select("chunk_id", "course_id", r(F.col("bm25")).alias("score"), cite.alias("citation"))
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id AS chunk_id, {R6.format('1 / (1 + abs(bm25))')} AS keyword_score FROM bm")
+def bm25_compat_score(spark, sf):
+    return R.bm25(_fragments(spark, sf), QUERY).select("chunk_id", r(R.compat_score(F.col("bm25"))).alias("keyword_score"))
+
+
+@query("SELECT doc_id AS chunk_id, CAST(0.5 AS DOUBLE) AS keyword_score FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(text), 'inthis') ORDER BY doc_id LIMIT 20")
+def like_search(spark, sf):
+    return R.like_search(_fragments(spark, sf), "Worthless inthis").select("chunk_id", "keyword_score").orderBy("chunk_id").limit(20)
+
+
+@query(
+    "WITH q AS (SELECT item_id, text AS query, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM benchmark WHERE item_id < 5) "
+    "SELECT item_id, doc_id AS chunk_id, " + R6.format("0.5 + CASE WHEN contains(text, query) THEN 1 ELSE 0 END + 0.2 * len(list_filter(toks, lambda t: contains(text, t)))") + " AS score "
+    "FROM documents, q WHERE contains(text, query)"
+)
+def keyword_score(spark, sf):
+    q = F.broadcast(_t(spark, sf, "benchmark").where("item_id < 5").select("item_id", F.col("text").alias("query")))  # five queries
+    hit = _fragments(spark, sf).crossJoin(q).where(F.col("text").contains(F.col("query")))
+    return hit.select("item_id", "chunk_id", r(R.keyword_score(F.lit(0.5), F.col("text"), F.col("query"))).alias("score"))
+
+
+@query("SELECT doc_id AS chunk_id, source AS course_id, n_chars FROM documents WHERE source = 'src1' AND lang = 'en' AND n_chars >= 500 ORDER BY doc_id LIMIT 50")
+def fragment_filter(spark, sf):
+    f = R.filtered(_fragments(spark, sf), {"course_id": "src1", "lang": "en", "difficulty": None}).where("n_chars >= 500")
+    return f.select("chunk_id", "course_id", "n_chars").orderBy("chunk_id").limit(50)
+
+
+@query("SELECT source AS course_id, lang, count(*) AS n FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'de') GROUP BY ALL")
+def fragment_filter_in(spark, sf):
+    return R.filtered(_fragments(spark, sf), {"course_id": ["src1", "src2", "src3"], "lang": ["en", "de"]}).groupBy("course_id", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS chunk_id, n_chars FROM documents WHERE n_chars >= 120 AND n_chars <= 900 AND lang IN ('fr', 'es') AND source = 'src4'")
+def metadata_where(spark, sf):
+    w = {"n_chars": {"$gte": 120, "$lte": 900}, "$and": [{"lang": {"$in": ["fr", "es"]}}, {"course_id": "src4"}]}
+    return _fragments(spark, sf).where(R.compiled(w)).select("chunk_id", "n_chars")
+
+
+@query("SELECT DISTINCT source AS chapter FROM documents ORDER BY 1")
+def distinct_chapters(spark, sf):
+    return _docs(spark, sf).select(F.col("source").alias("chapter")).distinct().orderBy("chapter")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT (coalesce(toxic, 0) = 1 AND coalesce(CAST(quality AS DOUBLE), 1.0) < 0.55)")
+def quality_filter(spark, sf):
+    d = _docs(spark, sf).join(_t(spark, sf, "labels"), "doc_id", "left")
+    d = d.select(F.col("doc_id").alias("chunk_id"), (F.coalesce("toxic", F.lit(0)) == 1).alias("is_ocr"), F.col("quality").cast("double").alias("source_quality_score"))
+    return R.quality_filter(d).select("chunk_id")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS n_tokens FROM documents")
+def token_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(
+    "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, "
+    "list_sum(list_transform(list_zip(embedding, q), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))) AS s FROM embeddings, q) "
+    f"SELECT vec_id, label, {R6.format('s')} AS score FROM s ORDER BY s DESC, vec_id LIMIT 10"
+)
+def vector_topk(spark, sf):
+    v = _t(spark, sf, "embeddings")
+    q = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
+    s = v.crossJoin(q).withColumn("s", R.cosine(F.col("embedding"), F.col("q")))
+    return s.orderBy(F.col("s").desc(), "vec_id").limit(10).select("vec_id", "label", r(F.col("s")).alias("score"))
+
+
+@query(
+    "WITH x AS (SELECT vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda z: z * z))) AS n FROM x) "
+    "SELECT vec_id, " + R6.format("CASE WHEN n > 0 THEN list_sum(list_transform(v, lambda z: z / n)) ELSE list_sum(v) END") + " AS total, len(v) AS dims FROM n"
+)
+def l2_normalise(spark, sf):
+    n = R.normalised(F.col("embedding"))
+    return _t(spark, sf, "embeddings").select("vec_id", r(F.aggregate(n, F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("embedding").cast("long").alias("dims"))
+
+
+@query(
+    "WITH a AS (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS q_id, v AS q FROM a WHERE vec_id < 3), "
+    "s AS (SELECT q_id, vec_id, list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda z: z * z))) * sqrt(list_sum(list_transform(q, lambda z: z * z)))) AS s FROM a, q WHERE vec_id <> q_id), "
+    f"t AS (SELECT q_id, vec_id, {R6.format('s')} AS score, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT q_id, vec_id, score, rank FROM t WHERE rank <= 5"
+)
+def similarity_pairs(spark, sf):
+    v = _t(spark, sf, "embeddings")
+    q = F.broadcast(v.where("vec_id < 3").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")))  # three queries
+    s = v.crossJoin(q).where("vec_id <> q_id").withColumn("s", R.cosine(F.col("embedding"), F.col("q")))
+    w = Window.partitionBy("q_id").orderBy(F.col("s").desc(), "vec_id")
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q_id", "vec_id", r(F.col("s")).alias("score"), "rank")
+
+
+HASH_SQL = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS tok FROM documents), h AS (SELECT doc_id, md5(tok) AS h FROM t),
+i AS (SELECT doc_id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) % 384 AS idx, CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM h),
+s AS (SELECT doc_id, idx, sum(s) AS v FROM i GROUP BY ALL HAVING sum(s) <> 0), e AS (SELECT doc_id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS val FROM s)"""
+
+
+@query(f"WITH {HASH_SQL} SELECT doc_id AS chunk_id, idx, {R6.format('val')} AS val FROM e")
+def hash_embedding(spark, sf):
+    return R.hash_embedding(_fragments(spark, sf)).select("chunk_id", "idx", r(F.col("val")).alias("val"))
+
+
+def _hybrid(spark, sf) -> DataFrame:
+    f = _fragments(spark, sf)
+    kw = R.bm25(f, QUERY).orderBy(F.col("bm25").desc(), "chunk_id").limit(20).select("chunk_id", F.col("bm25").alias("keyword_score"))
+    emb = R.hash_embedding(f)
+    q = R.hash_embedding(spark.createDataFrame([(QUERY,)], "text string").withColumn("chunk_id", F.lit(-1))).select("idx", F.col("val").alias("q"))
+    vec = emb.join(F.broadcast(q), "idx").groupBy("chunk_id").agg(F.sum(F.col("val") * F.col("q")).alias("vector_score")).withColumn("vector_score", r(F.col("vector_score"), 9)).orderBy(F.col("vector_score").desc(), "chunk_id").limit(20)
+    return R.fused(kw, vec)
+
+
+HYBRID_SQL = f"""{BM25_SQL}, kw AS (SELECT doc_id, bm25 AS k FROM bm ORDER BY bm25 DESC, doc_id LIMIT 20), {HASH_SQL},
+qt AS (SELECT unnest(['the', 'worthless', 'theory', 'of', 'inthis', 'and', 'onon']) AS tok), qh AS (SELECT md5(tok) AS h FROM qt),
+qi AS (SELECT CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) % 384 AS idx, CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM qh),
+qs AS (SELECT idx, sum(s) AS v FROM qi GROUP BY 1 HAVING sum(s) <> 0), q AS (SELECT idx, v / sqrt(sum(v * v) OVER ()) AS q FROM qs),
+vv AS (SELECT doc_id, CAST(round(CAST(sum(val * q) AS DECIMAL(30,12)), 9) AS DOUBLE) AS v FROM e JOIN q USING (idx) GROUP BY 1), ve AS (SELECT * FROM vv ORDER BY v DESC, doc_id LIMIT 20),
+fu AS (SELECT doc_id, coalesce(k / (SELECT coalesce(nullif(max(k), 0), 1) FROM kw), 0) AS k, coalesce(v / (SELECT coalesce(nullif(max(v), 0), 1) FROM ve), 0) AS v FROM kw FULL JOIN ve USING (doc_id))"""
+
+
+@query(f"WITH {HYBRID_SQL} SELECT doc_id AS chunk_id, {R6.format('0.45 * k + 0.55 * v')} AS score, CASE WHEN k <> 0 AND v <> 0 THEN '关键词+向量召回' WHEN k <> 0 THEN '关键词召回' WHEN v <> 0 THEN '向量召回' ELSE '规则排序' END AS why FROM fu")
+def hybrid_topk(spark, sf):
+    return _hybrid(spark, sf).select("chunk_id", r(F.col("score")).alias("score"), F.col("why_matched").alias("why"))
+
+
+@query(
+    f"WITH {HYBRID_SQL}, rr AS (SELECT doc_id, 0.45 * k + 0.55 * v + CASE WHEN contains(text, 'and the') THEN 0.25 ELSE 0 END AS s FROM fu JOIN documents USING (doc_id)) SELECT doc_id AS chunk_id, {R6.format('s')} AS rerank_score FROM rr"
+)
+def rerank_rules(spark, sf):
+    c = _hybrid(spark, sf).join(_fragments(spark, sf).select("chunk_id", "text"), "chunk_id")
+    return R.reranked(c, PHRASE).select("chunk_id", r(F.col("rerank_score") - F.when(F.arrays_overlap(T.tags(F.lit(PHRASE)), T.tags(F.col("text"))), 0.1).otherwise(0.0)).alias("rerank_score"))
+
+
+@query("WITH s AS (SELECT doc_id, CASE WHEN source = 'src3' AND lang = 'xx' THEN 1 ELSE 2 END AS tier FROM documents WHERE source = 'src3') SELECT doc_id AS chunk_id, tier FROM s WHERE tier = (SELECT min(tier) FROM s)")
+def relax_filters(spark, sf):
+    f = _fragments(spark, sf)
+    return R.relaxed(f, F.col("lang") == "xx", F.col("course_id") == "src3").select("chunk_id", "tier")
+
+
+@query("WITH s AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang, substr(text, 1, 80) ORDER BY doc_id) AS n FROM documents) SELECT doc_id AS chunk_id FROM s WHERE n = 1")
+def dedupe_fragments(spark, sf):
+    f = _fragments(spark, sf).withColumn("head", F.substring("text", 1, 80))
+    return R.keep_first(f, ["course_id", "lang", "head"], ["chunk_id"]).select("chunk_id")
+
+
+@query(
+    "WITH h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, text FROM documents WHERE n_chars < 600), "
+    "b AS (SELECT *, length('[' || CAST(rank AS VARCHAR) || '] ' || text || chr(10) || '来源：' || source) AS n FROM h), "
+    "u AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank) AS used FROM b), o AS (SELECT *, max(CASE WHEN used > 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY rank) AS over FROM u) "
+    "SELECT source AS course_id, doc_id AS chunk_id, CAST(rank AS BIGINT) AS rank, CAST(used AS BIGINT) AS used FROM o WHERE over = 0"
+)
+def context_budget(spark, sf):
+    d = _fragments(spark, sf).where("n_chars < 600").select("course_id", "chunk_id", "text", F.col("course_id").alias("citation"))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("course_id").orderBy("chunk_id")).cast("long"))
+    return R.context(d, "rank", 4000, ["course_id"]).select("course_id", "chunk_id", "rank", F.col("used").cast("long").alias("used"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, text, (CASE WHEN contains(lower(text), 'worthless') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'idiot') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS hits FROM documents) "
+    "SELECT doc_id AS chunk_id, CAST(hits AS BIGINT) AS hits FROM s WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 15"
+)
+def keyword_fallback(spark, sf):
+    return R.keyword_fallback(_fragments(spark, sf), "Worthless idiot the").orderBy(F.col("hits").desc(), "chunk_id").limit(15).select("chunk_id", "hits")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), lower('Worthless')) ORDER BY doc_id LIMIT 3")
+def concept_ilike(spark, sf):
+    return _docs(spark, sf).where(F.col("text").ilike("%Worthless%")).select("doc_id").orderBy("doc_id").limit(3)
+
+
+# --- text and structure ---
+@query(f"WITH {LINES_SQL} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM lines")
+def line_explode(spark, sf):
+    return S.lines(_docs(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(f"WITH {LINES_SQL}, n AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS n FROM lines) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no FROM n WHERE n = 1")
+def line_dedupe_keep_first(spark, sf):
+    return R.keep_first(S.lines(_docs(spark, sf)), ["doc_id", "line"], ["line_no"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+@query(f"WITH {LINES_SQL}, n AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM lines) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no FROM n WHERE b IS NULL OR b <> line")
+def adjacent_collapse(spark, sf):
+    return S.adjacent_collapsed(S.lines(_docs(spark, sf))).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+@query(
+    f"WITH {LINES_SQL}, m AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM lines), e AS (SELECT doc_id, line FROM m WHERE line_no < 2 UNION ALL SELECT doc_id, line FROM m WHERE line_no > last - 2) "
+    "SELECT source, line, count(*) AS n FROM e JOIN documents USING (doc_id) WHERE length(line) BETWEEN 3 AND 80 AND NOT regexp_matches(line, '^[0-9 /—–-]+$') GROUP BY ALL HAVING count(*) >= 3"
+)
+def repeated_edge_lines(spark, sf):
+    return S.edge_lines(_docs(spark, sf), "source")
+
+
+@query(
+    r"SELECT doc_id, " + R6.format(r"CASE WHEN length(text) = 0 THEN 0 ELSE 1.0 - CAST(length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}A-Za-z0-9=+\-*/^<>≤≥≈≠∫∑∏√∞]', '', 'g')) AS DOUBLE) / length(text) END") + " AS gibberish FROM documents"
+)
+def gibberish_ratio(spark, sf):
+    return _docs(spark, sf).select("doc_id", r(T.gibberish_ratio(F.col("text"))).alias("gibberish"))
+
+
+@query(
+    rf"WITH {LINES_SQL}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(line) <= 2) AS short FROM lines GROUP BY 1), "
+    r"g AS (SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE 1.0 - CAST(length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}A-Za-z0-9=+\-*/^<>≤≥≈≠∫∑∏√∞]', '', 'g')) AS DOUBLE) / length(text) END AS g FROM documents) "
+    "SELECT doc_id, coalesce(n, 0) AS line_count, " + R6.format("greatest(0, least(1, 1.0 - g * 0.75 - coalesce(CAST(short AS DOUBLE) / greatest(n, 1), 0) * 0.25))") + " AS quality FROM g LEFT JOIN s USING (doc_id)"
+)
+def text_quality(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.text_quality(F.col("text")).alias("q")).select("doc_id", F.col("q.line_count").alias("line_count"), r(F.col("q.quality")).alias("quality"))
+
+
+@query(rf"WITH {LINES_SQL} SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)^\s*(?:第?\s*[0-9]+\s*页?|[-—–]?\s*[0-9]+\s*[-—–]?|[0-9]+\s*/\s*[0-9]+|page\s+[0-9]+(?:\s+of\s+[0-9]+)?)\s*$')) AS n FROM lines GROUP BY 1")
+def page_number_lines(spark, sf):
+    return S.lines(_docs(spark, sf)).groupBy("doc_id").agg(F.count_if(T.is_page_number(F.col("line"))).alias("n"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents")
+def whitespace_normalise(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.normalise_whitespace(F.col("text"))).alias("h"))
+
+
+@query(r"WITH " + LINES_SQL + r" SELECT CASE WHEN regexp_matches(line, '(?i)^\s*Definition([^\w]|$)') THEN 'definition' WHEN regexp_matches(line, '(?i)^\s*(Theorem|Lemma)([^\w]|$)') THEN 'theorem' WHEN regexp_matches(line, '(?i)^\s*Example([^\w]|$)') THEN 'example' WHEN regexp_matches(line, '(?i)^\s*Proof([^\w]|$)') THEN 'proof' WHEN regexp_matches(line, '(?i)^\s*Exercises?([^\w]|$)') THEN 'exercise' WHEN regexp_matches(line, '(?i)^\s*Summary([^\w]|$)') THEN 'summary' WHEN regexp_matches(line, '(\$.*?\$|\\frac|\\sum|\\int|[=<>≤≥≈≠]|∫|∑|√|lim)') THEN 'formula' ELSE 'explanation' END AS kind, count(*) AS n FROM lines GROUP BY 1")
+def block_type(spark, sf):
+    return S.lines(_docs(spark, sf)).groupBy(T.block_type(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, CASE WHEN least(length(text) // 350, 3) + least(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\$[^$]+\$|[A-Za-z0-9_()]+\s*[=≤≥≈≠]\s*[A-Za-z0-9_+\-*/^() ]+)', 1), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: length(x) >= 2))), 3) <= 1 THEN '基础' WHEN least(length(text) // 350, 3) + least(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\$[^$]+\$|[A-Za-z0-9_()]+\s*[=≤≥≈≠]\s*[A-Za-z0-9_+\-*/^() ]+)', 1), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: length(x) >= 2))), 3) <= 4 THEN '中等' ELSE '困难' END AS difficulty FROM documents")
+def difficulty(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.difficulty(F.col("text")).alias("difficulty"))
+
+
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^[A-D][.、]|A[.、].*B[.、]') THEN '选择题' WHEN regexp_matches(text, '_{2,}|\(\s*\)') THEN '填空题' ELSE '综合题' END AS kind FROM documents")
+def question_type(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.question_type(F.col("text")).alias("kind"))
+
+
+@query(
+    rf"WITH {LINES_SQL}, m AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS nx FROM lines WHERE length(line) <= 20), z AS (SELECT doc_id, max(line_no) AS last FROM lines GROUP BY 1) "
+    "SELECT doc_id, line AS title, CAST(line_no AS BIGINT) AS line_start, CAST(coalesce(nx - 1, last) AS BIGINT) AS line_end FROM m JOIN z USING (doc_id)"
+)
+def heading_spans(spark, sf):
+    s = S.spans(S.lines(_docs(spark, sf)), F.length("line") <= 20)
+    return s.select("doc_id", "title", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+@query()
+def typed_block_runs(spark, sf):
+    return S.typed_blocks(S.lines(_docs(spark, sf)))
+
+
+@query(
+    "WITH w AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 900 THEN 1 ELSE 1 + CAST(ceil((length(text) - 900) / 780.0) AS BIGINT) END)) AS chunk_no FROM documents WHERE length(text) > 0) "
+    r"SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, md5(substr(text, chunk_no * 780 + 1, 900)) AS h FROM w WHERE length(regexp_replace(substr(text, chunk_no * 780 + 1, 900), '^\s+|\s+$', '', 'g')) >= 10"
+)
+def chunk_fixed(spark, sf):
+    return S.fixed_windows(_docs(spark, sf)).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5("chunk").alias("h"))
+
+
+@query(
+    "WITH w AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 800.0) AS BIGINT))) AS chunk_no FROM documents WHERE length(text) > 0) "
+    r"SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, length(substr(text, chunk_no * 800 + 1, 800)) AS n FROM w WHERE length(regexp_replace(substr(text, chunk_no * 800 + 1, 800), '^\s+|\s+$', '', 'g')) >= 1"
+)
+def chunk_800(spark, sf):
+    return S.plain_windows(_docs(spark, sf)).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("n"))
+
+
+@query()
+def chunk_structured(spark, sf):
+    return S.structured_chunks(_docs(spark, sf))
+
+
+@query("WITH m AS (SELECT CAST(ts AS DATE) AS d, min(event_id) AS marker FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT e.event_id, m.marker FROM events e ASOF LEFT JOIN m ON CAST(e.ts AS DATE) >= m.d")
+def chapter_asof(spark, sf):
+    e = _t(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"), "event_type")
+    m = e.where("event_type = 'signup'").groupBy(F.col("day").alias("d")).agg(F.min("event_id").alias("marker"))  # one row a day
+    return S.as_of(e, m, "day", "d", "marker").select("event_id", "marker")
+
+
+@query("SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS opened_by FROM events")
+def forward_fill(spark, sf):
+    e = _t(spark, sf, "events").withColumn("opened_by", F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return S.carried_forward(e, "opened_by", ["user_id"], ["ts", "event_id"]).select("event_id", F.coalesce("opened_by", F.lit(-1)).alias("opened_by"))
+
+
+@query("SELECT conv_id, turn, count(*) OVER w AS n, sum(length(text)) OVER w AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)")
+def neighbour_context(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 2)
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("n"), F.sum(F.length("text")).over(w).cast("long").alias("chars"))
+
+
+@query("WITH s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, turn, role FROM s WHERE n <= 5")
+def history_last5(spark, sf):
+    return A.latest(_t(spark, sf, "conversations"), "conv_id", [F.col("turn").desc()], 5).select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'assistant') AS answers, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def session_history(spark, sf):
+    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("answers"), F.max("turn").alias("last_turn"))
+
+
+# --- dashboards ---
+ACC = "coalesce(CAST(round(CAST(100.0 * {c} / nullif({t}, 0) AS DECIMAL(20,6)), 1) AS DOUBLE), 0)"
+
+
+@query(f"WITH {ANSWERS_SQL} SELECT user_id, count(*) AS total, count(*) FILTER (is_correct) AS correct, {ACC.format(c='count(*) FILTER (is_correct)', t='count(*)')} AS accuracy FROM a GROUP BY 1")
+def student_overview(spark, sf):
+    return A.answer_overview(_answers(spark, sf), "user_id")
+
+
+@query(f"WITH {ANSWERS_SQL} SELECT user_id, coalesce(nullif(error_type, ''), '未分类') AS error_type, count(*) AS n FROM a WHERE NOT is_correct AND NOT mastered GROUP BY ALL")
+def error_distribution(spark, sf):
+    return A.error_histogram(_answers(spark, sf).where("NOT is_correct AND NOT mastered"), ["user_id"])
+
+
+@query(f"WITH {ANSWERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM a) SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(seconds) AS BIGINT) AS seconds FROM n WHERE n <= 30 GROUP BY ALL")
+def daily_seconds(spark, sf):
+    return A.daily_seconds(_answers(spark, sf), "user_id").withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {ANSWERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM a WHERE NOT is_correct AND NOT mastered) SELECT user_id, event_id FROM n WHERE n <= 10")
+def recent_mistakes(spark, sf):
+    return A.latest(_answers(spark, sf).where("NOT is_correct AND NOT mastered"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 10).select("user_id", "event_id")
+
+
+@query(f"WITH {ANSWERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM a) SELECT user_id, count(*) AS total, count(*) FILTER (is_correct) AS correct, {ACC.format(c='count(*) FILTER (is_correct)', t='count(*)')} AS accuracy FROM n WHERE n <= 200 GROUP BY 1")
+def learner_record_latest200(spark, sf):
+    return A.answer_overview(A.latest(_answers(spark, sf), "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 200), "user_id")
+
+
+@query(
+    f"WITH {ANSWERS_SQL}, s AS (SELECT user_id, count(*) AS total, {ACC.format(c='count(*) FILTER (is_correct)', t='count(*)')} AS acc, count(*) FILTER (NOT is_correct AND NOT mastered) AS un, count(*) FILTER (NOT is_correct AND mastered) AS ma FROM a GROUP BY 1) "
+    "SELECT user_id, greatest(0, least(100, acc)) AS accuracy_score, CAST(greatest(0, least(100, 100 - 8 * un)) AS DOUBLE) AS mistake_score, greatest(0, least(100, acc - 3 * un + 15)) AS stability_score, CAST(greatest(0, least(100, 20 * ma)) AS DOUBLE) AS review_score, CASE WHEN total > 0 THEN CAST(65 AS DOUBLE) ELSE CAST(30 AS DOUBLE) END AS activity_score FROM s"
+)
+def radar_scores(spark, sf):
+    a = _answers(spark, sf)
+    right = F.count_if("is_correct")
+    s = a.groupBy("user_id").agg(F.count("*").alias("total"), A.rounded_share(right, F.count("*")).alias("accuracy"), F.count_if(~F.col("is_correct") & ~F.col("mastered")).alias("unmastered"), F.count_if(~F.col("is_correct") & F.col("mastered")).alias("mastered"))
+    return A.radar(s)
+
+
+@query(
+    f"WITH {ANSWERS_SQL}, h AS (SELECT user_id, coalesce(nullif(error_type, ''), '未分类') AS error_type, count(*) AS n FROM a WHERE NOT is_correct GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, error_type) AS rank FROM h) "
+    "SELECT user_id, error_type, n, CAST(rank AS INTEGER) AS rank, CAST(greatest(15, least(75, 70 - 12 * n)) AS BIGINT) AS mastery FROM k WHERE rank <= 5"
+)
+def weak_point_mastery(spark, sf):
+    return A.weak_points(A.error_histogram(_answers(spark, sf).where("NOT is_correct"), ["user_id"]), "user_id")
+
+
+@query(f"SELECT p_brand AS course, count(*) AS total, count(*) FILTER (l_returnflag <> 'R') AS correct, {ACC.format(c=chr(99) + 'ount(*) FILTER (l_returnflag <> ' + chr(39) + 'R' + chr(39) + ')', t='count(*)')} AS accuracy FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def teacher_overview(spark, sf):
+    li = _t(spark, sf, "lineitem").select("l_partkey", (F.col("l_returnflag") != "R").alias("is_correct"))
+    per = li.groupBy("l_partkey").agg(F.count("*").alias("t"), F.count_if("is_correct").alias("c"))  # fewer rows reach the join
+    p = per.join(_t(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return p.groupBy(F.col("p_brand").alias("course")).agg(F.sum("t").alias("total"), F.sum("c").alias("correct"), A.rounded_share(F.sum("c"), F.sum("t")).alias("accuracy"))
+
+
+@query("WITH w AS (SELECT l_partkey, count(*) AS wrong FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY wrong DESC, l_partkey LIMIT 10) SELECT l_partkey, wrong, substr(p_name, 1, 80) AS stem FROM w JOIN part ON l_partkey = p_partkey")
+def hard_exercises(spark, sf):
+    a = _t(spark, sf, "lineitem").select("l_partkey", (F.col("l_returnflag") != "R").alias("is_correct"))
+    return A.hardest(a, _t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_name", 1, 80).alias("stem")), "l_partkey")
+
+
+@query(
+    "WITH c AS (SELECT c_nationkey, count(*) AS chapters FROM customer GROUP BY 1), k AS (SELECT c_nationkey, count(*) AS kps, count(DISTINCT o_custkey) AS documents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) "
+    "SELECT n_name AS course, coalesce(chapters, 0) AS chapters, coalesce(kps, 0) AS kps, coalesce(documents, 0) AS documents FROM nation LEFT JOIN c ON n_nationkey = c.c_nationkey LEFT JOIN k ON n_nationkey = k.c_nationkey"
+)
+def course_listing(spark, sf):
+    cu = _t(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    per = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).join(cu, F.col("o_custkey") == F.col("c_custkey"))
+    k = per.groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("n").alias("kps"), F.count("*").alias("documents"))
+    c = cu.groupBy("c_nationkey").agg(F.count("*").alias("chapters"))
+    out = _t(spark, sf, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(k, F.col("n_nationkey") == F.col("k"), "left")
+    return out.select(F.col("n_name").alias("course"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("chapters", "kps", "documents")])
+
+
+@query("SELECT o_orderkey AS mistake_id, coalesce(substr(c_name, 1, 100), '') AS stem FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def mistake_book(spark, sf):
+    top = _t(spark, sf, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(100)
+    return top.join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("mistake_id"), F.coalesce(F.substring("c_name", 1, 100), F.lit("")).alias("stem"))
+
+
+@query(
+    "SELECT source AS document_id, count(*) AS fragments, count(*) FILTER (quality = 1) AS success, count(*) FILTER (toxic = 1) AS failed, count(*) FILTER (quality IS NULL) AS unrated, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(round(CAST(avg(n_chars) AS DECIMAL(30,12)), 6) AS DOUBLE) AS avg_chars, count(*) = count(quality) AS index_success FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"
+)
+def parse_report(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "source", "n_chars").join(_t(spark, sf, "labels"), "doc_id", "left")
+    return d.groupBy(F.col("source").alias("document_id")).agg(
+        F.count("*").alias("fragments"), F.count_if(F.col("quality") == 1).alias("success"), F.count_if(F.col("toxic") == 1).alias("failed"), F.count_if(F.col("quality").isNull()).alias("unrated"),
+        F.sum("n_chars").alias("chars"), r(F.avg("n_chars")).alias("avg_chars"), (F.count("*") == F.count("quality")).alias("index_success"),
+    )
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def new_documents_anti(spark, sf):
+    return _docs(spark, sf).select("doc_id").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def upsert_latest(spark, sf):
+    return A.upserted(_t(spark, sf, "events"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_type", "event_id", "value")
+
+
+# --- review, grading, routing ---
+DIFF = "CASE WHEN p_size <= 15 THEN 'easy' WHEN p_size >= 40 THEN 'hard' ELSE 'medium' END"
+
+
+@query(f"WITH q AS (SELECT p_brand, {DIFF} AS d FROM part) SELECT p_brand, count(*) AS n, count(*) FILTER (d = 'easy') AS easy, count(*) FILTER (d = 'hard') AS hard, count(*) >= 3 AND (count(*) FILTER (d = 'easy') > 0.8 * count(*) OR count(*) FILTER (d = 'hard') > 0.8 * count(*)) AS issue FROM q GROUP BY 1")
+def difficulty_mix(spark, sf):
+    d = F.when(F.col("p_size") <= 15, "easy").when(F.col("p_size") >= 40, "hard").otherwise("medium")
+    return KN.difficulty_mix(_t(spark, sf, "part").select("p_brand", d.alias("difficulty")), "p_brand")
+
+
+@query("WITH n AS (SELECT p_brand, p_partkey, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS nth FROM part) SELECT p_brand, p_partkey, CAST(nth AS INTEGER) AS nth FROM n WHERE nth > 1")
+def duplicate_stems(spark, sf):
+    return KN.repeated_stems(_t(spark, sf, "part"), "p_brand", "p_type", "p_partkey").select("p_brand", "p_partkey", "nth")
+
+
+@query("WITH s AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total FROM lineitem GROUP BY 1) SELECT o_orderkey, CAST(total AS DOUBLE) AS total, abs(total - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.1 AS ok FROM s JOIN orders ON l_orderkey = o_orderkey")
+def exam_total_check(spark, sf):
+    s = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total"))
+    j = s.join(_t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("o_orderkey", F.col("total").cast("double").alias("total"), (F.abs(F.col("total") - F.col("o_totalprice").cast("decimal(18,2)")) <= F.lit(0.1).cast("decimal(18,2)")).alias("ok"))
+
+
+@query("SELECT p_partkey, CAST(greatest(0, least(100, p_size * 2 + CASE WHEN p_partkey % 3 > 0 THEN 10 ELSE -15 END - 20 * (p_partkey % 2) - 5 * (p_partkey % 7))) AS BIGINT) AS credibility FROM part")
+def credibility(spark, sf):
+    k = F.col("p_partkey")
+    return _t(spark, sf, "part").select("p_partkey", KN.credibility(F.col("p_size") * 2, k % 3, k % 2, k % 7).cast("long").alias("credibility"))
+
+
+@query(
+    r"WITH q AS (SELECT item_id, text AS answer, substr(text, 1, 40) AS given, CASE WHEN item_id % 2 = 0 THEN '选择题' ELSE '综合题' END AS kind FROM benchmark), n AS (SELECT item_id, kind, regexp_replace(lower(answer), '\s+', '', 'g') AS a, regexp_replace(lower(CASE WHEN item_id % 3 = 0 THEN answer ELSE given END), '\s+', '', 'g') AS s FROM q), "
+    "g AS (SELECT item_id, CASE WHEN kind = '选择题' THEN s = a ELSE length(s) >= 8 AND (len(list_filter(string_split(a, ',')[1:4], lambda k: length(k) >= 2 AND contains(s, k))) > 0 OR length(s) >= 18) END AS is_correct FROM n) SELECT item_id, is_correct, CASE WHEN is_correct THEN CAST(10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM g"
+)
+def grade_answers(spark, sf):
+    b = _t(spark, sf, "benchmark")
+    given = F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.substring("text", 1, 40))
+    q = b.select("item_id", F.col("text").alias("answer"), given.alias("student_answer"), F.when(F.col("item_id") % 2 == 0, "选择题").otherwise("综合题").alias("question_type"))
+    return KN.graded(q).select("item_id", "is_correct", "score")
+
+
+def _intent_sql() -> str:
+    cases = ", ".join("{'score': " + " + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN {len(w)} ELSE 0 END)" for w in words) + f", 'o': {-i}, 'name': '{name}'}}" for i, (name, words) in enumerate(KN.INTENTS.items()))
+    return f"SELECT conv_id, turn, list_sort([{cases}])[-1].name AS intent FROM conversations"
+
+
+@query(_intent_sql())
+def intent_route(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", KN.intent(F.col("text")).alias("intent"))
+
+
+@query("SELECT event_type AS action, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
+def json_actions(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _t(spark, sf, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+
+
+@query("WITH k AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, p_brand FROM part) SELECT p_partkey, p_brand, CAST(i % 5 AS INTEGER) AS slot FROM k")
+def round_robin_assign(spark, sf):
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    return _t(spark, sf, "part").select("p_partkey", "p_brand", F.pmod(F.row_number().over(w) - 1, F.lit(5)).alias("slot"))
+
+
+@query("SELECT p_partkey, greatest(1, p_size % 7) AS days, greatest(1, p_size % 7) * 30 AS total_minutes FROM part")
+def study_plan_fallback(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.greatest(F.lit(1), F.col("p_size") % 7).cast("int").alias("days"), F.lit(30).alias("daily_minutes"), F.split("p_name", " ").alias("points"))
+    return KN.plan_errors(KN.study_plan(p)).where(F.size("errors") == 0).select("p_partkey", "days", "total_minutes")
+
+
+# --- knowledge and graph ---
+@query()
+def kp_extract(spark, sf):
+    return KN.knowledge_points(S.lines(_docs(spark, sf)))
+
+
+def _nodes(spark, sf) -> DataFrame:
+    rows = S.lines(_docs(spark, sf))
+    chapters = S.spans(rows, F.length("line") <= 20)
+    blocks = S.typed_blocks(rows).where("content_type <> 'explanation'").withColumn("name", F.concat_ws(" ", "content_type", F.col("line_start").cast("string")))
+    return KN.graph_nodes(chapters, blocks)
+
+
+GRAPH_SQL = (
+    rf"WITH {LINES_SQL}, c AS (SELECT doc_id, line_no, line FROM lines WHERE length(line) <= 20), "
+    r"f AS (SELECT doc_id, 0 AS line_no FROM lines GROUP BY 1 HAVING bool_or(regexp_matches(line, '(\$.*?\$|\\frac|\\sum|\\int|[=<>≤≥≈≠]|∫|∑|√|lim)'))), "
+    "n AS (SELECT 'chapter:' || doc_id || ':' || line_no AS node_id, 'chapter' AS node_type, line AS name, CAST(0.95 AS DOUBLE) AS confidence, doc_id, line_no FROM c "
+    "UNION ALL SELECT 'formula:' || doc_id || ':0', 'formula', 'formula 0', CAST(0.8 AS DOUBLE), doc_id, 0 FROM f)"
+)
+
+
+@query(GRAPH_SQL + " SELECT node_id, node_type, name, confidence FROM n")
+def graph_nodes(spark, sf):
+    return _nodes(spark, sf)
+
+
+@query(
+    GRAPH_SQL + ", w AS (SELECT *, last_value(CASE WHEN node_type = 'chapter' THEN node_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no, node_id) AS own FROM n), "
+    "h AS (SELECT node_id, lead(node_id) OVER (PARTITION BY doc_id ORDER BY line_no, node_id) AS nx FROM n WHERE node_type = 'chapter') "
+    "SELECT node_id AS source, own AS target, 'belongs_to' AS relation, CAST(1 AS DOUBLE) AS weight FROM w WHERE node_type <> 'chapter' AND own IS NOT NULL UNION ALL SELECT node_id, nx, 'prerequisite', CAST(0.45 AS DOUBLE) FROM h WHERE nx IS NOT NULL"
+)
+def graph_edges(spark, sf):
+    return KN.graph_edges(_nodes(spark, sf))
+
+
+# --- batch functions: rows only ---
+@query()
+def nfkc_clean(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.length(T.normalise_whitespace(batch.nfkc(batch.normalise_math(T.remove_control(F.col("text")))))).alias("n"))
+
+
+@query()
+def fuzzy_match(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", "p_name")
+    return p.select("p_partkey", batch.token_set_ratio_udf("p_name", F.lit("red part steel")).alias("score")).where("score >= 40")
+
+
+@query()
+def json_repair(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.select("event_id", batch.repair_json(F.concat(F.lit("Answer: ```json\n"), F.col("props"), F.lit("\n```"))).alias("fixed"))
+
+
+@query()
+def render_markdown(spark, sf):
+    return _t(spark, sf, "events").select("event_id", batch.render_markdown("props").alias("markdown"))
+
+
+# --- extension ---
+@query(
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) "
+    "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM s GROUP BY user_id, s"
+)
+def session_activity(spark, sf):
+    return activity.sessions(_answers(spark, sf))
