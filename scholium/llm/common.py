@@ -49,6 +49,11 @@ def bytes_column(batch: pa.RecordBatch, name: str) -> list:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def groups_for(df: DataFrame, n_buckets: int) -> int:
+    """How many groups the documents' own short lists (positions, ranges) are dealt into."""
+    return max(shuffle_parts(df.sparkSession), n_buckets // 8)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges (a, b)``; the component is its smallest node.
 

@@ -3,9 +3,10 @@
 Anchors of ``repeats`` (over words) bring recurring passages together: every
 document is streamed, its windows that nothing in the same task settles are
 cut into passages around their anchor and dealt to the anchor's shard. A shard
-confirms which of its windows recur, compiles those into one automaton over
-word numbers (pyahocorasick), and streams all its passages through it to locate
-every occurrence; all but the earliest are removed.
+confirms which passages recur whole and which windows recur between different
+passages, compiles those windows into one automaton over word numbers
+(pyahocorasick), and streams its passages, each wording once, through it to
+locate every occurrence; all but the earliest are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import batches_of, buckets_for, checkpoint
+from .common import batches_of, buckets_for, checkpoint, groups_for
 from .suffix import removal
 
 K = 5
@@ -34,47 +35,66 @@ def word_symbols(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words)), words
 
 
-def locate(passages: list[tuple[int, int, list[bytes]]], window: int) -> list[tuple[int, int]]:
-    """``(doc, start)`` of every window of the passages ``(doc, start, words)`` that also occurs earlier among them."""
+def confirmed(docs: np.ndarray, starts: np.ndarray, passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the earliest passage of each wording, and of its later copies (every window of which recurs)."""
     number: dict[bytes, int] = {}
-    ids = [tuple(number.setdefault(w, len(number)) for w in words) for _, _, words in passages]
-    sums = [R.gram_hashes(np.array(t, np.uint64), window) for t in ids if len(t) >= window]
-    if not sums:
-        return []
-    every = np.sort(np.concatenate(sums))
-    again = np.unique(every[1:][every[1:] == every[:-1]])  # digests seen twice: the windows to confirm
+    wording = np.fromiter((number.setdefault(p, len(number)) for p in passages), np.int64, len(passages))
+    order = np.lexsort((starts, docs, wording))
+    later = np.ones(len(order), bool)
+    later[R.starts_of(wording[order])] = False
+    return order[~later], order[later]
+
+
+def locate(docs: np.ndarray, starts: np.ndarray, passages: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc, start)`` of every window of the passages that also occurs earlier among them."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number) + 1) for words in passages for w in (*words, b"")), np.int64)  # an empty word parts passages
+    ends = np.cumsum([len(words) + 1 for words in passages])
+    if len(ids) < window:
+        return none
+    h = R.gram_hashes(ids.astype(np.uint64), window)
+    h[_crossing(ends, len(h), window)] = 0
+    at = np.nonzero(h)[0]
+    at = at[np.argsort(h[at], kind="stable")]
+    first = R.starts_of(h[at])
+    size = np.diff(np.append(first, len(at)))
+    again = np.repeat(size > 1, size)
+    at, lead = at[again], np.repeat(at[first], size)[again]
+    if not len(at):
+        return none
+    rows = np.lib.stride_tricks.sliding_window_view(ids, window)
+    patterns = np.unique(np.concatenate([lead, at[(rows[at] != rows[lead]).any(axis=1)]]))  # equal digests of unequal windows are patterns of their own
     machine, n = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
-    todo = []
-    for (doc, start, _), t in zip(passages, ids):
-        if len(t) < window:
-            continue
-        at = np.nonzero(R.in_sorted(R.gram_hashes(np.array(t, np.uint64), window), again))[0].tolist()
-        if at:
-            todo.append((doc, start, t))
-        for i in at:
-            if machine.add_word(t[i : i + window], n):
-                n += 1
-    if not n:
-        return []
+    for i in patterns.tolist():
+        key = tuple(ids[i : i + window].tolist())
+        if not machine.exists(key):
+            machine.add_word(key, n)
+            n += 1
     machine.make_automaton()
-    first: list[tuple[int, int] | None] = [None] * n
-    seen: list[tuple[int, int, int]] = []
-    for doc, start, t in todo:
-        for end, i in machine.iter(t):
-            at = (doc, start + end - window + 1)
-            seen.append((i, *at))
-            if first[i] is None or at < first[i]:
-                first[i] = at
-    return [(doc, at) for i, doc, at in seen if (doc, at) != first[i]]
+    hits = np.array(list(machine.iter(tuple(ids.tolist()))), np.int64).reshape(-1, 2)
+    begin = hits[:, 0] - window + 1
+    passage = np.searchsorted(ends, begin, side="right")
+    doc, start = docs[passage], starts[passage] + begin - np.concatenate([[0], ends])[passage]
+    order = np.lexsort((start, doc, hits[:, 1]))
+    later = np.ones(len(order), bool)
+    later[R.starts_of(hits[order, 1])] = False
+    return doc[order[later]], start[order[later]]
+
+
+def _crossing(ends: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n window positions run over the end of a passage."""
+    place = np.arange(n)
+    return ends[np.minimum(np.searchsorted(ends, place, side="right"), len(ends) - 1)] - 1 < place + window
 
 
 def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
     """``doc_id, ranges`` (of word numbers) of documents (non-null ids) with windows that occur earlier."""
     nb = buckets_for(docs, 2 << 20)
-    grams = window - K + 1
-    found = checkpoint(R.survivors(docs, word_symbols, K, window, nb, same_doc=True))
+    grams, groups = window - K + 1, groups_for(docs, nb)
+    found = checkpoint(R.survivors(docs, word_symbols, K, window, nb, groups, same_doc=True))
     hot = R.hot_grams(found)
-    per_doc = found.where(F.col("kind") == R.SETTLED).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("data").alias("data"))
+    per_doc = R.regrouped(found, groups, 1, "data")
     where = docs.join(per_doc, "doc_id").select("doc_id", F.col("text").cast("binary"), "data")
 
     def candidates(sym: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,7 +114,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
         doc = np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in held])
         at, lead, h, h1, h2 = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
         done = R.settle_windows(h1, h2, doc, at, True)
-        rows = list(R.settled(doc[done], at[done], at[done] + window))
+        rows = R.settled(doc[done], at[done], at[done] + window, groups)
         left = ~done
         is_hot = left & R.in_sorted(h, hot)
         b = (h1 >> np.uint64(32)) % np.uint64(nb)
@@ -127,7 +147,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
                 sym, words = word_symbols(text)
                 if len(sym) < window:
                     continue
-                pos = np.unique(np.concatenate([R.unpacked(x, "<i8")[0] for x in data]))
+                pos = np.unique(np.frombuffer(data, "<i8"))
                 got = candidates(sym, pos[pos + K <= len(sym)])
                 if len(got[0]):
                     held.append((d, *got, words))
@@ -140,25 +160,29 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
 
     def shards(batches):
         for through, blobs in R.each_bucket(batches):
-            rows, got, digests = through, [], [x[1:] for x in blobs if x[0]]
+            rows, got, digests = through, ([], [], []), [x[1:] for x in blobs if x[0]]
             for x in (x[1:] for x in blobs if not x[0]):
                 size = int.from_bytes(x[:4], "little")
                 docs_of, starts = R.unpacked(x[4 : 4 + size], "<i8", "<i4")
-                lines = R.zstandard.ZstdDecompressor().decompress(x[4 + size :]).split(b"\n")
-                got += [(d, s, line.split(b" ")) for d, s, line in zip(docs_of.tolist(), starts.tolist(), lines)]
-            if dup := locate(got, window):
-                doc, at = np.array(dup, np.int64).T
-                rows += R.settled(doc, at, at + window)
+                got[2].extend(R.zstandard.ZstdDecompressor().decompress(x[4 + size :]).split(b"\n"))
+                got[0].append(docs_of)
+                got[1].append(starts.astype(np.int64))
+            if got[2]:
+                doc, start = np.concatenate(got[0]), np.concatenate(got[1])
+                first, copies = confirmed(doc, start, got[2])
+                ends = start[copies] + np.array([got[2][i].count(b" ") + 1 for i in copies.tolist()], np.int64)
+                d, at = locate(doc[first], start[first], [got[2][i].split(b" ") for i in first.tolist()], window)
+                rows += R.settled(np.concatenate([doc[copies], d]), np.concatenate([start[copies], at]), np.concatenate([ends, at + window]), groups)
             if digests:
                 h1, h2, doc, pos = (np.concatenate(c) for c in zip(*(R.unpacked(x, "<u8", "<u8", "<i8", "<i4") for x in digests)))
                 done = R.settle_windows(h1, h2, doc, pos, True)
                 at = pos[done].astype(np.int64)
-                rows += R.settled(doc[done], at, at + window)
+                rows += R.settled(doc[done], at, at + window, groups)
             if rows:
                 yield batches_of(rows, R.ROWS)
 
     told = R.buckets(where.mapInArrow(passages, R.ROWS_SQL), 2 * nb).mapInArrow(shards, R.ROWS_SQL)
-    return told.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("data").alias("ranges"))
+    return R.regrouped(told, groups, 2, "ranges")
 
 
 def dedup(docs: DataFrame, window: int = 20) -> DataFrame:

@@ -136,11 +136,54 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.nonzero(sorted_keys[1:] != sorted_keys[:-1])[0] + 1]) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def settled(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
-    """Rows of removed symbol ranges, merged per document."""
-    for d, s, e in by_doc(doc, starts, ends):
-        s, e = merged(s, e)
-        yield (d & 0x7FFFFFFF, SETTLED, d, packed(s.astype("<i8"), e.astype("<i8")))
+def doc_groups(doc: np.ndarray, n: int, *cols: np.ndarray) -> list[tuple]:
+    """SETTLED rows: the documents' values, one blob per document group."""
+    if not len(doc):
+        return []
+    g = mix(doc.astype(np.uint64)) % np.uint64(n)
+    order = np.argsort(g, kind="stable")
+    cuts = starts_of(g[order])
+    return [(int(g[i[0]]), SETTLED, 0, packed(doc[i].astype("<i8"), *(c[i].astype("<i8") for c in cols))) for i in np.split(order, cuts[1:])]
+
+
+def settled(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple]:
+    """Rows of removed symbol ranges, overlapping ones of a document joined."""
+    if not len(doc):
+        return []
+    order = np.lexsort((starts, doc))
+    doc, starts, ends = doc[order], starts[order], ends[order]
+    reach = ends.copy()  # furthest end so far within the document
+    base = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (int(ends.max()) + 1)
+    reach = np.maximum.accumulate(reach + base) - base
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (starts[1:] > reach[:-1])])
+    first = np.nonzero(new)[0]
+    return doc_groups(doc[first], n, starts[first], reach[np.append(first[1:] - 1, len(doc) - 1)])
+
+
+def regrouped(rows: DataFrame, n: int, width: int, name: str) -> DataFrame:
+    """``doc_id, <name>``: per document its ``width`` settled columns one after the other, as little-endian longs."""
+    schema = pa.schema([("doc_id", pa.int64()), (name, pa.binary())])
+
+    def run(batches):
+        now, blobs = None, []
+
+        def out():
+            cols = [np.concatenate(c) for c in zip(*(unpacked(x, *["<i8"] * (1 + width)) for x in blobs))]
+            got = [(d, b"".join(c.tobytes() for c in parts)) for d, *parts in by_doc(*cols)]
+            for lo in range(0, len(got), 5000):
+                yield batches_of(got[lo : lo + 5000], schema)
+
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != now and blobs:
+                    yield from out()
+                    blobs = []
+                now = bucket
+                blobs.append(data)
+        if blobs:
+            yield from out()
+
+    return buckets(rows.where(F.col("kind") == SETTLED).select("bucket", "data"), n).mapInArrow(run, f"doc_id long, {name} binary")
 
 
 def merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +220,8 @@ def each_bucket(batches) -> Iterator[tuple[list[tuple], list[bytes]]]:
         yield through, blobs
 
 
-def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets: int, same_doc: bool, lead: Callable | None = None, sample_every: int = 4096) -> DataFrame:
-    """Rows of kind SETTLED (a document's surviving anchor positions), HOT (a k-gram) and SAMPLE (leading symbols).
+def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets: int, groups: int, same_doc: bool, lead: Callable | None = None, sample_every: int = 4096) -> DataFrame:
+    """Rows of kind SETTLED (surviving anchor positions by document group), HOT (a k-gram) and SAMPLE (leading symbols).
 
     ``docs`` is ``(doc_id, text)`` without null ids; ``symbols(text)`` gives the
     symbols. ``same_doc`` says whether a repetition within one document counts.
@@ -195,7 +238,7 @@ def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets
         send = ~known
         send[first] = True  # one representative of what is settled here
         count = np.where(known, size[group], 1)
-        rows = [((d ^ (d >> 20)) % n_buckets, SETTLED, d, packed(p.astype("<i8"))) for d, p in by_doc(doc[known], pos[known])]
+        rows = doc_groups(doc[known], groups, pos[known])
         rows.append((int(h[0] >> np.uint64(40)) % n_buckets, TOTAL, len(order), None))
         rows += [(int.from_bytes(x[:4], "little") % n_buckets, SAMPLE, 0, x) for x in leads]
         doc, pos, h, count = doc[send], pos[send], h[send], count[send]
@@ -236,7 +279,7 @@ def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets
                 again = np.maximum.reduceat(count, first) > 1
                 again |= size > 1 if same_doc else doc[first] != doc[first + size - 1]
                 keep = np.repeat(again, size) & (count == 1)
-                rows += [(0, SETTLED, d, packed(p.astype("<i8"))) for d, p in by_doc(doc[keep], pos[keep])]
+                rows += doc_groups(doc[keep], groups, pos[keep].astype(np.int64))
                 often = total > 32
                 rows += [(int(t), HOT, x, None) for x, t in zip(h[first][often].view(np.int64).tolist(), np.minimum(total[often], 1 << 30))]
             if rows:

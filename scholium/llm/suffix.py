@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import batches_of, buckets_for, checkpoint
+from .common import batches_of, buckets_for, checkpoint, groups_for
 
 K = 16
 _RECORDS = 100_000
+_SLICE = 1 << 15
+#: Suffix buckets per document bucket: a suffix travels with its surroundings.
+_FINER = 4
 _HASH2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -58,10 +61,13 @@ def sorted_suffixes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
     wide[:, :width] = m
     order = multikey_order(wide.view(">u8").astype(np.uint64))
-    s = m[order]
-    differ = s[1:] != s[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if n else np.zeros(0, np.int64)
-    return order, np.concatenate([[0], common])[:n]
+    del wide
+    common = np.zeros(n, np.int64)
+    for lo in range(1, n, _SLICE):
+        hi = min(n, lo + _SLICE)
+        differ = m[order[lo:hi]] != m[order[lo - 1 : hi - 1]]
+        common[lo:hi] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, common
 
 
 def classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
@@ -79,12 +85,21 @@ def repeated_offsets(ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.nd
 
     ``ctx`` holds window - K bytes before and window bytes from each anchor; lo..hi are the offsets inside the document.
     """
-    left, n = window - K, len(doc)
+    left, out = window - K, np.zeros(len(doc), np.uint64)
+    lead = np.ascontiguousarray(ctx[:, left : left + K]).view("<u8").reshape(len(doc), -1)
+    order = multikey_order(lead)
+    cut = np.concatenate([[True], (lead[order[1:]] != lead[order[:-1]]).any(axis=1)]) if len(doc) else np.zeros(0, bool)
+    first = np.nonzero(cut)[0]
+    size = np.diff(np.append(first, len(doc)))
+    some = order[np.repeat((np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)) if len(first) else cut, size)]
+    if not len(some):
+        return out
+    whole, (ctx, doc, lo, hi) = out, (a[some] for a in (ctx, doc, lo, hi))  # only leads of two documents or more
+    n, out = len(doc), np.zeros(len(doc), np.uint64)
     right_order, right_common = sorted_suffixes(ctx[:, left:])
     left_order, left_common = sorted_suffixes(ctx[:, left - 1 :: -1] if left else ctx[:, :0])
     by = np.argsort(doc, kind="stable")
     sorted_doc = doc[by]
-    out = np.zeros(n, np.uint64)
     for o in range(left + 1):
         ok = ((lo <= o) & (o <= hi))[by]
         if not ok.any():
@@ -96,10 +111,11 @@ def repeated_offsets(ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.nd
         d = sorted_doc[ok][order]
         later = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
         out[at[order[later]]] |= np.uint64(1 << o)
-    return out
+    whole[some] = out
+    return whole
 
 
-def _ranges(doc, pos, mask, window):
+def _ranges(doc, pos, mask, window, n):
     """The byte ranges of the windows that a mask names."""
     docs, starts = [], []
     for o in range(window - K + 1):
@@ -107,18 +123,18 @@ def _ranges(doc, pos, mask, window):
         docs.append(doc[hit])
         starts.append(pos[hit] - o)
     doc, s = np.concatenate(docs), np.concatenate(starts)
-    return R.settled(doc, s, s + window)
+    return R.settled(doc, s, s + window, n)
 
 
 def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
     """``doc_id, ranges`` of documents (non-null ids) with bytes that a smaller document has."""
     nb = buckets_for(docs, 4 << 20)
-    left = window - K
-    found = checkpoint(R.survivors(docs, byte_symbols, K, window, nb, same_doc=False, lead=lambda raw, p: raw[p : p + K]))
+    left, n_suffix, groups = window - K, _FINER * nb, groups_for(docs, nb)
+    found = checkpoint(R.survivors(docs, byte_symbols, K, window, nb, groups, same_doc=False, lead=lambda raw, p: raw[p : p + K]))
     hot = R.hot_grams(found)
     sample = sorted(r[0] for r in found.where(F.col("kind") == R.SAMPLE).select("data").collect())
-    splitters = np.array(sorted(set(sample[:: max(1, len(sample) // nb)])), dtype=f"S{K}")  # at most about one for each bucket
-    per_doc = found.where(F.col("kind") == R.SETTLED).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("data").alias("data"))
+    splitters = np.array(sorted(set(sample[:: max(1, len(sample) // n_suffix)])), dtype=f"S{K}")  # at most about one for each bucket
+    per_doc = R.regrouped(found, groups, 1, "data")
     where = docs.join(per_doc, "doc_id").select("doc_id", F.col("text").cast("binary"), "data")
 
     def flush(held, hot_held):
@@ -126,7 +142,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
         if held:
             ctx, doc, pos, lo, hi = (np.concatenate(c) for c in zip(*held))
             mask = repeated_offsets(ctx, doc, lo, hi, window)
-            rows += _ranges(doc, pos, mask, window)
+            rows += _ranges(doc, pos, mask, window, groups)
             every = (np.uint64(1) << (hi - lo + 1).astype(np.uint64)) - np.uint64(1) << lo.astype(np.uint64)
             todo = mask != every
             ctx, doc, pos, lo, hi = (a[todo] for a in (ctx, doc, pos, lo, hi))
@@ -138,11 +154,11 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
         if hot_held:
             h1, h2, doc, pos = (np.concatenate(c) for c in zip(*hot_held))
             done = R.settle_windows(h1, h2, doc, pos, False)
-            rows += R.settled(doc[done], pos[done], pos[done] + window)
+            rows += R.settled(doc[done], pos[done], pos[done] + window, groups)
             h1, h2, doc, pos = h1[~done], h2[~done], doc[~done], pos[~done]
             b = (h1 >> np.uint64(32)) % np.uint64(nb)
             for i in np.split(np.argsort(b, kind="stable"), np.nonzero(np.diff(np.sort(b)))[0] + 1) if len(b) else []:
-                rows.append((nb + 1 + int(b[i[0]]), R.COMPARE, 1, R.packed(h1[i], h2[i], doc[i].astype("<i8"), pos[i].astype("<i4"))))
+                rows.append((2 * n_suffix + int(b[i[0]]), R.COMPARE, 1, R.packed(h1[i], h2[i], doc[i].astype("<i8"), pos[i].astype("<i4"))))
         return batches_of([(b, k, d, x) if k != R.COMPARE else (b, k, 0, bytes([d]) + x) for b, k, d, x in rows], R.ROWS)
 
     def surroundings(batches):
@@ -151,7 +167,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
             for d, text, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 raw = np.frombuffer(text, np.uint8)
                 size = len(raw)
-                pos = np.unique(np.concatenate([R.unpacked(x, "<i8")[0] for x in data]))
+                pos = np.unique(np.frombuffer(data, "<i8"))
                 pos = pos[pos + K <= size]
                 if size < window or not len(pos):
                     continue
@@ -193,17 +209,17 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
             if suffixes:
                 ctx, doc, pos, lo, hi = (np.concatenate(c) for c in zip(*(R.unpacked(x, left + window, "<i8", "<i4", "i1", "i1") for x in suffixes)))
                 mask = repeated_offsets(ctx, doc, lo, hi, window)
-                rows += _ranges(doc, pos.astype(np.int64), mask, window)
+                rows += _ranges(doc, pos.astype(np.int64), mask, window, groups)
             if digests:
                 h1, h2, doc, pos = (np.concatenate(c) for c in zip(*(R.unpacked(x, "<u8", "<u8", "<i8", "<i4") for x in digests)))
                 done = R.settle_windows(h1, h2, doc, pos, False)
                 at = pos[done].astype(np.int64)
-                rows += R.settled(doc[done], at, at + window)
+                rows += R.settled(doc[done], at, at + window, groups)
             if rows:
                 yield batches_of(rows, R.ROWS)
 
     told = R.buckets(where.mapInArrow(surroundings, R.ROWS_SQL), 2 * nb + 2).mapInArrow(compare, R.ROWS_SQL)
-    return told.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("data").alias("ranges"))
+    return R.regrouped(told, groups, 2, "ranges")
 
 
 def removal(docs: DataFrame, finish, schema: pa.Schema, schema_sql: str, ranges_of) -> DataFrame:
@@ -211,7 +227,7 @@ def removal(docs: DataFrame, finish, schema: pa.Schema, schema_sql: str, ranges_
     known = docs.where("doc_id is not null")
     parts = [
         known.join(ranges_of(known.select("doc_id", "text")), "doc_id", "left").select(*docs.columns, "ranges"),
-        docs.where("doc_id is null").withColumn("ranges", F.lit(None).cast("array<binary>")),
+        docs.where("doc_id is null").withColumn("ranges", F.lit(None).cast("binary")),
     ]
     names, made_names = docs.columns, schema.names
     text_at, n_cols = names.index("text"), len(names)
@@ -221,8 +237,7 @@ def removal(docs: DataFrame, finish, schema: pa.Schema, schema_sql: str, ranges_
             out = []
             for text, data in zip(b.column(text_at).cast(pa.binary()).to_pylist(), b.column(n_cols).to_pylist()):
                 if data:
-                    s, e = (np.concatenate(c) for c in zip(*(R.unpacked(x, "<i8", "<i8") for x in data)))
-                    s, e = R.merged(s, e)
+                    s, e = R.merged(*np.frombuffer(data, "<i8").reshape(2, -1))
                 else:
                     s = e = np.zeros(0, np.int64)
                 out.append(finish(text, s, e))
