@@ -158,13 +158,16 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int
     """
     index = pack(quantised(base, "vec_id", "embedding"), rows_per_block)
     asked = pack(quantised(queries, "vec_id", "embedding"), queries_per_block)
-    meet = index.crossJoin(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))).where("dim = q_dim")
+    # blocks meet by place, not by a join key: all vectors may have one length
+    meet = index.crossJoin(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
         kept_id, kept = None, None
         for b in batches:
             for r in b.to_pylist():
+                if r["dim"] != r["q_dim"]:
+                    continue
                 if kept_id != r["block"]:
                     ids = np.frombuffer(r["ids"], "<i8")
                     kept_id, kept = r["block"], SlicedBlock(ids, np.frombuffer(r["vals"], "<i8").reshape(len(ids), r["dim"]), drop)
@@ -173,6 +176,6 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int
                 rows = [(int(i), v, s) for i, q in zip(q_ids, qs) for s, v in kept.top(q, int(i), k)]
                 yield batches_of(rows, schema)
 
-    found = meet.select("block", "dim", "ids", "vals", "q_ids", "q_vals").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = meet.select("block", "dim", "q_dim", "ids", "vals", "q_ids", "q_vals").mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

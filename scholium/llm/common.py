@@ -57,16 +57,23 @@ def groups_for(df: DataFrame, n_buckets: int) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges (a, b)``; the component is its smallest node.
 
-    Minimum-neighbour contraction: every node moves to the smallest node of its
-    neighbourhood, edges are rewritten to those and deduplicated, until no edge
-    is left; then the moves are composed from the last to the first. Each round
-    is a partial aggregate and two equi-joins, so a hub is never collected.
+    Every node points to the smallest node of its neighbourhood, pointers are
+    doubled until they end in a root, edges are rewritten to roots and
+    deduplicated, until no edge is left; then the moves are composed from the
+    last to the first. Each step is a partial aggregate or an equi-join, so a
+    hub is never collected, and long chains cost the logarithm of their length.
     """
     moves = []
     e = checkpoint(edges.select("a", "b").where("a <> b").distinct())
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         m = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
+        while True:
+            root = m.select(F.col("node").alias("to"), F.col("to").alias("root"))
+            further = checkpoint(m.join(root, "to").select("node", F.col("root").alias("to"), (F.col("root") != F.col("to")).alias("moved")))
+            m = further.select("node", "to")
+            if further.where("moved").isEmpty():
+                break
         moves.append(m)
         ma, mb = m.select(F.col("node").alias("a"), F.col("to").alias("ta")), m.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         e = e.join(ma, "a").join(mb, "b").where("ta <> tb")
