@@ -57,10 +57,13 @@ def graph_edges(nodes: DataFrame) -> DataFrame:
     return inside.unionByName(chain).where("source <> target").dropDuplicates(["source", "target", "relation"])
 
 
-def similar_names(names: DataFrame, least: float = 72.0, block: int = 4) -> DataFrame:
-    """Pairs of names with a high token-set ratio. Names meet in blocks of a common word, rarest first,
-    so a common word never brings all names together: words of more than ``2 ** block`` hundred names are skipped
-    unless they are a name's rarest."""
+def similar_names(names: DataFrame, least: float = 72.0) -> DataFrame:
+    """Pairs of names with a high token-set ratio.
+
+    Names meet only if they share one of their two rarest words, so a common
+    word never brings all names together; pairs that share only commoner words
+    are not compared.
+    """
     w = names.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     df = w.groupBy("word").agg(F.count("*").alias("df"))
     rare = w.join(df, "word").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))).where("_n <= 2")
