@@ -17,6 +17,7 @@ from scholium.functions import batch
 from scholium.functions import text as T
 from scholium.operators import analytics as A
 from scholium.operators import knowledge as KN
+from scholium.operators import parsing as P
 from scholium.operators import retrieval as R
 from scholium.operators import structure as S
 from scholium.streaming import activity
@@ -554,6 +555,35 @@ def study_plan_fallback(spark, sf):
     return KN.plan_errors(KN.study_plan(p)).where(F.size("errors") == 0).select("p_partkey", "days", "total_minutes")
 
 
+@query("SELECT p_partkey, greatest(p_size * 10 - 60, 30) AS core_seconds FROM part")
+def micro_lesson_fallback(spark, sf):
+    p = P.micro_lessons(_t(spark, sf, "part").select("p_partkey", (F.col("p_size") * 10).alias("duration")))
+    return p.select("p_partkey", F.col("sections")[1]["seconds"].alias("core_seconds"))
+
+
+@query("SELECT p_partkey, CAST(p_size % 5 + 1 AS BIGINT) AS n, 'Q00' || CAST(p_size % 5 + 1 AS VARCHAR) AS last_id, CAST(round(CAST(100.0 / (p_size % 5 + 1) AS DECIMAL(20,6)), 2) AS DOUBLE) AS score FROM part")
+def exam_paper_fallback(spark, sf):
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.split("p_name", " ").alias("points"), (F.col("p_size") % 5 + 1).cast("int").alias("n"), F.lit(100.0).alias("total_score"))
+    q = F.element_at("questions", -1)
+    return P.exam_papers(p).select(F.col("paper_id").alias("p_partkey"), F.size("questions").cast("long").alias("n"), q["question_id"].alias("last_id"), q["score"].alias("score"))
+
+
+@query(
+    r"WITH p AS (SELECT source, doc_id, doc_id % 3 > 0 AS img, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n, CASE WHEN length(text) = 0 THEN 0 ELSE 1.0 - CAST(length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}A-Za-z0-9=+\-*/^<>≤≥≈≠∫∑∏√∞]', '', 'g')) AS DOUBLE) / length(text) END >= 0.35 AS bad FROM documents), "
+    "q AS (SELECT *, (n = 0 AND img) OR (bad AND (img OR n >= 20)) OR n = 0 OR bad OR (img AND n < 20) AS need FROM p), r AS (SELECT *, sum(CASE WHEN need THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM q) "
+    "SELECT source AS document_id, doc_id AS ord FROM r WHERE need AND nth <= 5"
+)
+def ocr_budget(spark, sf):
+    d = _docs(spark, sf).select(F.col("source").alias("document_id"), F.col("doc_id").alias("ord"), "text", (F.col("doc_id") % 3).cast("int").alias("image_count"), F.lit(0.0).alias("image_coverage"))
+    return P.ocr_budget(d, 5).where("do_ocr").select("document_id", "ord")
+
+
+@query("SELECT item_id, regexp_replace(text, '[吗？?]+$', '') AS q FROM benchmark")
+def query_rewrite(spark, sf):
+    none = F.lit("")
+    return _t(spark, sf, "benchmark").select("item_id", P.rewritten(F.col("text"), none, none, none).alias("q"))
+
+
 # --- knowledge and graph ---
 @query()
 def kp_extract(spark, sf):
