@@ -27,6 +27,8 @@ _RECORDS = 100_000
 _SLICE = 1 << 15
 #: Suffix buckets per document bucket: a suffix travels with its surroundings.
 _FINER = 4
+#: A bucket of 4 MB of compressed text has about so many anchors.
+_ANCHORS_PER_BUCKET = 400_000
 _HASH2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -130,7 +132,9 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
     """``doc_id, ranges`` of documents (non-null ids) with bytes that a smaller document has."""
     nb = buckets_for(docs, 4 << 20)
     left, n_suffix, groups = window - K, _FINER * nb, groups_for(docs, nb)
-    found = checkpoint(R.survivors(docs, byte_symbols, K, window, nb, groups, same_doc=False, lead=lambda raw, p: raw[p : p + K]))
+    # about a million leads at most come to the driver as the sample for the splitters, however large the input is
+    every = max(4096, nb * _ANCHORS_PER_BUCKET >> 20)
+    found = checkpoint(R.survivors(docs, byte_symbols, K, window, nb, groups, same_doc=False, lead=lambda raw, p: raw[p : p + K], sample_every=every))
     hot = R.hot_grams(found)
     sample = sorted(r[0] for r in found.where(F.col("kind") == R.SAMPLE).select("data").collect())
     splitters = np.array(sorted(set(sample[:: max(1, len(sample) // n_suffix)])), dtype=f"S{K}")  # at most about one for each bucket
