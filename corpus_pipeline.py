@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import decontaminate, mixing, simhash, suffix, toxicity
-from scholium.llm.common import checkpoint_dir
+from scholium.llm import decontaminate, mixing, nearcopies, simhash, suffix, toxicity
+from scholium.llm.common import checkpoint_dir, connected_components
 from scholium.llm.queries import MIX
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,9 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component stays; a null id is kept."""
+    """The document with the smallest id of each group stays; a null id is kept.
+
+    Documents link if their SimHash fingerprints do (as in op10; all exact copies)
+    or if their five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    alike = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = alike.unionByName(nearcopies.near_copies(docs.select("doc_id", "text"), shingle=5))
+    gone = connected_components(links).where("component <> node").select(F.col("node").alias("doc_id"))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
