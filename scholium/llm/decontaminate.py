@@ -56,7 +56,7 @@ class Block:
         self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def overlaps(self, w: np.ndarray, least: int) -> list[tuple[int, int, int, int, int]]:
-        """``(item_id, matched, length, doc_start, item_start)`` of the best accepted stretch per item."""
+        """``(item_id, matched, length, doc_start, item_start)`` of the best accepted stretch per item: a diagonal's best gain, or else its most equal words."""
         pairs = set()
         for m, mask in enumerate(MASKS):
             h = seed_hashes(w, mask, m)
@@ -74,8 +74,15 @@ class Block:
             gain = total - np.minimum.accumulate(total)
             end = int(gain.argmax())
             start = int(np.nonzero(total[: end + 1] == total[: end + 1].min())[0][-1])
-            matched = int(same[start:end].sum())
-            if matched >= min(least, -(-4 * len(t) // 5)) and matched > best.get(item_id, (0, 0))[1]:
+            matched, need = int(same[start:end].sum()), min(least, -(-4 * len(t) // 5))
+            if matched < need:  # the longest stretches, of which at most a quarter differs
+                equal = np.concatenate([[0], np.cumsum(same)])
+                first = np.searchsorted(-np.minimum.accumulate(total), -total)  # the earliest start for each end
+                end = int((equal - equal[first]).argmax())
+                hits = np.nonzero(same[first[end] : end])[0] + first[end]
+                if len(hits):
+                    start, end, matched = int(hits[0]), int(hits[-1]) + 1, len(hits)
+            if matched >= need and matched > best.get(item_id, (0, 0))[1]:
                 best[item_id] = (item_id, matched, end - start, lo + start, lo + start - shift)
         return [best[i] for i in sorted(best, key=lambda i: (i is None, i))]
 
