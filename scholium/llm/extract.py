@@ -3,8 +3,10 @@
 Pages are ordered by host and path; each is compared with its nearest
 neighbours on the host. The text lines of two neighbours are aligned by their
 longest common subsequence, and a shared line is page furniture and goes. Where
-an explicit article container holds most of a page's text, that is the article,
-and its lines are not differenced: two articles may share a passage. Elements that never hold main text (navigation, headers,
+an explicit article container holds most of a page's text, the lines outside it
+go. Inside a container a shared line goes only if at least two neighbours and most of
+them have it, as two articles may share a passage; neighbours that share half of the
+article are versions of it and don't count. Elements that never hold main text (navigation, headers,
 footers, asides, forms, scripts, styles, comments, adverts) are dropped by name
 or role first.
 """
@@ -35,6 +37,9 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^
 _PART = re.compile(r"[^a-z0-9]+")
 #: Parts of a class that say the element is the content beside the furniture, or has none.
 CONTENT = frozenset("no has with without main article content body post entry page story text".split())
+#: Those of them that deny or qualify another word; only they exempt a class that names comments.
+QUALIFIED = frozenset("no has with without".split())
+COMMENTS = frozenset("comment comments disqus replies reply".split())
 #: Of MARKED, what an article element itself can be.
 CARDS = frozenset("ad ads advert comment comments promo related reply replies sponsored teaser".split())
 
@@ -49,7 +54,7 @@ def marked(name: str, attrs: str) -> bool:
         if key in ("class", "id", "role"):
             for word in value.split():
                 parts = set(_PART.split(word))
-                if parts & words and not parts & CONTENT:
+                if parts & words & COMMENTS and not parts & QUALIFIED or parts & words and not parts & CONTENT:
                     return True
     return False
 
@@ -179,15 +184,20 @@ def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
         host, lines = window[i][0], window[i][1]
         plain = [t for _, t in lines]
         inside = sum(len(t) for p, t in lines if p)
-        if 2 * inside >= sum(map(len, plain)):  # an explicit container holds the article
-            return "\n".join(t for p, t in lines if p)
-        loose = [not p for p, _ in lines]
+        held = 2 * inside >= sum(map(len, plain))  # an explicit container holds the article
+        near = [w for step in (range(i - 1, -1, -1), range(i + 1, len(window))) for w in [window[j] for j in step if window[j][0] == host and window[j][2] != window[i][2]][:neighbours]]
         gone: set[int] = set()
-        if any(loose):
-            near = [w for step in (range(i - 1, -1, -1), range(i + 1, len(window))) for w in [window[j] for j in step if window[j][0] == host and window[j][2] != window[i][2]][:neighbours]]
-            for w in near:
-                gone |= shared(plain, [t for _, t in w[1]])
-        return "\n".join(t for n, t in enumerate(plain) if n not in gone or not loose[n])
+        times, asked = [0] * len(lines), 0
+        for w in near:
+            common = shared(plain, [t for _, t in w[1]])
+            gone |= {n for n in common if not lines[n][0]}
+            if 2 * sum(len(plain[n]) for n in common if lines[n][0]) < inside:  # else a version of this article
+                asked += 1
+                for n in common:
+                    times[n] += 1
+        # inside a container a line is furniture if two neighbours and most of them have it
+        gone |= {n for n, (p, _) in enumerate(lines) if p and times[n] >= 2 and 2 * times[n] > asked}
+        return "\n".join(t for n, (p, t) in enumerate(lines) if n not in gone and (p or not held))
 
     def run(batches):
         window: list[tuple] = []  # host, lines, signature, page_id, url
