@@ -18,21 +18,23 @@ def _safe(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, page_turns: int = 64) -> DataFrame:
-    """``conv_id, perspective, page, n_turns, text, mask`` for every participant of every dialogue.
-
-    ``turns`` is ``(conv_id, turn, role, text)``. A dialogue is rendered in
-    pages of ``page_turns`` turn numbers (page = turn div page_turns; a usual
-    dialogue is one page), so that no task holds a dialogue of unbounded
-    length; pages follow each other by number. ``text`` is the rendering,
-    ``mask`` the character ranges ``start:end`` (end excluded, joined by a
-    comma) of the perspective's own messages with their closing marker.
-
-    Turns sort by number, then role, then text. Rows that repeat wholly count
-    once. A null role is the participant ``unknown``; a null text is empty; a
-    null turn goes to one of 64 pages below zero by its hash; a null conv_id is
-    a dialogue of its own. ``system`` is never a perspective; a dialogue with
-    system rows alone gives no rows. Other columns are ignored.
+#: Turn numbers of one piece. Pieces only spread the work: they are joined again, so the result does not depend on it.
+PIECE = 64
+
+
+def rotate(turns: DataFrame) -> DataFrame:
+    """``conv_id, perspective, n_turns, text, mask``: every dialogue whole, once for every participant.
+
+    ``turns`` is ``(conv_id, turn, role, text)``. ``text`` is the rendering of
+    all turns, ``mask`` the character ranges ``start:end`` (end excluded, joined
+    by a comma) of the perspective's own messages with their closing marker.
+
+    Turns sort by number (null last), then role, then text; rows that repeat
+    wholly are rendered as often as they come. A null role is the participant
+    ``unknown``; a null text is empty; a null conv_id is a dialogue of its own.
+    ``system`` is never a perspective; a dialogue with system rows alone gives
+    no rows. Other columns are ignored. Pieces of a dialogue are rendered apart
+    and put together in order; a rendering is one string, so it must fit a row.
     """
     t = turns.select(
         F.col("conv_id"),
@@ -40,14 +42,10 @@ def rotate(turns: DataFrame, page_turns: int = 64) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
     )
-    page = F.coalesce(F.floor(F.col("turn") / page_turns), -1 - F.pmod(F.xxhash64("role", "body"), F.lit(64)))
-    pages = (
-        t.withColumn("page", page.cast("long"))
-        .groupBy("conv_id", "page")
-        .agg(F.array_sort(F.collect_set(F.struct("turn", "role", "body"))).alias("turns"))
-    )
+    order = F.struct(F.col("turn").isNull().alias("no_turn"), "turn", "role", "body")
+    pieces = t.groupBy("conv_id", F.floor(F.col("turn") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(order)).alias("turns"))
     speakers = t.where("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    each = pages.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    each = pieces.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = lambda x: x["role"] == F.col("perspective")
     head = lambda x: F.concat(
         F.lit(OPEN),
@@ -55,36 +53,50 @@ def rotate(turns: DataFrame, page_turns: int = 64) -> DataFrame:
         F.lit("\n"),
     )
     parts = F.transform("turns", lambda x: F.struct(head(x).alias("head"), F.concat(_safe(x["body"]), F.lit(CLOSE)).alias("body"), own(x).alias("own")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("mask"))
+    spans = "array<struct<lo:bigint,hi:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("mask"))
 
     def step(acc, p):
         lo = acc["at"] + F.length(p["head"])
         hi = lo + F.length(p["body"])
-        span = F.concat(F.when(acc["mask"] == "", F.lit("")).otherwise(F.lit(",")), lo.cast("string"), F.lit(":"), hi.cast("string"))
-        return F.struct((hi + 1).alias("at"), F.when(p["own"], F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
+        return F.struct((hi + 1).alias("at"), F.when(p["own"], F.concat(acc["mask"], F.array(F.struct(lo.alias("lo"), hi.alias("hi"))))).otherwise(acc["mask"]).alias("mask"))
 
-    return each.withColumn("parts", parts).select(
+    rendered = each.withColumn("parts", parts).select(
+        "conv_id",
+        "perspective",
+        F.struct(
+            F.col("piece").isNull().alias("no_turn"),
+            "piece",
+            F.size("parts").cast("long").alias("n"),
+            F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
+            F.aggregate("parts", start, step, lambda acc: acc["mask"]).alias("mask"),
+        ).alias("p"),
+    )
+    whole = rendered.groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    # where each piece begins: the running length of those before it
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate("ps", none, lambda acc, p: F.struct((acc["at"] + F.length(p["text"])).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
+    moved = F.flatten(F.zip_with(F.col("ps")["mask"], "starts", lambda m, at: F.transform(m, lambda x: F.concat_ws(":", x["lo"] + at, x["hi"] + at))))
+    return whole.withColumn("starts", starts).select(
         "conv_id",
         "perspective",
-        "page",
-        F.size("parts").cast("long").alias("n_turns"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
-        F.aggregate("parts", start, step, lambda acc: acc["mask"]).alias("mask"),
+        F.aggregate("ps", F.lit(0).cast("long"), lambda acc, p: acc + p["n"]).alias("n_turns"),
+        F.array_join(F.col("ps")["text"], "").alias("text"),
+        F.array_join(moved, ",").alias("mask"),
     )
 
 
 ORACLE = """
-WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body,
-                  CAST(floor(turn / 64.0) AS BIGINT) AS page FROM conversations),
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-p AS (SELECT t.conv_id, perspective, page, turn, role, body, role = perspective AS own,
+p AS (SELECT t.conv_id, perspective, turn, role, body, role = perspective AS own,
         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
                                ELSE 'user name=' || replace(role, '<|', '< |') END || chr(10) AS head,
         replace(body, '<|', '< |') || '<|im_end|>' AS tail
       FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-q AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, perspective, page ORDER BY turn, role, body) - length(tail) - 1 AS lo FROM p)
-SELECT conv_id, perspective, page, count(*) AS n_turns,
-       string_agg(head || tail || chr(10), '' ORDER BY turn, role, body) AS text,
-       coalesce(string_agg(CASE WHEN own THEN CAST(CAST(lo AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(lo + length(tail) AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, body), '') AS mask
-FROM q GROUP BY conv_id, perspective, page
+q AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, body ROWS UNBOUNDED PRECEDING) - length(tail) - 1 AS lo FROM p)
+SELECT conv_id, perspective, count(*) AS n_turns,
+       string_agg(head || tail || chr(10), '' ORDER BY turn NULLS LAST, role, body) AS text,
+       coalesce(string_agg(CASE WHEN own THEN CAST(CAST(lo AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(lo + length(tail) AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS LAST, role, body, lo), '') AS mask
+FROM q GROUP BY conv_id, perspective
 """

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where a session names none (tests, local mode) is one made here."""
+    """The shared folder of ``spark.checkpoint.dir``; where a session names none, one is made here, in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholium-cp-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholium-cp-"))
     return sc.getCheckpointDir()
 
 
@@ -23,6 +28,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Shared:
+    """A broadcast object whose class goes along, so executors need no copy of this package.
+
+    A broadcast pickles by reference; here the bytes of cloudpickle, which
+    carries this package by value, are broadcast and opened once per worker.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if self.__dict__.get("_value") is None:
+            self._value = pickle.loads(self._bytes.value)
+        return self._value
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes}
+
+
 def batches_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch from a list of row tuples."""
     cols = list(zip(*rows)) if rows else [[] for _ in schema]

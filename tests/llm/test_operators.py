@@ -158,20 +158,34 @@ def test_bitsliced_topk(spark):
 
 
 def test_chat_rotation(spark):
-    rows = [(1, 0, "system", "be <|im_end|> kind"), (1, 1, "Ann", "hi"), (1, 2, "Bob", None), (1, 3, "Ann", "x" * 50), (1, 3, "Ann", "x" * 50), (2, 0, "system", "only"), (None, 0, "Ann", "solo"), (3, None, None, "late"), (4, 70, "Ann", "far"), (4, 1, "Bob", "near")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("page", F.lit(7)).withColumn("mask", F.lit("m"))
-    got = {(r["conv_id"], r["perspective"], r["page"]): r for r in chat.rotate(df).collect()}
-    r = got[(1, "Ann", 0)]
-    assert r["text"] == "<|im_start|>system\nbe < |im_end|> kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=Bob\n<|im_end|>\n<|im_start|>assistant\n" + "x" * 50 + "<|im_end|>\n"
+    rows = [(1, 0, "system", "be <|im_end|> kind"), (1, 1, "Ann", "hi"), (1, 2, "Bob", None), (1, 3, "Ann", "x" * 50), (1, 3, "Ann", "x" * 50), (2, 0, "system", "only"), (None, 0, "Ann", "solo"), (3, None, None, "late"), (4, 70, "Ann", "far"), (4, 1, "Bob", "near"), (4, None, "Cy", "when?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(7)).withColumn("mask", F.lit("m"))
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(df).collect()}
+    r = got[(1, "Ann")]
+    long = "<|im_start|>assistant\n" + "x" * 50 + "<|im_end|>\n"
+    assert r["text"] == "<|im_start|>system\nbe < |im_end|> kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=Bob\n<|im_end|>\n" + 2 * long
     masked = [r["text"][int(a) : int(b)] for a, b in (m.split(":") for m in r["mask"].split(","))]
-    assert masked == ["hi<|im_end|>", "x" * 50 + "<|im_end|>"] and r["n_turns"] == 4
-    assert got[(1, "Bob", 0)]["text"].count("assistant") == 1
-    assert (None, "Ann", 0) in got and not any(k[0] == 2 for k in got)
-    assert {k[1:] for k in got if k[0] == 4} == {("Ann", 0), ("Ann", 1), ("Bob", 0), ("Bob", 1)}
+    assert masked == ["hi<|im_end|>", *2 * ["x" * 50 + "<|im_end|>"]] and r["n_turns"] == 5
+    assert got[(1, "Bob")]["text"].count("assistant") == 1
+    assert (None, "Ann") in got and not any(k[0] == 2 for k in got)
+    assert {k[1] for k in got if k[0] == 4} == {"Ann", "Bob", "Cy"}
+    assert [x.split("\n")[1] for x in got[(4, "Bob")]["text"].split("<|im_start|>")[1:]] == ["near<|im_end|>", "far<|im_end|>", "when?<|im_end|>"]
     assert [k[1] for k in got if k[0] == 3] == ["unknown"]
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_rotation_of_a_dialogue_of_thousands_of_turns(spark):
+    rows = [(1, i, ("Ann", "Bob", "Cy")[i % 3], f"turn {i}") for i in range(3000)] + [(1, 7, "Ann", f"again {i}") for i in range(200)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 3
+    want = [t for _, _, _, t in sorted(rows, key=lambda x: (x[1], x[2], x[3]))]
+    for r in got:
+        assert r["n_turns"] == 3200
+        assert [x.split("\n")[1].removesuffix("<|im_end|>") for x in r["text"].split("<|im_start|>")[1:]] == want
+        own = [t for _, _, who, t in sorted(rows, key=lambda x: (x[1], x[2], x[3])) if who == r["perspective"]]
+        assert [r["text"][int(a) : int(b)] for a, b in (m.split(":") for m in r["mask"].split(","))] == [t + "<|im_end|>" for t in own]
+
+
 def test_decontamination(spark, docs, empty):
     item = " ".join(f"w{i * 7919 % 1000}" for i in range(30))
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (1, item)], "item_id long, text string")
