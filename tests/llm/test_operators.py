@@ -188,20 +188,62 @@ def test_chat_rotation_of_a_dialogue_of_thousands_of_turns(spark):
 
 def test_decontamination(spark, docs, empty):
     item = " ".join(f"w{i * 7919 % 1000}" for i in range(30))
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (1, item)], "item_id long, text string")
-    more = spark.createDataFrame([(900, "start " + item + " end"), (901, " ".join(item.split()[:6])), (None, item)], "doc_id long, text string")
-    got = decontaminate.contaminated(more, bench).select("doc_id", "item_id").distinct().collect()
-    assert sorted(map(tuple, got), key=repr) == [(900, 1), (None, 1)]
-    left = decontaminate.decontaminate(docs.unionByName(more, allowMissingColumns=True), bench)
-    assert left.count() == docs.count() + 1 and left.columns == docs.columns
-    assert decontaminate.contaminated(empty, bench).count() == 0
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (1, item), (4, "...")], "item_id long, text string")
+    rows = [(900, "start " + item + " end"), (901, " ".join(item.split()[:6])), (None, item), (900, "start " + item + " end"), (902, "It is Too, short!"), (903, "too very short"), (904, None), (905, "")]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("clash")).withColumn("h", F.lit("clash"))
+    for block_words in (decontaminate.BLOCK_WORDS, 0):
+        got = decontaminate.contaminated(more, bench, block_words=block_words).select("doc_id", "item_id").collect()
+        assert sorted(map(tuple, got), key=repr) == [(900, 1), (900, 1), (902, 3), (None, 1)], block_words
+        if block_words:
+            left = decontaminate.decontaminate(docs.unionByName(more.drop("_key", "h"), allowMissingColumns=True), bench)
+            assert left.count() == docs.count() + len(rows) - 4 and left.columns == docs.columns
+        else:
+            left = decontaminate.decontaminate(docs.unionByName(more.drop("_key", "h"), allowMissingColumns=True), bench, block_words=0)
+            assert left.count() == docs.count() + len(rows) - 4 and left.columns == docs.columns
+        assert decontaminate.contaminated(empty, bench, block_words=block_words).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_blocks_cover_the_benchmark(spark):
-    bench = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(40)], "item_id long, text string")
-    parts = list(decontaminate.blocks(bench, words_per_block=100))
-    assert len(parts) > 3 and sorted(i for p in parts for i, _ in p) == list(range(40))
+def test_decontamination_against_brute_force(spark):
+    """Both ways of the join against every diagonal of every pair that a seed can reach."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(60)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 6, 9, 14, 30])))) for i in range(25)]
+    texts = []
+    for d in range(80):
+        w = [word() for _ in range(rng.randrange(60))]
+        if d % 2:
+            part = items[rng.randrange(25)][1].split()
+            part = [word() if rng.random() < 0.12 else x for x in part]
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = part
+        texts.append((d, " ".join(w)))
+    want = {}
+    for d, text in texts:
+        w = text.split()
+        for i, item in items:
+            t = item.split()
+            need, found = min(13, -(-4 * len(t) // 5)), 0
+            for shift in range(1 - len(t), len(w)):
+                same = [0 <= j + shift < len(w) and w[j + shift] == t[j] for j in range(len(t))]
+                if len(t) < 8:
+                    found = max(found, len(t) if all(same) else 0)
+                    continue
+                if not any(all(same[j + k] for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for j in range(len(t) - len(m) + 1)):
+                    continue
+                lo, hi = max(0, -shift), min(len(t), len(w) - shift)
+                found = max([found] + [n for a in range(lo, hi) for b in range(a + 1, hi + 1) if (n := sum(same[a:b])) >= need and 4 * (b - a - n) <= b - a])
+            if found:
+                want[d, i] = found
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (decontaminate.BLOCK_WORDS, 0):
+        got = {(r[0], r[1]): r for r in decontaminate.contaminated(docs, bench, block_words=block_words).collect()}
+        assert set(got) == set(want) and len(want) > 30
+        words = {d: t.split() for d, t in texts}
+        for (d, i), r in got.items():
+            assert r["matched"] <= want[d, i]
+            a, b = words[d][r["doc_start"] :][: r["length"]], dict(items)[i].split()[r["item_start"] :][: r["length"]]
+            assert sum(x == y for x, y in zip(a, b)) == r["matched"]
 
 
 def test_toxicity_held_out(spark):

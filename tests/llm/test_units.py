@@ -142,7 +142,7 @@ def test_toxicity_tolerates_gaps():
 def test_decontamination_tolerates_substitutions():
     rng = random.Random(1)
     item = [f"w{rng.randrange(10**6)}" for _ in range(40)]
-    block = decontaminate.Block([(7, " ".join(item)), (8, "too short")])
+    block = decontaminate.Block([(7, " ".join(item)), (8, "too short"), (9, "")])
     filler = [f"f{rng.randrange(10**6)}" for _ in range(60)]
     for every in (5, 6, 9):
         noisy = [f"s{i}" if i % every == 2 else w for i, w in enumerate(item)]
