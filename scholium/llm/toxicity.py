@@ -1,12 +1,15 @@
 """Toxicity by a subsequence string-kernel SVM with Nyström landmarks.
 
 Landmarks are word beginnings that labelled toxic documents share and clean
-ones seldom have. Spans of a document that could be a landmark, written plainly
-or with gaps and inserted characters, are compared with every landmark by the
-gap-weighted subsequence kernel; a document's value per landmark is the largest
-over its spans. The Nyström map turns these values into features, beside them
-stands how many different words the spans begin; a linear SVM separates the
-classes and Platt's sigmoid makes a score of its margin.
+ones seldom have. Every word of a text is compared with them: a common
+subsequence of most of a landmark's letters, found for all words at once, is
+what makes a word worth the kernel, so letters may be missing, and any may be
+inserted; signs inside a word and blanks between single letters are taken out.
+The gap-weighted subsequence kernel gives a word's likeness to each landmark; a
+document's value per landmark is the largest over its words. The Nyström map
+turns these values into features, beside them stands how many different words
+are alike; a linear SVM separates the classes and Platt's sigmoid makes a score
+of its margin.
 """
 
 from __future__ import annotations
@@ -18,99 +21,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import Shared, batches_of, checkpoint
 
 #: Length of the compared subsequences, and what each further character of span costs.
 P, DECAY = 3, 0.6
-RIDGE = 1e-4
-
-
-def gap_kernel(s: str, marks: np.ndarray, p: int = P, decay: float = DECAY) -> np.ndarray:
-    """Per landmark (a row of character codes, zero-padded) the sum over common subsequences of p
-    characters of decay ** (length of both spans), by the usual dynamic program."""
-    codes = np.array([ord(c) for c in s])
-    m, width = marks.shape
-    if len(codes) < p or not m:
-        return np.zeros(m)
-    same = codes[:, None, None] == marks.T[None, :, :]  # span, landmark position, landmark
-    inner, sq = np.ones((len(codes) + 1, width + 1, m)), decay * decay
-    for level in range(1, p + 1):
-        hit = same * inner[:-1, :-1] * sq
-        if level == p:
-            return hit.sum(axis=(0, 1))
-        inner = np.zeros_like(inner)
-        for j in range(width):  # along the landmark, for all span positions at once
-            hit[:, j] += decay * hit[:, j - 1] if j else 0.0
-        for i in range(len(codes)):
-            inner[i + 1, 1:] = decay * inner[i, 1:] + hit[i]
-    return np.zeros(m)
-
-
-def trie(cores: list[str]) -> str:
-    """One pattern for all cores, each allowing one inserted character between two of its own."""
-    root: dict = {}
-    for c in cores:
-        node = root
-        for ch in c:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def write(node: dict) -> str:
-        if "" in node:
-            return ""
-        heads = [re.escape(ch) + (".?" + x if (x := write(sub)) else "") for ch, sub in sorted(node.items())]
-        return heads[0] if len(heads) == 1 else "(?:" + "|".join(heads) + ")"
-
-    return write(root)
+RIDGE = 0.1
+#: The normalised kernel is raised to this power (which is a kernel, too), so that faint likeness counts little.
+POWER = 6
+#: Longest compared span; longer words are cut into overlapping ones.
+WIDTH = 24
+#: Kernel values of words that a worker remembers.
+_MEMO = 300_000
+_INNER = re.compile(r"[\W_]+")
+_LETTERS = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
+
+
+def coded(words: list[str], width: int, pad: int) -> np.ndarray:
+    """Character codes of words, a row each, padded to a width."""
+    codes = np.array(words, f"U{max(1, width)}").view(np.uint32).reshape(len(words), max(1, width)).astype(np.int64)
+    return np.where(codes > 0, codes, pad)
+
+
+def gap_kernel(s: np.ndarray, t: np.ndarray, p: int = P, decay: float = DECAY) -> np.ndarray:
+    """Per pair of rows (character codes; the two paddings differ) the sum over common subsequences of p
+    characters of decay ** (length of both spans), by the usual dynamic program over all pairs at once."""
+    out = np.zeros(len(s))
+    for lo in range(0, len(s), 2_000):
+        a, b = s[lo : lo + 2_000], t[lo : lo + 2_000]
+        same = a[:, :, None] == b[:, None, :]
+        inner, sq = np.ones((len(a), a.shape[1] + 1, b.shape[1] + 1)), decay * decay
+        for level in range(1, p + 1):
+            hit = same * inner[:, :-1, :-1] * sq
+            if level == p:
+                out[lo : lo + len(a)] = hit.sum(axis=(1, 2))
+                break
+            inner = np.zeros_like(inner)
+            for j in range(1, b.shape[1]):
+                hit[:, :, j] += decay * hit[:, :, j - 1]
+            for i in range(a.shape[1]):
+                inner[:, i + 1, 1:] = decay * inner[:, i, 1:] + hit[:, i]
+    return out
 
 
 class Model:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = np.zeros((len(landmarks), max(map(len, landmarks), default=0)), np.int64)
+        self.codes = coded(landmarks, max(map(len, landmarks), default=0), -1)
+        self.own = gap_kernel(np.where(self.codes < 0, 0, self.codes), self.codes)
+        # for each character the landmark positions that hold it, as bits
+        self.places = np.zeros((max(0, int(self.codes.max(initial=0))) + 1, len(landmarks)), np.uint16)
         for i, w in enumerate(landmarks):
-            self.codes[i, : len(w)] = [ord(c) for c in w]
-        self.own = np.array([gap_kernel(w, self.codes)[i] for i, w in enumerate(landmarks)])
-        self.pattern = rf"(?<![^\W_])({trie(landmarks)})([^\s.,;:!?]*)" if landmarks else None
+            for j, c in enumerate(w):
+                self.places[ord(c), i] |= np.uint16(1 << j)
+        size = np.array([len(w) for w in landmarks], np.int64)
+        self.full, self.least, self.most = ((1 << size) - 1).astype(np.uint16), -(-7 * size // 10), 2 * size + 2
         self.weights, self.bias, self.slope, self.shift = np.zeros(len(landmarks) + 1), 0.0, -1.0, 0.0
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, np.ndarray | None] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "rx"} | {"memo": {}}
+        return self.__dict__ | {"memo": {}}
 
-    def kernel(self, span: str) -> np.ndarray:
-        """Normalised kernel of a span with every landmark; 1 for the landmark itself."""
-        v = self.memo.get(span)
-        if v is None:
-            if len(self.memo) > 20_000:
+    def kernel(self, spans: list[str], pairs: np.ndarray) -> np.ndarray:
+        """Normalised kernel, to the power, of (span, landmark) pairs; 1 for the landmark itself."""
+        who = np.unique(pairs[:, 0])
+        codes = coded([spans[i] for i in who.tolist()], WIDTH, 0)
+        own = gap_kernel(codes, np.where(codes == 0, -1, codes))
+        at = np.searchsorted(who, pairs[:, 0])
+        k = gap_kernel(codes[at], self.codes[pairs[:, 1]])
+        return (k / np.sqrt(np.maximum(own[at], 1e-300) * self.own[pairs[:, 1]])) ** POWER
+
+    def alike(self, spans: list[str]) -> np.ndarray:
+        """The pairs (span, landmark) in which the span has seven tenths of the landmark's letters in order, and at
+        most about as many others; all spans at once, a landmark's letters as bits."""
+        out = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(spans), 20_000):
+            codes = coded(spans[lo : lo + 20_000], WIDTH, 0)
+            n = (codes > 0).sum(axis=1)
+            codes[codes >= len(self.places)] = 0
+            v = np.broadcast_to(self.full, (len(codes), len(self.full))).copy()
+            for j in range(int(n.max(initial=0))):  # a zero bit marks where the common length grows
+                u = v & self.places[codes[:, j]]
+                v = ((v + u) | (v - u)) & self.full
+            common = np.bitwise_count(self.full) - np.bitwise_count(v).astype(np.int64)
+            out.append(np.argwhere((common >= self.least) & (n[:, None] <= self.most)) + [lo, 0])
+        return np.concatenate(out)
+
+    def remember(self, words: list[str]) -> None:
+        """Kernel values of words that are not known yet; None for those unlike every landmark."""
+        spans: dict[str, list[str]] = {}
+        for w in words:
+            core = w if w.isalpha() else _INNER.sub("", w)
+            self.memo[w] = None
+            if len(core) <= WIDTH:
+                if len(core) >= P:
+                    spans.setdefault(core, []).append(w)
+                continue
+            for i in range(0, len(core) - WIDTH // 2, WIDTH // 2):
+                spans.setdefault(core[i : i + WIDTH], []).append(w)
+        if not spans:
+            return
+        names = list(spans)
+        pairs = self.alike(names)
+        for i, m, k in zip(*pairs.T.tolist(), self.kernel(names, pairs).tolist()):
+            for w in spans[names[i]]:
+                if self.memo[w] is None:
+                    self.memo[w] = np.zeros(len(self.landmarks))
+                self.memo[w][m] = max(self.memo[w][m], k)
+
+    def values(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Per text and landmark the largest kernel value over the words, then how many words are alike; None where none is."""
+        if not self.landmarks:
+            return [None] * len(texts)
+        out = []
+        for t in texts:
+            low = (t or "").lower()
+            words = set(low.split()) | set(_LETTERS.findall(low))
+            if len(self.memo) > _MEMO:
                 self.memo.clear()
-            codes = np.array([[ord(c) for c in span]])
-            own = gap_kernel(span, codes)[0]
-            v = self.memo[span] = gap_kernel(span, self.codes) / np.sqrt(own * self.own) if own else np.zeros(len(self.landmarks))
-        return v
-
-    def values(self, text: str | None) -> np.ndarray | None:
-        """Per landmark the largest kernel value over the text's spans, then how many words they begin; None without spans."""
-        if self.pattern is None:
-            return None
-        if not hasattr(self, "rx"):
-            self.rx = re.compile(self.pattern)
-        words = set(self.rx.findall((text or "").lower()))
-        if not words:
-            return None
-        k = [self.kernel(w[0]) for w in words]
-        return np.append(np.max(k, axis=0), np.log1p(sum(float(v.max()) ** 4 for v in k)))
-
-    def score(self, text: str | None) -> float:
-        v = self.values(text)
-        f = self.bias + (float(v @ self.weights) if v is not None else 0.0)
-        return float(1 / (1 + np.exp(np.clip(self.slope * f + self.shift, -60, 60))))
+            self.remember([w for w in words if w not in self.memo])
+            k = [v for w in words if (v := self.memo[w]) is not None]
+            out.append(np.append(np.max(k, axis=0), np.log1p(sum(float(v.max()) for v in k))) if k else None)
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        f = np.array([self.bias + (float(v @ self.weights) if v is not None else 0.0) for v in self.values(texts)])
+        return (1 / (1 + np.exp(np.clip(self.slope * f + self.shift, -60, 60)))).tolist()
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Nyström features of the kernel values, squared-hinge SVM with balanced classes, Platt's sigmoid."""
         m = len(self.landmarks)
         if m and 0 < y.sum() < len(y):
-            k = np.array([self.kernel(w) for w in self.landmarks])
+            k = self.kernel(self.landmarks, np.argwhere(np.ones((m, m), bool))).reshape(m, m)
             count = x[:, m:]
             x = x[:, :m]
             val, vec = np.linalg.eigh((k + k.T) / 2)
@@ -118,12 +159,12 @@ class Model:
             z = np.hstack([x @ root, count, np.ones((len(x), 1))])
             sign = np.where(y > 0, 1.0, -1.0)
             share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-            w = np.zeros(m + 2)
+            w, ridge = np.zeros(m + 2), np.append(np.full(m, RIDGE), [RIDGE / 100, 0.0])
             for _ in range(60):  # Newton steps on the active rows
                 miss = np.maximum(0, 1 - sign * (z @ w))
                 active = miss > 0
-                g = RIDGE * w - 2 * (z * (share * sign * miss)[:, None]).sum(0)
-                h = RIDGE * np.eye(m + 2) + 2 * (z[active] * share[active][:, None]).T @ z[active]
+                g = ridge * w - 2 * (z * (share * sign * miss)[:, None]).sum(0)
+                h = np.diag(ridge + 1e-9) + 2 * (z[active] * share[active][:, None]).T @ z[active]
                 step = np.linalg.solve(h, g)
                 w = w - step
                 if np.abs(step).max() < 1e-8:
@@ -150,13 +191,14 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: int = 64, min_docs: int = 3, min_ratio: float = 8.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: int = 64, min_docs: int = 3, evidence: float = 14.0) -> Model:
     """Fits on at most ``max_rows`` labelled rows of each class (the first by a hash of the id), none of them held out.
 
     Landmarks are at most ``landmarks`` beginnings (3 to 12 characters) of words
     of the sample. Each occurs in ``min_docs`` toxic documents with different
-    openings (copies count once) and at least ``min_ratio`` times as often there
-    as in clean ones; a beginning that only prolongs a chosen one is left out.
+    openings (copies count once), and its log-likelihood ratio against the rate
+    in clean ones exceeds ``evidence`` (14: about one chance in a million, as so
+    many beginnings compete); one that only prolongs a chosen one is left out.
     """
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1)).distinct()
     ids = None
@@ -165,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: i
         ids = part if ids is None else ids.unionByName(part)
     ids = checkpoint(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * max_rows ids at most
-    sample = checkpoint(texts.where("text is not null").repartition(12, "doc_id"))
+    sample = checkpoint(texts.where("text is not null"))
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         model = Model([])
@@ -174,41 +216,43 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: i
     words = sample.select("toxic", F.xxhash64(F.substring("text", 1, 24)).alias("opening"), F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) >= 3")
     starts = words.select("toxic", "opening", "doc", F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(12), F.length("w"))), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"))
     stat = starts.groupBy("w").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("opening"))).alias("bad"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("doc"))).alias("good"))
-    gain = F.col("bad") * F.log(F.col("ratio"))
-    stat = stat.where(F.col("bad") >= min_docs).withColumn("ratio", (F.col("bad") / n[1]) / ((F.col("good") + 0.3) / n[0])).where(F.col("ratio") >= min_ratio)
+    chance = (F.col("good") + 1) * F.lit(n[1] / n[0])
+    gain = F.col("bad") * F.log(F.col("bad") / chance) - F.col("bad") + chance
+    stat = stat.where(F.col("bad") >= min_docs).where((F.col("bad") > chance) & (gain >= evidence))
     marks: list[str] = []
     for r in stat.orderBy(gain.desc(), F.length("w").desc(), "w").limit(20 * landmarks).collect():
         if len(marks) < landmarks and not any(r["w"].startswith(m) or m.startswith(r["w"]) for m in marks):
             marks.append(r["w"])
     model = Model(marks)
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    shared = Shared(docs.sparkSession, model)
 
     def features(batches):
         for b in batches:
-            x = [model.values(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([None if v is None else v.tolist() for v in x], schema.field(1).type)], schema=schema)
+            rows = list(zip(b.column(0).to_pylist(), (None if v is None else v.tolist() for v in shared.value.values(b.column(1).to_pylist()))))
+            yield batches_of(rows, schema)
 
-    rows = sample.select("toxic", "text").mapInArrow(features, "y int, x array<double>").orderBy("y", F.xxhash64("x")).collect()  # 2 * max_rows vectors at most
-    x = np.array([r[1] if r[1] is not None else [0.0] * (len(marks) + 1) for r in rows], float).reshape(len(rows), len(marks) + 1)
-    model.fit(x, np.array([r[0] for r in rows], float))
+    rows = sample.select("toxic", "text").mapInArrow(features, "y int, x array<double>").collect()  # 2 * max_rows vectors at most
+    rows = sorted((r[0], r[1] if r[1] is not None else [0.0] * (len(marks) + 1)) for r in rows)
+    model.fit(np.array([r[1] for r in rows], float).reshape(len(rows), len(marks) + 1), np.array([r[0] for r in rows], float))
     return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **params) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold``) of every row's whole text.
 
-    Only ``text`` enters a score. Null and empty texts have the score of a text
-    without suspicious spans; without labels of both classes every score is the
-    same. Rows, ties and repeated rows stay as they are; docs' own columns named
-    score or predicted are replaced.
+    ``params`` go to ``train``. Only ``text`` enters a score. Null and empty
+    texts have the score of a text without suspicious words; without labels of
+    both classes every score is the same. Rows, ties and repeated rows stay as
+    they are; docs' own columns named score or predicted are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    shared = Shared(docs.sparkSession, train(docs, labels, **params))
     docs = docs.drop("score", "predicted")
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            s = [model.value.score(t) for t in b.column(at).to_pylist()]
+            s = shared.value.scores(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*b.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

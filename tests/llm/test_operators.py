@@ -260,14 +260,15 @@ def test_toxicity_held_out(spark):
                 w.insert(rng.randrange(30), x)
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
-    rows += [(1000, None), (1001, ""), (None, "grubzig vlokk zumpf"), (1002, "you v-l-okk gru.bzig and z.umpf there"), (1003, "plain " * 20000)]
+    rows += [(1000, None), (1001, ""), (None, "grubzig vlokk zumpf"), (1002, "you v-l-okk gru.bzig and z.umpf there"), (1003, "plain " * 20000), (1004, "an zmpf word"), (1005, "a g--r--u--b--z--i--g here"), (5, "repeated id"), (5, "repeated id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("old")).withColumn("toxic", F.lit(9))
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in toxicity.scored(docs, lab).collect()}
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert len(held) > 100 and np.mean([got[i]["predicted"] == labels[i][1] for i in held]) > 0.97
     assert got[1000]["predicted"] == got[1001]["predicted"] == got[1003]["predicted"] == 0 and got[None]["predicted"] == 1
-    assert got[1002]["score"] > got[1001]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    assert min(got[i]["score"] for i in (1002, 1004, 1005)) > got[1001]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    assert toxicity.scored(docs, lab, min_docs=10**6).select("score").distinct().count() == 1  # params reach the training: no word is common enough
     flat = toxicity.scored(docs, lab.limit(0)).select("score").distinct().collect()
     assert len(flat) == 1
     assert toxicity.scored(docs.limit(0), lab).count() == 0

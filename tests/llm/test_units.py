@@ -124,19 +124,43 @@ def test_gap_kernel_definition():
         pick = lambda x: [("".join(x[i] for i in c), c[-1] - c[0] + 1) for c in combinations(range(len(x)), p)]
         return sum(d ** (a + b) for u, a in pick(s) for v, b in pick(t) if u == v)
 
-    marks = ["idiot", "stupid", "ab"]
-    codes = np.zeros((3, 6), np.int64)
-    for i, w in enumerate(marks):
-        codes[i, : len(w)] = [ord(c) for c in w]
-    for s in ("idiot", "i.d.i.o.t", "stuupid", "xyz", "ab"):
-        assert toxicity.gap_kernel(s, codes) == pytest.approx([slow(s, w) for w in marks])
+    pairs = [(s, t) for s in ("idiot", "i.d.i.o.t", "stuupid", "xyz", "ab", "stupid") for t in ("idiot", "stupid", "ab")]
+    got = toxicity.gap_kernel(toxicity.coded([s for s, _ in pairs], 12, 0), toxicity.coded([t for _, t in pairs], 8, -1))
+    assert got == pytest.approx([slow(s, t) for s, t in pairs])
 
 
 def test_toxicity_tolerates_gaps():
     m = toxicity.Model(["idiot", "stupid"])
-    assert m.values("you i.d.i.o.t") is not None and m.values("a st-upid one") is not None
-    assert m.values("nothing here") is None and m.values(None) is None
-    assert m.values("idiot")[0] == pytest.approx(1.0) and 0.1 < m.values("i.d.i.o.t")[0] < 1
+    value = lambda t: (0.0 if (v := m.values([t])[0]) is None else float(v[:2].max()))
+    for t in ("you i.d.i.o.t", "a st-upid one", "i--d--i--o--t", "such an i d i o t"):
+        assert value(t) == pytest.approx(1.0), t
+    for t in ("idot", "stpid", "xidiot", "idxiot", "stuupid", "st_u_pi_d!", "idioot", "idiots", "x" * 3 + "stupid" + "x" * 4):
+        assert value(t) > 1e-4, t
+    assert value("x" * 20 + "stupid" + "x" * 90) == 0  # a span is at most twice a landmark
+    assert value("nothing here at all") == value(None) == value("") == 0
+    assert value("idiot") == pytest.approx(1.0)
+
+
+def test_toxicity_filter_is_the_common_length():
+    rng = random.Random(4)
+    m = toxicity.Model(["idiot", "stupid", "worthless"])
+    spans = ["".join(rng.choice("idotsup") for _ in range(rng.randrange(3, 15))) for _ in range(400)]
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _lcs_row(row, x, b)
+        return row[-1]
+
+    def _lcs_row(row, x, b):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        return new
+
+    want = [any(10 * length(s, w) >= 7 * len(w) and len(s) <= 2 * len(w) + 2 for w in m.landmarks) for s in spans]
+    got = set(m.alike(spans)[:, 0].tolist())
+    assert [i in got for i in range(len(spans))] == want and 20 < sum(want) < 390
 
 
 def test_decontamination_tolerates_substitutions():
