@@ -1,14 +1,21 @@
 """Main-text extraction by nearest-URL page differencing.
 
-Pages are ordered by host and path; each is compared with its nearest
-neighbours on the host. The text lines of two neighbours are aligned by their
-longest common subsequence, and a shared line is page furniture and goes. Where
-an explicit article container holds most of a page's text, the lines outside it
-go. Inside a container a shared line goes only if at least two neighbours and most of
-them have it, as two articles may share a passage; neighbours that share half of the
-article are versions of it and don't count. Elements that never hold main text (navigation, headers,
-footers, asides, forms, scripts, styles, comments, adverts) are dropped by name
-or role first.
+The different contents of a host (pages with the same lines are one) are
+ordered by path over the whole table; each is compared with the nearest ones
+before and after it. The text lines of two neighbours are aligned by their
+longest common subsequence, and a shared line is page furniture and goes.
+Inside an explicit article container it takes two neighbours and most of them,
+as two articles may share a passage; neighbours that share nearly all are
+versions of the page and don't count. For lines that no neighbour shares the
+container decides: where it holds half of the text, lines outside it go.
+Elements that never hold main text (navigation, headers, footers, asides,
+forms, scripts, styles, comments, adverts) are dropped by name, class or role
+first.
+
+Differencing works on line hashes, so the order, the exchange between tasks and
+the decisions move a few bytes a line. Contents are numbered through the whole
+order and dealt in blocks that overlap at their edges: which tasks or
+partitions pages come from does not change a result.
 """
 
 from __future__ import annotations
@@ -16,10 +23,14 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared, checkpoint
+
 #: Elements that end a line.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is never main text.
@@ -33,25 +44,30 @@ MARKED = frozenset(
     "ad ads alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute after the other, so that nothing inside a value counts as a name.
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[^a-z0-9]+")
 #: Parts of a class that say the element is the content beside the furniture, or has none.
 CONTENT = frozenset("no has with without main article content body post entry page story text".split())
 #: Those of them that deny or qualify another word; only they exempt a class that names comments.
 QUALIFIED = frozenset("no has with without".split())
 COMMENTS = frozenset("comment comments disqus replies reply".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Of MARKED, what an article element itself can be.
 CARDS = frozenset("ad ads advert comment comments promo related reply replies sponsored teaser".split())
 
 
-def marked(name: str, attrs: str) -> bool:
-    """Whether an element's attributes call it furniture; one class word decides, unless it also names content."""
+def marked(name: str, attrs: str, inside: bool = False) -> bool:
+    """Whether an element's attributes call it furniture; one class word decides, unless it also names content.
+
+    Headings are never marked. Inside an article only class and role count, as an id there is an anchor of the text.
+    """
     words = CARDS if name == "article" else MARKED
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id", "role"):
+        if name not in HEADINGS and (key in ("class", "role") or key == "id" and not inside):
             for word in value.split():
                 parts = set(_PART.split(word))
                 if parts & words & COMMENTS and not parts & QUALIFIED or parts & words and not parts & CONTENT:
@@ -100,7 +116,7 @@ def lines_of(page: str | None) -> list[tuple[bool, str]]:
             if name in VOID or m[0].endswith("/>"):
                 continue
             in_article = any(s[0] in ("article", "main") for s in stack)
-            drop = dropped or name in DROPPED or (name == "header" and not in_article) or name not in ("html", "body", "main") and marked(name, m[3])
+            drop = dropped or name in DROPPED or (name == "header" and not in_article) or name not in ("html", "body", "main") and marked(name, m[3], in_article)
             stack.append((name, drop, protected or name in ("article", "main")))
         else:
             at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -113,7 +129,7 @@ def lines_of(page: str | None) -> list[tuple[bool, str]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: list, b: list) -> set[int]:
     """Positions of a's lines in a longest common subsequence with b.
 
     Only lines that both have can take part, and equal ends are matched first,
@@ -123,9 +139,11 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     common = set(a) & set(b)
     x, y = [i for i, s in enumerate(a) if s in common], [j for j, s in enumerate(b) if s in common]
     got: set[int] = set()
-    while x and y and a[x[0]] == b[y[0]]:
-        got.add(x.pop(0))
-        y.pop(0)
+    n = 0
+    while n < min(len(x), len(y)) and a[x[n]] == b[y[n]]:
+        got.add(x[n])
+        n += 1
+    x, y = x[n:], y[n:]
     while x and y and a[x[-1]] == b[y[-1]]:
         got.add(x.pop())
         y.pop()
@@ -161,66 +179,131 @@ def host_path(url):
     return F.lower(F.regexp_replace(F.substring_index(rest, "/", 1), r":\d+$", "")), F.regexp_replace(rest, r"^[^/]*", "")
 
 
+#: Of a line: its hash, its length, whether an article container holds it.
+_LINE = np.dtype([("hash", "<u8"), ("size", "<u4"), ("inside", "u1")])
+#: Contents in a block of the order.
+BLOCK = 1000
+#: Neighbours that share so much of a page are versions of it.
+VERSION = 0.9
+
+
+def outline(lines: list[tuple[bool, str]]) -> np.ndarray:
+    """What differencing needs of a page."""
+    out = np.zeros(len(lines), _LINE)
+    for i, (inside, text) in enumerate(lines):
+        out[i] = (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), len(text), inside)
+    return out
+
+
+def kept(own: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """Which lines stay after differencing with the neighbours."""
+    plain, size, inside = own["hash"].tolist(), own["size"].astype(np.int64), own["inside"].astype(bool)
+    within, total = int(size[inside].sum()), int(size.sum())
+    gone = ~inside if 2 * within >= total else np.zeros(len(own), bool)
+    times, asked = np.zeros(len(own), np.int64), 0
+    for w in near:
+        common = np.zeros(len(own), bool)
+        common[sorted(shared(plain, w["hash"].tolist()))] = True
+        if size[common].sum() < VERSION * total:
+            gone |= common & ~inside
+        if 2 * size[common & inside].sum() < within:  # else a version of this article
+            asked += 1
+            times += common
+    return ~(gone | inside & (times >= 2) & (2 * times > asked))
+
+
 def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages (page_id, url, html)``.
 
     Lines are the blocks of the page, white space inside one made a single
     space, joined by a line feed. Null or empty html gives an empty text; a null
-    url counts as an empty one; ties in the path order go by page_id. Pages
-    with the same lines throughout (copies) don't delete each other's. Repeated
-    rows give repeated rows, further columns are ignored. Pages are range-dealt
-    by host and path, so a host of any size spreads over tasks; a page's
-    neighbours are the nearest ones in its task, at most ``neighbours`` on
-    either side.
+    url counts as an empty one. Pages of a host with the same lines throughout
+    (copies) are one content, which stands at its smallest path and has one
+    result; contents at one path go by a hash of their lines. A content is
+    compared with ``neighbours`` others on either side. Repeated rows give
+    repeated rows, further columns are ignored, an empty table gives none.
+
+    Contents are found by an aggregate with partial sums and numbered in range
+    partitions, so neither a host nor a path of any size comes into one task.
+    Decisions on contents with more than 1 / 4096 of all pages (4096 at most)
+    are broadcast; the others meet their pages in a join.
     """
+    spark = pages.sparkSession
     host, path = host_path(F.col("url"))
-    # each row carries an own number so that equal pages keep a fixed order
     keyed = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    dealt = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    at = {c: i for i, c in enumerate(dealt.columns)}
     id_type = next(f.dataType.simpleString() for f in pages.schema if f.name == "page_id")
 
-    def settle(window: list[tuple], i: int) -> str:
-        host, lines = window[i][0], window[i][1]
-        plain = [t for _, t in lines]
-        inside = sum(len(t) for p, t in lines if p)
-        held = 2 * inside >= sum(map(len, plain))  # an explicit container holds the article
-        near = [w for step in (range(i - 1, -1, -1), range(i + 1, len(window))) for w in [window[j] for j in step if window[j][0] == host and window[j][2] != window[i][2]][:neighbours]]
-        gone: set[int] = set()
-        times, asked = [0] * len(lines), 0
-        for w in near:
-            common = shared(plain, [t for _, t in w[1]])
-            gone |= {n for n in common if not lines[n][0]}
-            if 2 * sum(len(plain[n]) for n in common if lines[n][0]) < inside:  # else a version of this article
-                asked += 1
-                for n in common:
-                    times[n] += 1
-        # inside a container a line is furniture if two neighbours and most of them have it
-        gone |= {n for n, (p, _) in enumerate(lines) if p and times[n] >= 2 and 2 * times[n] > asked}
-        return "\n".join(t for n, (p, t) in enumerate(lines) if n not in gone and (p or not held))
-
-    def run(batches):
-        window: list[tuple] = []  # host, lines, signature, page_id, url
-        ready = 0  # window[:ready] are already given out and serve as neighbours
-
-        def out(rows):
-            ids, urls, texts = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        id_arrow = pa.int64()
+    def read(batch):
+        for h, page in zip(batch.column(batch.schema.get_field_index("host")).to_pylist(), batch.column(batch.schema.get_field_index("html")).to_pylist()):
+            lines = lines_of(page)
+            own = outline(lines).tobytes()
+            yield h, lines, own, xxhash.xxh3_64_intdigest(own) - (1 << 63)
+
+    def outlines(batches):
+        for b in batches:
+            got = [(h, sig, own) for h, _, own, sig in read(b)]
+            hosts, sigs, bodies = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), b.column(b.schema.get_field_index("path")).cast(pa.string()), pa.array(sigs, pa.int64()), pa.array(bodies, pa.binary())], names=["host", "path", "sig", "body"])
+
+    each = keyed.select("host", "path", "html").mapInArrow(outlines, "host string, path string, sig long, body binary")
+    contents = each.groupBy("host", "sig").agg(F.min("path").alias("path"), F.min("body").alias("body"), F.count("*").alias("n"))
+    ordered = contents.repartitionByRange("host", "path", "sig").sortWithinPartitions("host", "path", "sig").withColumn("id", F.monotonically_increasing_id())
+    ordered = checkpoint(ordered)
+    part = F.shiftright("id", 33)
+    sizes = sorted((r[0], r[1], r[2]) for r in ordered.groupBy(part.alias("p")).agg(F.count("*"), F.sum("n")).collect())  # one row a partition
+    starts, total = np.cumsum([0, *(n for _, n, _ in sizes)]).tolist(), sum(n for _, _, n in sizes)
+    offsets = spark.createDataFrame([(p, at) for (p, _, _), at in zip(sizes, starts)], "p long, first long")
+    ranked = ordered.withColumn("p", part).join(F.broadcast(offsets), "p").withColumn("rank", F.col("first") + F.col("id").bitwiseAND((1 << 33) - 1))
+    block, place = F.floor(F.col("rank") / BLOCK), F.col("rank") % BLOCK
+    to = F.array(block, F.when((place < neighbours) & (block > 0), block - 1), F.when(place >= BLOCK - neighbours, block + 1))
+    dealt = ranked.select("host", "sig", "n", "body", "rank", F.explode(F.array_compact(to)).alias("block")).repartition("block").sortWithinPartitions("block", "rank")
+    decided_schema = pa.schema([("host", pa.string()), ("sig", pa.int64()), ("n", pa.int64()), ("stays", pa.binary())])
+
+    def decide(batches):
+        now, rows = None, []  # host, sig, n, outline, rank
+
+        def out():
+            got = []
+            for i, (h, sig, n, own, rank) in enumerate(rows):
+                if rank // BLOCK == now:
+                    near = [r[3] for r in [*reversed(rows[max(0, i - neighbours) : i]), *rows[i + 1 : i + 1 + neighbours]] if r[0] == h]
+                    got.append((h, sig, n, np.packbits(kept(own, near)).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got) if got else [[]] * 4, decided_schema)], schema=decided_schema)
+
+        for b in batches:
+            for h, sig, n, body, rank, at in zip(*(c.to_pylist() for c in b.columns)):
+                if at != now:
+                    yield out()
+                    now, rows = at, []
+                rows.append((h, sig, n, np.frombuffer(body, _LINE), rank))
+        yield out()
+
+    decided = checkpoint(dealt.mapInArrow(decide, "host string, sig long, n long, stays binary"))
+    often = F.col("n") > max(1000, total // 4096)
+    hot = Shared(spark, {(r[0], r[1]): r[2] for r in decided.where(often).select("host", "sig", "stays").collect()})  # 4096 at most
+
+    def finished(lines: list[str], stays: bytes) -> str:
+        return "\n".join(t for t, k in zip(lines, np.unpackbits(np.frombuffer(stays, np.uint8))) if k)
+
+    told_schema = pa.schema([("host", pa.string()), ("sig", pa.int64()), ("lines", pa.list_(pa.string())), ("text", pa.string())])
+
+    def tell(batches):
         for b in batches:
-            id_arrow = b.schema.field(at["page_id"]).type
             rows = []
-            for pid, url, page, h in zip(*(b.column(at[c]).to_pylist() for c in ("page_id", "url", "html", "host"))):
-                lines = lines_of(page)
-                window.append((h, lines, hash(tuple(lines)), pid, url))
-                while len(window) - ready > 4 * neighbours:
-                    rows.append((window[ready][3], window[ready][4], settle(window, ready)))
-                    ready += 1
-                while ready > 4 * neighbours:
-                    window.pop(0)
-                    ready -= 1
-            yield out(rows)
-        yield out([(window[i][3], window[i][4], settle(window, i)) for i in range(ready, len(window))])
-
-    return dealt.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
+            for h, lines, _, sig in read(b):
+                texts = [t for _, t in lines]
+                stays = hot.value.get((h, sig))
+                # what is finished meets no decision: an own key keeps it where it falls
+                rows.append((h, sig, texts, None) if stays is None else (None, len(rows) * 0x9E3779B97F4A7C15 % (1 << 63), None, finished(texts, stays)))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, told_schema)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", *told_schema.names])
+
+    told = keyed.select("page_id", "url", "html", "host").mapInArrow(tell, f"page_id {id_type}, url string, host string, sig long, lines array<string>, text string")
+    both = told.join(decided.where(~often).select("host", "sig", "stays"), ["host", "sig"], "left").select("page_id", "url", "lines", "stays", "text")
+
+    def finish(batches):
+        for b in batches:
+            texts = [t if t is not None else finished(x, k) for x, k, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return both.mapInArrow(finish, f"page_id {id_type}, url string, text string, n_chars long")

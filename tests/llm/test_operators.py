@@ -313,10 +313,49 @@ def test_main_text(spark):
     page = lambda body, host, i: (i, f"https://{host}/a/{i:03}?q=1", f"<body><div>Shop the sale</div><div>Latest news</div><div>{body}</div><div>All rights kept by {host}</div></body>")
     rows = [page(f"<p>Story number {i}</p><p>told at length {i}</p>", "h.org", i) for i in range(12)]
     rows += [(100, None, "<article><p>Kept &lt;whole&gt;</p></article><p>by</p>"), (101, "u", None), (102, "u", ""), (103, "http://solo.org/x", "<p>Alone</p>"), rows[0], (104, "http://long.org", "<p>" + "word " * 50000 + "</p>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("path", F.lit("clash"))
-    got = {r["page_id"]: r["text"] for r in extract.main_text(df.repartition(1)).collect()}
-    assert extract.main_text(df).count() == len(rows)
-    for i in range(1, 12):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("path", F.lit("clash")).withColumn("sig", F.lit(1))
+    out = extract.main_text(df).collect()
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in out)
+    for i in range(12):
         assert got[i] == f"Story number {i}\ntold at length {i}"
     assert got[100] == "Kept <whole>" and got[101] == got[102] == "" and got[103] == "Alone" and len(got[104]) == 249_999
     assert extract.main_text(df.limit(0)).count() == 0
+
+
+def test_main_text_against_brute_force(spark, monkeypatch):
+    """One path with many contents, copies, hosts of one page; the same result from any number of partitions and blocks."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7)))
+    furniture = [line() for _ in range(6)]
+    rows = []
+    for i in range(300):
+        host = rng.choice(["big.org", "big.org", "big.org", f"h{i % 9}.org", f"solo{i}.org"])
+        body = "".join(f"<p>{line()}</p>" for _ in range(rng.randrange(1, 5)))
+        body = f"<article>{body}<p>{furniture[5]}</p></article>" if i % 3 == 0 else body
+        html = f"<div>{furniture[0]}</div><div>{furniture[i % 2 + 1]}</div>{body}<div>{furniture[3]}</div>"
+        rows.append((i, f"http://{host}/p/{rng.randrange(40) if i % 4 else 7}", html))
+    rows += [(1000 + i, rows[3][1] if i % 2 else f"http://big.org/p/{i}", rows[3][2]) for i in range(40)]
+    rows.append((2000, None, rows[3][2]))
+    # brute force: the contents of each host in the order of path and hash, each with its two nearest on either side
+    of_host: dict[str, dict[bytes, tuple]] = {}
+    for _, url, html in rows:
+        host, path = (url or "").removeprefix("http://").partition("/")[::2]
+        own = extract.outline(extract.lines_of(html)).tobytes()
+        key = ("/" + path if url else "", xxhash.xxh3_64_intdigest(own) - (1 << 63), own)
+        of_host.setdefault(host, {})[own] = min(key, of_host.get(host, {}).get(own, key))
+    stays = {}
+    for host, contents in of_host.items():
+        order = [np.frombuffer(k[2], extract._LINE) for k in sorted(contents.values())]
+        for i, own in enumerate(order):
+            stays[host, own.tobytes()] = extract.kept(own, [*reversed(order[max(0, i - 2) : i]), *order[i + 1 : i + 3]])
+    want = []
+    for pid, url, html in rows:
+        lines = extract.lines_of(html)
+        keep = stays[(url or "").removeprefix("http://").partition("/")[0], extract.outline(lines).tobytes()]
+        want.append((pid, "\n".join(t for (_, t), k in zip(lines, keep) if k)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts, block in ((1, 1000), (12, 7), (211, 3)):
+        monkeypatch.setattr(extract, "BLOCK", block)
+        assert sorted((r["page_id"], r["text"]) for r in extract.main_text(df.repartition(parts)).collect()) == sorted(want), parts
