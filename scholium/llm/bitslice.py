@@ -6,60 +6,92 @@ with carry-save adders on whole bitmaps; the k best rows are found from the
 most significant score slice downward. The lowest ``drop`` bits of a component
 are left out of the slices, so a score has a known error; every row that the
 error leaves undecided is scored exactly from its integers.
+
+The index is packed once and written; queries come to it in bounded parts, each
+a broadcast of known size that every index block answers in one pass.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import Shared, batches_of, checkpoint
 
 SCALE = 1024
-_PACK = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())])
+#: Vectors with larger integers are scored one by one in exact integers of any size, as sums of products could leave 64 bits.
+LARGE = 1 << 20
+_PACK = pa.schema([("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("vals", pa.binary())])
 
 
-def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)`` with v = floor(1024 * x) per component; rows that take no part are left out."""
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, x)`` of the rows that take part: an id, and every component a finite double."""
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
-    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 2.0**40))
-    return df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * F.lit(float(SCALE)))).alias("v"))
-
-
-def pack(df: DataFrame, rows_per_block: int) -> DataFrame:
-    """Blocks of at most so many ``(id, v)`` rows of one dimension, as little-endian longs."""
-
-    def run(batches):
-        held: dict[int, tuple[list, list]] = {}
-        seq = 0
-        task = TaskContext.get().partitionId() << 32
-
-        def out(dim):
-            nonlocal seq
-            ids, vals = held.pop(dim)
-            seq += 1
-            return (task | seq, dim, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(vals).astype("<i8").tobytes())
-
-        for b in batches:
-            ids, v = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            ends = v.offsets.to_numpy()
-            flat, dims = v.values.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(ends)
-            for dim in np.unique(dims).tolist():
-                at = np.nonzero(dims == dim)[0]
-                for lo in range(0, len(at), rows_per_block):
-                    part = at[lo : lo + rows_per_block]
-                    h = held.setdefault(dim, ([], []))
-                    h[0].append(ids[part])
-                    h[1].append(flat[(ends[part][:, None] + np.arange(dim)).ravel()])
+    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
+    return df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+
+
+def packed_blocks(batches, rows_per_block: int):
+    """``(dim, kind, ids, vals)``: blocks of at most so many rows of one dimension.
+
+    vals are floor(1024 * x) in the smallest integer kind that holds them, or
+    the doubles themselves (kind f8) of vectors with a large component.
+    """
+    held: dict[tuple[int, bool], tuple[list, list]] = {}
+
+    def out(key):
+        ids, x = (np.concatenate(c) for c in held.pop(key))
+        if key[1]:
+            return (key[0], "f8", ids.astype("<i8").tobytes(), x.astype("<f8").tobytes())
+        top = int(np.abs(x).max(initial=0))
+        kind = "i2" if top < 1 << 15 else "i4"
+        return (key[0], kind, ids.astype("<i8").tobytes(), x.astype(f"<{kind}").tobytes())
+
+    for b in batches:
+        ids, v = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        ends = v.offsets.to_numpy()
+        flat, dims = v.values.to_numpy(zero_copy_only=False), np.diff(ends)
+        for dim in np.unique(dims).tolist():
+            at = np.nonzero(dims == dim)[0]
+            for lo in range(0, len(at), rows_per_block):
+                part = at[lo : lo + rows_per_block]
+                x = flat[(ends[part][:, None] + np.arange(dim)).ravel()].reshape(len(part), dim)
+                with np.errstate(over="ignore"):
+                    q = np.floor(x * SCALE)
+                large = (np.abs(q) >= LARGE).any(axis=1)
+                for wide, rows in ((False, q[~large]), (True, x[large])):
+                    if not len(rows):
+                        continue
+                    h = held.setdefault((dim, wide), ([], []))
+                    h[0].append(ids[part][large == wide])
+                    h[1].append(rows)
                     if sum(map(len, h[0])) >= rows_per_block:
-                        yield batches_of([out(dim)], _PACK)
-        for dim in list(held):
-            yield batches_of([out(dim)], _PACK)
+                        yield out((dim, wide))
+    for key in list(held):
+        yield out(key)
+
+
+def opened(row) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and values (a row each) of a packed block."""
+    ids = np.frombuffer(row["ids"], "<i8")
+    return ids, np.frombuffer(row["vals"], f"<{row['kind']}").reshape(len(ids), row["dim"])
 
-    return df.mapInArrow(run, "block long, dim int, ids binary, vals binary")
+
+def whole(vals: np.ndarray) -> list[list[int]]:
+    """The quantised components as integers of any size."""
+    if vals.dtype.kind == "i":
+        return vals.tolist()
+    return [[int(np.floor(x * SCALE)) if abs(x) < 2.0**52 else int(x) * SCALE for x in row] for row in vals.tolist()]
+
+
+def exact_top(ids: list[int], rows: list[list[int]], q: list[int], own: int, k: int) -> list[tuple[int, int]]:
+    """The k best ``(score, id)`` in integers of any size; a score beyond a long is an error, not another score."""
+    best = sorted((-sum(a * b for a, b in zip(r, q)), i) for i, r in zip(ids, rows) if i != own)[:k]
+    if best and not all(-(1 << 63) <= -s < 1 << 63 for s, _ in best):
+        raise OverflowError("an inner product does not fit a long")
+    return [(-s, i) for s, i in best]
 
 
 class SlicedBlock:
@@ -67,8 +99,8 @@ class SlicedBlock:
 
     def __init__(self, ids: np.ndarray, vals: np.ndarray, drop: int):
         self.ids, self.vals, self.n, self.drop = ids, vals, len(ids), drop
-        self.low = vals.min(axis=0) if self.n else np.zeros(vals.shape[1], np.int64)
-        up = (vals - self.low).astype(np.uint64)
+        self.low = vals.min(axis=0).astype(np.int64) if self.n else np.zeros(vals.shape[1], np.int64)
+        up = (vals.astype(np.int64) - self.low).astype(np.uint64)
         self.width = [max(0, int(c).bit_length() - drop) for c in up.max(axis=0)] if self.n else [0] * vals.shape[1]
         self.words = (self.n + 63) // 64
         self.valid = self.bitmap(np.ones(self.n, bool))
@@ -141,41 +173,60 @@ class SlicedBlock:
                     over, same = over | (same & s), same & ~s
             alive = over | same
         at = self.rows(alive)
-        exact = self.vals[at] @ q
+        exact = self.vals[at].astype(np.int64) @ q
         best = np.lexsort((self.ids[at], -exact))[:k]
         return [(int(exact[i]), int(self.ids[at[i]])) for i in best]
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int = 1 << 16, queries_per_block: int = 128, drop: int = 2) -> DataFrame:
+def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int = 1 << 16, part_bytes: int = 32 << 20, drop: int = 2) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k best rows of ``base``.
 
     Both inputs are ``(vec_id, embedding)``. Vectors that are null or hold null
-    or non-finite components take no part (nor do components beyond 2**40); an
-    empty vector scores 0 against empty ones; vectors of other lengths never
-    meet. Rows that share the query's vec_id are its own and are not returned.
-    Repeated rows are ranked one by one. Query blocks meet index blocks, so a
-    row pair is never a Spark row; each meeting keeps k rows per query.
+    or non-finite components take no part; an empty vector scores 0 against
+    empty ones; vectors of other lengths never meet. Components of any size
+    count; a score among the best that does not fit a long is an error. Rows
+    that share the query's vec_id are its own and are not returned. Repeated
+    rows are ranked one by one. The queries come in parts of at most about
+    ``part_bytes`` (dealt by a hash), each of which is one pass over the packed
+    index; a row pair is never a Spark row, and each meeting keeps k rows.
     """
-    index = pack(quantised(base, "vec_id", "embedding"), rows_per_block)
-    asked = pack(quantised(queries, "vec_id", "embedding"), queries_per_block)
-    # blocks meet by place, not by a join key: all vectors may have one length
-    meet = index.crossJoin(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    spark = base.sparkSession
+
+    def pack(batches):
+        for row in packed_blocks(batches, rows_per_block):
+            yield batches_of([row], _PACK)
 
-    def run(batches):
-        kept_id, kept = None, None
-        for b in batches:
-            for r in b.to_pylist():
-                if r["dim"] != r["q_dim"]:
-                    continue
-                if kept_id != r["block"]:
-                    ids = np.frombuffer(r["ids"], "<i8")
-                    kept_id, kept = r["block"], SlicedBlock(ids, np.frombuffer(r["vals"], "<i8").reshape(len(ids), r["dim"]), drop)
-                q_ids = np.frombuffer(r["q_ids"], "<i8")
-                qs = np.frombuffer(r["q_vals"], "<i8").reshape(len(q_ids), r["dim"])
-                rows = [(int(i), v, s) for i, q in zip(q_ids, qs) for s, v in kept.top(q, int(i), k)]
-                yield batches_of(rows, schema)
-
-    found = meet.select("block", "dim", "q_dim", "ids", "vals", "q_ids", "q_vals").mapInArrow(run, "query_id long, vec_id long, score long")
+    index = checkpoint(usable(base, "vec_id", "embedding").mapInArrow(pack, "dim int, kind string, ids binary, vals binary"))
+    asked = usable(queries, "vec_id", "embedding")
+    size = asked.agg(F.sum(8 * (F.size("x") + 1))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for i in range(parts):
+        mine = asked.where(F.pmod(F.xxhash64("id", "x"), F.lit(parts)) == i) if parts > 1 else asked
+        rows = mine.toArrow().combine_chunks().to_batches()  # part_bytes
+        shared = Shared(spark, [dict(zip(_PACK.names, r)) for r in packed_blocks(rows, 1 << 30)])
+
+        def run(batches, shared=shared):
+            for b in batches:
+                for r in b.to_pylist():
+                    ids, vals = opened(r)
+                    sliced, plain = (SlicedBlock(ids, vals, drop) if r["kind"] != "f8" else None), None
+                    for asked_block in shared.value:
+                        if asked_block["dim"] != r["dim"]:
+                            continue
+                        q_ids, qs = opened(asked_block)
+                        if sliced and asked_block["kind"] != "f8":
+                            got = [(q, v, s) for q, x in zip(q_ids.tolist(), qs.astype(np.int64)) for s, v in sliced.top(x, q, k)]
+                        else:
+                            plain = plain or whole(vals)
+                            got = [(q, v, s) for q, x in zip(q_ids.tolist(), whole(qs)) for s, v in exact_top(ids.tolist(), plain, x, q, k)]
+                        for lo in range(0, len(got), 20_000):
+                            yield batches_of(got[lo : lo + 20_000], schema)
+
+        found = index.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = checkpoint(found) if parts > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -144,17 +144,21 @@ def test_bitsliced_topk(spark):
     rng = np.random.default_rng(4)
     vecs = [(i, rng.normal(size=6).tolist()) for i in range(80)] + [(i, [0.5] * 6) for i in range(100, 130)]
     vecs += [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, [1.0, 2.0]), (3, vecs[3][1]), (None, [1.0] * 6)]
+    vecs += [(600, [5000.0, -0.1, 0.2, 0.0, 1.5, 3.0]), (601, [-(2.0**30), 0.1, 0.2, 0.3, 0.4, 0.5]), (610, [1e-300, 2.0**41, 0.0, 0.0, 0.0, -0.0])]  # large but finite
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("block", F.lit(1))
-    got: dict[int, list] = {}
-    for r in bitslice.top_k(df, df.where("vec_id % 10 = 0"), k=5, rows_per_block=32, queries_per_block=4).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vecs if i is not None and v and None not in v and np.isfinite(v).all() and len(v) == 6]
-    for q, v in ok:
-        if q % 10 == 0:
-            want = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in ok if i != q)[:5]
-            assert got.pop(q) == [(i, -s) for s, i in want]
-    assert got == {}
+    for part_bytes in (32 << 20, 200):
+        got: dict[int, list] = {}
+        for r in bitslice.top_k(df, df.where("vec_id % 10 = 0 and vec_id <> 610"), k=5, rows_per_block=32, part_bytes=part_bytes).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for q, v in ok:
+            if q % 10 == 0 and q != 610:
+                want = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in ok if i != q)[:5]
+                assert got.pop(q) == [(i, -s) for s, i in want]
+        assert got == {}
     assert bitslice.top_k(df.limit(0), df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitslice.top_k(spark.createDataFrame([(1, [1e18]), (2, [1e18])], "vec_id long, embedding array<double>"), df.limit(0).unionByName(spark.createDataFrame([(1, [1e18])], "vec_id long, embedding array<double>"), allowMissingColumns=True)).collect()
 
 
 def test_chat_rotation(spark):
