@@ -64,16 +64,15 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, bytes_per_bucket: int = 4 << 20) -> int:
-    """How many hash buckets an input with a ``text`` column is dealt into: it grows with the input.
+    """How many hash buckets an input with a ``text`` column is dealt into, in proportion to its size.
 
-    A million at most: beyond 4 TB of input buckets grow, and executors need
-    memory for larger ones. The size is Catalyst's estimate. Where that is too large to be one (no
+    The size is Catalyst's estimate. Where that is too large to be one (no
     statistics: a checkpoint or local rows), the texts are measured by a scan.
     """
     size = input_bytes(df)
-    if size > 1 << 44:
+    if size > 1 << 53:
         size = (df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 2
-    return int(max(shuffle_parts(df.sparkSession), min(1 << 20, size // bytes_per_bucket + 1)))
+    return int(max(shuffle_parts(df.sparkSession), size // bytes_per_bucket + 1))
 
 
 def bytes_column(batch: pa.RecordBatch, name: str) -> list:

@@ -1,12 +1,17 @@
 """Exact removal of repeated word windows by sharded Aho-Corasick automata.
 
-Anchors of ``repeats`` (over words) bring recurring passages together: every
-document is streamed, its windows that nothing in the same task settles are
-cut into passages around their anchor and dealt to the anchor's shard. A shard
-confirms which passages recur whole and which windows recur between different
-passages, compiles those windows into one automaton over word numbers
-(pyahocorasick), and streams its passages, each wording once, through it to
-locate every occurrence; all but the earliest are removed.
+Anchors of ``repeats`` (over words) bring recurring passages together. Every
+document is streamed, and its passages (windows around surviving anchors) go
+through automata twice: through one of the task's own batch, which settles what
+recurs there, and, where that leaves the earliest occurrences of a batch,
+through the automaton of their anchor's shard. An automaton confirms which
+windows recur among its passages, holds each such window once (pyahocorasick),
+and is run over all of the passages to locate every occurrence; every one but
+the earliest is removed. Nothing is removed that an automaton did not locate.
+
+An automaton's letters are not words but the numbers of groups of words: a
+window of 20 is four groups of five, and a text is streamed once for each of
+the five ways to begin. So a window costs four nodes instead of twenty.
 """
 
 from __future__ import annotations
@@ -21,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import batches_of, buckets_for, checkpoint, groups_for
+from .common import Shared, batches_of, buckets_for, checkpoint, groups_for
 from .suffix import removal
 
 K = 5
 _WINDOWS = 200_000
-_HASH2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_symbols(text: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -35,70 +39,66 @@ def word_symbols(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words)), words
 
 
-def confirmed(docs: np.ndarray, starts: np.ndarray, passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the earliest passage of each wording, and of its later copies (every window of which recurs)."""
-    number: dict[bytes, int] = {}
-    wording = np.fromiter((number.setdefault(p, len(number)) for p in passages), np.int64, len(passages))
-    order = np.lexsort((starts, docs, wording))
-    later = np.ones(len(order), bool)
-    later[R.starts_of(wording[order])] = False
-    return order[~later], order[later]
+def numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs from one on, equal for equal pairs alone."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64) + 1
+
 
+def groups_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """At every place the number of the group of n symbols there."""
+    out, have = ids, 1
+    while have < n:
+        step = min(have, n - have)  # overlapping halves name a group as well as adjoining ones
+        size = len(ids) - have - step + 1
+        out, have = numbers(out[:size], out[step : step + size]), have + step
+    return out
 
-def locate(docs: np.ndarray, starts: np.ndarray, passages: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(doc, start)`` of every window of the passages that also occurs earlier among them."""
+
+def locate(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, passages: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of the passages that also occurs earlier among them: its passage, and its place in it."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number) + 1) for words in passages for w in (*words, b"")), np.int64)  # an empty word parts passages
-    ends = np.cumsum([len(words) + 1 for words in passages])
     if len(ids) < window:
         return none
-    h = R.gram_hashes(ids.astype(np.uint64), window)
-    h[_crossing(ends, len(h), window)] = 0
-    at = np.nonzero(h)[0]
-    at = at[np.argsort(h[at], kind="stable")]
-    first = R.starts_of(h[at])
-    size = np.diff(np.append(first, len(at)))
-    again = np.repeat(size > 1, size)
-    at, lead = at[again], np.repeat(at[first], size)[again]
-    if not len(at):
+    ends = np.cumsum([len(words) + 1 for words in passages])
+    size = next(n for n in range(5, 0, -1) if window % n == 0)
+    letters = groups_of(ids, size)
+    windows = groups_of(ids, window)
+    # the windows that lie inside a passage, and of those the ones that recur
+    place = np.arange(len(windows))
+    inside = place[ends[np.searchsorted(ends, place, side="right")] > place + window]
+    _, first, of, times = np.unique(windows[inside], return_index=True, return_inverse=True, return_counts=True)
+    patterns = inside[first[times > 1]]
+    if not len(patterns):
         return none
-    rows = np.lib.stride_tricks.sliding_window_view(ids, window)
-    patterns = np.unique(np.concatenate([lead, at[(rows[at] != rows[lead]).any(axis=1)]]))  # equal digests of unequal windows are patterns of their own
-    machine, n = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
-    for i in patterns.tolist():
-        key = tuple(ids[i : i + window].tolist())
-        if not machine.exists(key):
-            machine.add_word(key, n)
-            n += 1
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for n, key in enumerate(np.stack([letters[patterns + i] for i in range(0, window, size)], axis=1).tolist()):
+        machine.add_word(tuple(key), n)
     machine.make_automaton()
-    hits = np.array(list(machine.iter(tuple(ids.tolist()))), np.int64).reshape(-1, 2)
-    begin = hits[:, 0] - window + 1
+    begin, what = [], []
+    for phase in range(size):
+        hits = np.array(list(machine.iter(tuple(letters[phase::size].tolist()))), np.int64).reshape(-1, 2)
+        begin.append(phase + (hits[:, 0] - window // size + 1) * size)
+        what.append(hits[:, 1])
+    begin, what = np.concatenate(begin), np.concatenate(what)
     passage = np.searchsorted(ends, begin, side="right")
-    doc, start = docs[passage], starts[passage] + begin - np.concatenate([[0], ends])[passage]
-    order = np.lexsort((start, doc, hits[:, 1]))
-    later = np.ones(len(order), bool)
-    later[R.starts_of(hits[order, 1])] = False
-    return doc[order[later]], start[order[later]]
-
-
-def _crossing(ends: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n window positions run over the end of a passage."""
-    place = np.arange(n)
-    return ends[np.minimum(np.searchsorted(ends, place, side="right"), len(ends) - 1)] - 1 < place + window
+    at = begin - np.concatenate([[0], ends])[passage]
+    gone = R.later(what, doc[passage], copy[passage], start[passage] + at)
+    return passage[gone], at[gone]
 
 
 def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, ranges`` (of word numbers) of documents (non-null ids) with windows that occur earlier."""
+    """``doc_id, _copy, _ranges`` (of word numbers) of documents (non-null ids) with windows that occur earlier."""
     nb = buckets_for(docs, 2 << 20)
     grams, groups = window - K + 1, groups_for(docs, nb)
     found = checkpoint(R.survivors(docs, word_symbols, K, window, nb, groups, same_doc=True))
-    hot = R.hot_grams(found)
+    hot = Shared(docs.sparkSession, R.hot_filter(found))
     per_doc = R.regrouped(found, groups, 1, "data")
-    where = docs.join(per_doc, "doc_id").select("doc_id", F.col("text").cast("binary"), "data")
+    where = docs.join(per_doc, ["doc_id", "_copy"]).select("doc_id", "_copy", F.col("text").cast("binary"), "data")
 
     def candidates(sym: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Starts of the windows around surviving anchors, the anchor and its hash, and two digests of each."""
+        """Starts of the windows around surviving anchors, the anchor and its hash, and a digest of each."""
         h = R.gram_hashes(sym, K)
         size = len(sym) - window + 1
         s, e = R.merged(np.maximum(0, pos - grams + 1), np.minimum(size, pos + 1))
@@ -108,49 +108,53 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
         alive[pos] = True
         ok = alive[lead]
         at, lead = at[ok], lead[ok]
-        return at, lead, h[lead] & np.uint64(0xFFFFFFFFFFFFFF00), R.gram_hashes(sym, window)[at], R.gram_hashes(sym, window, _HASH2)[at]
+        return at, lead, h[lead], R.gram_hashes(sym, window)[at]
+
+    def cut(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last index of each run of windows that follow each other and share the other keys."""
+        at, *same = keys
+        new = at[1:] != at[:-1] + 1
+        for k in same:
+            new |= k[1:] != k[:-1]
+        first = np.nonzero(np.concatenate([[True], new]))[0]
+        return first, np.append(first[1:], len(at)) - 1
 
     def flush(held):
-        doc = np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in held])
-        at, lead, h, h1, h2 = (np.concatenate([x[i] for x in held]) for i in range(1, 6))
-        done = R.settle_windows(h1, h2, doc, at, True)
-        rows = R.settled(doc[done], at[done], at[done] + window, groups)
-        left = ~done
-        is_hot = left & R.in_sorted(h, hot)
-        b = (h1 >> np.uint64(32)) % np.uint64(nb)
-        i = np.nonzero(is_hot)[0]
-        i = i[np.argsort(b[i], kind="stable")]
-        for part in np.split(i, R.starts_of(b[i])[1:]) if len(i) else []:
-            rows.append((nb + int(b[part[0]]), R.COMPARE, 0, b"\1" + R.packed(h1[part], h2[part], doc[part].astype("<i8"), at[part].astype("<i4"))))
-        # neighbouring windows of one anchor make one passage
-        i = np.nonzero(left & ~is_hot)[0]
+        number = np.concatenate([np.full(len(x[2]), i) for i, x in enumerate(held)])
+        ids, copies = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        at, lead, h, h1 = (np.concatenate([x[i] for x in held]) for i in range(2, 6))
+        first, last = cut(at, number)
+        own, s, e = number[first], at[first], at[last] + window
+        passages = [held[i][6][a:b] for i, a, b in zip(own.tolist(), s.tolist(), e.tolist())]
+        p, place = locate(ids[own], copies[own], s, passages, window)
+        rows = R.settled(ids[own[p]], copies[own[p]], s[p] + place, s[p] + place + window, groups)
+        done = np.zeros(len(at), bool)  # windows of a passage stand together
+        done[first[p] + place] = True
+        # what is left goes to the anchor's shard, or window by window to one of its digest
+        is_hot = R.named(h, hot.value)
+        shard = np.where(is_hot, np.uint64(nb) + (h1 >> np.uint64(32)) % np.uint64(nb), (h >> np.uint64(32)) % np.uint64(nb)).astype(np.int64)
+        i = np.nonzero(~done)[0]
         if len(i):
-            cut = np.concatenate([[True], (doc[i][1:] != doc[i][:-1]) | (lead[i][1:] != lead[i][:-1]) | (at[i][1:] != at[i][:-1] + 1)])
-            first = np.nonzero(cut)[0]
-            last = np.append(first[1:], len(i)) - 1
-            words = {}
-            for x in held:
-                words.setdefault(x[0], x[6])
-            shard = (h[i[first]] >> np.uint64(40)) % np.uint64(nb)
-            order = np.argsort(shard, kind="stable")
-            d, s, e = doc[i[first]], at[i[first]], at[i[last]] + window
-            for part in np.split(order, R.starts_of(shard[order])[1:]):
-                text = b"\n".join(b" ".join(words[int(d[j])][int(s[j]) : int(e[j])]) for j in part.tolist())
-                head = R.packed(d[part].astype("<i8"), s[part].astype("<i4"))
-                rows.append((int(shard[part[0]]), R.COMPARE, 0, b"\0" + len(head).to_bytes(4, "little") + head + R.zstandard.ZstdCompressor(level=1).compress(text)))
+            first, last = cut(at[i], number[i], lead[i], np.where(is_hot[i], i, -1))
+            own, s, e, to = number[i[first]], at[i[first]], at[i[last]] + window, shard[i[first]]
+            order = np.argsort(to, kind="stable")
+            for part in np.split(order, R.starts_of(to[order])[1:]):
+                text = b"\n".join(b" ".join(held[int(own[j])][6][int(s[j]) : int(e[j])]) for j in part.tolist())
+                head = R.packed(ids[own[part]].astype("<i8"), copies[own[part]].astype("<i4"), s[part].astype("<i4"))
+                rows.append((int(to[part[0]]), R.COMPARE, 0, len(head).to_bytes(4, "little") + head + R.zstandard.ZstdCompressor(level=1).compress(text)))
         return batches_of(rows, R.ROWS)
 
     def passages(batches):
         held, n = [], 0
         for b in batches:
-            for d, text, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for d, copy, text, data in zip(*(b.column(i).to_pylist() for i in range(4))):
                 sym, words = word_symbols(text)
                 if len(sym) < window:
                     continue
                 pos = np.unique(np.frombuffer(data, "<i8"))
                 got = candidates(sym, pos[pos + K <= len(sym)])
                 if len(got[0]):
-                    held.append((d, *got, words))
+                    held.append((d, copy, *got, words))
                     n += len(got[0]) + len(words) // 4
                 if n >= _WINDOWS:
                     yield flush(held)
@@ -160,29 +164,20 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
 
     def shards(batches):
         for through, blobs in R.each_bucket(batches):
-            rows, got, digests = through, ([], [], []), [x[1:] for x in blobs if x[0]]
-            for x in (x[1:] for x in blobs if not x[0]):
+            rows, got, texts = through, [], []
+            for x in blobs:
                 size = int.from_bytes(x[:4], "little")
-                docs_of, starts = R.unpacked(x[4 : 4 + size], "<i8", "<i4")
-                got[2].extend(R.zstandard.ZstdDecompressor().decompress(x[4 + size :]).split(b"\n"))
-                got[0].append(docs_of)
-                got[1].append(starts.astype(np.int64))
-            if got[2]:
-                doc, start = np.concatenate(got[0]), np.concatenate(got[1])
-                first, copies = confirmed(doc, start, got[2])
-                ends = start[copies] + np.array([got[2][i].count(b" ") + 1 for i in copies.tolist()], np.int64)
-                d, at = locate(doc[first], start[first], [got[2][i].split(b" ") for i in first.tolist()], window)
-                rows += R.settled(np.concatenate([doc[copies], d]), np.concatenate([start[copies], at]), np.concatenate([ends, at + window]), groups)
-            if digests:
-                h1, h2, doc, pos = (np.concatenate(c) for c in zip(*(R.unpacked(x, "<u8", "<u8", "<i8", "<i4") for x in digests)))
-                done = R.settle_windows(h1, h2, doc, pos, True)
-                at = pos[done].astype(np.int64)
-                rows += R.settled(doc[done], at, at + window, groups)
+                got.append(R.unpacked(x[4 : 4 + size], "<i8", "<i4", "<i4"))
+                texts.extend(R.zstandard.ZstdDecompressor().decompress(x[4 + size :]).split(b"\n"))
+            if texts:
+                doc, copy, start = (np.concatenate(c).astype(np.int64) for c in zip(*got))
+                p, place = locate(doc, copy, start, [t.split(b" ") for t in texts], window)
+                rows += R.settled(doc[p], copy[p], start[p] + place, start[p] + place + window, groups)
             if rows:
                 yield batches_of(rows, R.ROWS)
 
     told = R.buckets(where.mapInArrow(passages, R.ROWS_SQL), 2 * nb).mapInArrow(shards, R.ROWS_SQL)
-    return R.regrouped(told, groups, 2, "ranges")
+    return R.regrouped(told, groups, 2, "_ranges")
 
 
 def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -192,8 +187,8 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     ``window`` words over it also starts earlier (smaller id, or the same
     document further up), judged on the input. Null and short texts lose
     nothing. A null doc_id is kept whole and is no source for others. Rows that
-    share a doc_id must hold one text and count as one document. Other columns
-    do not matter; an empty table gives none.
+    share a doc_id are one document if they hold the same text, else documents
+    none of which comes before the other. Other columns do not matter; an empty table gives none.
     """
     schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 

@@ -11,9 +11,14 @@ it. Equal windows have equal anchors, so
    record per task, not one per occurrence;
 2. the caller compares the surroundings of surviving anchors, first within the
    task (what repeats there is settled) and then within hash or range buckets;
-3. anchors that occur so often that one bucket could not hold their distinct
-   surroundings (more than 1 / ``HOT_SHARE`` of all anchors, so at most
-   ``HOT_SHARE`` of them) are compared window by window, spread by digest.
+3. anchors that occur more than ``HOT`` times, so that one bucket should not
+   hold their distinct surroundings, are compared window by window, spread by
+   the window's digest. A filter of fixed size names them in every task; a
+   k-gram that it names wrongly goes that way as well, to the same result.
+
+A document is known by its id and a ``copy`` number, 0 unless rows share an id
+with different texts. Such rows are documents of their own, and none of them
+comes before the other.
 """
 
 from __future__ import annotations
@@ -28,8 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import batches_of
 
-#: At most so many anchors can each hold more than this share of all.
-HOT_SHARE = 1 << 16
+#: Occurrences that make an anchor hot, and the bits (as a power of two) of the filter that names hot anchors.
+HOT = 20_000
+_FILTER = 26
+#: Partitions at most; further buckets share them, one after the other.
+_PARTS = 1 << 16
 _FLUSH = 1 << 20
 _SEGMENT = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -37,8 +45,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("doc", pa.int64()), ("data", pa.binary())])
 ROWS_SQL = "bucket int, kind byte, doc long, data binary"
-#: Kinds of rows: compared in a bucket; settled for a document; an often seen k-gram; a sampled leading k-gram; how many anchors.
-COMPARE, SETTLED, HOT, SAMPLE, TOTAL = 0, 1, 2, 3, 4
+#: Kinds of rows: compared in a bucket; settled for a document; a hot k-gram; a sampled leading k-gram.
+COMPARE, SETTLED, OFTEN, SAMPLE = 0, 1, 2, 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,16 +127,17 @@ def unpacked(blob: bytes, *kinds: str | int) -> list[np.ndarray]:
     return out
 
 
-def by_doc(doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
-    """``(doc, slices...)`` per document."""
+def by_doc(doc: np.ndarray, copy: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
+    """``(doc, copy, slices...)`` per document."""
     if not len(doc):
         return
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    cuts = np.nonzero(np.diff(doc))[0] + 1
+    order = np.lexsort((copy, doc))
+    doc, copy = doc[order], copy[order]
+    cuts = np.nonzero((doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]))[0] + 1
     parts = [np.split(c[order], cuts) for c in cols]
-    for i, d in enumerate(doc[np.concatenate([[0], cuts])].tolist()):
-        yield (d, *(p[i] for p in parts))
+    first = np.concatenate([[0], cuts])
+    for i, (d, c) in enumerate(zip(doc[first].tolist(), copy[first].tolist())):
+        yield (d, c, *(p[i] for p in parts))
 
 
 def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
@@ -136,40 +145,40 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.nonzero(sorted_keys[1:] != sorted_keys[:-1])[0] + 1]) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def doc_groups(doc: np.ndarray, n: int, *cols: np.ndarray) -> list[tuple]:
+def doc_groups(doc: np.ndarray, copy: np.ndarray, n: int, *cols: np.ndarray) -> list[tuple]:
     """SETTLED rows: the documents' values, one blob per document group."""
     if not len(doc):
         return []
     g = mix(doc.astype(np.uint64)) % np.uint64(n)
     order = np.argsort(g, kind="stable")
     cuts = starts_of(g[order])
-    return [(int(g[i[0]]), SETTLED, 0, packed(doc[i].astype("<i8"), *(c[i].astype("<i8") for c in cols))) for i in np.split(order, cuts[1:])]
+    return [(int(g[i[0]]), SETTLED, 0, packed(doc[i].astype("<i8"), copy[i].astype("<i8"), *(c[i].astype("<i8") for c in cols))) for i in np.split(order, cuts[1:])]
 
 
-def settled(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple]:
+def settled(doc: np.ndarray, copy: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple]:
     """Rows of removed symbol ranges, overlapping ones of a document joined."""
     if not len(doc):
         return []
-    order = np.lexsort((starts, doc))
-    doc, starts, ends = doc[order], starts[order], ends[order]
-    reach = ends.copy()  # furthest end so far within the document
-    base = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (int(ends.max()) + 1)
-    reach = np.maximum.accumulate(reach + base) - base
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (starts[1:] > reach[:-1])])
+    order = np.lexsort((starts, copy, doc))
+    doc, copy, starts, ends = doc[order], copy[order], starts[order], ends[order]
+    other = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])
+    base = np.cumsum(np.concatenate([[0], other])) * (int(ends.max()) + 1)
+    reach = np.maximum.accumulate(ends + base) - base  # furthest end so far within the document
+    new = np.concatenate([[True], other | (starts[1:] > reach[:-1])])
     first = np.nonzero(new)[0]
-    return doc_groups(doc[first], n, starts[first], reach[np.append(first[1:] - 1, len(doc) - 1)])
+    return doc_groups(doc[first], copy[first], n, starts[first], reach[np.append(first[1:] - 1, len(doc) - 1)])
 
 
 def regrouped(rows: DataFrame, n: int, width: int, name: str) -> DataFrame:
-    """``doc_id, <name>``: per document its ``width`` settled columns one after the other, as little-endian longs."""
-    schema = pa.schema([("doc_id", pa.int64()), (name, pa.binary())])
+    """``doc_id, _copy, <name>``: per document its ``width`` settled columns one after the other, as little-endian longs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_copy", pa.int64()), (name, pa.binary())])
 
     def run(batches):
         now, blobs = None, []
 
         def out():
-            cols = [np.concatenate(c) for c in zip(*(unpacked(x, *["<i8"] * (1 + width)) for x in blobs))]
-            got = [(d, b"".join(c.tobytes() for c in parts)) for d, *parts in by_doc(*cols)]
+            cols = [np.concatenate(c) for c in zip(*(unpacked(x, *["<i8"] * (2 + width)) for x in blobs))]
+            got = [(d, copy, b"".join(c.tobytes() for c in parts)) for d, copy, *parts in by_doc(*cols)]
             for lo in range(0, len(got), 5000):
                 yield batches_of(got[lo : lo + 5000], schema)
 
@@ -183,7 +192,7 @@ def regrouped(rows: DataFrame, n: int, width: int, name: str) -> DataFrame:
         if blobs:
             yield from out()
 
-    return buckets(rows.where(F.col("kind") == SETTLED).select("bucket", "data"), n).mapInArrow(run, f"doc_id long, {name} binary")
+    return buckets(rows.where(F.col("kind") == SETTLED).select("bucket", "data"), n).mapInArrow(run, f"doc_id long, _copy long, {name} binary")
 
 
 def merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +206,7 @@ def merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def buckets(df: DataFrame, n: int) -> DataFrame:
     """Rows dealt by bucket, each bucket's together."""
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return df.repartition(min(n, _PARTS), "bucket").sortWithinPartitions("bucket")
 
 
 def each_bucket(batches) -> Iterator[tuple[list[tuple], list[bytes]]]:
@@ -221,15 +230,17 @@ def each_bucket(batches) -> Iterator[tuple[list[tuple], list[bytes]]]:
 
 
 def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets: int, groups: int, same_doc: bool, lead: Callable | None = None, sample_every: int = 4096) -> DataFrame:
-    """Rows of kind SETTLED (surviving anchor positions by document group), HOT (a k-gram) and SAMPLE (leading symbols).
+    """Rows of kind SETTLED (surviving anchor positions by document group), OFTEN (a hot k-gram) and SAMPLE (leading symbols).
 
-    ``docs`` is ``(doc_id, text)`` without null ids; ``symbols(text)`` gives the
+    ``docs`` is ``(doc_id, _copy, text)`` without null ids; ``symbols(text)`` gives the
     symbols. ``same_doc`` says whether a repetition within one document counts.
     """
 
-    def flush(doc, pos, h, leads):
+    hot = HOT
+
+    def flush(doc, copy, pos, h, leads):
         order = np.lexsort((pos, doc, h))
-        doc, pos, h = doc[order], pos[order], h[order]
+        doc, copy, pos, h = doc[order], copy[order], pos[order], h[order]
         first = starts_of(h)
         size = np.diff(np.append(first, len(h)))
         group = np.repeat(np.arange(len(first)), size)
@@ -238,25 +249,24 @@ def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets
         send = ~known
         send[first] = True  # one representative of what is settled here
         count = np.where(known, size[group], 1)
-        rows = doc_groups(doc[known], groups, pos[known])
-        rows.append((int(h[0] >> np.uint64(40)) % n_buckets, TOTAL, len(order), None))
+        rows = doc_groups(doc[known], copy[known], groups, pos[known])
         rows += [(int.from_bytes(x[:4], "little") % n_buckets, SAMPLE, 0, x) for x in leads]
-        doc, pos, h, count = doc[send], pos[send], h[send], count[send]
-        b = (h >> np.uint64(40)) % np.uint64(n_buckets)
+        doc, copy, pos, h, count = doc[send], copy[send], pos[send], h[send], count[send]
+        b = (h >> np.uint64(32)) % np.uint64(n_buckets)
         order = np.argsort(b, kind="stable")
         cuts = starts_of(b[order])
         for i in np.split(order, cuts[1:]) if len(order) else []:
-            rows.append((int(b[i[0]]), COMPARE, 0, packed(h[i], doc[i].astype("<i8"), pos[i].astype("<i4"), count[i].astype("<i4"))))
+            rows.append((int(b[i[0]]), COMPARE, 0, packed(h[i], doc[i].astype("<i8"), copy[i].astype("<i4"), pos[i].astype("<i4"), count[i].astype("<i4"))))
         return batches_of(rows, ROWS)
 
     def scan(batches):
         held, leads, n = [], [], 0
         for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, copy, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 sym, raw = symbols(text or b"")
                 p, h = anchors(sym, k, window)
                 if len(p):
-                    held.append((np.full(len(p), d, np.int64), p, h))
+                    held.append((np.full(len(p), d, np.int64), np.full(len(p), copy, np.int64), p, h))
                     n += len(p)
                     if lead:
                         leads += [lead(raw, int(x)) for x in p[(mix(h ^ np.uint64(d & (1 << 62) - 1)) % np.uint64(sample_every)) == 0]]
@@ -270,47 +280,60 @@ def survivors(docs: DataFrame, symbols: Callable, k: int, window: int, n_buckets
         for through, blobs in each_bucket(batches):
             rows = through
             if blobs:
-                h, doc, pos, count = (np.concatenate(c) for c in zip(*(unpacked(x, "<u8", "<i8", "<i4", "<i4") for x in blobs)))
+                h, doc, copy, pos, count = (np.concatenate(c) for c in zip(*(unpacked(x, "<u8", "<i8", "<i4", "<i4", "<i4") for x in blobs)))
                 order = np.lexsort((doc, h))
-                h, doc, pos, count = h[order], doc[order], pos[order], count[order]
+                h, doc, copy, pos, count = h[order], doc[order], copy[order], pos[order], count[order]
                 first = starts_of(h)
                 size = np.diff(np.append(first, len(h)))
                 total = np.add.reduceat(count.astype(np.int64), first)
                 again = np.maximum.reduceat(count, first) > 1
                 again |= size > 1 if same_doc else doc[first] != doc[first + size - 1]
                 keep = np.repeat(again, size) & (count == 1)
-                rows += doc_groups(doc[keep], groups, pos[keep].astype(np.int64))
-                often = total > 32
-                rows += [(int(t), HOT, x, None) for x, t in zip(h[first][often].view(np.int64).tolist(), np.minimum(total[often], 1 << 30))]
+                rows += doc_groups(doc[keep], copy[keep], groups, pos[keep].astype(np.int64))
+                rows += [(0, OFTEN, x, None) for x in h[first][total > hot].view(np.int64).tolist()]
             if rows:
                 yield batches_of(rows, ROWS)
 
-    dealt = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(scan, ROWS_SQL)
+    dealt = docs.select("doc_id", "_copy", F.col("text").cast("binary")).mapInArrow(scan, ROWS_SQL)
     return buckets(dealt, n_buckets).mapInArrow(prove, ROWS_SQL)
 
 
-def hot_grams(found: DataFrame) -> np.ndarray:
-    """Sorted hashes of the k-grams with more than 1 / HOT_SHARE of all anchors; at most HOT_SHARE of them."""
-    total = found.where(F.col("kind") == TOTAL).agg(F.sum("doc")).first()[0] or 0
-    least = max(32, total // HOT_SHARE)
-    rows = found.where((F.col("kind") == HOT) & (F.col("bucket") > least)).select("doc").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+def hot_filter(found: DataFrame) -> np.ndarray:
+    """A bit set that names the hot k-grams; 2 ** (_FILTER - 6) rows at most come to the driver, however many there are."""
+    h = F.col("doc")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(doc, {64 - _FILTER}) & 63 as int))")
+    rows = found.where(F.col("kind") == OFTEN).groupBy(F.shiftrightunsigned(h, 70 - _FILTER).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << _FILTER - 6, np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def named(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which hashes the filter names."""
+    p = h >> np.uint64(64 - _FILTER)
+    return (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return table[at] == x
+def later(group: np.ndarray, doc: np.ndarray, copy: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether an equal one lies in a smaller document, or further up in the same."""
+    order = np.lexsort((pos, copy, doc, group))
+    g, d, c, p = group[order], doc[order], copy[order], pos[order]
+    first = starts_of(g)
+    hit = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
+    own = np.nonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))[0] if len(g) else first
+    hit |= p > np.repeat(p[own], np.diff(np.append(own, len(p))))
+    out = np.zeros(len(order), bool)
+    out[order] = hit
+    return out
 
 
-def settle_windows(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, same_doc: bool) -> np.ndarray:
-    """Whether an equal window lies in a smaller document, or with ``same_doc`` anywhere earlier."""
-    order = np.lexsort((pos, doc, h2, h1))
+def settle_windows(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an equal window (by two digests) lies in a smaller document."""
+    order = np.lexsort((doc, h2, h1))
     new = np.ones(len(order), bool)
     new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
     first = np.nonzero(new)[0]
     lead = np.repeat(first, np.diff(np.append(first, len(order))))
     out = np.zeros(len(order), bool)
-    out[order] = ~new if same_doc else doc[order] > doc[order][lead]
+    out[order] = doc[order] > doc[order][lead]
     return out

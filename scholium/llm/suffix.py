@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import batches_of, buckets_for, checkpoint, groups_for
+from .common import Shared, batches_of, buckets_for, checkpoint, groups_for
 
 K = 16
 _RECORDS = 100_000
@@ -117,58 +117,59 @@ def repeated_offsets(ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.nd
     return whole
 
 
-def _ranges(doc, pos, mask, window, n):
+def _ranges(doc, copy, pos, mask, window, n):
     """The byte ranges of the windows that a mask names."""
-    docs, starts = [], []
+    rows, starts = [], []
     for o in range(window - K + 1):
-        hit = (mask >> np.uint64(o) & np.uint64(1)).astype(bool)
-        docs.append(doc[hit])
+        hit = np.nonzero(mask >> np.uint64(o) & np.uint64(1))[0]
+        rows.append(hit)
         starts.append(pos[hit] - o)
-    doc, s = np.concatenate(docs), np.concatenate(starts)
-    return R.settled(doc, s, s + window, n)
+    at, s = np.concatenate(rows), np.concatenate(starts)
+    return R.settled(doc[at], copy[at], s, s + window, n)
 
 
 def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, ranges`` of documents (non-null ids) with bytes that a smaller document has."""
+    """``doc_id, _copy, _ranges`` of documents (non-null ids) with bytes that a smaller document has."""
     nb = buckets_for(docs, 4 << 20)
     left, n_suffix, groups = window - K, _FINER * nb, groups_for(docs, nb)
     # about a million leads at most come to the driver as the sample for the splitters, however large the input is
     every = max(4096, nb * _ANCHORS_PER_BUCKET >> 20)
     found = checkpoint(R.survivors(docs, byte_symbols, K, window, nb, groups, same_doc=False, lead=lambda raw, p: raw[p : p + K], sample_every=every))
-    hot = R.hot_grams(found)
+    names = R.hot_filter(found)
+    any_hot, hot = bool(names.any()), Shared(docs.sparkSession, names)
     sample = sorted(r[0] for r in found.where(F.col("kind") == R.SAMPLE).select("data").collect())
     splitters = np.array(sorted(set(sample[:: max(1, len(sample) // n_suffix)])), dtype=f"S{K}")  # at most about one for each bucket
     per_doc = R.regrouped(found, groups, 1, "data")
-    where = docs.join(per_doc, "doc_id").select("doc_id", F.col("text").cast("binary"), "data")
+    where = docs.join(per_doc, ["doc_id", "_copy"]).select("doc_id", "_copy", F.col("text").cast("binary"), "data")
 
     def flush(held, hot_held):
         rows = []
         if held:
-            ctx, doc, pos, lo, hi = (np.concatenate(c) for c in zip(*held))
+            ctx, doc, copy, pos, lo, hi = (np.concatenate(c) for c in zip(*held))
             mask = repeated_offsets(ctx, doc, lo, hi, window)
-            rows += _ranges(doc, pos, mask, window, groups)
+            rows += _ranges(doc, copy, pos, mask, window, groups)
             every = (np.uint64(1) << (hi - lo + 1).astype(np.uint64)) - np.uint64(1) << lo.astype(np.uint64)
             todo = mask != every
-            ctx, doc, pos, lo, hi = (a[todo] for a in (ctx, doc, pos, lo, hi))
+            ctx, doc, copy, pos, lo, hi = (a[todo] for a in (ctx, doc, copy, pos, lo, hi))
             leads = np.ascontiguousarray(ctx[:, left : left + K]).view(f"S{K}")[:, 0]
             b = np.searchsorted(splitters, leads, side="right")
             for i in np.split(np.argsort(b, kind="stable"), np.nonzero(np.diff(np.sort(b)))[0] + 1) if len(b) else []:
-                data = R.packed(ctx[i].astype(np.uint8), doc[i].astype("<i8"), pos[i].astype("<i4"), lo[i].astype("i1"), hi[i].astype("i1"))
+                data = R.packed(ctx[i].astype(np.uint8), doc[i].astype("<i8"), copy[i].astype("<i4"), pos[i].astype("<i4"), lo[i].astype("i1"), hi[i].astype("i1"))
                 rows.append((int(b[i[0]]), R.COMPARE, 0, data))
         if hot_held:
-            h1, h2, doc, pos = (np.concatenate(c) for c in zip(*hot_held))
-            done = R.settle_windows(h1, h2, doc, pos, False)
-            rows += R.settled(doc[done], pos[done], pos[done] + window, groups)
-            h1, h2, doc, pos = h1[~done], h2[~done], doc[~done], pos[~done]
+            h1, h2, doc, copy, pos = (np.concatenate(c) for c in zip(*hot_held))
+            done = R.settle_windows(h1, h2, doc)
+            rows += R.settled(doc[done], copy[done], pos[done], pos[done] + window, groups)
+            h1, h2, doc, copy, pos = (a[~done] for a in (h1, h2, doc, copy, pos))
             b = (h1 >> np.uint64(32)) % np.uint64(nb)
             for i in np.split(np.argsort(b, kind="stable"), np.nonzero(np.diff(np.sort(b)))[0] + 1) if len(b) else []:
-                rows.append((2 * n_suffix + int(b[i[0]]), R.COMPARE, 1, R.packed(h1[i], h2[i], doc[i].astype("<i8"), pos[i].astype("<i4"))))
+                rows.append((2 * n_suffix + int(b[i[0]]), R.COMPARE, 1, R.packed(h1[i], h2[i], doc[i].astype("<i8"), copy[i].astype("<i4"), pos[i].astype("<i4"))))
         return batches_of([(b, k, d, x) if k != R.COMPARE else (b, k, 0, bytes([d]) + x) for b, k, d, x in rows], R.ROWS)
 
     def surroundings(batches):
         held, hot_held, n = [], [], 0
         for b in batches:
-            for d, text, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for d, copy, text, data in zip(*(b.column(i).to_pylist() for i in range(4))):
                 raw = np.frombuffer(text, np.uint8)
                 size = len(raw)
                 pos = np.unique(np.frombuffer(data, "<i8"))
@@ -182,23 +183,23 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
                     wide = np.concatenate([np.zeros(left, np.uint8), part, np.zeros(window, np.uint8)])
                     ctx = wide[(p - base)[:, None] + np.arange(left + window)]
                     lo, hi = np.maximum(0, p + window - size), np.minimum(left, p)
-                    if len(hot):
+                    if any_hot:
                         h = np.ascontiguousarray(ctx[:, left : left + K])
                         g = np.zeros(len(p), np.uint64)
                         for c in range(K):
                             g = g * R._MUL + (h[:, c].astype(np.uint64) + np.uint64(1))
-                        is_hot = R.in_sorted(R.mix(g) & np.uint64(0xFFFFFFFFFFFFFF00), hot)
+                        is_hot = R.named(R.mix(g), hot.value)
                         if is_hot.any():
                             s, e = R.merged(p[is_hot] - hi[is_hot], p[is_hot] - lo[is_hot] + 1)
                             at = np.concatenate([np.arange(x, y) for x, y in zip(s.tolist(), e.tolist())])
                             at = at[(at >= 0) & (at + window <= size)]
                             seg = raw[int(at[0]) : int(at[-1]) + window]
                             h1, h2 = R.gram_hashes(seg, window)[at - at[0]], R.gram_hashes(seg, window, _HASH2)[at - at[0]]
-                            hot_held.append((h1, h2, np.full(len(at), d, np.int64), at))
+                            hot_held.append((h1, h2, np.full(len(at), d, np.int64), np.full(len(at), copy, np.int64), at))
                             n += len(at) // 4
                             p, ctx, lo, hi = p[~is_hot], ctx[~is_hot], lo[~is_hot], hi[~is_hot]
                     if len(p):
-                        held.append((ctx, np.full(len(p), d, np.int64), p, lo, hi))
+                        held.append((ctx, np.full(len(p), d, np.int64), np.full(len(p), copy, np.int64), p, lo, hi))
                         n += len(p)
                     if n >= _RECORDS:
                         yield flush(held, hot_held)
@@ -211,27 +212,34 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
             rows = through
             suffixes, digests = [x[1:] for x in blobs if not x[0]], [x[1:] for x in blobs if x[0]]
             if suffixes:
-                ctx, doc, pos, lo, hi = (np.concatenate(c) for c in zip(*(R.unpacked(x, left + window, "<i8", "<i4", "i1", "i1") for x in suffixes)))
+                ctx, doc, copy, pos, lo, hi = (np.concatenate(c) for c in zip(*(R.unpacked(x, left + window, "<i8", "<i4", "<i4", "i1", "i1") for x in suffixes)))
                 mask = repeated_offsets(ctx, doc, lo, hi, window)
-                rows += _ranges(doc, pos.astype(np.int64), mask, window, groups)
+                rows += _ranges(doc, copy, pos.astype(np.int64), mask, window, groups)
             if digests:
-                h1, h2, doc, pos = (np.concatenate(c) for c in zip(*(R.unpacked(x, "<u8", "<u8", "<i8", "<i4") for x in digests)))
-                done = R.settle_windows(h1, h2, doc, pos, False)
+                h1, h2, doc, copy, pos = (np.concatenate(c) for c in zip(*(R.unpacked(x, "<u8", "<u8", "<i8", "<i4", "<i4") for x in digests)))
+                done = R.settle_windows(h1, h2, doc)
                 at = pos[done].astype(np.int64)
-                rows += R.settled(doc[done], at, at + window, groups)
+                rows += R.settled(doc[done], copy[done], at, at + window, groups)
             if rows:
                 yield batches_of(rows, R.ROWS)
 
     told = R.buckets(where.mapInArrow(surroundings, R.ROWS_SQL), 2 * nb + 2).mapInArrow(compare, R.ROWS_SQL)
-    return R.regrouped(told, groups, 2, "ranges")
+    return R.regrouped(told, groups, 2, "_ranges")
 
 
 def removal(docs: DataFrame, finish, schema: pa.Schema, schema_sql: str, ranges_of) -> DataFrame:
     """Applies ``finish(text, starts, ends)`` to every document with its removed ranges; the columns of docs stay in front."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")).where("doc_id is not null")
+    several = checkpoint(ids.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("doc_id"))
     known = docs.where("doc_id is not null")
+    if several.isEmpty():
+        known = known.withColumn("_copy", F.lit(0).cast("long"))
+    else:  # rows that share an id with different texts are told apart by a hash of the text
+        told = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 31))
+        known = known.join(several.withColumn("_several", F.lit(True)), "doc_id", "left").withColumn("_copy", F.when(F.col("_several"), told).otherwise(F.lit(0).cast("long")))
     parts = [
-        known.join(ranges_of(known.select("doc_id", "text")), "doc_id", "left").select(*docs.columns, "ranges"),
-        docs.where("doc_id is null").withColumn("ranges", F.lit(None).cast("binary")),
+        known.select(*docs.columns, "_copy").join(ranges_of(known.select("doc_id", "_copy", "text")), ["doc_id", "_copy"], "left").select(*docs.columns, "_ranges"),
+        docs.where("doc_id is null").withColumn("_ranges", F.lit(None).cast("binary")),
     ]
     names, made_names = docs.columns, schema.names
     text_at, n_cols = names.index("text"), len(names)
@@ -267,8 +275,8 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     A byte goes when a ``window``-byte string over it also starts in a document
     with a smaller id, judged on the input. Null and short texts lose nothing.
     A null doc_id is kept whole and is no source for others. Rows that share a
-    doc_id are one document's (they never repeat each other and must hold one
-    text). Very long texts are read in overlapping segments. Other columns do
+    doc_id never repeat each other, whether their texts are the same or not.
+    Very long texts are read in overlapping segments. Other columns do
     not matter; an empty table gives none.
     """
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])

@@ -106,11 +106,41 @@ def test_suffix_dedup(docs, empty):
 def test_suffix_dedup_of_hot_grams(docs, monkeypatch):
     from scholium.llm import repeats
 
-    monkeypatch.setattr(repeats, "hot_grams", lambda found: np.sort(repeats.anchors(np.frombuffer(corpus()[9][1].encode(), np.uint8), suffix.K, suffix.K + 1)[1]))
+    monkeypatch.setattr(repeats, "HOT", 1)
     want = brute_bytes()
     assert all(tuple(r)[1:] == want[r["doc_id"]][:4] for r in suffix.dedup(docs.where("doc_id is not null")).collect())
 
 
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """Rows of one id with different texts are compared with smaller ids, not with each other."""
+    from scholium.llm import repeats
+
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    base, other = say(60), say(60)
+    rows = [(5, base), (5, "x y " + base), (5, base), (7, other), (7, base + " " + other), (3, other[20:]), (7, other + " " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_copy", F.lit("clash")).withColumn("_ranges", F.lit(1))
+    want_bytes, want_words = [], []
+    for d, t in rows:
+        raw, w = t.encode(), t.encode().split()
+        cut, gone = bytearray(len(raw)), [0] * len(w)
+        before = [x.encode() for e, x in rows if e < d]
+        for i in range(len(raw) - 49):
+            if any(raw[i : i + 50] in x for x in before):
+                cut[i : i + 50] = b"\1" * 50
+        seen = {tuple(x.split()[i : i + 20]) for x in before for i in range(len(x.split()) - 19)}
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            if k in seen or k in {tuple(w[j : j + 20]) for j in range(i)}:
+                gone[i : i + 20] = [1] * 20
+        want_bytes.append((d, len(raw), sum(cut)))
+        want_words.append((d, len(w), sum(gone)))
+    for hot in (20_000, 1):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        assert sorted(tuple(r)[:3] for r in suffix.dedup(df).collect()) == sorted(want_bytes)
+        assert sorted(tuple(r)[:3] for r in phrases.dedup(df).collect()) == sorted(want_words)
+
+
 def brute_words(window=20):
     out, seen = {}, set()
     for d, t in sorted((x for x in corpus() if x[0] is not None)):
@@ -130,8 +160,7 @@ def test_phrase_dedup(docs, empty, hot, monkeypatch):
     if hot:
         from scholium.llm import repeats
 
-        every = np.unique(np.concatenate([repeats.anchors(phrases.word_symbols((t or "").encode())[0], phrases.K, 20)[1] for _, t in corpus()]))
-        monkeypatch.setattr(repeats, "hot_grams", lambda found: every[::2])
+        monkeypatch.setattr(repeats, "HOT", 2)
     want = brute_words()
     w = corpus()[0][1].encode().split()
     want[None] = (len(w), 0, hashlib.sha256(b" ".join(w)).hexdigest())

@@ -85,16 +85,25 @@ def test_repeated_offsets(docs):
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=25), min_size=1, max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_automata_locate_all_later_windows(passages):
-    docs, starts = np.arange(len(passages)), np.zeros(len(passages), np.int64)
-    doc, at = phrases.locate(docs, starts, passages, 4)
-    seen, want = set(), set()
-    for d, words in enumerate(passages):
-        for i in range(len(words) - 3):
-            k = tuple(words[i : i + 4])
-            if k in seen:
-                want.add((d, i))
-            seen.add(k)
-    assert set(zip(doc.tolist(), at.tolist())) == want
+    docs, none = np.arange(len(passages)), np.zeros(len(passages), np.int64)
+    for window in (4, 10, 7):  # groups of four, five and one
+        doc, at = phrases.locate(docs, none, none, passages, window)
+        seen, want = set(), set()
+        for d, words in enumerate(passages):
+            for i in range(len(words) - window + 1):
+                k = tuple(words[i : i + window])
+                if k in seen:
+                    want.add((d, i))
+                seen.add(k)
+        assert set(zip(doc.tolist(), at.tolist())) == want
+
+
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=40), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_group_numbers(symbols, n):
+    got = phrases.groups_of(np.array(symbols, np.int64), n)
+    grams = [tuple(symbols[i : i + n]) for i in range(len(symbols) - n + 1)]
+    assert len(got) == max(0, len(grams)) and all((got[i] == got[j]) == (grams[i] == grams[j]) for i in range(len(grams)) for j in range(len(grams)))
 
 
 def test_fingerprint_edges():
