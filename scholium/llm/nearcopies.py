@@ -3,10 +3,13 @@
 Two shingle sets with a Jaccard similarity of at least t share an element among
 the first n - ceil(t * n) + 1 of each, in any order that holds for all sets
 (prefix filtering). The order puts shingles that are frequent in a bounded
-sample last, so a common line seldom brings documents together. Small buckets
-emit pairs, which are verified from the texts; the members of a large bucket
-come with their sets and are searched from member to member until none is
-left, so that a group of any size gives a tree of links and not its pairs.
+sample last, so a common line seldom brings documents together. Elements travel
+as packed blobs, texts only of documents that have a partner to be compared
+with, compressed. Small groups of an element emit pairs, which are verified
+from the texts. A larger group is cut into chunks that share a core of its
+members; a chunk is searched from member to member until none is left, so that
+it gives a tree of links and not its pairs. Groups that still hold several
+components are then searched chunk against chunk.
 """
 
 from __future__ import annotations
@@ -15,14 +18,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_column, checkpoint, connected_components
+from .common import Shared, batches_of, buckets_for, bytes_column, checkpoint, connected_components
+from .repeats import mix, packed, starts_of, unpacked
 
 SEED = 42
-#: Texts in the sample for frequent shingles, its counts that make one frequent, how many are kept, members of a small bucket, and of a member's large buckets how many are searched first.
-SAMPLE, FREQUENT, KEPT, SMALL, FIRST = 5_000, 4, 65_536, 32, 3
+#: Texts in the sample for frequent shingles, its counts that make one frequent, how many are kept.
+SAMPLE, FREQUENT, KEPT = 5_000, 4, 65_536
+#: Members of a small group; of a chunk; of the core of a larger one; of a member's larger groups how many are searched first.
+SMALL, CHUNK, CORE, FIRST = 32, 2_048, 32, 2
+_FILTER = 27
+_FLUSH = 1 << 20
 
 
 def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -72,15 +81,6 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            s = [shingles(t, k) for t in bytes_column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "elements"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, elements binary")
-
-
 def _frequent(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a bounded sample of texts, ascending, and their counts in it."""
     share = max(1, texts.count() // SAMPLE)
@@ -105,37 +105,114 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("node", F.xxhash64("text"))
-    hot = spark.sparkContext.broadcast(_frequent(texts, shingle))
+    hot = Shared(spark, _frequent(texts, shingle))
+    nb = buckets_for(texts, 8 << 20)
+    blobs = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
+    def pack(held):
+        sizes = [len(t) for *_, t in held]
+        tok = np.concatenate([t for *_, t in held])
+        node, n = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
+        at = np.concatenate([np.arange(k) for k in sizes])
+        bucket = (mix(tok.view(np.uint64)) >> np.uint64(32)) % np.uint64(nb)
+        order = np.lexsort((tok, bucket))
+        return batches_of([(int(bucket[i[0]]), packed(tok[i], node[i], n[i].astype("<i4"), at[i].astype("<i4"))) for i in np.split(order, starts_of(bucket[order])[1:])], blobs)
 
     def prefixes(batches):
+        held, n, seen = [], 0, set()
         for b in batches:
-            node, toks, size = b.column(0).to_numpy(), [], []
-            for t in bytes_column(b, "text"):
+            for node, t in zip(b.column(0).to_pylist(), bytes_column(b, "text")):
+                if node in seen:
+                    continue
+                seen.add(node)
                 s = shingles(t, shingle)
-                toks.append(prefix(s, *hot.value) if len(s) else s)
-                size.append(len(s))
-            each = [len(t) for t in toks]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)), pa.array(np.repeat(node, each), pa.int64()), pa.array(np.repeat(size, each), pa.int32()), pa.array(np.concatenate([np.arange(e) for e in each]) if each else each, pa.int32())], names=["s", "node", "n", "at"])
-
-    heads = texts.select("node", "text").mapInArrow(prefixes, "s long, node long, n int, at int")
-    buckets = checkpoint(heads.groupBy("s").agg(F.collect_set(F.struct("node", "n", "at")).alias("ns")).where(F.size("ns") > 1))
-    small, large = buckets.where(F.size("ns") <= SMALL), buckets.where(F.size("ns") > SMALL)
-
-    two = small.select("ns", F.explode("ns").alias("x")).select("x", F.explode("ns").alias("y")).where("x.node < y.node and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
-    # in the bucket of a pair's first common shingle, all common ones stand at its place or behind it
-    two = two.where("9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)")
-    pairs = checkpoint(two.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
-    member = large.select("s", F.size("ns").alias("size"), F.explode("ns.node").alias("node"))
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(member.select("node")).distinct()
-    sets = checkpoint(_sets(texts.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]), shingle))
+                if len(s):
+                    held.append((node, len(s), prefix(s, *hot.value)))
+                    n += len(held[-1][2])
+                if n >= _FLUSH:
+                    yield pack(held)
+                    held, n, seen = [], 0, set()
+        if held:
+            yield pack(held)
+
+    rows = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32())])
+
+    def meet(data):
+        """Pairs (kind 0) of small groups, and members (kind 1: node, element, chunk, chunks) of larger ones."""
+        tok, node, n, at = (np.concatenate(c) for c in zip(*(unpacked(x, "<i8", "<i8", "<i4", "<i4") for x in data)))
+        order = np.lexsort((node, tok))
+        tok, node, n, at = tok[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        own = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])])
+        tok, node, n, at = tok[own], node[own], n[own], at[own]
+        first = starts_of(tok)
+        size = np.diff(np.append(first, len(tok)))
+        few = np.repeat(size <= SMALL, size)
+        pairs = []
+        for d in range(1, min(SMALL, len(tok))):  # members that stand d apart in their group
+            i = np.nonzero((tok[d:] == tok[:-d]) & few[d:])[0]
+            j = i + d
+            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            # in the group of a pair's first common shingle, all common ones stand at its place or behind it
+            ok = (5 * lo >= 4 * hi) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+            pairs.append(np.stack([node[i[ok]], node[j[ok]]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        zero = np.zeros(len(pairs), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zero), pa.array(zero)], schema=rows)
+        for g in np.nonzero(size > SMALL)[0].tolist():
+            mine = node[first[g] : first[g] + size[g]]
+            mine = mine[np.argsort(mix(mine.view(np.uint64)))]
+            chunks = -(-len(mine) // CHUNK)
+            chunk = np.concatenate([np.repeat(np.arange(chunks), min(CORE, len(mine))), np.arange(max(0, len(mine) - CORE)) % chunks]).astype(np.int32)
+            who = np.concatenate([np.tile(mine[:CORE], chunks), mine[CORE:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), np.int8)), pa.array(who), pa.array(np.full(len(who), tok[first[g]])), pa.array(chunk), pa.array(np.full(len(who), chunks, np.int32))], schema=rows)
+
+    def meetings(batches):
+        now, data = None, []
+        for b in batches:
+            for bucket, x in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != now and data:
+                    yield from meet(data)
+                    data = []
+                now = bucket
+                data.append(x)
+        if data:
+            yield from meet(data)
+
+    dealt = texts.select("node", "text").mapInArrow(prefixes, "bucket int, data binary").repartition(min(nb, 1 << 16), "bucket").sortWithinPartitions("bucket")
+    met = checkpoint(dealt.mapInArrow(meetings, "kind byte, x long, y long, chunk int, chunks int"))
+    pairs = met.where("kind = 0").select("x", "y").distinct()
+    member = met.where("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("s"), "chunk", "chunks")
+
+    # texts of nodes that a filter of fixed size names; it names some more as well
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(member.select("node"))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - _FILTER}) & 63 as int))")
+    words = nodes.groupBy(F.shiftrightunsigned("node", 70 - _FILTER).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << _FILTER - 6, np.uint64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    needed = Shared(spark, table)
+
+    def chosen(batches):
+        shrink = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            node = b.column(0).to_numpy().view(np.uint64)
+            p = node >> np.uint64(64 - _FILTER)
+            there = np.nonzero(needed.value[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1))[0]
+            there = there[np.unique(node[there], return_index=True)[1]]
+            t = bytes_column(b, "text")
+            yield pa.RecordBatch.from_arrays([pa.array(node[there].view(np.int64)), pa.array([shrink.compress(t[i]) for i in there.tolist()], pa.binary())], names=["node", "body"])
+
+    bodies = checkpoint(texts.select("node", "text").mapInArrow(chosen, "node long, body binary").dropDuplicates(["node"]))
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
-        both = ((np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for a, b in zip(x, y))
+        def sets(z):
+            return shingles(zstandard.decompress(z), shingle)
+
+        both = ((sets(a), sets(b)) for a, b in zip(x, y))
         return pd.Series([bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))) for a, b in both], dtype=bool)
 
-    sx, sy = (sets.select(F.col("node").alias(c), F.col("elements").alias(f"s{c}")) for c in "xy")
-    found = pairs.join(sx, "x").join(sy, "y").where(verified("sx", "sy")).select("x", "y")
+    bx, by = (bodies.select(F.col("node").alias(c), F.col("body").alias(f"b{c}")) for c in "xy")
+    found = checkpoint(pairs.join(bx, "x").join(by, "y").where(verified("bx", "by")).select("x", "y"))
 
     def search(batches):
         key, nodes, held = None, [], []
@@ -145,28 +222,31 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["x", "y"])
 
         for b in batches:
-            for s, node, e in zip(*(c.to_pylist() for c in b.columns)):
-                if s != key:
+            for *at, node, z in zip(*(c.to_pylist() for c in b.columns)):
+                if at != key:
                     yield out()
-                    key, nodes, held = s, [], []
+                    key, nodes, held = at, [], []
                 nodes.append(node)
-                held.append(np.frombuffer(e, "<i8"))
+                held.append(shingles(zstandard.decompress(z), shingle))
         yield out()
 
     def searched(rows: DataFrame) -> DataFrame:
-        dealt = rows.join(sets, "node").select("s", "node", "elements").repartition("s").sortWithinPartitions("s", "node")
+        """Links within each group of ``rows (s, i, j, node)``."""
+        dealt = rows.join(bodies, "node").select("s", "i", "j", "node", "body").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "node")
         return dealt.mapInArrow(search, "x long, y long")
 
-    # a group's members share many large buckets: each goes to its largest ones, then to those that still hold several components
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("size").desc(), "s"))
-    first = member.withColumn("nth", nth).where(F.col("nth") <= FIRST)
+    # members of a group share many elements: each goes to its largest groups, then to those that still hold several components
+    each = member.select("node", "s", "chunks").distinct()
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("chunks").desc(), "s"))
+    ahead = each.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("node", "s")
+    first = member.join(ahead, ["node", "s"], "left_semi").select("s", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node")
     found = checkpoint(found.unionByName(searched(first)).distinct())
     comps = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    of = member.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = of.groupBy("s").agg((F.min("component") < F.max("component")).alias("several"), F.first("size").alias("size"))
-    done = first.groupBy("s").agg(F.count("*").alias("came"))
-    again = open_.join(done, "s", "left").where(F.col("several") & (F.coalesce("came", F.lit(0)) < F.col("size"))).select("s")
-    found = checkpoint(found.unionByName(searched(member.join(again, "s", "left_semi"))).distinct())
+    of = each.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = of.groupBy("s").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("s")
+    again = each.join(open_, "s", "left_semi").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    again = again.select("s", "node", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node")
+    found = checkpoint(found.unionByName(searched(again)).distinct())
     ids = texts.select("node", "doc_id").join(found.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     a, b = (ids.select(F.col("node").alias(c), F.col("id").alias(d)) for c, d in (("x", "a"), ("y", "b")))
     return found.join(a, "x").join(b, "y").select("a", "b")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from scholium.llm import nearcopies, simhash
@@ -38,7 +39,10 @@ def jaccard_pairs(s):
     return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if s[a] and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("chunk", [2048, 24])
+def test_near_copies(spark, chunk, monkeypatch):
+    monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+    monkeypatch.setattr(nearcopies, "CORE", min(chunk, 2))
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(4000)}"
     base, line = [word() for _ in range(120)], [word() for _ in range(30)]
