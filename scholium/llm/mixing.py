@@ -23,8 +23,8 @@ LETTERS = "enisrathouldcqwkyéèêçàùñóíäöüß"
 EVIDENCE = 60.0
 
 
-def profile(docs: DataFrame, domain: str) -> DataFrame:
-    """``doc_id, domain, n_tokens, counts`` of every row; counts per letter of LETTERS."""
+def profile(docs: DataFrame, domain: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, domain, n_tokens, counts`` of every row, and ``carry`` as they are; counts per letter of LETTERS."""
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     size = F.length(low)
     counts = F.array(*[(size - F.length(F.replace(low, F.lit(c)))).cast("int") for c in LETTERS])
@@ -33,6 +33,7 @@ def profile(docs: DataFrame, domain: str) -> DataFrame:
         F.col(domain).cast("string").alias("domain"),
         F.regexp_count(low, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
         counts.alias("counts"),
+        *carry,
     )
 
 
@@ -41,21 +42,25 @@ def dot(values: Column, weights: list[float]) -> Column:
     return sum((values[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(0.0))
 
 
-def posteriors(known: DataFrame, labelled_ids: DataFrame, domains: list[str]) -> DataFrame:
-    """Adds ``posterior``: array<double> over ``domains``, from the labelled documents' domains."""
+def learned(known: DataFrame, labelled_ids: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log priors, and per domain the log probability of each letter, from the labelled documents' domains."""
     train = known.join(labelled_ids, "doc_id", "left_semi").where(F.col("domain").isin(domains))
     sums = train.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(LETTERS))]).collect()  # one row per domain
     by = {r["domain"]: r for r in sums}
     n = np.array([by[d]["n"] if d in by else 0 for d in domains], float)
     c = np.array([[by[d][f"c{i}"] if d in by else 0 for i in range(len(LETTERS))] for d in domains], float) + 1.0
-    prior = np.log((n + 1) / (n + 1).sum())
-    logp = np.log(c / c.sum(axis=1, keepdims=True))
+    return np.log((n + 1) / (n + 1).sum()), np.log(c / c.sum(axis=1, keepdims=True))
+
+
+def with_posterior(known: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Adds ``posterior``: array<double> over the domains."""
+    prior, logp = model
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    scale = F.when(F.col("letters") > 0, F.least(F.lit(1.0), F.lit(EVIDENCE) / F.col("letters"))).otherwise(0.0)
-    logs = F.array(*[F.lit(float(prior[k])) + scale * dot(F.col("counts"), logp[k].tolist()) for k in range(len(domains))])
-    out = known.withColumn("letters", total).withColumn("logs", logs).withColumn("top", F.array_max("logs"))
-    out = out.withColumn("e", F.transform("logs", lambda x: F.exp(x - F.col("top")))).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-    return out.select(*known.columns, F.transform("e", lambda x: x / F.col("z")).alias("posterior"))
+    scale = F.when(F.col("_letters") > 0, F.least(F.lit(1.0), F.lit(EVIDENCE) / F.col("_letters"))).otherwise(0.0)
+    logs = F.array(*[F.lit(float(prior[k])) + scale * dot(F.col("counts"), logp[k].tolist()) for k in range(len(prior))])
+    out = known.withColumn("_letters", total).withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))
+    out = out.withColumn("_e", F.transform("_logs", lambda x: F.exp(x - F.col("_top")))).withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return out.select(*known.columns, F.transform("_e", lambda x: x / F.col("_z")).alias("posterior"))
 
 
 def rate_after(steps: list[list[float]]) -> Column:
@@ -67,8 +72,8 @@ def rate_after(steps: list[list[float]]) -> Column:
     return F.aggregate(table, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - inner(g)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", tokens: float | None = None, max_steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
-    """``doc_id, n_tokens, domain, posterior, rate`` of every row of ``docs``.
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", tokens: float | None = None, max_steps: int = 40, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, domain, posterior, rate`` of every row of ``docs``, and the columns ``carry`` names.
 
     ``targets`` are weights of domains (scaled to sum 1) of ``tokens`` in all
     (the corpus's own number if None). ``domain`` names the column that holds a
@@ -78,7 +83,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
     tokens and the prior as posterior; null ids, repeated rows and further
     columns are carried; an empty table gives none. Where targets can't be met
     with rates of zero or more, the closest totals in the metric of the
-    memberships result.
+    memberships result. Carried columns cost a second pass over the texts and
+    no shuffle.
     """
     domains = sorted(targets)
     weight = np.array([max(0.0, targets[d]) for d in domains], float)
@@ -86,7 +92,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
     k = len(domains)
     known = checkpoint(profile(docs, domain))
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    soft = checkpoint(posteriors(known, ids, domains).select("doc_id", "n_tokens", "posterior"))
+    model = learned(known, ids, domains)
+    soft = checkpoint(with_posterior(known, model).select("doc_id", "n_tokens", "posterior"))
     t = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     gram = soft.agg(F.sum(t).alias("t"), *[F.sum(t * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()  # K * (K + 1) / 2 sums
@@ -108,7 +115,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
                 break
             steps.append(step.tolist())
     top = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return soft.select("doc_id", "n_tokens", top.alias("domain"), "posterior", rate_after(steps).alias("rate"))
+    out = with_posterior(profile(docs, domain, carry), model) if carry else soft
+    return out.select("doc_id", "n_tokens", top.alias("domain"), "posterior", rate_after(steps).alias("rate"), *carry)
 
 
 def copies(rate: Column) -> Column:

@@ -327,6 +327,8 @@ def test_mixing_meets_targets(spark):
             break
         rate = np.maximum(0, rate - p @ (m @ gap))
     assert [r["rate"] for r in out] == pytest.approx(rate.tolist(), rel=1e-6)
+    carried = mixing.fitted(docs, labels, {"en": 0.4, "de": 0.6}, carry=("text", "lang")).collect()
+    assert sorted(repr((r["doc_id"], r["rate"], r["text"], r["lang"])) for r in carried) == sorted(repr((a["doc_id"], a["rate"], t, x)) for a, (_, t, x) in zip(out, rows))
     assert mixing.fitted(docs.limit(0), labels, {"en": 1.0}).count() == 0
 
 
