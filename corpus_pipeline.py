@@ -2,18 +2,18 @@
 
 Documents that the toxicity model rejects go; one document of each near-duplicate
 group stays; repeated byte strings are cut from the texts; documents that overlap
-a benchmark item go; every remaining document gets its mixing rate.
+a benchmark item go; every remaining document gets its mixing rate and keeps its text.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.llm import decontaminate, mixing, nearcopies, simhash, suffix, toxicity
-from scholium.llm.common import checkpoint_dir, connected_components
+from scholium.llm.common import checkpoint, checkpoint_dir, connected_components
 from scholium.llm.queries import MIX
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,35 +24,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model is fitted on the whole input's labelled rows, so that a stage's own rows don't shift it."""
+    """The model is fitted on the input's labelled rows, none of them held out; null and empty texts stay."""
     return toxicity.scored(docs.select(*COLUMNS), _table(spark, sf_dir, "labels")).where("predicted = 0").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; a null id is kept.
+    """The document with the smallest id of each group stays, once if its row repeats; rows with a null id are kept.
 
     Documents link if their SimHash fingerprints do (as in op10; all exact copies)
     or if their five-word shingles have a Jaccard similarity of 0.8 or more.
     """
+    docs = docs.select(*COLUMNS)
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     alike = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     links = alike.unionByName(nearcopies.near_copies(docs.select("doc_id", "text"), shingle=5))
     gone = connected_components(links).where("component <> node").select(F.col("node").alias("doc_id"))
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = checkpoint(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if again.isEmpty():
+        return left
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    once = left.join(again, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS)
+    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte of a 50-byte string that also starts in a document with a smaller id goes; no row does.
+
+    A null text stays null, a null id's text stays whole; ``n_chars`` is counted anew.
+    """
     out = suffix.cleaned(docs.select(*COLUMNS), window=50)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go, substitutions tolerated; null and empty texts overlap nothing."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, domain, posterior, rate, copies`` of every document that is left."""
-    out = mixing.fitted(docs, _table(spark, sf_dir, "labels"), MIX)
+    """Every document that is left with ``n_tokens, domain, posterior, rate, copies``; texts without words count no tokens."""
+    out = mixing.fitted(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"), MIX, carry=tuple(c for c in COLUMNS if c != "doc_id"))
     return out.withColumn("copies", mixing.copies(F.col("rate")))
 
 
@@ -64,7 +76,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: SQL can't express a trained model; each stage is tested against a brute-force version instead.
+#: SQL can't express a trained model; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
