@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholium.functions import batch
 from scholium.functions import text as T
 
 
@@ -77,32 +78,32 @@ def plain_windows(docs: DataFrame, size: int = 800, key: str = "doc_id") -> Data
 
 
 def as_of(rows: DataFrame, markers: DataFrame, at: str, marker_at: str, value: str) -> DataFrame:
-    """Each row with the value of the last marker at or before it.
+    """Each row with the value of the last marker at or before it (of equal ones, the largest value).
 
-    The markers are few (one a day, one a chapter); they are grouped into one
-    sorted array and searched per row, so the rows never move.
+    Distinct places are few beside the rows (a day, a page): the marker of each
+    place comes from one window over places and markers, with one row each, and
+    rows meet their place in a join, so neither rows nor markers are broadcast unseen.
     """
-    table = markers.agg(F.array_sort(F.collect_list(F.struct(F.col(marker_at).alias("at"), F.col(value).alias("value")))).alias("_m"))
-    hit = F.filter("_m", lambda m: m["at"] <= F.col(at))
-    return rows.crossJoin(F.broadcast(table)).withColumn(value, F.get(hit, F.size(hit) - 1)["value"]).drop("_m")
+    marks = markers.groupBy(F.col(marker_at).alias("_at")).agg(F.max(F.struct(F.col(value).alias("v"))).alias("_mark"))
+    places = rows.select(F.col(at).alias("_at")).distinct()
+    both = places.withColumn("_here", F.lit(True)).join(marks, "_at", "full_outer")
+    filled = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))).where("_here")
+    return rows.join(filled.select("_at", F.col("_mark.v").alias("_value")), F.col(at) == F.col("_at"), "left").withColumn(value, F.col("_value")).drop("_at", "_value")
 
 
 def carried_forward(df: DataFrame, value: str, by: list[str], order: list) -> DataFrame:
     return df.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-SENTENCE_ENDS = "。！？；;!?"
+#: A sentence: up to an end mark or a line's end, or what is left at the end of the text.
+SENTENCE = r"[^。！？；;!?\n]*[。！？；;!?\n]|[^。！？；;!?\n]+$"
 
 
-def sentences(text: str, most: int = 500) -> list[str]:
-    out, cur = [], ""
-    for ch in text or "":
-        cur += ch
-        if ch in SENTENCE_ENDS or ch == "\n" or len(cur) >= most:
-            if cur.strip():
-                out.append(cur.strip())
-            cur = ""
-    return [*out, cur.strip()] if cur.strip() else out
+def sentences(c: Column, most: int = 500) -> Column:
+    """The sentences of a text, longer ones cut hard at ``most`` characters; blank ones are left out."""
+    found = F.regexp_extract_all(T.strip(T.text_or_empty(c)), F.lit(SENTENCE), F.lit(0))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda i: F.substring(x, i * most + 1, F.lit(most)))
+    return F.filter(F.transform(F.flatten(F.transform(found, cut)), T.strip), lambda x: x != "")
 
 
 def packed(parts: list[str], size: int = 800, overlap: int = 120, least: int = 80) -> list[str]:
@@ -124,8 +125,144 @@ def structured_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> D
 
     def run(batches):
         for pdf in batches:
-            rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, c in enumerate(packed(sentences(t), size, overlap))]
+            rows = [(d, i, c) for d, parts in zip(pdf["doc_id"], pdf["parts"]) for i, c in enumerate(packed(list(parts), size, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, text string")
+    out = docs.select("doc_id", sentences(F.col("text")).alias("parts")).mapInPandas(run, "doc_id long, chunk_index int, text string")
     return out.select("doc_id", "chunk_index", T.short_id(F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), F.substring("text", 1, 200)).alias("chunk_id"), "text", F.length("text").alias("char_count"))
+
+
+# --- chapters and sections over the pages of documents ---
+def page_lines(pages: DataFrame, key: str = "document_id", order: str = "page_no") -> DataFrame:
+    """``key, page_no, line_no, line``: the lines of all pages, numbered from 0 through the document.
+
+    The numbers of lines before a page come from one small row per page, so pages are not sorted line by line.
+    """
+    rows = pages.select(key, F.col(order).alias("page_no"), T.lines(F.col("text")).alias("rows"))
+    before = F.sum(F.size("rows")).over(Window.partitionBy(key).orderBy("page_no")) - F.size("rows")
+    return rows.withColumn("before", before).select(key, "page_no", F.posexplode("rows").alias("i", "line"), "before").select(key, "page_no", (F.col("before") + F.col("i")).cast("long").alias("line_no"), "line")
+
+
+def outlined(rows: DataFrame, key: str = "document_id") -> DataFrame:
+    """Lines with the chapter and section they belong to.
+
+    Adds ``chapter_no, chapter_name, section_no, section_name``. Lines before
+    the first chapter of a document, and before the first section of a chapter,
+    belong to none and are left out; a document without chapters is one chapter,
+    a chapter without sections one section, both named 正文.
+    """
+    doc = Window.partitionBy(key).orderBy("line_no")
+    is_chapter = T.heading(F.col("line"), T.CHAPTER)
+    r = rows.withColumn("_c", is_chapter).withColumn("chapter_no", F.sum(F.when(F.col("_c"), 1).otherwise(0)).over(doc))
+    some = F.max("chapter_no").over(Window.partitionBy(key))
+    r = r.withColumn("chapter_name", F.last(F.when(F.col("_c"), F.col("line")), ignorenulls=True).over(doc)).withColumn("_n", some)
+    r = r.where("chapter_no > 0 OR _n = 0").withColumn("chapter_no", F.greatest("chapter_no", F.lit(1))).withColumn("chapter_name", F.coalesce("chapter_name", F.lit("正文")))
+    part = Window.partitionBy(key, "chapter_no").orderBy("line_no")
+    r = r.withColumn("_s", T.heading(F.col("line"), T.SECTION)).withColumn("section_no", F.sum(F.when(F.col("_s"), 1).otherwise(0)).over(part))
+    r = r.withColumn("section_name", F.last(F.when(F.col("_s"), F.col("line")), ignorenulls=True).over(part)).withColumn("_m", F.max("section_no").over(Window.partitionBy(key, "chapter_no")))
+    keep = (F.col("section_no") > 0) | (F.col("_m") == 0)
+    return r.withColumn("in_section", keep).withColumn("section_no", F.when(keep, F.greatest("section_no", F.lit(1)))).withColumn("section_name", F.when(keep, F.coalesce("section_name", F.lit("正文")))).drop("_c", "_n", "_s", "_m")
+
+
+def _text() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+
+
+def _numbered(prefix: str, c: Column) -> Column:
+    return F.concat(F.lit(prefix), F.lpad(c.cast("string"), 3, "0"))
+
+
+def chapters(outline_rows: DataFrame, key: str = "document_id") -> DataFrame:
+    """``key, chapter_id, chapter_name, page_start, page_end, line_start, line_end, text, section_count``."""
+    g = outline_rows.groupBy(key, "chapter_no", "chapter_name").agg(
+        F.min_by("page_no", "line_no").alias("page_start"), F.max_by("page_no", "line_no").alias("page_end"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), _text().alias("text"), F.coalesce(F.max("section_no"), F.lit(0)).cast("long").alias("section_count")
+    )
+    return g.select(key, _numbered("chapter_", F.col("chapter_no")).alias("chapter_id"), "chapter_name", "page_start", "page_end", "line_start", "line_end", "text", "section_count")
+
+
+def sections(outline_rows: DataFrame, key: str = "document_id") -> DataFrame:
+    """``key, chapter_id, chapter_name, section_id, section_name, line_start, line_end, text``; line numbers count from the chapter's first line."""
+    first = F.min("line_no").over(Window.partitionBy(key, "chapter_no"))
+    r = outline_rows.withColumn("_first", first).where("in_section")
+    g = r.groupBy(key, "chapter_no", "chapter_name", "section_no", "section_name").agg((F.min("line_no") - F.min("_first")).alias("line_start"), (F.max("line_no") - F.min("_first")).alias("line_end"), _text().alias("text"))
+    return g.select(key, _numbered("chapter_", F.col("chapter_no")).alias("chapter_id"), "chapter_name", _numbered("section_", F.col("section_no")).alias("section_id"), "section_name", "line_start", "line_end", "text")
+
+
+def course_outline(outline_rows: DataFrame, key: str = "document_id") -> DataFrame:
+    """``key, chapter_count, section_count, chapters``: the table of contents as an array."""
+    c = chapters(outline_rows, key)
+    entry = F.struct("chapter_id", "chapter_name", "page_start", "page_end", "section_count")
+    return c.groupBy(key).agg(F.count("*").alias("chapter_count"), F.sum("section_count").alias("section_count"), F.array_sort(F.collect_list(entry)).alias("chapters"))
+
+
+def chunk_metadata(chunks: DataFrame) -> DataFrame:
+    """Adds id, flags, difficulty and counts to ``course_id, document_id, chunk_index, text, ...``."""
+    text = F.col("text")
+    count = F.size(T.formulas(text))
+    return chunks.select(
+        *chunks.columns,
+        F.concat(F.lit("chunk_"), T.short_id(F.col("course_id"), F.col("document_id").cast("string"), F.col("chunk_index").cast("string"), F.substring("text", 1, 200))).alias("chunk_id"),
+        count.cast("long").alias("formula_count"),
+        (count > 0).alias("has_formula"),
+        T.has_example(text).alias("has_example"),
+        T.has_exercise(text).alias("has_exercise"),
+        T.difficulty(text).alias("difficulty"),
+        T.tags(text).alias("tags"),
+        F.length(text).cast("long").alias("char_count"),
+    )
+
+
+def page_chunks(pages: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
+    """Chunks that never leave their page: ``course_id, document_id, chunk_index, page_no, chapter_id, chapter_name, section_name, content_type, start_offset, end_offset, text`` and metadata.
+
+    ``pages`` is ``(course_id, document_id, page_no, text)`` with cleaned texts.
+    A page's chapter and section are those of its first line, if that is a
+    heading, else its last headings, else those of the page before; the chapter
+    number counts headings. Offsets count two characters between pages.
+    """
+    rows = T.lines(F.col("text"))
+    p = pages.select("course_id", "document_id", "page_no", rows.alias("rows")).where(F.size("rows") > 0).withColumn("text", T.joined(F.col("rows")))
+    head, first = F.filter("rows", T.chunk_heading), F.col("rows")[0]
+    top = F.when(T.chunk_heading(first), first)
+    own = F.filter(head, T.is_chunk_chapter)
+    last = lambda a: F.get(a, F.size(a) - 1)
+    top_chapter = F.when(T.is_chunk_chapter(top), top)
+    p = p.withColumn("_chapter", F.coalesce(top_chapter, last(own))).withColumn("_section", F.coalesce(top, last(head)))
+    p = p.withColumn("_n", F.size(own) + F.when(top_chapter.isNotNull() & (top_chapter != last(own)), 1).otherwise(0))
+    w = Window.partitionBy("course_id", "document_id").orderBy("page_no")
+    number = F.sum("_n").over(w)
+    p = p.withColumn("chapter_name", F.coalesce(F.last("_chapter", ignorenulls=True).over(w), F.lit("正文"))).withColumn("section_name", F.coalesce(F.last("_section", ignorenulls=True).over(w), F.lit("正文")))
+    p = p.withColumn("chapter_id", _numbered("chapter_", number)).withColumn("_base", F.sum(F.length("text") + 2).over(w) - F.length("text") - 2)
+    b = p.select("course_id", "document_id", "page_no", "chapter_id", "chapter_name", "section_name", "_base", F.posexplode(T.block_rows(F.col("text"))).alias("_b", "_block"))
+    c = b.select("*", F.posexplode(batch.pieces(size, overlap)(F.col("_block.text"))).alias("_p", "_piece"))
+    index = F.row_number().over(Window.partitionBy("course_id", "document_id").orderBy("page_no", "_b", "_p")) - 1
+    out = c.select(
+        "course_id", "document_id", index.alias("chunk_index"), "page_no", "chapter_id", "chapter_name", "section_name", F.col("_block.content_type").alias("content_type"),
+        (F.col("_base") + F.col("_piece.start")).cast("long").alias("start_offset"), (F.col("_base") + F.col("_piece.end")).cast("long").alias("end_offset"), F.col("_piece.text").alias("text"),
+    )
+    return chunk_metadata(out)
+
+
+def section_chunks(outline_rows: DataFrame, course: Column, key: str = "document_id", size: int = 800, overlap: int = 100, least: int = 6) -> DataFrame:
+    """Chunks along an outline: the typed blocks of every section, cut to size; pieces under ``least`` characters go unless they are the document's first."""
+    s = sections(outline_rows, key).withColumn("course_id", course)
+    b = s.select("course_id", key, "chapter_id", "chapter_name", "section_id", "section_name", F.posexplode(T.block_rows(F.col("text"))).alias("_b", "_block"))
+    c = b.select("*", F.posexplode(batch.pieces(size, overlap)(F.col("_block.text"))).alias("_p", "_piece"))
+    order = Window.partitionBy("course_id", key).orderBy("chapter_id", "section_id", "_b", "_p")
+    kept = c.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) | (F.length("_piece.text") >= least))
+    out = kept.select("course_id", F.col(key).alias("document_id"), (F.row_number().over(order) - 1).alias("chunk_index"), "chapter_id", "chapter_name", "section_name", F.col("_block.content_type").alias("content_type"), F.col("_piece.start").alias("start_offset"), F.col("_piece.end").alias("end_offset"), F.col("_piece.text").alias("text"))
+    return chunk_metadata(out)
+
+
+def first_occurrence(terms: DataFrame, rows: DataFrame, term: str = "term", key: str = "document_id") -> DataFrame:
+    """Each ``(key, term)`` with the first line of its document that holds it."""
+    hit = terms.join(rows, key).where(F.contains(F.col("line"), F.col(term)))
+    return hit.groupBy(key, term).agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("line"))
+
+
+def best_match(queries: DataFrame, names: DataFrame, scorer, least: float = 0.0) -> DataFrame:
+    """``query, name, score``: for each query the best of the (few, distinct) names, the first by name on a tie."""
+    pairs = queries.select("query").crossJoin(F.broadcast(names.select("name").distinct()))
+    scored = pairs.withColumn("score", scorer("query", "name")).where(F.col("score") >= least)
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "name"))
+    return scored.withColumn("_n", first).where("_n = 1").select("query", "name", "score")

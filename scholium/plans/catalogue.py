@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from scholium.functions import batch
 from scholium.functions import text as T
 from scholium.operators import analytics as A
+from scholium.operators import generators as G
 from scholium.operators import knowledge as KN
 from scholium.operators import parsing as P
 from scholium.operators import retrieval as R
@@ -102,13 +103,12 @@ def like_search(spark, sf):
 
 
 @query(
-    "WITH q AS (SELECT item_id, text AS query, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM benchmark WHERE item_id < 5) "
+    "WITH q AS (SELECT item_id, text AS query, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM benchmark) "
     "SELECT item_id, doc_id AS chunk_id, " + R6.format("0.5 + CASE WHEN contains(text, query) THEN 1 ELSE 0 END + 0.2 * len(list_filter(toks, lambda t: contains(text, t)))") + " AS score "
     "FROM documents, q WHERE contains(text, query)"
 )
 def keyword_score(spark, sf):
-    q = F.broadcast(_t(spark, sf, "benchmark").where("item_id < 5").select("item_id", F.col("text").alias("query")))  # five queries
-    hit = _fragments(spark, sf).crossJoin(q).where(F.col("text").contains(F.col("query")))
+    hit = R.containing(_fragments(spark, sf), _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")))
     return hit.select("item_id", "chunk_id", r(R.keyword_score(F.lit(0.5), F.col("text"), F.col("query"))).alias("score"))
 
 
@@ -153,9 +153,8 @@ def token_counts(spark, sf):
 )
 def vector_topk(spark, sf):
     v = _t(spark, sf, "embeddings")
-    q = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    s = v.crossJoin(q).withColumn("s", R.cosine(F.col("embedding"), F.col("q")))
-    return s.orderBy(F.col("s").desc(), "vec_id").limit(10).select("vec_id", "label", r(F.col("s")).alias("score"))
+    top = R.vector_topk(v, v.where("vec_id = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), 10)
+    return top.select("vec_id", "label", r(F.col("score")).alias("score"))
 
 
 @query(
@@ -168,16 +167,15 @@ def l2_normalise(spark, sf):
 
 
 @query(
-    "WITH a AS (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS q_id, v AS q FROM a WHERE vec_id < 3), "
+    "WITH a AS (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS q_id, v AS q FROM a WHERE vec_id % 50 = 0), "
     "s AS (SELECT q_id, vec_id, list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda z: z * z))) * sqrt(list_sum(list_transform(q, lambda z: z * z)))) AS s FROM a, q WHERE vec_id <> q_id), "
     f"t AS (SELECT q_id, vec_id, {R6.format('s')} AS score, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT q_id, vec_id, score, rank FROM t WHERE rank <= 5"
 )
 def similarity_pairs(spark, sf):
     v = _t(spark, sf, "embeddings")
-    q = F.broadcast(v.where("vec_id < 3").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")))  # three queries
-    s = v.crossJoin(q).where("vec_id <> q_id").withColumn("s", R.cosine(F.col("embedding"), F.col("q")))
-    w = Window.partitionBy("q_id").orderBy(F.col("s").desc(), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q_id", "vec_id", r(F.col("s")).alias("score"), "rank")
+    top = R.vector_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), 6)
+    w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), "vec_id")
+    return top.where("vec_id <> q_id").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q_id", "vec_id", r(F.col("score")).alias("score"), "rank")
 
 
 HASH_SQL = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS tok FROM documents), h AS (SELECT doc_id, md5(tok) AS h FROM t),
@@ -193,9 +191,7 @@ def hash_embedding(spark, sf):
 def _hybrid(spark, sf) -> DataFrame:
     f = _fragments(spark, sf)
     kw = R.bm25(f, QUERY).orderBy(F.col("bm25").desc(), "chunk_id").limit(20).select("chunk_id", F.col("bm25").alias("keyword_score"))
-    emb = R.hash_embedding(f)
-    q = R.hash_embedding(spark.createDataFrame([(QUERY,)], "text string").withColumn("chunk_id", F.lit(-1))).select("idx", F.col("val").alias("q"))
-    vec = emb.join(F.broadcast(q), "idx").groupBy("chunk_id").agg(F.sum(F.col("val") * F.col("q")).alias("vector_score")).withColumn("vector_score", r(F.col("vector_score"), 9)).orderBy(F.col("vector_score").desc(), "chunk_id").limit(20)
+    vec = R.hash_search(f, QUERY).withColumn("vector_score", r(F.col("vector_score"), 9)).orderBy(F.col("vector_score").desc(), "chunk_id").limit(20)
     return R.fused(kw, vec)
 
 
@@ -233,14 +229,16 @@ def dedupe_fragments(spark, sf):
 
 
 @query(
-    "WITH h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, text FROM documents WHERE n_chars < 600), "
+    "WITH h0 AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rank, text FROM documents), h AS (SELECT * FROM h0 WHERE rank <= 50), "
     "b AS (SELECT *, length('[' || CAST(rank AS VARCHAR) || '] ' || text || chr(10) || '来源：' || source) AS n FROM h), "
     "u AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank) AS used FROM b), o AS (SELECT *, max(CASE WHEN used > 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY rank) AS over FROM u) "
     "SELECT source AS course_id, doc_id AS chunk_id, CAST(rank AS BIGINT) AS rank, CAST(used AS BIGINT) AS used FROM o WHERE over = 0"
 )
 def context_budget(spark, sf):
-    d = _fragments(spark, sf).where("n_chars < 600").select("course_id", "chunk_id", "text", F.col("course_id").alias("citation"))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("course_id").orderBy("chunk_id")).cast("long"))
+    """The newest 50 fragments of each course as its result list."""
+    d = A.latest(_fragments(spark, sf).select("course_id", "chunk_id"), "course_id", [F.col("chunk_id").desc()], 50)
+    d = d.join(_fragments(spark, sf).select("chunk_id", "text"), "chunk_id").withColumn("citation", F.col("course_id"))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("course_id").orderBy(F.col("chunk_id").desc())).cast("long"))
     return R.context(d, "rank", 4000, ["course_id"]).select("course_id", "chunk_id", "rank", F.col("used").cast("long").alias("used"))
 
 
@@ -312,11 +310,24 @@ def block_type(spark, sf):
     return S.lines(_docs(spark, sf)).groupBy(T.block_type(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, CASE WHEN least(length(text) // 350, 3) + least(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\$[^$]+\$|[A-Za-z0-9_()]+\s*[=≤≥≈≠]\s*[A-Za-z0-9_+\-*/^() ]+)', 1), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: length(x) >= 2))), 3) <= 1 THEN '基础' WHEN least(length(text) // 350, 3) + least(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\$[^$]+\$|[A-Za-z0-9_()]+\s*[=≤≥≈≠]\s*[A-Za-z0-9_+\-*/^() ]+)', 1), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: length(x) >= 2))), 3) <= 4 THEN '中等' ELSE '困难' END AS difficulty FROM documents")
+FORMULA_SQL = r"""(?i)(\$\$.*?\$\$|\$[^$]{1,200}\$|\\\[[\s\S]{1,500}?\\\]|\\\([\s\S]{1,300}?\\\)|(?:[A-Za-z0-9_{}\x{4e00}-\x{9fff}]+)\s*[=<>≤≥≈≠]\s*[^，。；;\n]{1,120}|(?:∫|∑|∏|√|lim|\\frac|\\sum|\\int)[^，。；;\n]{0,160})"""
+FORMULAS_SQL = f"list_distinct(list_filter(list_transform(regexp_extract_all(text, '{FORMULA_SQL}', 1), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: length(x) >= 2))"
+
+
+@query(
+    f"WITH f AS (SELECT doc_id, least(length(text) // 350, 3) + least(len({FORMULAS_SQL}), 3) + CASE WHEN regexp_matches(text, '证明|推导|综合|应用|最值|极限|积分|导数|矩阵|递推|概率密度|偏导') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(text, '选择|填空|判断|基础|概念') THEN 1 ELSE 0 END AS s FROM documents) "
+    "SELECT doc_id, CASE WHEN s <= 1 THEN '基础' WHEN s <= 4 THEN '中等' ELSE '困难' END AS difficulty FROM f"
+)
 def difficulty(spark, sf):
     return _docs(spark, sf).select("doc_id", T.difficulty(F.col("text")).alias("difficulty"))
 
 
+@query(f"SELECT doc_id, len({FORMULAS_SQL}) AS n, md5(array_to_string(list_sort({FORMULAS_SQL}), '|')) AS h FROM documents")
+def formulas(spark, sf):
+    f = _docs(spark, sf).select("doc_id", T.formulas(F.col("text")).alias("f"))
+    return f.select("doc_id", F.size("f").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("f"), "|")).alias("h"))
+
+
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^[A-D][.、]|A[.、].*B[.、]') THEN '选择题' WHEN regexp_matches(text, '_{2,}|\(\s*\)') THEN '填空题' ELSE '综合题' END AS kind FROM documents")
 def question_type(spark, sf):
     return _docs(spark, sf).select("doc_id", T.question_type(F.col("text")).alias("kind"))
@@ -331,7 +342,12 @@ def heading_spans(spark, sf):
     return s.select("doc_id", "title", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
-@query()
+@query(
+    rf"WITH {LINES_SQL}, k AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^Definition([^\w]|$)') THEN 'definition' WHEN regexp_matches(line, '(?i)^(Theorem|Lemma)([^\w]|$)') THEN 'theorem' WHEN regexp_matches(line, '(?i)^Example([^\w]|$)') THEN 'example' WHEN regexp_matches(line, '(?i)^Proof([^\w]|$)') THEN 'proof' WHEN regexp_matches(line, '(?i)^Exercises?([^\w]|$)') THEN 'exercise' WHEN regexp_matches(line, '(?i)^Summary([^\w]|$)') THEN 'summary' END AS opener, "
+    r"regexp_matches(line, '(\$.*?\$|\\frac|\\sum|\\int|[=<>≤≥≈≠]|∫|∑|√|lim)') AS f FROM lines), "
+    "b AS (SELECT *, sum(CASE WHEN opener IS NOT NULL OR line_no = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM k) "
+    "SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, coalesce(max(opener), CASE WHEN bool_or(f) THEN 'formula' ELSE 'explanation' END) AS content_type, CAST(min(line_no) AS BIGINT) AS line_start, count(*) AS n_lines FROM b GROUP BY doc_id, block_no"
+)
 def typed_block_runs(spark, sf):
     return S.typed_blocks(S.lines(_docs(spark, sf)))
 
@@ -527,14 +543,11 @@ def grade_answers(spark, sf):
     return KN.graded(q).select("item_id", "is_correct", "score")
 
 
-def _intent_sql() -> str:
-    cases = ", ".join("{'score': " + " + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN {len(w)} ELSE 0 END)" for w in words) + f", 'o': {-i}, 'name': '{name}'}}" for i, (name, words) in enumerate(KN.INTENTS.items()))
-    return f"SELECT conv_id, turn, list_sort([{cases}])[-1].name AS intent FROM conversations"
-
-
-@query(_intent_sql())
+@query("SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'exam' WHEN 1 THEN 'ppt' WHEN 2 THEN 'homework_tutor' WHEN 3 THEN 'student_profile' ELSE 'learning_package' END AS intent FROM conversations")
 def intent_route(spark, sf):
-    return _t(spark, sf, "conversations").select("conv_id", "turn", KN.intent(F.col("text")).alias("intent"))
+    """Questions that name their task in other ways: an exam by two of its words, slides in capitals, nothing at all."""
+    said = F.get(F.array(*[F.lit(x) for x in ("帮我组卷，要考试用的习题", "请做 PPT 课件", "作业答疑", "看看学习情况和学习报告", "你好")]), F.pmod("conv_id", F.lit(5)).cast("int"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", KN.intent(said).alias("intent"))
 
 
 @query("SELECT event_type AS action, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
@@ -578,45 +591,275 @@ def ocr_budget(spark, sf):
     return P.ocr_budget(d, 5).where("do_ocr").select("document_id", "ord")
 
 
-@query("SELECT item_id, regexp_replace(text, '[吗？?]+$', '') AS q FROM benchmark")
+@query("SELECT item_id, trim(CASE WHEN item_id % 2 = 0 THEN trim(text) ELSE trim(text) || '？' END) || CASE WHEN contains(text, 'the') THEN '' ELSE ' the' END || CASE WHEN contains(text, 'Xyz') THEN '' ELSE ' Xyz' END AS q FROM benchmark")
 def query_rewrite(spark, sf):
-    none = F.lit("")
-    return _t(spark, sf, "benchmark").select("item_id", P.rewritten(F.col("text"), none, none, none).alias("q"))
+    """An opening, a reference word and question marks go (one mark of two stays); the point and the chapter are added where they lack."""
+    t = F.trim("text")
+    asked = F.concat(F.lit("请问 "), t, F.lit("这个"), F.when(F.col("item_id") % 2 == 0, "吗").otherwise("？？"))
+    return _t(spark, sf, "benchmark").select("item_id", P.rewritten(asked, F.lit("the"), F.lit("Xyz"), F.lit("")).alias("q"))
+
+
+@query("SELECT event_type, count(*) AS n, CASE event_type WHEN 'error' THEN '解析失败' WHEN 'view' THEN 'OCR 识别中' WHEN 'click' THEN '索引完成' ELSE event_type END AS label FROM events GROUP BY 1")
+def status_labels(spark, sf):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "ocr_processing").when(F.col("event_type") == "click", "indexed").otherwise(F.col("event_type"))
+    return _t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.first(T.labelled(status, T.STATUS_LABELS)).alias("label"))
+
+
+# --- a textbook made of the part table: headings, definitions, theorems, examples, exercises, sentences, remarks ---
+def _book(spark, sf) -> DataFrame:
+    """``course_id, document_id, page_no, text``: a document per brand, a page per 400 part keys."""
+    k, name, kind, size = F.col("p_partkey"), F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    line = (
+        F.when(k % 12 == 0, say("第", size, "章 ", name)).when(k % 12 == 1, say(size, ".", (k % 9 + 1).cast("string"), " ", kind, " ", name)).when(k % 12 == 2, say("定义：", kind, "是指", name, "部件"))
+        .when(k % 12 == 3, say("定理 ", kind, name)).when(k % 12 == 4, say("例1 ", name, " = ", size)).when(k % 12 == 5, say("习题 计算 ", kind, name)).when(k % 12 == 6, say(kind, "是", name, "的一种"))
+        .when(k % 12 == 7, say("注意 ", name)).otherwise(say(name, "，", kind, "。"))
+    )
+    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("document_id"), F.floor(k / 400).cast("int").alias("page_no"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
+    page = rows.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    return page.select(F.col("document_id").alias("course_id"), "document_id", "page_no", F.array_join(F.col("l.line"), "\n").alias("text"))
+
+
+BOOK_SQL = """bl AS (SELECT p_brand AS document_id, CAST(p_partkey // 400 AS INTEGER) AS page_no, p_partkey AS pk, p_partkey % 12 AS k, p_name, p_type, p_size,
+  CASE p_partkey % 12 WHEN 0 THEN '第' || p_size || '章 ' || p_name WHEN 1 THEN p_size || '.' || (p_partkey % 9 + 1) || ' ' || p_type || ' ' || p_name WHEN 2 THEN '定义：' || p_type || '是指' || p_name || '部件'
+    WHEN 3 THEN '定理 ' || p_type || p_name WHEN 4 THEN '例1 ' || p_name || ' = ' || p_size WHEN 5 THEN '习题 计算 ' || p_type || p_name WHEN 6 THEN p_type || '是' || p_name || '的一种' WHEN 7 THEN '注意 ' || p_name
+    ELSE p_name || '，' || p_type || '。' END AS line, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line_no FROM part),
+o1 AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY pk) AS c0, last_value(CASE WHEN k = 0 THEN line END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pk) AS cn FROM bl),
+o2 AS (SELECT *, max(c0) OVER (PARTITION BY document_id) AS cm FROM o1),
+o3 AS (SELECT * EXCLUDE (c0, cn, cm), greatest(c0, 1) AS chapter_no, coalesce(cn, '正文') AS chapter_name FROM o2 WHERE c0 > 0 OR cm = 0),
+o4 AS (SELECT *, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, chapter_no ORDER BY pk) AS s0, last_value(CASE WHEN k = 1 THEN line END IGNORE NULLS) OVER (PARTITION BY document_id, chapter_no ORDER BY pk) AS sn,
+  min(line_no) OVER (PARTITION BY document_id, chapter_no) AS first_line FROM o3),
+ol AS (SELECT *, max(s0) OVER (PARTITION BY document_id, chapter_no) AS sm FROM o4),
+ch AS (SELECT document_id, 'chapter_' || lpad(CAST(chapter_no AS VARCHAR), 3, '0') AS chapter_id, chapter_no, chapter_name, min(page_no) AS page_start, max(page_no) AS page_end, CAST(min(line_no) AS BIGINT) AS line_start, CAST(max(line_no) AS BIGINT) AS line_end,
+  string_agg(line, chr(10) ORDER BY pk) AS text, CAST(greatest(max(sm), 1) AS BIGINT) AS section_count FROM ol GROUP BY document_id, chapter_no, chapter_name)"""
+
+
+@query(f"WITH {BOOK_SQL} SELECT document_id, page_no, CAST(line_no AS BIGINT) AS line_no, line FROM bl")
+def book_lines(spark, sf):
+    return S.page_lines(_book(spark, sf))
+
+
+def _outline(spark, sf) -> DataFrame:
+    return S.outlined(S.page_lines(_book(spark, sf)))
+
+
+@query(f"WITH {BOOK_SQL} SELECT document_id, chapter_id, chapter_name, page_start, page_end, line_start, line_end, md5(text) AS h, section_count FROM ch")
+def detect_chapters(spark, sf):
+    return S.chapters(_outline(spark, sf)).withColumn("h", F.md5("text")).drop("text")
+
+
+SECTIONS_SQL = """se AS (SELECT document_id, chapter_no, chapter_name, greatest(s0, 1) AS section_no, coalesce(sn, '正文') AS section_name, CAST(min(line_no) - min(first_line) AS BIGINT) AS line_start, CAST(max(line_no) - min(first_line) AS BIGINT) AS line_end,
+  string_agg(line, chr(10) ORDER BY pk) AS text FROM ol WHERE s0 > 0 OR sm = 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {BOOK_SQL}, {SECTIONS_SQL} SELECT document_id, 'chapter_' || lpad(CAST(chapter_no AS VARCHAR), 3, '0') AS chapter_id, chapter_name, 'section_' || lpad(CAST(section_no AS VARCHAR), 3, '0') AS section_id, section_name, line_start, line_end, md5(text) AS h FROM se")
+def detect_sections(spark, sf):
+    return S.sections(_outline(spark, sf)).withColumn("h", F.md5("text")).drop("text")
+
+
+@query(f"WITH {BOOK_SQL} SELECT document_id, count(*) AS chapter_count, CAST(sum(section_count) AS BIGINT) AS section_count, list(chapter_name ORDER BY chapter_id) AS names FROM ch GROUP BY 1")
+def course_outline(spark, sf):
+    return S.course_outline(_outline(spark, sf)).select("document_id", "chapter_count", "section_count", F.col("chapters.chapter_name").alias("names"))
+
+
+CHUNK_SQL = """pg AS (SELECT document_id, page_no, arg_min(k, pk) AS k0, arg_min(line, pk) AS l0, arg_max(line, pk) FILTER (k = 0) AS own, arg_max(line, pk) FILTER (k < 2) AS head, count(*) FILTER (k = 0) AS heads, length(string_agg(line, chr(10) ORDER BY pk)) + 2 AS size FROM bl GROUP BY 1, 2),
+ps AS (SELECT document_id, page_no, coalesce(last_value(CASE WHEN k0 = 0 THEN l0 ELSE own END IGNORE NULLS) OVER w, '正文') AS chapter_name, coalesce(last_value(CASE WHEN k0 < 2 THEN l0 ELSE head END IGNORE NULLS) OVER w, '正文') AS section_name,
+  'chapter_' || lpad(CAST(sum(heads + CASE WHEN k0 = 0 AND l0 <> own THEN 1 ELSE 0 END) OVER w AS VARCHAR), 3, '0') AS chapter_id, sum(size) OVER w - size AS base FROM pg WINDOW w AS (PARTITION BY document_id ORDER BY page_no)),
+b1 AS (SELECT *, sum(CASE WHEN k IN (2, 3, 4, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_no ORDER BY pk) AS b FROM bl),
+ck AS (SELECT document_id, page_no, b, CASE WHEN b = 0 THEN 'explanation' ELSE ['definition', 'theorem', 'example', 'exercise'][CAST(arg_min(k, pk) - 1 AS INTEGER)] END AS content_type, string_agg(line, chr(10) ORDER BY pk) AS text FROM b1 GROUP BY 1, 2, 3),
+chk AS (SELECT ck.*, chapter_id, chapter_name, section_name, CAST(base AS BIGINT) AS start_offset, CAST(base + length(text) AS BIGINT) AS end_offset, row_number() OVER (PARTITION BY document_id ORDER BY page_no, b) - 1 AS chunk_index FROM ck JOIN ps USING (document_id, page_no))"""
+
+
+@query(
+    f"WITH {BOOK_SQL}, {CHUNK_SQL} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, page_no, chapter_id, chapter_name, section_name, content_type, start_offset, end_offset, length(text) AS char_count, "
+    "'chunk_' || substr(md5(document_id || ':' || document_id || ':' || chunk_index || ':' || substr(text, 1, 200)), 1, 16) AS chunk_id, content_type = 'example' AS has_example, content_type = 'exercise' AS has_exercise FROM chk"
+)
+def page_chunks(spark, sf):
+    return S.page_chunks(_book(spark, sf)).select("document_id", "chunk_index", "page_no", "chapter_id", "chapter_name", "section_name", "content_type", "start_offset", "end_offset", "char_count", "chunk_id", "has_example", "has_exercise")
 
 
-# --- knowledge and graph ---
 @query()
+def section_chunks(spark, sf):
+    return S.section_chunks(_outline(spark, sf), F.col("document_id")).select("document_id", "chunk_index", "chapter_id", "section_name", "content_type", "chunk_id", "char_count")
+
+
+def _points(spark, sf) -> DataFrame:
+    c = S.chapters(_outline(spark, sf)).select(F.concat_ws("/", "document_id", "chapter_id").alias("key"), "text")
+    names = S.chapters(_outline(spark, sf)).select(F.concat_ws("/", "document_id", "chapter_id").alias("key"), F.col("document_id").alias("course_id"), "chapter_id", "chapter_name")
+    p = KN.knowledge_points(c, "key").join(names, "key")
+    order = F.struct("chapter_id", "place")
+    return p.withColumn("ord", F.row_number().over(Window.partitionBy("course_id").orderBy(order)).cast("long"))
+
+
+POINTS_SQL = """k1 AS (SELECT document_id, chapter_no, chapter_name, 0 AS pass, pk, p_type || ' ' || p_name AS name, 'section_heading' AS source, '' AS definition FROM ol WHERE k = 1),
+k2 AS (SELECT document_id, chapter_no, chapter_name, 1 AS pass, pk, p_type AS name, 'definition' AS source, p_type || '是指' || p_name || '部件' AS definition FROM ol WHERE k = 2),
+k3 AS (SELECT document_id, chapter_no, chapter_name, 2 AS pass, pk, p_type AS name, 'sentence' AS source, p_type || '是' || p_name || '的一种' AS definition FROM ol WHERE k = 6),
+k4 AS (SELECT *, row_number() OVER (PARTITION BY document_id, chapter_no, name ORDER BY pass, pk) AS n FROM (FROM k2 UNION ALL FROM k3)),
+kp AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chapter_no, pass, pk) AS ord, 'kp_' || substr(md5(CASE source WHEN 'section_heading' THEN name WHEN 'definition' THEN name || definition ELSE definition END), 1, 12) AS kp_id FROM (FROM k1 UNION ALL SELECT * EXCLUDE (n) FROM k4 WHERE n = 1))"""
+
+
+@query(f"WITH {BOOK_SQL}, {POINTS_SQL} SELECT document_id AS course_id, chapter_name, CAST(ord AS BIGINT) AS ord, kp_id, name, source, definition FROM kp")
 def kp_extract(spark, sf):
-    return KN.knowledge_points(S.lines(_docs(spark, sf)))
+    return _points(spark, sf).select("course_id", "chapter_name", "ord", "kp_id", "name", "source", "definition")
 
 
-def _nodes(spark, sf) -> DataFrame:
-    rows = S.lines(_docs(spark, sf))
-    chapters = S.spans(rows, F.length("line") <= 20)
-    blocks = S.typed_blocks(rows).where("content_type <> 'explanation'").withColumn("name", F.concat_ws(" ", "content_type", F.col("line_start").cast("string")))
-    return KN.graph_nodes(chapters, blocks)
+def _graph(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = S.page_chunks(_book(spark, sf)).withColumn("ord", F.col("chunk_index"))
+    p = _points(spark, sf)
+    return KN.graph_nodes(f, p), f, p
 
 
-GRAPH_SQL = (
-    rf"WITH {LINES_SQL}, c AS (SELECT doc_id, line_no, line FROM lines WHERE length(line) <= 20), "
-    r"f AS (SELECT doc_id, 0 AS line_no FROM lines GROUP BY 1 HAVING bool_or(regexp_matches(line, '(\$.*?\$|\\frac|\\sum|\\int|[=<>≤≥≈≠]|∫|∑|√|lim)'))), "
-    "n AS (SELECT 'chapter:' || doc_id || ':' || line_no AS node_id, 'chapter' AS node_type, line AS name, CAST(0.95 AS DOUBLE) AS confidence, doc_id, line_no FROM c "
-    "UNION ALL SELECT 'formula:' || doc_id || ':0', 'formula', 'formula 0', CAST(0.8 AS DOUBLE), doc_id, 0 FROM f)"
-)
+GRAPH_SQL = BOOK_SQL + ", " + CHUNK_SQL + ", " + POINTS_SQL + r""",
+fo AS (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY j) AS nth FROM (SELECT document_id, chunk_index, chapter_name, unnest(fl) AS f, generate_subscripts(fl, 1) AS j FROM (SELECT *, regexp_extract_all(text, '[A-Za-z0-9_\x{4e00}-\x{9fff}]+ = [^，。；;\n]{1,120}') AS fl FROM chk))),
+n0 AS (SELECT document_id AS course_id, 0 AS rd, chunk_index AS o, 0 AS kk, 'chapter' AS node_type, chapter_id AS node_id, chapter_name AS name, chapter_name AS chapter, '' AS summary, CAST(0.95 AS DOUBLE) AS confidence FROM chk
+  UNION ALL SELECT document_id, 0, chunk_index, nth, 'formula', 'formula_' || substr(md5(f), 1, 12), substr(f, 1, 60), chapter_name, f, CAST(0.8 AS DOUBLE) FROM fo WHERE nth <= 3
+  UNION ALL SELECT document_id, 0, chunk_index, 10 + i, t, t || '_' || substr(md5(cid || '|' || substr(text, 1, 80)), 1, 12), CASE WHEN length(sm) > 40 THEN substr(sm, 1, 40) || '...' ELSE sm END, chapter_name, CASE WHEN length(sm) > 120 THEN substr(sm, 1, 120) || '...' ELSE sm END, CASE WHEN t = 'mistake' THEN CAST(0.65 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END
+    FROM (SELECT *, regexp_replace(text, '\s+', ' ', 'g') AS sm, 'chunk_' || substr(md5(document_id || ':' || document_id || ':' || chunk_index || ':' || substr(text, 1, 200)), 1, 16) AS cid FROM chk), (VALUES (1, 'example'), (2, 'exercise'), (3, 'mistake')) AS v(i, t) WHERE content_type = t OR t = 'mistake' AND contains(text, '注意')
+  UNION ALL SELECT document_id, 1, ord, 0, 'knowledge_point', kp_id, name, chapter_name, CASE WHEN definition = '' THEN name ELSE definition END, CAST(0.72 AS DOUBLE) FROM kp),
+nd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY course_id, node_id ORDER BY rd, o, kk) AS w FROM n0) WHERE w = 1)"""
 
 
-@query(GRAPH_SQL + " SELECT node_id, node_type, name, confidence FROM n")
+@query(f"WITH {GRAPH_SQL} SELECT course_id, node_id, node_type, name, chapter, summary, confidence FROM nd")
 def graph_nodes(spark, sf):
-    return _nodes(spark, sf)
+    return _graph(spark, sf)[0].drop("place")
 
 
 @query(
-    GRAPH_SQL + ", w AS (SELECT *, last_value(CASE WHEN node_type = 'chapter' THEN node_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no, node_id) AS own FROM n), "
-    "h AS (SELECT node_id, lead(node_id) OVER (PARTITION BY doc_id ORDER BY line_no, node_id) AS nx FROM n WHERE node_type = 'chapter') "
-    "SELECT node_id AS source, own AS target, 'belongs_to' AS relation, CAST(1 AS DOUBLE) AS weight FROM w WHERE node_type <> 'chapter' AND own IS NOT NULL UNION ALL SELECT node_id, nx, 'prerequisite', CAST(0.45 AS DOUBLE) FROM h WHERE nx IS NOT NULL"
+    f"WITH {GRAPH_SQL}, "
+    "cn AS (SELECT course_id, name AS chapter_name, arg_max(node_id, (rd, o, kk)) AS node FROM nd WHERE node_type = 'chapter' GROUP BY 1, 2), "
+    "e AS (SELECT document_id AS course_id, kp_id AS source, node AS target, 'belongs_to' AS relation, CAST(1 AS DOUBLE) AS weight FROM kp JOIN cn ON kp.document_id = cn.course_id AND kp.chapter_name = cn.chapter_name "
+    "UNION ALL SELECT nd.course_id, node, node_id, CASE node_type WHEN 'formula' THEN 'formula_for' WHEN 'example' THEN 'example_of' WHEN 'exercise' THEN 'used_in' ELSE 'confusable_with' END, CAST(0.8 AS DOUBLE) FROM nd JOIN cn ON nd.course_id = cn.course_id AND nd.chapter = cn.chapter_name WHERE node_type IN ('formula', 'example', 'exercise', 'mistake') "
+    "UNION ALL SELECT course_id, node_id, lead(node_id) OVER (PARTITION BY course_id ORDER BY rd, o, kk), 'prerequisite', CAST(0.45 AS DOUBLE) FROM nd WHERE node_type = 'chapter') "
+    "SELECT DISTINCT course_id, source, target, relation, weight FROM e WHERE target IS NOT NULL AND source <> target"
 )
 def graph_edges(spark, sf):
-    return KN.graph_edges(_nodes(spark, sf))
+    """Without the edges between similar names, which SQL can't score."""
+    n, f, p = _graph(spark, sf)
+    return KN.graph_edges(n, f, p).where("relation <> 'same_level'")
+
+
+@query()
+def similar_points(spark, sf):
+    n = _graph(spark, sf)[0].where("node_type = 'knowledge_point'")
+    return KN.similar_names(n.select(F.col("course_id").alias("per"), F.col("node_id").alias("id"), "name"))
+
+
+@query(f"WITH {BOOK_SQL}, t AS (SELECT DISTINCT document_id, p_name AS term FROM bl WHERE k = 4), h AS (SELECT t.document_id, term, line_no, line FROM t JOIN bl USING (document_id) WHERE contains(line, term)) SELECT document_id, term, CAST(min(line_no) AS BIGINT) AS line_no, arg_min(line, line_no) AS line FROM h GROUP BY 1, 2")
+def term_first_line(spark, sf):
+    terms = _t(spark, sf, "part").where("p_partkey % 12 = 4").select(F.col("p_brand").alias("document_id"), F.col("p_name").alias("term")).distinct()
+    return S.first_occurrence(terms, S.page_lines(_book(spark, sf)))
+
+
+def _book_fragments(spark, sf) -> DataFrame:
+    c = S.page_chunks(_book(spark, sf))
+    return c.select(F.lit("book").alias("course_id"), "document_id", F.concat_ws("/", "document_id", "chunk_id").alias("chunk_id"), "chapter_name", "section_name", F.col("content_type").alias("chunk_type"), F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), "text", "tags", F.col("tags").alias("knowledge_points"), "has_formula", "has_example", "has_exercise", F.lit(False).alias("is_ocr"), F.lit(1.0).alias("source_quality_score"))
+
+
+@query(f"WITH {BOOK_SQL}, {CHUNK_SQL} SELECT document_id, count(*) AS n FROM chk WHERE content_type = 'example' GROUP BY 1")
+def post_filter_flags(spark, sf):
+    f = R.post_filtered(_book_fragments(spark, sf), {"has_example": True, "has_exercise": False, "exclude_low_quality_ocr": True})
+    return f.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def post_filter_point(spark, sf):
+    return R.post_filtered(_book_fragments(spark, sf), {"knowledge_point": "ECONOMY"}).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+KEYWORD_SQL = """ft AS (SELECT document_id || '/' || 'chunk_' || substr(md5(document_id || ':' || document_id || ':' || chunk_index || ':' || substr(text, 1, 200)), 1, 16) AS chunk_id, document_id, page_no, chapter_name, section_name, content_type, text,
+  regexp_extract_all(lower(chapter_name || ' ' || section_name || ' ' || content_type || ' ' || text), '[a-z0-9_]+') || regexp_extract_all(chapter_name || ' ' || section_name || ' ' || content_type || ' ' || text, '[\\x{4e00}-\\x{9fff}]') AS t1 FROM chk),
+fk AS (SELECT *, len(t1) + greatest(len(list_filter(t1, lambda t: regexp_matches(t, '[\\x{4e00}-\\x{9fff}]'))) - 1, 0) AS dl FROM ft),
+fs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM fk),
+fx AS (SELECT chunk_id, dl, q.t AS term, len(list_filter(t1, lambda t: t = q.t)) AS tf FROM fk, (VALUES ('small'), ('gear')) AS q(t)),
+fd AS (SELECT term, count(*) AS df FROM fx WHERE tf > 0 GROUP BY 1),
+fb AS (SELECT chunk_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm FROM fx JOIN fd USING (term), fs WHERE tf > 0 GROUP BY 1)"""
+
+
+@query(
+    f"WITH {BOOK_SQL}, {CHUNK_SQL}, {KEYWORD_SQL}, top AS (SELECT chunk_id, text, bm FROM fb JOIN fk USING (chunk_id) ORDER BY bm DESC, chunk_id LIMIT 20) "
+    "SELECT chunk_id, CAST(row_number() OVER (ORDER BY bm DESC, chunk_id) AS INTEGER) AS rank, " + R6.format("1 / (1 + bm) + CASE WHEN contains(text, 'small gear') THEN 1 ELSE 0 END + 0.2 * (CASE WHEN contains(text, 'small') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'gear') THEN 1 ELSE 0 END)") + " AS keyword_score FROM top"
+)
+def keyword_search(spark, sf):
+    return R.keyword_search(_book_fragments(spark, sf), "book", "small gear").select("chunk_id", "rank", r(F.col("keyword_score")).alias("keyword_score"))
+
+
+@query()
+def retrieve_ladder(spark, sf):
+    """A section that no fragment has: the hits of the wider filters, marked."""
+    return R.retrieve(_book_fragments(spark, sf), "book", "small gear", section="none").select("rank", "chunk_id", r(F.col("rerank_score")).alias("rerank_score"), "why_matched", "citation")
+
+
+@query()
+def retrieve_context(spark, sf):
+    return R.retrieve_for("plan", _book_fragments(spark, sf), "book", "small gear")
+
+
+# --- reports, generated material and its review ---
+@query(
+    f"WITH {ANSWERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM a), u AS (SELECT user_id, count(*) AS total, count(*) FILTER (is_correct) AS correct, {ACC.format(c='count(*) FILTER (is_correct)', t='count(*)')} AS accuracy FROM n WHERE n <= 200 GROUP BY 1), "
+    "m AS (SELECT user_id, count(*) FILTER (NOT mastered) AS mistake_count, count(*) FILTER (mastered) AS mastered_count FROM a WHERE NOT is_correct GROUP BY 1), x AS (SELECT user_id, list(action ORDER BY n) AS recent_actions FROM n WHERE n <= 10 GROUP BY 1) "
+    "SELECT user_id, total, correct, accuracy, coalesce(mistake_count, 0) AS mistake_count, coalesce(mastered_count, 0) AS mastered_count, recent_actions FROM u JOIN x USING (user_id) LEFT JOIN m USING (user_id)"
+)
+def learner_record(spark, sf):
+    a = _answers(spark, sf)
+    return A.learner_record(a, a.where("NOT is_correct"), a)
+
+
+@query("SELECT 'part' AS table_name, count(*) AS n FROM part UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'nation', count(*) FROM nation")
+def table_counts(spark, sf):
+    return A.table_counts({n: _t(spark, sf, n) for n in ("part", "events", "nation")})
+
+
+@query(
+    f"WITH {BOOK_SQL}, {CHUNK_SQL}, d AS (SELECT document_id, count(*) AS chunk_count, count(*) FILTER (content_type <> 'theorem') AS vector_count FROM chk GROUP BY 1), pt AS (SELECT document_id, page_no, string_agg(line, chr(10) ORDER BY pk) AS text, count(*) FILTER (k = 4) AS ex, count(*) FILTER (k = 5) AS xs FROM bl GROUP BY 1, 2), "
+    "pp AS (SELECT document_id, count(*) AS p, count(*) FILTER (page_no % 3 > 0) AS good, count(*) FILTER (page_no % 3 = 0) AS failed, sum(CASE WHEN page_no % 3 > 0 THEN length(text) + 2 ELSE 0 END) - 2 AS chars, sum(CASE WHEN page_no % 3 > 0 THEN ex ELSE 0 END) AS ex FROM pt GROUP BY 1) "
+    "SELECT document_id, p AS total_pages, good AS success_pages, failed AS failed_pages, CAST(greatest(chars, 0) AS BIGINT) AS total_chars, CAST(ex AS BIGINT) AS example_count, chunk_count, vector_count, chunk_count = vector_count AS index_success, (SELECT count(*) FROM ch WHERE ch.document_id = pp.document_id) AS chapter_count FROM pp JOIN d USING (document_id)"
+)
+def document_report(spark, sf):
+    """Every third page failed; theorems have no vector."""
+    bad = F.col("page_no") % 3 == 0
+    pages = _book(spark, sf).select("document_id", "page_no", F.when(~bad, F.col("text")).otherwise("").alias("text"), F.lit("direct").alias("method"), F.lit(False).alias("is_ocr"), F.lit(False).alias("is_scanned"), F.lit(1.0).alias("quality"), F.when(bad, "lost").alias("error"), F.lit(None).cast("string").alias("failure_reason"))
+    docs = pages.select("document_id", F.lit("book").alias("course_id"), F.lit(None).cast("long").alias("page_count")).distinct()
+    frags = S.page_chunks(_book(spark, sf)).select("document_id", (F.col("content_type") != "theorem").alias("has_vector"))
+    rep = A.parse_report(docs, pages, frags, docs.select("document_id").limit(0), S.course_outline(_outline(spark, sf)))
+    return rep.select("document_id", "total_pages", "success_pages", "failed_pages", F.col("total_chars").cast("long").alias("total_chars"), "example_count", "chunk_count", "vector_count", "index_success", "chapter_count")
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS i, ['multiple_choice', 'fill_in', 'short_answer'][(i - 1) % 3 + 1] AS question_type, string_split(p_name, ' ')[(i - 1) % len(string_split(p_name, ' ')) + 1] AS point, '请围绕“' || string_split(p_name, ' ')[(i - 1) % len(string_split(p_name, ' ')) + 1] || '”完成一道基础练习。' AS stem FROM part, unnest(range(1, p_size % 5 + 2)) AS u(i)")
+def exercise_fallback(spark, sf):
+    q = _t(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("points"), F.array().cast("array<string>").alias("question_types"), (F.col("p_size") % 5 + 1).alias("n"), F.lit("").alias("chapter"))
+    e = G.exercises(q).select("p_partkey", F.posexplode("questions").alias("j", "q"))
+    return e.select("p_partkey", (F.col("j") + 1).alias("i"), "q.question_type", F.col("q.knowledge_point").alias("point"), "q.stem")
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS slide_number, ['学习目标', '核心概念', '方法步骤', '例题演示', '易错提醒', '课堂练习', '总结'][(i - 1) % 7 + 1] AS slide_title FROM part, unnest(range(1, p_size % 9 + 2)) AS u(i)")
+def slide_fallback(spark, sf):
+    s = G.slides(_t(spark, sf, "part").select("p_partkey", (F.col("p_size") % 9 + 1).alias("total_slides")))
+    return s.select("p_partkey", F.explode("slides").alias("s")).select("p_partkey", "s.slide_number", "s.slide_title")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 3 AND p_size % 5 > 0 THEN ['clarify'] ELSE list_filter([CASE WHEN p_size % 4 = 0 THEN 'review' WHEN p_size % 4 < 3 THEN 'preview' END, CASE WHEN p_size % 5 = 0 THEN 'practice' END], lambda x: x IS NOT NULL) END AS kinds FROM part")
+def learning_actions(spark, sf):
+    k, none = F.col("p_size"), F.array().cast("array<string>")
+    q = _t(spark, sf, "part").select("p_partkey", F.when(k % 4 == 0, F.split("p_name", " ")).otherwise(none).alias("weak_points"), F.when(k % 4 < 3, F.split("p_name", " ")).otherwise(none).alias("points"), (k % 5 == 0).alias("has_exercises"), F.lit(False).alias("has_diagnosis"))
+    return G.learning_actions(q).select("p_partkey", F.col("actions.type").alias("kinds"))
+
+
+@query("WITH p AS (SELECT p_partkey, p_size % 6 AS s FROM part) SELECT p_partkey, CASE s WHEN 0 THEN ['title', 'daily_tasks', 'total_time_minutes'] WHEN 1 THEN ['_root'] WHEN 2 THEN ['questions'] ELSE [] END AS fields, CASE WHEN s = 1 THEN 1 ELSE 0 END AS critical FROM p")
+def completeness_rules(spark, sf):
+    k = F.col("p_size") % 6
+    doc = F.when(k == 0, '{"references": ["a"]}').when(k == 1, "{broken").when(k == 2, '{"references": ["a"], "questions": []}').otherwise('{"references": ["a"], "questions": [1], "title": "t"}')
+    q = _t(spark, sf, "part").select("p_partkey", doc.alias("result"), F.when(k == 0, "study_plan").otherwise("exercise").alias("task_type"))
+    c = G.completeness(q).select("p_partkey", F.col("issues.field").alias("fields"), G.severity_counts(F.col("issues"))["critical"].alias("critical"))
+    return c.select("p_partkey", "fields", F.col("critical").cast("int").alias("critical"))
+
+
+@query("SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS total, l_orderkey % 3 = 0 OR l_orderkey % 3 = 1 AS is_valid FROM lineitem GROUP BY 1")
+def exam_score_check(spark, sf):
+    """A total of 0 stands for the sum; one order in three is off by one."""
+    q = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("double").alias("score"))).alias("questions"), F.sum("l_quantity").cast("double").alias("s"))
+    k = F.col("l_orderkey") % 3
+    return G.exam_check(q.withColumn("total_score", F.when(k == 0, 0.0).when(k == 1, F.col("s")).otherwise(F.col("s") + 1))).select("l_orderkey", "total", "is_valid")
 
 
 # --- batch functions: rows only ---

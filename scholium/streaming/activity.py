@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,24 @@ def sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> D
 def new_documents(uploads: DataFrame, late: str = "1 day") -> DataFrame:
     """Uploads, each content once within the watermark."""
     return uploads.withWatermark("ts", late).dropDuplicatesWithinWatermark(["doc_md5"])
+
+
+def mastery(answers: DataFrame, late: str = "1 day") -> DataFrame:
+    """Running ``user_id, total, correct, mastery`` of each learner with new answers; mastery is a mean with one right and one wrong answer assumed.
+
+    State is two counts a learner, dropped a watermark's length after the last answer.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, correct = state.get if state.exists else (0, 0)
+        for pdf in batches:
+            total, correct = total + len(pdf), correct + int(pdf["is_correct"].sum())
+        state.update((total, correct))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)
+        yield pd.DataFrame({"user_id": [key[0]], "total": [total], "correct": [correct], "mastery": [(correct + 1) / (total + 2)]})
+
+    rows = answers.select("user_id", "ts", "is_correct").withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, total long, correct long, mastery double", "total long, correct long", "update", "EventTimeTimeout")
