@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions only.
 
 A naive Bayes classifier over letter frequencies, fitted on the documents of
-the labelled table, gives every document a posterior over the domains. Rates
+the labelled table (the letters are those that tell its domains apart), gives every document a posterior over the domains. Rates
 r >= 0 then minimise the distance between the expected domain totals
 sum_d r_d * tokens_d * posterior_d and the targets by projected gradient steps.
 A step needs one aggregate of K sums over the corpus; a document's rate follows
@@ -12,22 +12,47 @@ document is rewritten between steps.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Letters whose counts are the classifier's input.
-LETTERS = "enisrathouldcqwkyéèêçàùñóíäöüß"
+#: How many letters' counts are the classifier's input, and which where no labelled document has any.
+N_LETTERS, NO_LETTERS = 32, "abcdefghijklmnopqrstuvwxyz"
 #: A posterior weighs the evidence of so many letters at most, which keeps memberships soft.
 EVIDENCE = 60.0
 
 
-def profile(docs: DataFrame, domain: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, domain, n_tokens, counts`` of every row, and ``carry`` as they are; counts per letter of LETTERS."""
+def telling_letters(docs: DataFrame, labelled_ids: DataFrame, domain: str, domains: list[str], most: int = N_LETTERS, max_fit: int = 1000) -> str:
+    """The letters of any script whose frequencies differ most between the domains.
+
+    Counted over at most ``max_fit`` labelled documents of each domain (the first by a hash of the id).
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), F.lower(F.col("text").cast("string")).alias("low"))
+    first = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = named.where(F.col("domain").isin(domains)).select("doc_id", "domain").join(labelled_ids, "doc_id", "left_semi").withColumn("_n", first).where(F.col("_n") <= max_fit).select("doc_id")
+    sample = named.where(F.col("domain").isin(domains)).join(ids, "doc_id", "left_semi")
+    chars = sample.select("domain", F.explode(F.split("low", "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$"))
+    rows = chars.groupBy("domain", "c").count().collect()  # domains x letters of their scripts
+    if not rows:
+        return NO_LETTERS
+    letters = sorted({r["c"] for r in rows})
+    at, of = {c: i for i, c in enumerate(letters)}, {d: i for i, d in enumerate(domains)}
+    n = np.zeros((len(domains), len(letters)))
+    for r in rows:
+        n[of[r["domain"]], at[r["c"]]] = r["count"]
+    p = (n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True)
+    mean = p.mean(axis=0)
+    gain = (p * np.abs(np.log(p / mean))).sum(axis=0)
+    best = sorted(range(len(letters)), key=lambda i: (-gain[i], letters[i]))[:most]
+    return "".join(sorted(letters[i] for i in best))
+
+
+def profile(docs: DataFrame, domain: str, letters: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, domain, n_tokens, counts`` of every row, and ``carry`` as they are; counts per letter."""
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     size = F.length(low)
-    counts = F.array(*[(size - F.length(F.replace(low, F.lit(c)))).cast("int") for c in LETTERS])
+    counts = F.array(*[(size - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("int") for c in letters])
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(domain).cast("string").alias("domain"),
@@ -42,13 +67,13 @@ def dot(values: Column, weights: list[float]) -> Column:
     return sum((values[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(0.0))
 
 
-def learned(known: DataFrame, labelled_ids: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def learned(known: DataFrame, labelled_ids: DataFrame, domains: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Log priors, and per domain the log probability of each letter, from the labelled documents' domains."""
     train = known.join(labelled_ids, "doc_id", "left_semi").where(F.col("domain").isin(domains))
-    sums = train.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(LETTERS))]).collect()  # one row per domain
+    sums = train.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(size)]).collect()  # one row per domain
     by = {r["domain"]: r for r in sums}
     n = np.array([by[d]["n"] if d in by else 0 for d in domains], float)
-    c = np.array([[by[d][f"c{i}"] if d in by else 0 for i in range(len(LETTERS))] for d in domains], float) + 1.0
+    c = np.array([[by[d][f"c{i}"] if d in by else 0 for i in range(size)] for d in domains], float) + 1.0
     return np.log((n + 1) / (n + 1).sum()), np.log(c / c.sum(axis=1, keepdims=True))
 
 
@@ -90,9 +115,10 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
     weight = np.array([max(0.0, targets[d]) for d in domains], float)
     weight /= weight.sum()
     k = len(domains)
-    known = checkpoint(profile(docs, domain))
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    model = learned(known, ids, domains)
+    letters = telling_letters(docs, ids, domain, domains)
+    known = checkpoint(profile(docs, domain, letters))
+    model = learned(known, ids, domains, len(letters))
     soft = checkpoint(with_posterior(known, model).select("doc_id", "n_tokens", "posterior"))
     t = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -115,7 +141,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
                 break
             steps.append(step.tolist())
     top = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    out = with_posterior(profile(docs, domain, carry), model) if carry else soft
+    out = with_posterior(profile(docs, domain, letters, carry), model) if carry else soft
     return out.select("doc_id", "n_tokens", top.alias("domain"), "posterior", rate_after(steps).alias("rate"), *carry)
 
 

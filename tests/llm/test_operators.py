@@ -332,6 +332,34 @@ def test_mixing_meets_targets(spark):
     assert mixing.fitted(docs.limit(0), labels, {"en": 1.0}).count() == 0
 
 
+def test_mixing_of_other_scripts_and_domains(spark):
+    rng = random.Random(5)
+    say = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(30))
+    kinds = {"el": "αβγδεζη", "ru": "абвгдежз", "zh": "函数极限导数积分矩阵", "code": "abcdefgz"}
+    rows = [(i, say(kinds[k]), k) for i, k in enumerate(list(kinds) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, topic string")
+    labels = spark.createDataFrame([(i,) for i in range(0, 160, 3)], "doc_id long")
+    out = {r["doc_id"]: r for r in mixing.fitted(docs, labels, dict.fromkeys(kinds, 1.0), domain="topic").collect()}
+    assert np.mean([out[i]["domain"] == k for i, _, k in rows]) == 1.0
+    # held against a count of letters in plain Python: every text's likeliest domain is the one whose letters it has
+    assert all(max(kinds, key=lambda d: sum(t.count(c) for c in set(kinds[d]))) == out[i]["domain"] for i, t, _ in rows)
+
+
+def test_quality_against_labels(spark):
+    """Held against the labels, which the operator never sees: most bad documents are rejected, hardly any good one."""
+    sf = "/root/testdata/sf0.01"
+    out = quality.scored(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["keep"]): r["count"] for r in out.groupBy("quality", "keep").count().collect()}
+    assert n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) > 0.8 and n.get((1, 0), 0) / (n[1, 1] + n.get((1, 0), 0)) < 0.02
+
+
+def test_quality_of_repeated_rows_and_ties(spark):
+    clean, junk = "A plain line of words that say little. " * 4, "XX!! ## XX!! ## " * 8
+    rows = [(i, clean if i % 3 else junk) for i in range(60)] + [(1, clean), (1, clean), (None, junk), (None, junk)]
+    got = quality.scored(spark.createDataFrame(rows, "doc_id long, text string").withColumn("pattern", F.lit("clash"))).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got}) == 2 and all(r["keep"] == int(r["doc_id"] is not None and r["doc_id"] % 3 > 0) for r in got)
+
+
 def test_quality(spark, empty):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice(["ti", "on", "er", "sh", "wh", "an"]) for _ in range(3))
