@@ -18,6 +18,7 @@ from scholium.functions import text as T
 from scholium.operators import analytics as A
 from scholium.operators import generators as G
 from scholium.operators import knowledge as KN
+from scholium.operators import lookups as L
 from scholium.operators import parsing as P
 from scholium.operators import retrieval as R
 from scholium.operators import structure as S
@@ -862,6 +863,46 @@ def exam_score_check(spark, sf):
     return G.exam_check(q.withColumn("total_score", F.when(k == 0, 0.0).when(k == 1, F.col("s")).otherwise(F.col("s") + 1))).select("l_orderkey", "total", "is_valid")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')")
+def course_answers(spark, sf):
+    ex = _t(spark, sf, "part").where("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("exercise_id"))
+    return L.answers_of(_t(spark, sf, "lineitem").withColumn("exercise_id", F.col("l_partkey")), ex).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {BOOK_SQL}, {POINTS_SQL} SELECT ch.document_id AS course_id, ch.chapter_id, ch.chapter_name, (SELECT count(*) FROM kp WHERE kp.document_id = ch.document_id AND kp.chapter_name = ch.chapter_name) AS kp_count FROM ch")
+def chapter_point_counts(spark, sf):
+    c = S.chapters(_outline(spark, sf)).select(F.col("document_id").alias("course_id"), "chapter_id", "chapter_name")
+    return L.chapter_counts(c, _points(spark, sf)).select("course_id", "chapter_id", "chapter_name", "kp_count")
+
+
+@query("WITH t AS (SELECT doc_id, CASE WHEN source = 'src5' AND lang = 'xx' THEN 0 WHEN source = 'src5' AND lang = 'de' THEN 1 WHEN source = 'src5' THEN 2 END AS tier, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS n FROM documents) SELECT doc_id AS chunk_id, CAST(tier AS INTEGER) AS tier FROM t WHERE n = 1 AND tier = (SELECT min(tier) FROM t)")
+def filter_ladder(spark, sf):
+    """No fragment is in the first tier; the German ones of the course make the second."""
+    mine = F.col("course_id") == "src5"
+    return L.laddered(_fragments(spark, sf), [mine & (F.col("lang") == "xx"), mine & (F.col("lang") == "de"), mine], ["course_id", "lang", "text"], ["chunk_id"]).select("chunk_id", "tier")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{}' ELSE '{}' END AS doc, CASE event_id % 3 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'no k' END AS warning FROM events")
+def required_key(spark, sf):
+    e = _t(spark, sf, "events")
+    doc = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("{"), F.col("props"))).otherwise('{"other": 1}')
+    return L.with_required(e.select("event_id", doc.alias("doc")), "doc", "k", "{}")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def packed_json(spark, sf):
+    """The properties as JSON within a JSON string within another."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    packed = quoted(quoted(F.col("props")))
+    return _t(spark, sf, "events").select("event_id", F.get_json_object(L.unpacked(packed), "$.k").cast("long").alias("k"))
+
+
+@query("WITH s AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY text, turn) AS n FROM conversations WHERE conv_id = 3 AND contains(lower(text), 'the')) SELECT text AS concept FROM s WHERE n <= 3")
+def session_concepts(spark, sf):
+    c = _t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("concept"))
+    return L.concepts(c, "3", "The").select("concept")
+
+
 # --- batch functions: rows only ---
 @query()
 def nfkc_clean(spark, sf):

@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium import services
+from scholium.functions import batch
 from scholium.operators import analytics as A
 from scholium.operators import generators as G
+from scholium.operators import lookups as L
+from scholium.operators import structure as S
 from scholium.sources import sinks
 from scholium.streaming import activity
 
@@ -161,3 +164,32 @@ def test_mastery_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r["user_id"]: (r["total"], r["correct"]) for r in spark.sql("select user_id, max(total) total, max(correct) correct from mastery group by 1").collect()}
     assert got[1] == (4, 2) and got[2] == (1, 1)
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([("k1", '["a"]', "broken", None, 1), ("k2", None, None, "[1.5]", 0)], "chunk_id string, knowledge_points string, source_refs string, embedding string, is_ocr int")
+    a, b = L.decoded(rows).orderBy("chunk_id").collect()
+    assert (a["knowledge_points"], a["source_refs"], a["embedding"], a["is_ocr"]) == (["a"], [], [], True) and b["embedding"] == [1.5] and b["knowledge_points"] == []
+    pages = spark.createDataFrame([("d", 5, 2), ("d", 1, None), ("d", 3, 1), ("e", 9, 1)], "document_id string, id int, page_no int")
+    assert [r["id"] for r in L.pages_of(pages, "d").collect()] == [1, 3, 5]
+    points = spark.createDataFrame([("c", "h1", "t", 2, "b"), ("c", "h2", "t", 1, "a"), ("x", "h1", "t", 1, "z")], "course_id string, chapter_id string, kp_type string, created_at int, kp_id string")
+    assert [r["kp_id"] for r in L.points_of(points, "c").collect()] == ["a", "b"] and L.points_of(points, "c", "h1").count() == 1
+    scores = spark.createDataFrame([(-20.0,), (0.0,), (30.0,)], "s double")
+    assert [r[0] for r in scores.select(L.rerank_share(F.col("s"))).collect()] == [0.0, 0.5, 1.0]
+    docs = spark.createDataFrame([('{"a": "", "b": 2}',), ('{"c": 1}',)], "d string")
+    assert [r[0] for r in docs.select(L.first_of(F.col("d"), "a", "b", "c")).collect()] == ["2", "1"]
+    c = spark.createDataFrame([("s", "x", [1.0, 0.0]), ("s", "y", [0.0, 1.0]), ("t", "z", [1.0, 0.0])], "session_id string, concept string, embedding array<double>")
+    assert [r["concept"] for r in L.concepts(c, "s", "", [0.2, 1.0], k=1).collect()] == ["y"]
+
+
+def test_section_ladder(spark):
+    f = spark.createDataFrame([("k1", "c", "1.1 函数：概念"), ("k2", "c", "1.2 函数性质"), ("k3", "c", "2.1 其它"), ("k4", "d", "1.1 函数：概念")], "chunk_id string, course_id string, section_name string")
+    find = lambda name: {r["chunk_id"]: r["tier"] for r in L.laddered(f, L.section_tiers(f, name, F.col("course_id") == "c"), ["chunk_id"], ["chunk_id"]).collect()}
+    assert find("1.1函数:概念") == {"k1": 0} and find("函数性质") == {"k2": 1} and set(find("zzz")) == {"k1", "k2", "k3"}
+
+
+def test_best_match(spark):
+    q = spark.createDataFrame([("第一章",), ("导数",), ("zzz",)], "query string")
+    n = spark.createDataFrame([("第一章 函数",), ("第二章 导数",), ("第二章 导数",)], "name string")
+    got = {r["query"]: r["name"] for r in S.best_match(q, n, batch.weighted_ratio_udf, 55.0).collect()}
+    assert got == {"第一章": "第一章 函数", "导数": "第二章 导数"}
