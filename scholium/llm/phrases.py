@@ -9,14 +9,17 @@ windows recur among its passages, holds each such window once (pyahocorasick),
 and is run over all of the passages to locate every occurrence; every one but
 the earliest is removed. Nothing is removed that an automaton did not locate.
 
-An automaton's letters are not words but the numbers of groups of words: a
+An automaton's symbols are not words but the numbers of groups of words: a
 window of 20 is four groups of five, and a text is streamed once for each of
-the five ways to begin. So a window costs four nodes instead of twenty.
+the five ways to begin. A number is written in a few letters of a small
+alphabet, one alphabet for each digit, as a node's children are searched one
+after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,6 +34,8 @@ from .suffix import removal
 
 K = 5
 _WINDOWS = 200_000
+#: Bits of a letter, and the first one.
+_LETTER, _FIRST = 5, 0x100
 
 
 def word_symbols(text: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -54,32 +59,50 @@ def groups_of(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def spelled(symbols: np.ndarray, digits: int) -> str:
+    """Numbers as letters, the same count for each; no letter stands for two places of a number."""
+    places = np.arange(digits)
+    letters = _FIRST + (places << _LETTER) + (symbols[:, None] >> places * _LETTER & (1 << _LETTER) - 1)
+    return letters.astype("<u2").tobytes().decode("utf-16-le")
+
+
 def locate(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, passages: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every window of the passages that also occurs earlier among them: its passage, and its place in it."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number) + 1) for words in passages for w in (*words, b"")), np.int64)  # an empty word parts passages
+    words = list(chain.from_iterable(passages))
+    number = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
+    ends = np.cumsum([len(p) + 1 for p in passages])
+    ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)  # a zero parts passages
+    inner = np.ones(len(ids), bool)
+    inner[ends - 1] = False
+    ids[inner] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     if len(ids) < window:
         return none
-    ends = np.cumsum([len(words) + 1 for words in passages])
     size = next(n for n in range(5, 0, -1) if window % n == 0)
     letters = groups_of(ids, size)
     windows = groups_of(ids, window)
     # the windows that lie inside a passage, and of those the ones that recur
     place = np.arange(len(windows))
     inside = place[ends[np.searchsorted(ends, place, side="right")] > place + window]
-    _, first, of, times = np.unique(windows[inside], return_index=True, return_inverse=True, return_counts=True)
+    _, first, times = np.unique(windows[inside], return_index=True, return_counts=True)
     patterns = inside[first[times > 1]]
     if not len(patterns):
         return none
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for n, key in enumerate(np.stack([letters[patterns + i] for i in range(0, window, size)], axis=1).tolist()):
-        machine.add_word(tuple(key), n)
+    used = np.zeros(int(letters.max()) + 1, np.int64)  # groups in patterns are numbered from one on; all others are zero
+    keys = np.stack([letters[patterns + i] for i in range(0, window, size)], axis=1)
+    of = np.unique(keys)
+    used[of] = np.arange(1, len(of) + 1)
+    digits = -(-len(of).bit_length() // _LETTER)
+    text = spelled(used[keys].ravel(), digits)
+    n = digits * (window // size)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i in range(len(keys)):
+        machine.add_word(text[i * n : (i + 1) * n], i)
     machine.make_automaton()
     begin, what = [], []
     for phase in range(size):
-        hits = np.array(list(machine.iter(tuple(letters[phase::size].tolist()))), np.int64).reshape(-1, 2)
-        begin.append(phase + (hits[:, 0] - window // size + 1) * size)
+        hits = np.array(list(machine.iter(spelled(used[letters[phase::size]], digits))), np.int64).reshape(-1, 2)
+        begin.append(phase + ((hits[:, 0] + 1) // digits - window // size) * size)
         what.append(hits[:, 1])
     begin, what = np.concatenate(begin), np.concatenate(what)
     passage = np.searchsorted(ends, begin, side="right")
