@@ -8,8 +8,8 @@ as packed blobs, texts only of documents that have a partner to be compared
 with, compressed. Small groups of an element emit pairs, which are verified
 from the texts. A larger group is cut into chunks that share a core of its
 members; a chunk is searched from member to member until none is left, so that
-it gives a tree of links and not its pairs. Groups that still hold several
-components are then searched chunk against chunk.
+it gives a tree of links and not its pairs; where it still holds several components, it
+is searched chunk against chunk.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .repeats import mix, packed, starts_of, unpacked
 SEED = 42
 #: Texts in the sample for frequent shingles, its counts that make one frequent, how many are kept.
 SAMPLE, FREQUENT, KEPT = 5_000, 4, 65_536
-#: Members of a small group; of a chunk; of the core of a larger one; of a member's larger groups how many are searched first.
+#: Members of a small group at most; of a chunk; of the core of a larger one; of a member's larger groups how many are searched first.
 SMALL, CHUNK, CORE, FIRST = 32, 2_048, 32, 2
 _FILTER = 27
 _FLUSH = 1 << 20
@@ -103,6 +103,16 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     link to nothing here but through it; texts without words and null ids link
     to nothing.
     """
+    return grouped(docs, shingle)[0]
+
+
+def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links of ``near_copies``, and ``(node, component)`` over them and ``more (a, b)``.
+
+    ``names (doc_id, name)`` gives documents that are known to be alike one
+    name, under which they stand in both; the components are found once for all
+    links, and again only if groups had to be searched further.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("node", F.xxhash64("text"))
     hot = Shared(spark, _frequent(texts, shingle))
@@ -135,10 +145,10 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         if held:
             yield pack(held)
 
-    rows = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32())])
+    rows = pa.schema([("node", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32())])
 
     def meet(data):
-        """Pairs (kind 0) of small groups, and members (kind 1: node, element, chunk, chunks) of larger ones."""
+        """Members of groups: of small ones those that could be similar to another, of larger ones all, by chunk."""
         tok, node, n, at = (np.concatenate(c) for c in zip(*(unpacked(x, "<i8", "<i8", "<i4", "<i4") for x in data)))
         order = np.lexsort((node, tok))
         tok, node, n, at = tok[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64)
@@ -147,24 +157,23 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         first = starts_of(tok)
         size = np.diff(np.append(first, len(tok)))
         few = np.repeat(size <= SMALL, size)
-        pairs = []
+        viable = np.zeros(len(tok), bool)
         for d in range(1, min(SMALL, len(tok))):  # members that stand d apart in their group
             i = np.nonzero((tok[d:] == tok[:-d]) & few[d:])[0]
             j = i + d
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             # in the group of a pair's first common shingle, all common ones stand at its place or behind it
-            ok = (5 * lo >= 4 * hi) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
-            pairs.append(np.stack([node[i[ok]], node[j[ok]]], axis=1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        zero = np.zeros(len(pairs), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zero), pa.array(zero)], schema=rows)
+            ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+            viable[i[ok]] = viable[j[ok]] = True
+        i, each = np.nonzero(viable)[0], np.repeat(size, size)
+        zero = np.zeros(len(i), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((node[i], tok[i], n[i], at[i], each[i], zero, zero + 1), rows)], schema=rows)
         for g in np.nonzero(size > SMALL)[0].tolist():
-            mine = node[first[g] : first[g] + size[g]]
-            mine = mine[np.argsort(mix(mine.view(np.uint64)))]
-            chunks = -(-len(mine) // CHUNK)
-            chunk = np.concatenate([np.repeat(np.arange(chunks), min(CORE, len(mine))), np.arange(max(0, len(mine) - CORE)) % chunks]).astype(np.int32)
-            who = np.concatenate([np.tile(mine[:CORE], chunks), mine[CORE:]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), np.int8)), pa.array(who), pa.array(np.full(len(who), tok[first[g]])), pa.array(chunk), pa.array(np.full(len(who), chunks, np.int32))], schema=rows)
+            i = np.arange(first[g], first[g] + size[g])
+            i = i[np.argsort(mix(node[i].view(np.uint64)))]
+            chunks = -(-len(i) // CHUNK)
+            chunk = np.concatenate([np.repeat(np.arange(chunks), min(CORE, len(i))), np.arange(max(0, len(i) - CORE)) % chunks])
+            i = np.concatenate([np.tile(i[:CORE], chunks), i[CORE:]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((node[i], tok[i], n[i], at[i], each[i], chunk, np.full(len(i), chunks)), rows)], schema=rows)
 
     def meetings(batches):
         now, data = None, []
@@ -179,12 +188,10 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield from meet(data)
 
     dealt = texts.select("node", "text").mapInArrow(prefixes, "bucket int, data binary").repartition(min(nb, 1 << 16), "bucket").sortWithinPartitions("bucket")
-    met = checkpoint(dealt.mapInArrow(meetings, "kind byte, x long, y long, chunk int, chunks int"))
-    pairs = met.where("kind = 0").select("x", "y").distinct()
-    member = met.where("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("s"), "chunk", "chunks")
+    member = checkpoint(dealt.mapInArrow(meetings, "node long, s long, n int, at int, size int, chunk int, chunks int"))
 
     # texts of nodes that a filter of fixed size names; it names some more as well
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(member.select("node"))
+    nodes = member.select("node")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - _FILTER}) & 63 as int))")
     words = nodes.groupBy(F.shiftrightunsigned("node", 70 - _FILTER).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << _FILTER - 6, np.uint64)
@@ -211,9 +218,6 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         both = ((sets(a), sets(b)) for a, b in zip(x, y))
         return pd.Series([bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))) for a, b in both], dtype=bool)
 
-    bx, by = (bodies.select(F.col("node").alias(c), F.col("body").alias(f"b{c}")) for c in "xy")
-    found = checkpoint(pairs.join(bx, "x").join(by, "y").where(verified("bx", "by")).select("x", "y"))
-
     def search(batches):
         key, nodes, held = None, [], []
 
@@ -235,18 +239,38 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         dealt = rows.join(bodies, "node").select("s", "i", "j", "node", "body").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "node")
         return dealt.mapInArrow(search, "x long, y long")
 
-    # members of a group share many elements: each goes to its largest groups, then to those that still hold several components
-    each = member.select("node", "s", "chunks").distinct()
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("chunks").desc(), "s"))
+    each = member.dropDuplicates(["s", "node"]).drop("chunk")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("size").desc(), "s"))
     ahead = each.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("node", "s")
     first = member.join(ahead, ["node", "s"], "left_semi").select("s", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node")
-    found = checkpoint(found.unionByName(searched(first)).distinct())
-    comps = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    of = each.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = checkpoint(searched(first).distinct())
+    wanted = nodes.distinct()
+    ids = texts.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+    if names is not None:
+        ids = ids.join(names.select(F.col("doc_id").alias("id"), "name"), "id").select("node", F.col("name").alias("id"))
+    ids = checkpoint(ids)
+
+    def named(pairs: DataFrame) -> DataFrame:
+        a, b = (ids.select(F.col("node").alias(c), F.col("id").alias(d)) for c, d in (("x", "a"), ("y", "b")))
+        out = pairs.join(a, "x").join(b, "y").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return (out if more is None else out.unionByName(more.select("a", "b"))).distinct()
+
+    edges = checkpoint(named(found))
+    comps = connected_components(edges)
+    of = each.join(ids, "node").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = of.groupBy("s").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("s")
-    again = each.join(open_, "s", "left_semi").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    of = checkpoint(of.join(open_, "s", "left_semi"))
+    # small groups: pairs of different components that could be similar, each once
+    x, y = (of.where(F.col("size") <= SMALL).select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "component")]) for k in "xy")
+    two = x.join(y, "s").where("node_x < node_y and component_x <> component_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - at_x, n_y - at_y) >= 4 * (n_x + n_y)")
+    bx, by = (bodies.select(F.col("node").alias(c), F.col("body").alias(f"b{c}")) for c in "xy")
+    pairs = two.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
+    more_found = pairs.join(bx, "x").join(by, "y").where(verified("bx", "by")).select("x", "y")
+    # larger ones: chunk against chunk
+    again = of.where(F.col("size") > SMALL).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     again = again.select("s", "node", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node")
-    found = checkpoint(found.unionByName(searched(again)).distinct())
-    ids = texts.select("node", "doc_id").join(found.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
-    a, b = (ids.select(F.col("node").alias(c), F.col("id").alias(d)) for c, d in (("x", "a"), ("y", "b")))
-    return found.join(a, "x").join(b, "y").select("a", "b")
+    added = checkpoint(named(more_found.unionByName(searched(again))).join(edges, ["a", "b"], "left_anti"))
+    if added.isEmpty():
+        return edges, comps
+    edges = checkpoint(edges.unionByName(added))
+    return edges, connected_components(edges)

@@ -73,6 +73,14 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     repeated rows; a null doc_id is kept and names no component unless its
     fingerprint has no other document (then null). An empty table gives none.
     """
+    fps, nodes, linked = linked_fingerprints(docs, radius, shingle)
+    comps = connected_components(linked)
+    of_fp = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def linked_fingerprints(docs: DataFrame, radius: int = 2, shingle: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of every row, ``(fp, rep)`` with the smallest doc_id of each fingerprint, and links ``(a, b)`` between these."""
     if radius % 2:
         raise ValueError("the radius must be even: each side emits half of it")
     fps = checkpoint(fingerprints(docs, shingle))
@@ -83,7 +91,4 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     # all of a bucket lie within radius / 2 of its variant, so a star from its smallest member loses no reachability
     stars = buckets.select(F.array_sort("ns").alias("ns")).select(F.col("ns")[0].alias("x"), F.explode(F.slice("ns", 2, 64)).alias("y"))
     pairs = stars.select(F.col("x.rep").alias("a"), F.col("x.fp").alias("fa"), F.col("y.rep").alias("b"), F.col("y.fp").alias("fb"))
-    linked = pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius)
-    comps = connected_components(linked.select("a", "b"))
-    of_fp = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps, nodes, pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius).select("a", "b")
