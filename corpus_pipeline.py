@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.llm import decontaminate, mixing, nearcopies, simhash, suffix, toxicity
-from scholium.llm.common import checkpoint, checkpoint_dir, connected_components
+from scholium.llm.common import checkpoint, checkpoint_dir
 from scholium.llm.queries import MIX
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,10 +35,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     or if their five-word shingles have a Jaccard similarity of 0.8 or more.
     """
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    alike = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = alike.unionByName(nearcopies.near_copies(docs.select("doc_id", "text"), shingle=5))
-    gone = connected_components(links).where("component <> node").select(F.col("node").alias("doc_id"))
+    fps, nodes, linked = simhash.linked_fingerprints(docs.select("doc_id", "text"))
+    names = checkpoint(fps.where("doc_id is not null").distinct().join(nodes, "fp").select("doc_id", F.col("rep").alias("name")))
+    comps = nearcopies.grouped(docs.select("doc_id", "text"), 5, names, checkpoint(linked.distinct()))[1]
+    of = names.join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("first", F.coalesce("component", "name"))
+    gone = checkpoint(of.where("doc_id <> first").select("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     again = checkpoint(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
