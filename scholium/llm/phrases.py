@@ -36,27 +36,13 @@ K = 5
 _WINDOWS = 200_000
 #: Bits of a letter, and the first one.
 _LETTER, _FIRST = 5, 0x100
+#: What parts two passages.
+_GAP = np.zeros(1, np.uint64)
 
 
 def word_symbols(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     words = text.split()  # bytes: exactly the words of [^\x20\x09-\x0D]+
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words)), words
-
-
-def numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of pairs from one on, equal for equal pairs alone."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64) + 1
-
-
-def groups_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """At every place the number of the group of n symbols there."""
-    out, have = ids, 1
-    while have < n:
-        step = min(have, n - have)  # overlapping halves name a group as well as adjoining ones
-        size = len(ids) - have - step + 1
-        out, have = numbers(out[:size], out[step : step + size]), have + step
-    return out
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), words
 
 
 def spelled(symbols: np.ndarray, digits: int) -> str:
@@ -66,34 +52,31 @@ def spelled(symbols: np.ndarray, digits: int) -> str:
     return letters.astype("<u2").tobytes().decode("utf-16-le")
 
 
-def locate(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, passages: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every window of the passages that also occurs earlier among them: its passage, and its place in it."""
+def locate(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, passages: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of the passages (word hashes) that also occurs earlier among them: its passage, and its place in it."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = list(chain.from_iterable(passages))
-    number = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
     ends = np.cumsum([len(p) + 1 for p in passages])
-    ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)  # a zero parts passages
-    inner = np.ones(len(ids), bool)
-    inner[ends - 1] = False
-    ids[inner] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    if len(ids) < window:
+    if not len(ends) or ends[-1] < window:
         return none
+    words = np.concatenate([x for p in passages for x in (p, _GAP)])
     size = next(n for n in range(5, 0, -1) if window % n == 0)
-    letters = groups_of(ids, size)
-    windows = groups_of(ids, window)
-    # the windows that lie inside a passage, and of those the ones that recur
-    place = np.arange(len(windows))
-    inside = place[ends[np.searchsorted(ends, place, side="right")] > place + window]
-    _, first, times = np.unique(windows[inside], return_index=True, return_counts=True)
-    patterns = inside[first[times > 1]]
+    letters, windows = R.gram_hashes(words, size), R.gram_hashes(words, window)
+    # the windows that lie inside a passage, and of those one of each that recurs
+    inside = np.ones(len(words), bool)
+    for i in range(window):
+        inside[np.maximum(ends - 1 - i, 0)] = False
+    inside = np.nonzero(inside[: len(windows)])[0]
+    order = inside[np.argsort(windows[inside], kind="stable")]
+    first = R.starts_of(windows[order])
+    patterns = order[first[np.diff(np.append(first, len(order))) > 1]]
     if not len(patterns):
         return none
-    used = np.zeros(int(letters.max()) + 1, np.int64)  # groups in patterns are numbered from one on; all others are zero
     keys = np.stack([letters[patterns + i] for i in range(0, window, size)], axis=1)
-    of = np.unique(keys)
-    used[of] = np.arange(1, len(of) + 1)
+    of = np.unique(keys)  # groups in patterns are numbered from one on; all others are zero
     digits = -(-len(of).bit_length() // _LETTER)
-    text = spelled(used[keys].ravel(), digits)
+    place = np.minimum(np.searchsorted(of, letters), len(of) - 1)
+    number = np.where(of[place] == letters, place + 1, 0)
+    text = spelled(np.searchsorted(of, keys).ravel() + 1, digits)
     n = digits * (window // size)
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i in range(len(keys)):
@@ -101,10 +84,14 @@ def locate(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, passages: list[
     machine.make_automaton()
     begin, what = [], []
     for phase in range(size):
-        hits = np.array(list(machine.iter(spelled(used[letters[phase::size]], digits))), np.int64).reshape(-1, 2)
+        hits = np.fromiter(chain.from_iterable(machine.iter(spelled(number[phase::size], digits))), np.int64).reshape(-1, 2)
         begin.append(phase + ((hits[:, 0] + 1) // digits - window // size) * size)
         what.append(hits[:, 1])
     begin, what = np.concatenate(begin), np.concatenate(what)
+    same = np.ones(len(begin), bool)  # word by word, so that equal hashes of different groups remove nothing
+    for i in range(window):
+        same &= words[begin + i] == words[patterns[what] + i]
+    begin, what = begin[same], what[same]
     passage = np.searchsorted(ends, begin, side="right")
     at = begin - np.concatenate([[0], ends])[passage]
     gone = R.later(what, doc[passage], copy[passage], start[passage] + at)
@@ -148,7 +135,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
         at, lead, h, h1 = (np.concatenate([x[i] for x in held]) for i in range(2, 6))
         first, last = cut(at, number)
         own, s, e = number[first], at[first], at[last] + window
-        passages = [held[i][6][a:b] for i, a, b in zip(own.tolist(), s.tolist(), e.tolist())]
+        passages = [held[i][7][a:b] for i, a, b in zip(own.tolist(), s.tolist(), e.tolist())]
         p, place = locate(ids[own], copies[own], s, passages, window)
         rows = R.settled(ids[own[p]], copies[own[p]], s[p] + place, s[p] + place + window, groups)
         done = np.zeros(len(at), bool)  # windows of a passage stand together
@@ -177,7 +164,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
                 pos = np.unique(np.frombuffer(data, "<i8"))
                 got = candidates(sym, pos[pos + K <= len(sym)])
                 if len(got[0]):
-                    held.append((d, copy, *got, words))
+                    held.append((d, copy, *got, words, sym))
                     n += len(got[0]) + len(words) // 4
                 if n >= _WINDOWS:
                     yield flush(held)
@@ -194,7 +181,7 @@ def removed_ranges(docs: DataFrame, window: int) -> DataFrame:
                 texts.extend(R.zstandard.ZstdDecompressor().decompress(x[4 + size :]).split(b"\n"))
             if texts:
                 doc, copy, start = (np.concatenate(c).astype(np.int64) for c in zip(*got))
-                p, place = locate(doc, copy, start, [t.split(b" ") for t in texts], window)
+                p, place = locate(doc, copy, start, [word_symbols(t)[0] for t in texts], window)
                 rows += R.settled(doc[p], copy[p], start[p] + place, start[p] + place + window, groups)
             if rows:
                 yield batches_of(rows, R.ROWS)
