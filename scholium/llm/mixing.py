@@ -12,7 +12,7 @@ document is rewritten between steps.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -26,12 +26,16 @@ EVIDENCE = 60.0
 def telling_letters(docs: DataFrame, labelled_ids: DataFrame, domain: str, domains: list[str], most: int = N_LETTERS, max_fit: int = 1000) -> str:
     """The letters of any script whose frequencies differ most between the domains.
 
-    Counted over at most ``max_fit`` labelled documents of each domain (the first by a hash of the id).
+    Counted over about ``max_fit`` labelled documents of each domain, a share of
+    them by a hash of the id (all, where a domain has no more).
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), F.lower(F.col("text").cast("string")).alias("low"))
-    first = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = named.where(F.col("domain").isin(domains)).select("doc_id", "domain").join(labelled_ids, "doc_id", "left_semi").withColumn("_n", first).where(F.col("_n") <= max_fit).select("doc_id")
-    sample = named.where(F.col("domain").isin(domains)).join(ids, "doc_id", "left_semi")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), F.lower(F.col("text").cast("string")).alias("low")).where(F.col("domain").isin(domains))
+    have = named.select("doc_id", "domain").join(labelled_ids, "doc_id", "left_semi").groupBy("domain").count().collect()  # one row a domain
+    chosen = F.lit(False)
+    for r in have:
+        share = min(1 << 20, -(-(max_fit << 20) // r["count"]))
+        chosen = chosen | ((F.col("domain") == r["domain"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share))
+    sample = named.where(chosen).join(labelled_ids, "doc_id", "left_semi")
     chars = sample.select("domain", F.explode(F.split("low", "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$"))
     rows = chars.groupBy("domain", "c").count().collect()  # domains x letters of their scripts
     if not rows:
