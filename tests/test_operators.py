@@ -82,10 +82,11 @@ def test_windows_cover_the_text(spark):
     assert parts[0] == text[:900] and parts[1] == text[780:1680] and text.endswith(parts[-1])
 
 
-def test_packed_sentences():
-    parts = S.packed(S.sentences("句子。" * 500), 800, 120)
+def test_packed_sentences(spark):
+    cut = lambda t: spark.createDataFrame([(t,)], "text string").select(S.sentences(F.col("text"))).first()[0]
+    parts = S.packed(cut("句子。" * 500), 800, 120)
     assert all(len(p) <= 923 for p in parts) and parts[1].startswith(parts[0][-120:])
-    assert S.packed([]) == [] and S.sentences(None) == []
+    assert S.packed([]) == [] and cut(None) == []
 
 
 def test_answers_round_half_up_and_unclassified(spark):
@@ -102,23 +103,8 @@ def test_merge_keeps_old_columns(spark):
     assert got == {1: ("a", "2020"), 2: ("b", "2021"), 3: ("c", "2025")}
 
 
-def test_knowledge_and_graph(spark):
-    rows = S.lines(spark.createDataFrame([(1, TEXTBOOK)], "doc_id long, text string"))
-    kp = K.knowledge_points(rows).collect()
-    assert [r["name"] for r in kp] == ["定义 函数"] or [r["name"] for r in kp] == ["定义 函数是指一种对应。"[:5]]
-    chapters = S.spans(rows, F.col("line").startswith("第"))
-    blocks = S.typed_blocks(rows).where("content_type <> 'explanation'").withColumn("name", F.col("content_type"))
-    edges = K.graph_edges(K.graph_nodes(chapters, blocks)).collect()
-    assert {(r["source"], r["target"], r["relation"]) for r in edges} == {
-        ("definition:1:1", "chapter:1:0", "belongs_to"),
-        ("example:1:2", "chapter:1:0", "belongs_to"),
-        ("exercise:1:4", "chapter:1:3", "belongs_to"),
-        ("chapter:1:0", "chapter:1:3", "prerequisite"),
-    }
-
-
 def test_similar_names(spark):
-    n = spark.createDataFrame([(1, "limit of functions"), (2, "functions limit of"), (3, "matrix rank")], "id long, name string")
+    n = spark.createDataFrame([("c", 1, "limit of functions"), ("c", 2, "functions limit of"), ("c", 3, "matrix rank"), ("d", 4, "limit of functions")], "per string, id long, name string")
     assert [(r["a"], r["b"]) for r in K.similar_names(n).collect()] == [(1, 2)]
 
 

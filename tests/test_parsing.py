@@ -31,7 +31,7 @@ def test_cache(spark):
 def test_rewriting(spark):
     df = spark.createDataFrame([("请问这个极限怎么求吗？", "极限", "第一章", ""), ("Please explain limits?", None, "limits", "calculus")], "q string, k string, c string, n string")
     got = [r[0] for r in df.select(P.rewritten(*[F.col(x) for x in "qkcn"])).collect()]
-    assert got == ["第一章 极限怎么求", "calculus explain limits"]
+    assert got == ["极限怎么求吗 第一章", "Please explain limits calculus"]  # one closing mark goes; what is lacking follows
 
 
 def test_generators(spark):
