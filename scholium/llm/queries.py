@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, chat, decontaminate, extract, mixing, phrases, quality, simhash, suffix, toxicity
+from . import bitslice, chat, collocations, decontaminate, extract, mixing, phrases, quality, simhash, suffix, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,14 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_toxicity_kernel, op3_soft_mixing, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op9_weak_label_quality, op10_simhash_neardup)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_t(spark, sf_dir, "documents").select("lang", "text"), max_n=4, least=30, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_toxicity_kernel, op3_soft_mixing, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op9_weak_label_quality, op10_simhash_neardup, op11_collocations)}
 
 ORACLE: dict[str, str] = {
+    "op11_collocations": collocations.ORACLE,
     "op6_chat_rotation": chat.ORACLE,
     "op8_bitsliced_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
