@@ -14,16 +14,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shared, checkpoint
+from .repeats import mix
 
 #: Bits of the filter of pairs, as a power of two.
 FILTER = 27
 #: Bytes of text that are combined at a time. A text goes whole; a longer one is cut at piece ends.
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 #: Salts of the first of the two rankings: a language's candidates are ranked apart before its best ones meet.
 SALTS = 32
 _ROWS = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -66,7 +66,8 @@ class Words:
         self.joined = (doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1]) if self.n else np.zeros(0, bool)
         self.lang = doc_langs[doc]
         bare = pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(self.data[keep])])
-        self.ids = bare.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        encoded = bare.dictionary_encode()
+        self.ids, self.words = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
     def phrases(self, at: np.ndarray, n: int) -> pa.Array:
         """The phrases of n words that start with the words ``at``, joined by one blank."""
@@ -80,17 +81,31 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each distinct key comes first, the number of every row's key, and the counts."""
     if not len(key):
         return (np.zeros(0, np.int64),) * 3
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     nr = np.empty(len(key), np.int64)
     nr[order] = np.cumsum(new) - 1
     begins = np.nonzero(new)[0]
     return order[begins], nr, np.diff(np.append(begins, len(key)))
 
 
-def pair_hash(lang: str, phrase: bytes) -> int:
-    """As Spark's ``xxhash64(lang, phrase)``, without its sign."""
-    return xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang.encode(), 42))
+def hashes(words: pa.Array) -> np.ndarray:
+    """A polynomial hash of the bytes of each word."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1) if ends[-1] > ends[0] else np.zeros(0, np.uint64)
+    sizes = np.diff(ends)
+    power = np.multiply.accumulate(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    raw = np.append(raw * power[np.arange(len(raw)) - np.repeat(ends[:-1] - ends[0], sizes)], np.uint64(0))
+    return mix(np.where(sizes > 0, np.add.reduceat(raw, ends[:-1] - ends[0]), np.uint64(0)))
+
+
+def pair_hash(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of pairs from those of their language and words."""
+    return mix(mix(mix(lang) + first) + second)
 
 
 def combined(w: Words, langs: list[str], sizes: tuple[int, int], known: np.ndarray | None):
@@ -100,28 +115,28 @@ def combined(w: Words, langs: list[str], sizes: tuple[int, int], known: np.ndarr
     """
     n_langs = len(langs)
     start = np.arange(w.n)
-    first, number, counts = _distinct(w.ids * n_langs + w.lang)
-    words = number
+    words = number = w.ids * n_langs + w.lang
+    if sizes[0] == 1:
+        first, number, counts = _distinct(words)
     names = np.array(langs, object)
     follows = np.append(w.joined, False)[: w.n]  # whether another word follows a word, from the pairs on: in a pair of the filter
     for n in range(1, sizes[1] + 1):
         if n > 1:
             go = follows[start + n - 2]
             start, number = start[go], number[go]
-            first, number, counts = _distinct(number * (int(words.max(initial=0)) + 1) + words[start + n - 1])
             if n == 2 and known is not None:
-                there = w.phrases(start[first], 2)
-                h = np.fromiter((pair_hash(langs[k], p) for k, p in zip(w.lang[start[first]].tolist(), there.cast(pa.binary()).to_pylist())), np.uint64, len(there))
-                p = h >> np.uint64(64 - FILTER)
-                ok = (known[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)[number]
+                h, of = hashes(w.words), hashes(pa.array(langs).cast(pa.binary()))
+                p = pair_hash(of[w.lang[start]], h[w.ids[start]], h[w.ids[start + 1]]) >> np.uint64(64 - FILTER)
+                ok = (known[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
                 start, number = start[ok], number[ok]
                 follows = np.zeros(w.n, bool)
                 follows[start] = True
+            first, number, counts = _distinct(number * (int(words.max(initial=0)) + 1) + words[start + n - 1])
         if n >= sizes[0] and len(start):
             at = start[first]
-            for lo in range(0, len(at), 1 << 17):
-                part = at[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[w.lang[part]], pa.string()), pa.array(np.full(len(part), n, np.int32)), w.phrases(part, n), pa.array(counts[lo : lo + (1 << 17)])], schema=_ROWS)
+            for lo in range(0, len(at), 1 << 15):
+                part = at[lo : lo + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[w.lang[part]], pa.string()), pa.array(np.full(len(part), n, np.int32)), w.phrases(part, n), pa.array(counts[lo : lo + (1 << 15)])], schema=_ROWS)
 
 
 def _cut(raw: np.ndarray, starts: np.ndarray) -> list[int]:
@@ -146,8 +161,8 @@ def _cut(raw: np.ndarray, starts: np.ndarray) -> list[int]:
 def exploded(docs: DataFrame, sizes: tuple[int, int], known: Shared | None = None) -> DataFrame:
     """``lang, n_words, phrase, n`` of the phrases in ``docs (lang, text)``, combined per few megabytes of text."""
 
-    def flush(texts: list[pa.Array], of: list[str]):
-        raw = np.concatenate([np.frombuffer(t, np.uint8) for t in texts])
+    def flush(texts: list[np.ndarray], of: list[str]):
+        raw = np.concatenate(texts)
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
         names = sorted(set(of))
         nr = {x: i for i, x in enumerate(names)}
@@ -161,9 +176,11 @@ def exploded(docs: DataFrame, sizes: tuple[int, int], known: Shared | None = Non
     def run(batches):
         texts, of, size = [], [], 0
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if t:
-                    texts.append(t)
+            bodies = b.column(1).cast(pa.binary())
+            for i, lang in enumerate(b.column(0).to_pylist()):
+                t = bodies[i].as_buffer()
+                if t is not None and len(t):
+                    texts.append(np.frombuffer(t, np.uint8))
                     of.append(lang)
                     size += len(t)
                 if size >= FLUSH:
@@ -190,9 +207,15 @@ def counted(docs: DataFrame, max_n: int, least: int) -> tuple[DataFrame, DataFra
     short = short.where("phrase is not null").select("lang", "n_words", "phrase", "a")
     if max_n < 3:
         return short, words
-    h = F.xxhash64("lang", "phrase")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(lang, phrase), {64 - FILTER}) & 63 as int))")
-    bits = short.where("n_words = 2").groupBy(F.shiftrightunsigned(h, 70 - FILTER).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^FILTER / 64 rows at most
+
+    def positions(batches):
+        for b in batches:
+            lang, one, two = (hashes(c.cast(pa.binary())) for c in b.columns)
+            p = pair_hash(lang, one, two) >> np.uint64(64 - FILTER)
+            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["w", "bit"])
+
+    pairs = short.where("n_words = 2").select("lang", F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))
+    bits = pairs.mapInArrow(positions, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^FILTER / 64 rows at most
     table = np.zeros(1 << FILTER - 6, np.uint64)
     table[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
     long_ = checkpoint(summed(exploded(docs, (3, max_n), Shared(docs.sparkSession, table))).where(F.col("a") >= least))
