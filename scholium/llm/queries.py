@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, chat, collocations, decontaminate, extract, mixing, phrases, quality, simhash, suffix, toxicity, vectors
+from . import bitslice, chat, collocations, decontaminate, extract, mixing, phrases, quality, repair, simhash, suffix, toxicity, vectors
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +66,16 @@ def op12_pigeonhole_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_t(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_toxicity_kernel, op3_soft_mixing, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op9_weak_label_quality, op10_simhash_neardup, op11_collocations, op12_pigeonhole_neardup)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(_t(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_toxicity_kernel, op3_soft_mixing, op4_suffix_dedup, op5_spaced_seed_decontamination, op6_chat_rotation, op7_phrase_dedup, op8_bitsliced_topk, op9_weak_label_quality, op10_simhash_neardup, op11_collocations, op12_pigeonhole_neardup, op13_conversation_repair)}
 
 ORACLE: dict[str, str] = {
     "op11_collocations": collocations.ORACLE,
     "op12_pigeonhole_neardup": vectors.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
     "op6_chat_rotation": chat.ORACLE,
     "op8_bitsliced_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
