@@ -21,9 +21,9 @@ from .common import Shared, checkpoint
 from .repeats import mix
 
 #: Bits of the filter of pairs, as a power of two.
-FILTER = 27
+FILTER = 26
 #: Bytes of text that are combined at a time. A text goes whole; a longer one is cut at piece ends.
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 #: Salts of the first of the two rankings: a language's candidates are ranked apart before its best ones meet.
 SALTS = 32
 _ROWS = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -61,7 +61,7 @@ class Words:
         keep[self.at[1:] - 1] = False
         self.data[keep] = _LOWER[raw[word]]
         doc = np.searchsorted(doc_starts, starts, "right") - 1
-        breaks = np.cumsum(kind == 2)[starts] if self.n else np.zeros(0, np.int64)
+        breaks = np.searchsorted(np.nonzero(kind == 2)[0], starts)
         # whether word i + 1 follows word i in one piece
         self.joined = (doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1]) if self.n else np.zeros(0, bool)
         self.lang = doc_langs[doc]
