@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, checkpoint, connected_components
 
 #: Dimensions of a block; home vectors of a cell that one group holds; vectors that a cell should hold.
-BLOCK, CHUNK, CELL = 8, 1_024, 2_048
+BLOCK, CHUNK, CELL = 8, 2_048, 4_096
 #: Pairs that are verified at a time, and visitors that meet a group's home vectors at a time.
 PAIRS, VISITORS = 1 << 15, 1_024
 SLACK = 1e-9
@@ -83,41 +83,47 @@ def visits(y: np.ndarray, depth: int, radius: float) -> tuple[np.ndarray, np.nda
 class Group:
     """The home vectors of a cell (or of one chunk of them), which visitors meet batch by batch."""
 
-    def __init__(self, nodes: np.ndarray, x: np.ndarray, block: int, threshold: float):
-        self.nodes, self.x, self.block, self.threshold = nodes, unit(x), block, threshold
+    def __init__(self, nodes: np.ndarray, x: np.ndarray, block: int, threshold: float, turn: np.ndarray):
+        self.nodes, self.x, self.block, self.threshold, self.turn = nodes, x, block, threshold, turn
         self.count, self.size = blocks(x.shape[1])
-        self.y = rotated(self.x)
         self.share = (2 - 2 * threshold) / self.count
-        self.mine = self.y[:, block * self.size : (block + 1) * self.size]
-        self.raw = x
+        mine = self.coordinates(x)
+        self.mine = np.column_stack([mine, -(mine**2).sum(axis=1) / 2, np.ones(len(x))])
         self.links = np.zeros(len(nodes), np.int64)
         self.root = np.arange(len(nodes))
         self.edges: list[tuple[int, int]] = []
+        self._y: np.ndarray | None = None
+
+    def coordinates(self, x: np.ndarray) -> np.ndarray:
+        """The block's coordinates; their rounding depends on the batch, which the slack allows for."""
+        return unit(x) @ self.turn[: x.shape[1], self.block * self.size : (self.block + 1) * self.size]
 
     def owner(self, i: np.ndarray, j: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The first block in which each pair is within the share; the closest one if rounding leaves none."""
-        apart = ((self.y[i] - y[j]) ** 2).reshape(len(i), self.count, self.size).sum(axis=2)
+        """The first block in which each pair is within the share; the closest one if rounding leaves none. Alike from both sides."""
+        self._y = rotated(unit(self.x)) if self._y is None else self._y
+        apart = ((self._y[i] - y[j]) ** 2).reshape(len(i), self.count, self.size).sum(axis=2)
         within = apart <= self.share
         return np.where(within.any(axis=1), within.argmax(axis=1), apart.argmin(axis=1))
 
     def meet(self, nodes: np.ndarray, weights: np.ndarray, x: np.ndarray) -> None:
         """Counts the links of the home vectors to some visitors, and joins them to the forest."""
-        ux = unit(x)
-        y = rotated(ux)
-        theirs = y[:, self.block * self.size : (self.block + 1) * self.size]
-        apart = (self.mine**2).sum(axis=1)[:, None] + (theirs**2).sum(axis=1)[None, :] - 2 * self.mine @ theirs.T
-        i, j = np.nonzero(apart <= self.share + SLACK)
+        theirs = self.coordinates(x)
+        theirs = np.column_stack([theirs, np.ones(len(x)), -(theirs**2).sum(axis=1) / 2])
+        at = np.flatnonzero(self.mine @ theirs.T >= -(self.share + SLACK) / 2)  # minus half the squared distance
+        i, j = at // len(x), at % len(x)
         keep = self.nodes[i] != nodes[j]
         i, j = i[keep], j[keep]
-        linked = []
+        linked, y = [], None
         for lo in range(0, len(i), PAIRS):
             a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-            ok = cosine(self.raw[a], x[b]) >= self.threshold
-            a, b = a[ok], b[ok]
-            ok = self.owner(a, b, y) == self.block
+            ok = cosine(self.x[a], x[b]) >= self.threshold
             a, b = a[ok], b[ok]
-            np.add.at(self.links, a, weights[b])
-            linked.append(np.stack([a, b]))
+            if len(a):
+                y = rotated(unit(x)) if y is None else y
+                ok = self.owner(a, b, y) == self.block
+                a, b = a[ok], b[ok]
+                np.add.at(self.links, a, weights[b])
+                linked.append(np.stack([a, b]))
         if linked:
             a, b = np.concatenate(linked, axis=1)
             order = np.lexsort((a, b))
@@ -190,7 +196,7 @@ def _linked(all_rows: DataFrame, nodes: DataFrame, visit: DataFrame, threshold:
     """The links within every group of ``visit (node, kind, block, cell, chunk, home)``, and the result."""
 
     def search(batches):
-        key, held, group = None, [], None
+        key, held, group, turns = None, [], None, {}
 
         def close():
             if group is None:
@@ -201,31 +207,48 @@ def _linked(all_rows: DataFrame, nodes: DataFrame, visit: DataFrame, threshold:
                 part = group.edges[lo : lo + (1 << 16)]
                 yield batches_of([(a, b, None) for a, b in part], _LINKS)
 
-        def meet():
+        def meet(nodes, weights, x):
+            for lo in range(0, len(nodes), VISITORS):
+                group.meet(nodes[lo : lo + VISITORS], weights[lo : lo + VISITORS], x[lo : lo + VISITORS])
+
+        def start():
             """The home vectors come first; when they are all there, they meet one another, and then every batch of visitors."""
-            nodes, weights, x = np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.stack([h[2] for h in held])
-            g = group or Group(nodes, x, key[1], threshold)
-            g.meet(nodes, weights, x)
-            return g
+            nodes, weights, x = (np.concatenate(c) for c in zip(*held))
+            if x.shape[1] not in turns:
+                turns[x.shape[1]] = rotated(np.eye(1 << max(0, (x.shape[1] - 1).bit_length())))
+            return Group(nodes, x, key[1], threshold, turns[x.shape[1]]), nodes, weights, x
+
+        def begun():
+            nonlocal group
+            if group is None and held:  # else a chunk that no home vector fell into
+                group, *home = start()
+                held.clear()
+                meet(*home)
 
         for b in batches:
-            ends, flat = b.column(7).offsets.to_numpy().tolist(), b.column(7).values.to_numpy(zero_copy_only=False)
-            for i, (*at, home, node, weight) in enumerate(zip(*(c.to_pylist() for c in b.columns[:7]))):
+            kind, block, chunk, home, node, weight = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5, 6))
+            cell = b.column(2).dictionary_encode()
+            code, names = cell.indices.to_numpy(), cell.dictionary.to_pylist()
+            ends, flat = b.column(7).offsets.to_numpy(), b.column(7).values.to_numpy(zero_copy_only=False)
+            new = np.ones(len(kind), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1]) | (code[1:] != code[:-1])
+            bounds = np.append(np.nonzero(new)[0], len(kind)).tolist()
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                at = (int(kind[lo]), int(block[lo]), names[code[lo]], int(chunk[lo]))
                 if at != key:
-                    if held:
-                        group = meet()
+                    begun()
                     yield from close()
-                    key, held, group = at, [], None
-                if not home and group is None:
-                    if not held:  # a chunk that no home vector fell into
-                        continue
-                    group, held = meet(), []
-                held.append((node, weight, flat[ends[i] : ends[i + 1]]))
-                if group is not None and len(held) >= VISITORS:
-                    meet()
-                    held = []
-        if held:
-            group = meet()
+                    key, group = at, None
+                    held.clear()
+                x = flat[ends[lo] : ends[hi]].reshape(hi - lo, -1)
+                mid = lo + int(home[lo:hi].sum())
+                if mid > lo:
+                    held.append((node[lo:mid], weight[lo:mid], x[: mid - lo]))
+                if mid < hi:
+                    begun()
+                    if group is not None:
+                        meet(node[mid:hi], weight[mid:hi], x[mid - lo :])
+        begun()
         yield from close()
 
     dealt = visit.join(nodes.select("node", "weight", "x"), "node").select("kind", "block", "cell", "chunk", "home", "node", "weight", "x")
