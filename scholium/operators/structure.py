@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import batch
 from scholium.functions import text as T
+from scholium.session import written
 
 
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -80,15 +81,23 @@ def plain_windows(docs: DataFrame, size: int = 800, key: str = "doc_id") -> Data
 def as_of(rows: DataFrame, markers: DataFrame, at: str, marker_at: str, value: str) -> DataFrame:
     """Each row with the value of the last marker at or before it (of equal ones, the largest value).
 
-    Distinct places are few beside the rows (a day, a page): the marker of each
-    place comes from one window over places and markers, with one row each, and
-    rows meet their place in a join, so neither rows nor markers are broadcast unseen.
+    Distinct places and markers, one row each, are range-partitioned in order.
+    Every partition carries its own markers forward; what precedes its first one
+    is the last marker of the partitions before it, which a table of one row a
+    partition gives. Rows then meet their place in a join, so neither rows nor
+    markers are broadcast unseen and no task sees the whole order.
     """
     marks = markers.groupBy(F.col(marker_at).alias("_at")).agg(F.max(F.struct(F.col(value).alias("v"))).alias("_mark"))
     places = rows.select(F.col(at).alias("_at")).distinct()
-    both = places.withColumn("_here", F.lit(True)).join(marks, "_at", "full_outer")
-    filled = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))).where("_here")
-    return rows.join(filled.select("_at", F.col("_mark.v").alias("_value")), F.col(at) == F.col("_at"), "left").withColumn(value, F.col("_value")).drop("_at", "_value")
+    both = places.withColumn("_here", F.lit(True)).join(marks, "_at", "full_outer").where(F.col("_at").isNotNull())
+    ranged = written(both.repartitionByRange("_at").withColumn("_part", F.spark_partition_id()))
+    last = ranged.where("_mark IS NOT NULL").groupBy("_part").agg(F.max_by("_mark", "_at").alias("_last"))
+    parts = ranged.select("_part").distinct().join(last, "_part", "left")
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    carried = F.last("_mark", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    filled = ranged.withColumn("_mark", carried).where("_here").join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")
+    filled = filled.select("_at", F.coalesce("_mark", "_before")["v"].alias("_value"))
+    return rows.join(filled, F.col(at) == F.col("_at"), "left").withColumn(value, F.col("_value")).drop("_at", "_value")
 
 
 def carried_forward(df: DataFrame, value: str, by: list[str], order: list) -> DataFrame:
@@ -254,10 +263,45 @@ def section_chunks(outline_rows: DataFrame, course: Column, key: str = "document
     return chunk_metadata(out)
 
 
-def first_occurrence(terms: DataFrame, rows: DataFrame, term: str = "term", key: str = "document_id") -> DataFrame:
-    """Each ``(key, term)`` with the first line of its document that holds it."""
-    hit = terms.join(rows, key).where(F.contains(F.col("line"), F.col(term)))
-    return hit.groupBy(key, term).agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("line"))
+def first_occurrence(terms: DataFrame, docs: DataFrame, term: str = "term", key: str = "document_id") -> DataFrame:
+    """Each ``(key, term)`` of ``terms`` with ``line_no, line``: the first line of its document that holds it; terms of no line give no row.
+
+    ``docs`` is ``(key, lines)`` with a document's lines in order. A document's
+    terms become one automaton that reads its lines once, however many there are.
+    """
+    own = terms.where(F.col(term) != "").groupBy(key).agg(F.collect_set(term).alias("_terms"))
+    met = docs.select(key, "lines").join(own, key).select(key, "lines", F.explode(batch.first_lines("lines", "_terms")).alias("_hit"))
+    return met.select(key, F.col("_hit.term").alias(term), F.col("_hit.line_no").alias("line_no"), F.element_at("lines", F.col("_hit.line_no") + 1).alias("line"))
+
+
+def name_spans(pages: DataFrame, names: DataFrame, least: int = 40) -> DataFrame:
+    """``document_id, page_no, span_no, chapter_index, text``: pages divided where the names of chapters that begin there first stand.
+
+    ``pages (document_id, page_no, text)``; ``names (document_id, chapter_index,
+    name, page_start)``. A span reaches to the next; what precedes the first is a
+    span of the chapter before if it has ``least`` characters; blank spans are
+    left out. A page on which no name stands is one span, of the last chapter
+    that begins at or before it (0: none). Of names at one place the last
+    chapter has the text. Null texts are empty.
+    """
+    chapter = F.array_sort(F.collect_list(F.struct("chapter_index", F.trim("name").alias("name"), "page_start")))
+    p = pages.select("document_id", "page_no", T.text_or_empty(F.col("text")).alias("text")).join(names.groupBy("document_id").agg(chapter.alias("_all")), "document_id", "left")
+    mine = F.filter("_all", lambda x: (x["page_start"] == F.col("page_no")) & (x["name"] != ""))
+    found = F.transform(mine, lambda x: F.struct(F.position(x["name"], F.col("text")).alias("at"), x["chapter_index"].alias("chapter")))
+    p = p.withColumn("_hits", F.coalesce(F.array_sort(F.array_distinct(F.filter(found, lambda h: h["at"] > 0))), F.array().cast("array<struct<at:int,chapter:int>>")))
+    size, first = F.size("_hits"), F.get("_hits", F.lit(0))
+    end = lambda i: F.coalesce(F.get("_hits", i + 1)["at"], F.length("text") + 1)
+    span = lambda text, chapter: F.struct(T.strip(text).alias("text"), chapter.cast("int").alias("chapter"))
+    spans = F.transform("_hits", lambda h, i: span(F.substring(F.col("text"), h["at"], end(i) - h["at"]), h["chapter"]))
+    before = span(F.substring(F.col("text"), F.lit(1), first["at"] - 1), F.greatest(F.lit(0), first["chapter"] - 1))
+    spans = F.filter(spans, lambda x: x["text"] != "")
+    spans = F.when((size > 0) & (F.length(before["text"]) >= least), F.concat(F.array(before), spans)).otherwise(spans)
+    # chapters in order up to the first that begins behind the page
+    start = F.struct(F.lit(0).alias("chosen"), F.lit(False).alias("over"))
+    step = lambda acc, x: F.struct(F.when(~acc["over"] & (x["page_start"] > 0) & (x["page_start"] <= F.col("page_no")), x["chapter_index"].cast("int")).otherwise(acc["chosen"]).alias("chosen"), (acc["over"] | (x["page_start"] > F.col("page_no"))).alias("over"))
+    last = F.coalesce(F.aggregate("_all", start, step, lambda acc: acc["chosen"]), F.lit(0))
+    whole = F.array(F.struct(F.col("text"), last.cast("int").alias("chapter")))
+    return p.select("document_id", "page_no", F.posexplode(F.when(F.size(spans) > 0, spans).otherwise(whole)).alias("span_no", "_s")).select("document_id", "page_no", "span_no", F.col("_s.chapter").alias("chapter_index"), F.col("_s.text").alias("text"))
 
 
 def best_match(queries: DataFrame, names: DataFrame, scorer, least: float = 0.0) -> DataFrame:

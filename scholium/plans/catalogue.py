@@ -8,6 +8,7 @@ exercises and answers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,8 @@ from scholium.operators import lookups as L
 from scholium.operators import parsing as P
 from scholium.operators import retrieval as R
 from scholium.operators import structure as S
+from scholium.session import scratch
+from scholium.sources.indexes import TextIndex, VectorIndex
 from scholium.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +259,40 @@ def concept_ilike(spark, sf):
     return _docs(spark, sf).where(F.col("text").ilike("%Worthless%")).select("doc_id").orderBy("doc_id").limit(3)
 
 
+# --- indexes that are kept: built, changed by document, searched ---
+@query(
+    "WITH d2 AS (SELECT doc_id, source, CASE WHEN lang = 'de' THEN text || ' theory of the worthless theory' ELSE text END AS text FROM documents WHERE lang <> 'es'), "
+    + BM25_SQL.replace("FROM documents", "FROM d2") + f" SELECT doc_id AS chunk_id, {R6.format('bm25')} AS score FROM bm"
+)
+def text_index_search(spark, sf):
+    """All documents indexed, those in German replaced, those in Spanish deleted; then every hit of a query, from its terms' buckets alone."""
+    d = _docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "lang")
+    index = TextIndex(spark, f"{scratch(spark)}/text-index-{uuid.uuid4().hex}")
+    index.replace(d)
+    index.replace(d.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" theory of the worthless theory"))))
+    index.delete(d.where("lang = 'es'"))
+    return index.search(QUERY).select("chunk_id", r(F.col("bm25")).alias("score"))
+
+
+@query(
+    "WITH v0 AS (SELECT label, vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings), "
+    "v AS (SELECT label, vec_id, CASE WHEN label = 3 THEN list_transform(v, lambda z: -z) ELSE v END AS v FROM v0 WHERE NOT (label = 5 AND v[1] <= 0) AND NOT (label = 7 AND v[1] < 0)), "
+    "q AS (SELECT v AS q FROM v0 WHERE vec_id = 0), s AS (SELECT label, vec_id, list_cosine_similarity(v, q) AS s FROM v, q), "
+    "t AS (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM s) "
+    f"SELECT label AS course_id, vec_id AS chunk_id, {R6.format('s')} AS score, rank FROM t WHERE rank <= 5"
+)
+def vector_index_search(spark, sf):
+    """All vectors indexed with their labels as courses; one course upserted, one rebuilt from fewer vectors, some of one deleted; then five of each course."""
+    v = _t(spark, sf, "embeddings").select(F.col("label").alias("course_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    index = VectorIndex(spark, f"{scratch(spark)}/vector-index-{uuid.uuid4().hex}")
+    index.rebuild(v)
+    index.upsert(v.where("course_id = 3").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    index.rebuild(v.where("course_id = 5 AND embedding[0] > 0"))
+    index.delete(v.where("course_id = 7 AND embedding[0] < 0"))
+    top = index.search(v.where("chunk_id = 0").select(F.col("chunk_id").alias("q_id"), F.col("embedding").alias("q")), 5)
+    return top.select("course_id", "chunk_id", r(F.col("score")).alias("score"), "rank")
+
+
 # --- text and structure ---
 @query(f"WITH {LINES_SQL} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM lines")
 def line_explode(spark, sf):
@@ -748,7 +785,24 @@ def similar_points(spark, sf):
 @query(f"WITH {BOOK_SQL}, t AS (SELECT DISTINCT document_id, p_name AS term FROM bl WHERE k = 4), h AS (SELECT t.document_id, term, line_no, line FROM t JOIN bl USING (document_id) WHERE contains(line, term)) SELECT document_id, term, CAST(min(line_no) AS BIGINT) AS line_no, arg_min(line, line_no) AS line FROM h GROUP BY 1, 2")
 def term_first_line(spark, sf):
     terms = _t(spark, sf, "part").where("p_partkey % 12 = 4").select(F.col("p_brand").alias("document_id"), F.col("p_name").alias("term")).distinct()
-    return S.first_occurrence(terms, S.page_lines(_book(spark, sf)))
+    rows = S.page_lines(_book(spark, sf)).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    found = S.first_occurrence(terms, rows.select("document_id", F.col("l.line").alias("lines")))
+    return found.select("document_id", "term", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(
+    f"WITH {BOOK_SQL}, pg AS (SELECT document_id, page_no, string_agg(line, chr(10) ORDER BY pk) AS text FROM bl GROUP BY ALL), "
+    "h AS (SELECT pg.document_id, page_no, strpos(pg.text, chapter_name) AS pos, CAST(chapter_no AS INTEGER) AS chapter, pg.text FROM pg JOIN ch ON ch.document_id = pg.document_id AND page_start = page_no WHERE strpos(pg.text, chapter_name) > 0), "
+    "e AS (SELECT *, lead(pos) OVER w AS nxt, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY document_id, page_no ORDER BY pos, chapter)), "
+    "sp AS (SELECT document_id, page_no, n, chapter, trim(substr(text, pos, coalesce(nxt, length(text) + 1) - pos), chr(10) || ' ') AS text FROM e "
+    "UNION ALL SELECT document_id, page_no, 0, greatest(0, chapter - 1), trim(substr(text, 1, pos - 1), chr(10) || ' ') FROM e WHERE n = 1 AND length(trim(substr(text, 1, pos - 1), chr(10) || ' ')) >= 40), "
+    "al AS (SELECT * FROM sp WHERE text <> '' UNION ALL SELECT document_id, page_no, 1, coalesce((SELECT max(CAST(chapter_no AS INTEGER)) FROM ch WHERE ch.document_id = pg.document_id AND page_start > 0 AND page_start <= page_no), 0), text FROM pg "
+    "WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.document_id = pg.document_id AND h.page_no = pg.page_no)) "
+    "SELECT document_id, page_no, CAST(row_number() OVER (PARTITION BY document_id, page_no ORDER BY n) - 1 AS INTEGER) AS span_no, chapter AS chapter_index, md5(text) AS h FROM al"
+)
+def page_spans(spark, sf):
+    names = S.chapters(_outline(spark, sf)).select("document_id", F.substring("chapter_id", -3, 3).cast("int").alias("chapter_index"), F.col("chapter_name").alias("name"), "page_start")
+    return S.name_spans(_book(spark, sf), names).select("document_id", "page_no", "span_no", "chapter_index", F.md5("text").alias("h"))
 
 
 def _book_fragments(spark, sf) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "scholium") -> SparkSession:
@@ -24,3 +26,20 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "schol
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table, as a lazily scanned Parquet DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the checkpoint folder; where a local session names none, one is made."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholium-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: what several branches of a plan read is computed once."""
+    scratch(df.sparkSession)
+    return df.checkpoint()
