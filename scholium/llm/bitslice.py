@@ -7,8 +7,9 @@ most significant score slice downward. The lowest ``drop`` bits of a component
 are left out of the slices, so a score has a known error; every row that the
 error leaves undecided is scored exactly from its integers.
 
-The index is packed once and written; queries come to it in bounded parts, each
-a broadcast of known size that every index block answers in one pass.
+What is written once are blocks of packed integers; a task slices a block when
+it reads it. Queries come in bounded parts, each a broadcast of known size that
+every block answers in one pass.
 """
 
 from __future__ import annotations
@@ -186,7 +187,9 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int
     empty ones; vectors of other lengths never meet. Components of any size
     count; a score among the best that does not fit a long is an error. Rows
     that share the query's vec_id are its own and are not returned. Repeated
-    rows are ranked one by one. The queries come in parts of at most about
+    rows of ``base`` are ranked one by one; repeated rows of a query are one
+    query, and different vectors under one id are queries of their own, each
+    with its own ranks. The queries come in parts of at most about
     ``part_bytes`` (dealt by a hash), each of which is one pass over the packed
     index; a row pair is never a Spark row, and each meeting keeps k rows.
     """
@@ -197,11 +200,11 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int
             yield batches_of([row], _PACK)
 
     index = checkpoint(usable(base, "vec_id", "embedding").mapInArrow(pack, "dim int, kind string, ids binary, vals binary"))
-    asked = usable(queries, "vec_id", "embedding")
+    asked = usable(queries, "vec_id", "embedding").distinct()
     size = asked.agg(F.sum(8 * (F.size("x") + 1))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    schema = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    w = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), F.col("vec_id"))
     out = None
     for i in range(parts):
         mine = asked.where(F.pmod(F.xxhash64("id", "x"), F.lit(parts)) == i) if parts > 1 else asked
@@ -213,19 +216,20 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int
                 for r in b.to_pylist():
                     ids, vals = opened(r)
                     sliced, plain = (SlicedBlock(ids, vals, drop) if r["kind"] != "f8" else None), None
-                    for asked_block in shared.value:
+                    for nr, asked_block in enumerate(shared.value):
                         if asked_block["dim"] != r["dim"]:
                             continue
                         q_ids, qs = opened(asked_block)
+                        numbered = range(nr << 40, (nr << 40) + len(q_ids))  # within a part
                         if sliced and asked_block["kind"] != "f8":
-                            got = [(q, v, s) for q, x in zip(q_ids.tolist(), qs.astype(np.int64)) for s, v in sliced.top(x, q, k)]
+                            got = [(q, at, v, s) for q, at, x in zip(q_ids.tolist(), numbered, qs.astype(np.int64)) for s, v in sliced.top(x, q, k)]
                         else:
                             plain = plain or whole(vals)
-                            got = [(q, v, s) for q, x in zip(q_ids.tolist(), whole(qs)) for s, v in exact_top(ids.tolist(), plain, x, q, k)]
+                            got = [(q, at, v, s) for q, at, x in zip(q_ids.tolist(), numbered, whole(qs)) for s, v in exact_top(ids.tolist(), plain, x, q, k)]
                         for lo in range(0, len(got), 20_000):
                             yield batches_of(got[lo : lo + 20_000], schema)
 
-        found = index.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = index.mapInArrow(run, "query_id long, query long, vec_id long, score long")
         found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         found = checkpoint(found) if parts > 1 else found
         out = found if out is None else out.unionByName(found)

@@ -115,7 +115,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = moves[-1].withColumnRenamed("to", "component")
     for m in reversed(moves[:-1]):
         up = out.select(F.col("node").alias("to"), F.col("component").alias("up"))
-        out = m.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("component"))
-        if len(moves) > 3:
-            out = checkpoint(out)
+        out = checkpoint(m.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("component")))
     return out

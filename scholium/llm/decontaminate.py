@@ -160,7 +160,13 @@ def _joined(docs: DataFrame, benchmark: DataFrame, min_match: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i), pa.int64()), pa.array(at, pa.int32())], schema=seeds)
 
     bench = checkpoint(items.select("item", "text").mapInArrow(of_items, "h long, item long, at int"))
-    short = tuple(r[0] for r in items.select(F.regexp_count(F.lower("text"), F.lit(r"(?U)[^\W_]+")).alias("n")).where(f"n > 0 and n < {SHORT}").distinct().collect())  # fewer than SHORT
+
+    def lengths(batches):
+        for b in batches:
+            n = {k for t in b.column(0).to_pylist() if 0 < (k := len(word_hashes(t))) < SHORT}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int32())], names=["n"])
+
+    short = tuple(sorted(r[0] for r in items.select("text").mapInArrow(lengths, "n int").distinct().collect()))  # fewer than SHORT
     place = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
     words = bench.groupBy(F.shiftright(place, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int)))" % (64 - _FILTER_BITS)).alias("bits")).toArrow()  # 2 ** (_FILTER_BITS - 6) rows at most
     table = np.zeros(1 << _FILTER_BITS - 6, np.uint64)

@@ -196,6 +196,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     words = nodes.groupBy(F.shiftrightunsigned("node", 70 - _FILTER).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << _FILTER - 6, np.uint64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    del words
     needed = Shared(spark, table)
 
     def chosen(batches):

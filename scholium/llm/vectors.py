@@ -255,7 +255,7 @@ def _linked(all_rows: DataFrame, nodes: DataFrame, visit: DataFrame, threshold:
     dealt = dealt.repartition("kind", "block", "cell", "chunk").sortWithinPartitions("kind", "block", "cell", "chunk", F.col("home").desc())
     found = checkpoint(dealt.mapInArrow(search, "a long, b long, n long"))
     links = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    comps = checkpoint(connected_components(found.where("b is not null").select("a", "b").distinct()))
+    comps = connected_components(found.where("b is not null").select("a", "b").distinct())
     least = nodes.select("node", "id").join(comps, "node").groupBy("component").agg(F.min("id").alias("least"))
     of = nodes.select("key", "node", "id", "weight").join(links, "node", "left").join(comps.join(least, "component").select("node", "least"), "node", "left")
     of = of.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("least", "id").alias("least"))

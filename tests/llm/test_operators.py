@@ -422,3 +422,23 @@ def test_main_text_against_brute_force(spark, monkeypatch):
     for parts, block in ((1, 1000), (12, 7), (211, 3)):
         monkeypatch.setattr(extract, "BLOCK", block)
         assert sorted((r["page_id"], r["text"]) for r in extract.main_text(df.repartition(parts)).collect()) == sorted(want), parts
+
+
+def test_bitsliced_topk_repeated_queries(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[20], (20, rows[21][1])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in bitslice.top_k(df, df.where("vec_id in (10, 20)"), k=5, rows_per_block=16).collect())
+    q = lambda v: [int(np.floor(1024 * x)) for x in v]
+    want = []
+    for own, asked in ((10, rows[10][1]), (20, rows[20][1]), (20, rows[21][1])):
+        scored = sorted((-sum(a * b for a, b in zip(q(asked), q(v))), i) for i, v in rows if i != own)
+        want += [(own, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    assert got == sorted(want)
+
+
+def test_decontamination_is_alike_for_short_items_of_any_script(spark):
+    docs = spark.createDataFrame([(1, "नमस्ते दुनिया"), (2, "x नमस्ते दुनिया y"), (3, "é́́ à la carte"), (4, "other")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "नमस्ते दुनिया"), (8, "é́́ à la"), (9, "१२३")], "item_id long, text string")
+    small, large = (sorted(tuple(r) for r in decontaminate.contaminated(docs, bench, block_words=n).collect()) for n in (1000, 0))
+    assert small == large and {(r[0], r[1]) for r in small} >= {(1, 7), (2, 7), (3, 8)}
