@@ -6,11 +6,11 @@ before and after it. The text lines of two neighbours are aligned by their
 longest common subsequence, and a shared line is page furniture and goes.
 Inside an explicit article container it takes two neighbours and most of them,
 as two articles may share a passage; neighbours that share nearly all are
-versions of the page and don't count. For lines that no neighbour shares the
-container decides: where it holds half of the text, lines outside it go.
-Elements that never hold main text (navigation, headers, footers, asides,
-forms, scripts, styles, comments, adverts) are dropped by name, class or role
-first.
+versions of the page and don't count. All lines take part, those of navigation,
+headers and footers included. For lines that no neighbour shares the markup
+decides: elements that never hold main text (navigation, headers, footers,
+asides, forms, comments, adverts) go by name, class or role, and where an
+article container holds half of the text, lines outside it go.
 
 Differencing works on line hashes, so the order, the exchange between tasks and
 the decisions move a few bytes a line. Contents are numbered through the whole
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKED = frozenset(
     "ad ads alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+#: A comment, declaration or tag; a quote counts only behind an equals sign, so a stray one ends nothing.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 #: One attribute after the other, so that nothing inside a value counts as a name.
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[^a-z0-9]+")
@@ -55,12 +58,50 @@ COMMENTS = frozenset("comment comments disqus replies reply".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Of MARKED, what an article element itself can be.
 CARDS = frozenset("ad ads advert comment comments promo related reply replies sponsored teaser".split())
+#: Words that name a place or a thing for one of MARKED; inside an article a class must hold nothing else.
+COMPANIONS = frozenset("area articles bar block bottom box button buttons container form icons inline inner item items left link links list panel posts right section slot top unit wrapper".split())
+#: Of MARKED, what a part of an article may be called as well: there its neighbours decide.
+PLAIN = frozenset("alert banner complementary header notice notices popup search skip social toolbar widget".split())
+#: What an opening tag ends, up to the nearest of the elements that hold it.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dd": ({"dd", "dt"}, {"dl"}),
+    "dt": ({"dd", "dt"}, {"dl"}),
+    "td": ({"td", "th"}, {"table", "tr"}),
+    "th": ({"td", "th"}, {"table", "tr"}),
+    "tr": ({"td", "th", "tr"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+}
+#: Blocks that don't end an open paragraph.
+_WITHIN = frozenset("br caption body head html option tbody td tfoot th thead title tr".split())
+
+
+def ended(stack: list, name: str) -> int:
+    """How many open elements stay when an element of this name opens: end tags may be left out."""
+    keep = len(stack)
+    wanted = [ENDS[name]] if name in ENDS else []
+    if name in BLOCKS and name not in _WITHIN:
+        wanted.append(({"p"}, {"table", "td", "th", "caption", "button", "object"}))
+    for ends, holds in wanted:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in holds:
+                break
+            if stack[i][0] in ends:
+                keep = min(keep, i)
+                if name not in ("tr", "tbody", "thead", "tfoot"):
+                    break
+    return keep
 
 
 def marked(name: str, attrs: str, inside: bool = False) -> bool:
     """Whether an element's attributes call it furniture; one class word decides, unless it also names content.
 
-    Headings are never marked. Inside an article only class and role count, as an id there is an anchor of the text.
+    Headings are never marked. Inside an article only class and role count, as
+    an id there is an anchor of the text, and a class only if nothing in it
+    names anything else: ``share-buttons``, not ``share-price``.
     """
     words = CARDS if name == "article" else MARKED
     for key, value in _ATTR.findall(attrs):
@@ -69,36 +110,50 @@ def marked(name: str, attrs: str, inside: bool = False) -> bool:
             return True
         if name not in HEADINGS and (key in ("class", "role") or key == "id" and not inside):
             for word in value.split():
-                parts = set(_PART.split(word))
-                if parts & words & COMMENTS and not parts & QUALIFIED or parts & words and not parts & CONTENT:
+                parts = set(_PART.split(word)) - {""}
+                if inside and name != "article":
+                    if parts & words - PLAIN and parts <= words | COMPANIONS:
+                        return True
+                elif parts & words & COMMENTS and not parts & QUALIFIED or parts & words and not parts & CONTENT:
                     return True
     return False
 
 
 def lines_of(page: str | None) -> list[tuple[bool, str]]:
-    """The page's text lines in order as ``(protected, text)``; protected: inside an article or main element."""
+    """The page's text lines in order as ``(protected, text)``, without those of dropped elements; protected: inside an article or main element."""
+    return [(state == INSIDE, text) for state, text in all_lines(page) if state != LOST]
+
+
+#: What a line is: outside any container, inside an article or main element, or in an element that never holds main text.
+OUTSIDE, INSIDE, LOST = 0, 1, 2
+_FORM_END = re.compile(r"</form\s*>", re.I)
+_CONTAINER = re.compile(r"<(?:article|main)[\s>]", re.I)
+
+
+def all_lines(page: str | None) -> list[tuple[int, str]]:
+    """All text lines of a page in order as ``(state, text)``."""
     page = page or ""
-    out: list[tuple[bool, str]] = []
+    out: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, protected
     buf: list[str] = []
-    dropped = protected = False
+    lost: list[str] = []
     at = 0
+    dropped = protected = False
+    containers: list[int] | None = None
 
     def flush():
-        if buf:
-            text = " ".join(entities.unescape("".join(buf)).split())
-            if text:
-                out.append((protected, text))
-            buf.clear()
+        for parts, state in ((buf, INSIDE if protected else OUTSIDE), (lost, LOST)):
+            if parts:
+                text = " ".join(entities.unescape("".join(parts)).split())
+                if text:
+                    out.append((state, text))
+                parts.clear()
 
     while at < len(page):
         m = _TOKEN.search(page, at)
+        (lost if dropped else buf).append(page[at : m.start() if m else len(page)])
         if m is None:
-            if not dropped:
-                buf.append(page[at:])
             break
-        if not dropped and m.start() > at:
-            buf.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -112,11 +167,20 @@ def lines_of(page: str | None) -> list[tuple[bool, str]]:
                 continue
             if name == "body":  # ends a head that was left open
                 stack = [x for x in stack if x[0] != "head"]
-                dropped = bool(stack) and stack[-1][1]
+            else:
+                del stack[ended(stack, name) :]
+            dropped, protected = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if name in VOID or m[0].endswith("/>"):
                 continue
             in_article = any(s[0] in ("article", "main") for s in stack)
             drop = dropped or name in DROPPED or (name == "header" and not in_article) or name not in ("html", "body", "main") and marked(name, m[3], in_article)
+            if drop and name == "form" and not dropped and not marked(name, m[3], in_article):
+                # a form around the page is no form: it holds a container, or half of the page
+                end = _FORM_END.search(page, at)
+                till = end.start() if end else len(page)
+                containers = [c.start() for c in _CONTAINER.finditer(page)] if containers is None else containers
+                k = bisect_left(containers, at)
+                drop = not (k < len(containers) and containers[k] < till or 2 * (till - at) >= len(page))
             stack.append((name, drop, protected or name in ("article", "main")))
         else:
             at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -133,8 +197,9 @@ def shared(a: list, b: list) -> set[int]:
     """Positions of a's lines in a longest common subsequence with b.
 
     Only lines that both have can take part, and equal ends are matched first,
-    so the quadratic table is over what is left between them; rows are kept as
-    bit sets, so memory stays at one machine word per 64 pairs.
+    so the quadratic table is over what is left between them. Its rows are bit
+    sets; one of about every square root of their number is kept, and those
+    between two of these are made again when the way back comes to them.
     """
     common = set(a) & set(b)
     x, y = [i for i, s in enumerate(a) if s in common], [j for j, s in enumerate(b) if s in common]
@@ -153,22 +218,33 @@ def shared(a: list, b: list) -> set[int]:
     for j, p in enumerate(y):
         where[b[p]] = where.get(b[p], 0) | 1 << j
     full = (1 << len(y)) - 1
-    v, rows = full, []
-    for i in x:  # a zero bit marks where the common length grows
-        u = v & where.get(a[i], 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
+    step = isqrt(len(x)) + 1
+
+    def following(v: int, lo: int, hi: int) -> list[int]:
+        """The rows behind row ``v`` of the lines ``lo`` to ``hi``; a zero bit marks where the common length grows."""
+        out = []
+        for i in x[lo:hi]:
+            u = v & where.get(a[i], 0)
+            v = ((v + u) | (v - u)) & full
+            out.append(v)
+        return out
+
+    starts = [full]
+    for lo in range(0, len(x), step):
+        starts.append(following(starts[-1], lo, lo + step)[-1])
     j = len(y) - 1
     length = lambda r, upto: (upto + 1) - (r & ((1 << upto + 1) - 1)).bit_count()
-    for n in range(len(x) - 1, -1, -1):
-        if j < 0:
-            break
-        before = length(rows[n - 1], j) if n else 0
-        if length(rows[n], j) > before:
-            got.add(x[n])
-            while j >= 0 and length(rows[n], j) > before:
-                j -= 1
-            # j now ends before the matched line
+    for k in range(len(starts) - 2, -1, -1):
+        rows = [starts[k], *following(starts[k], k * step, (k + 1) * step)]
+        for n in range(len(rows) - 1, 0, -1):
+            if j < 0:
+                return got
+            before = length(rows[n - 1], j)
+            if length(rows[n], j) > before:
+                got.add(x[k * step + n - 1])
+                while j >= 0 and length(rows[n], j) > before:
+                    j -= 1
+                # j now ends before the matched line
     return got
 
 
@@ -179,7 +255,7 @@ def host_path(url):
     return F.lower(F.regexp_replace(F.substring_index(rest, "/", 1), r":\d+$", "")), F.regexp_replace(rest, r"^[^/]*", "")
 
 
-#: Of a line: its hash, its length, whether an article container holds it.
+#: Of a line: its hash, its length, what it is.
 _LINE = np.dtype([("hash", "<u8"), ("size", "<u4"), ("inside", "u1")])
 #: Contents in a block of the order.
 BLOCK = 1000
@@ -187,8 +263,8 @@ BLOCK = 1000
 VERSION = 0.9
 
 
-def outline(lines: list[tuple[bool, str]]) -> np.ndarray:
-    """What differencing needs of a page."""
+def outline(lines: list[tuple[int, str]]) -> np.ndarray:
+    """What differencing needs of a page: ``all_lines``, or ``lines_of`` where nothing was dropped."""
     out = np.zeros(len(lines), _LINE)
     for i, (inside, text) in enumerate(lines):
         out[i] = (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), len(text), inside)
@@ -197,7 +273,8 @@ def outline(lines: list[tuple[bool, str]]) -> np.ndarray:
 
 def kept(own: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
     """Which lines stay after differencing with the neighbours."""
-    plain, size, inside = own["hash"].tolist(), own["size"].astype(np.int64), own["inside"].astype(bool)
+    plain, lost, inside = own["hash"].tolist(), own["inside"] == LOST, own["inside"] == INSIDE
+    size = np.where(lost, 0, own["size"]).astype(np.int64)
     within, total = int(size[inside].sum()), int(size.sum())
     gone = ~inside if 2 * within >= total else np.zeros(len(own), bool)
     times, asked = np.zeros(len(own), np.int64), 0
@@ -209,7 +286,7 @@ def kept(own: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
         if 2 * size[common & inside].sum() < within:  # else a version of this article
             asked += 1
             times += common
-    return ~(gone | inside & (times >= 2) & (2 * times > asked))
+    return ~(gone | lost | inside & (times >= 2) & (2 * times > asked))
 
 
 def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
@@ -235,7 +312,7 @@ def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
 
     def read(batch):
         for h, page in zip(batch.column(batch.schema.get_field_index("host")).to_pylist(), batch.column(batch.schema.get_field_index("html")).to_pylist()):
-            lines = lines_of(page)
+            lines = all_lines(page)
             own = outline(lines).tobytes()
             yield h, lines, own, xxhash.xxh3_64_intdigest(own) - (1 << 63)
 

@@ -217,3 +217,42 @@ def test_rates_follow_steps(spark):
     df = spark.createDataFrame([([0.25, 0.75],), ([1.0, 0.0],)], "posterior array<double>")
     got = [r[0] for r in df.select(mixing.rate_after([[1.0, -1.0], [0.5, 0.5]])).collect()]
     assert got == pytest.approx([max(0, max(0, 1 - (0.25 - 0.75)) - 0.5), 0.0])
+
+
+def test_extraction_keeps_article_text():
+    text = lambda page: [t for _, t in extract.lines_of(page)]
+    assert text('<p class="promo">Ad<p>Real one<p>Real two') == ["Real one", "Real two"]
+    assert text('<ul><li class="ad">Ad<li>Real<ul><li>In it</ul></ul>') == ["Real", "In it"]
+    assert text('<table><tr><td class="ad">Ad<td>Cell<tr><td>Next</table>') == ["Cell", "Next"]
+    assert text('<dl><dt class="ad">Ad<dd>Real</dl>') == ["Real"]
+    assert text('<form id="aspnetForm"><article>Text<p>more</p></article></form>') == ["Text", "more"]
+    assert text("<article>Text of it all</article><form>Search <b>it</b></form>") == ["Text of it all"]
+    assert text('<p title="it"s">Quote broken</p><p title=\'a>b\'>Whole') == ["Quote broken", "Whole"]
+    names = ["share-price", "related-work", "search-term", "notice", "widget", "social-history", "header-image"]
+    assert text("<article>" + "".join(f'<p class="{n}">{n} stays</p>' for n in names) + "</article>") == [f"{n} stays" for n in names]
+    assert text('<article><p>Text</p><div class="share-buttons">Share</div><div class="ad">Buy</div><ul class="related-posts"><li>More</ul></article>') == ["Text"]
+    assert text("Hello <span class=ad>Buy</span> world<nav>Menu</nav>") == ["Hello world"]
+    assert extract.all_lines("<nav>Menu</nav><article>A</article>b") == [(extract.LOST, "Menu"), (extract.INSIDE, "A"), (extract.OUTSIDE, "b")]
+
+
+def test_longest_common_subsequence_of_permuted_lines():
+    import random
+
+    rng = random.Random(3)
+    for n in (0, 1, 7, 40, 200):
+        a, b = [rng.randrange(n // 2 + 1) for _ in range(n)], [rng.randrange(n // 2 + 1) for _ in range(n + 3)]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = sorted(extract.shared(a, b))
+        rest = iter(b)
+        assert len(got) == best[-1][-1] and all(a[i] in rest for i in got)
+
+
+def test_differencing_deletes_lines_without_markup():
+    pages = [f"<div>Home</div><div>About us</div><p>Story {k} begins</p><p>and ends {k}</p><div>Imprint</div>" for k in range(5)]
+    outlines = [extract.outline(extract.all_lines(p)) for p in pages]
+    for k, p in enumerate(pages):
+        near = [o for i, o in enumerate(outlines) if i != k]
+        assert [t for (_, t), stays in zip(extract.all_lines(p), extract.kept(outlines[k], near)) if stays] == [f"Story {k} begins", f"and ends {k}"]
