@@ -368,7 +368,7 @@ def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
         for b in batches:
             rows = []
             for h, lines, _, sig in read(b):
-                texts = [t for _, t in lines]
+                texts = ["" if state == LOST else t for state, t in lines]  # what never stays need not travel
                 stays = hot.value.get((h, sig))
                 # what is finished meets no decision: an own key keeps it where it falls
                 rows.append((h, sig, texts, None) if stays is None else (None, len(rows) * 0x9E3779B97F4A7C15 % (1 << 63), None, finished(texts, stays)))
