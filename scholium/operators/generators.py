@@ -33,6 +33,22 @@ MAJOR = ("questions", "daily_tasks", "sections", "key_points", "slides")
 PLAN_TASK = ("day", "task_name", "task_description", "estimated_time_minutes")
 QUESTION = ("question_id", "question_type", "difficulty", "stem", "correct_answer")
 LEVELS = ("easy", "medium", "hard")
+METHODS = ("用例题对照概念", "整理错题原因", "做同类变式练习")
+KEY_STEPS = ("理解定义", "对照例题", "完成练习", "复盘易错点")
+CORE_OF_SECTION = " 是本节需要理解和应用的核心内容。"
+NO_SOURCE = {"keypoint": "缺少教材片段，重点难点为保守估计。", "explanation": "缺少教材片段，讲解为通用版本。", "diagnosis": "缺少教材片段，诊断为保守版本。"}
+TUTOR = {
+    "solving_approach": "模型未能生成针对题目的有效解答，不能把通用模板当作答案。",
+    "next_step_hint": "请确认题干完整、模型服务正常；如果是图片题，请先完成 OCR/多模态识别。",
+    "complete_steps": "等待有效题干识别和模型推导结果",
+    "common_mistakes": "只输出解题模板，没有代入题目条件",
+    "insufficient_data_warning": "未获得可验证的题目代入解答。",
+}
+DIFFERS, NO_REASON = "答案与标准答案不一致，需进一步人工或模型诊断。", "缺少足够依据定位具体错误。"
+REMEDIES = ("复习相关知识点", "完成 2-3 道同类变式题")
+FIRST_STAGE, NEXT_STAGE, FEW_RECORDS = "数据积累阶段", "继续积累答题和学习记录，以便生成更准确画像。", "学习数据较少，画像为保守版本。"
+WEAK_TASK, WEAK_TEXT, WEAK_FIRST = "薄弱点复习", "复习薄弱知识点并完成同类练习。", "根据学习画像和错题记录优先补强薄弱点。"
+NO_PROFILE = "缺少学习画像，路径为通用版本。"
 # --- end of fixed values ---
 
 
@@ -74,6 +90,80 @@ def name_graph(requests: DataFrame, key: str) -> DataFrame:
     return requests.select(key, F.posexplode("points").alias("place", "name")).select(key, F.concat(F.lit("kp_"), (F.col("place") + 1).cast("string")).alias("node_id"), "name")
 
 
+def _texts(*items: str) -> Column:
+    return F.array(*[F.lit(x) for x in items]).cast("array<string>")
+
+
+def _unsourced(kind: str) -> Column:
+    """The warning of a template that had no fragments."""
+    return F.when(F.coalesce(F.size("fragments"), F.lit(0)) > 0, "").otherwise(NO_SOURCE[kind])
+
+
+def keypoints(requests: DataFrame) -> DataFrame:
+    """``key_points`` and the warning for ``(points, fragments)``: five points in focus, three of them hard and asked for. Null lists are empty."""
+    points = F.coalesce("points", _texts())
+    one = F.struct(F.slice(points, 1, 5).alias("core_focus"), F.slice(points, 1, 3).alias("learning_difficulties"), F.slice(points, 1, 3).alias("common_exam_points"), _texts().alias("common_mistakes"), _texts().alias("confusing_concepts"), _texts(*METHODS).alias("breakthrough_methods"), F.lit("").alias("source_reference"))
+    return requests.withColumns({"key_points": F.array(one), "insufficient_data_warning": _unsourced("keypoint")})
+
+
+def explanation(requests: DataFrame) -> DataFrame:
+    """``concept_explanation, key_steps`` and the warning for ``(knowledge_point, fragments)``."""
+    said = F.concat(T.text_or_empty(F.col("knowledge_point")), F.lit(CORE_OF_SECTION))
+    return requests.withColumns({"concept_explanation": said, "key_steps": _texts(*KEY_STEPS), "insufficient_data_warning": _unsourced("explanation")})
+
+
+def tutor(requests: DataFrame) -> DataFrame:
+    """The tutor's statement, for ``(question_text, knowledge_point)``, that there is no answer yet, and what to review."""
+    point = T.text_or_empty(F.col("knowledge_point"))
+    fixed = {k: _texts(v) if k in ("complete_steps", "common_mistakes") else F.lit(v) for k, v in TUTOR.items()}
+    review = F.when(point != "", F.array(point)).otherwise(_texts())
+    return requests.withColumns({"answer_status": F.lit("insufficient"), "question_recognition": T.text_or_empty(F.col("question_text")), "difficulty": F.lit("medium"), "final_answer": F.lit(""), "recommended_review": review} | fixed)
+
+
+def diagnosis(requests: DataFrame) -> DataFrame:
+    """``is_correct, score`` and what follows, for ``(standard_answer, student_answer, knowledge_point, fragments)``: right if both are there and alike but for blanks at their ends."""
+    a, b, point = (T.text_or_empty(F.col(c)) for c in ("standard_answer", "student_answer", "knowledge_point"))
+    right = F.col("is_correct")
+    out = requests.withColumn("is_correct", (a != "") & (b != "") & (T.strip(a) == T.strip(b)))
+    return out.withColumns({
+        "score": F.when(right, 100.0).otherwise(0.0),
+        "error_steps": F.when(right, _texts()).otherwise(_texts(DIFFERS)),
+        "error_type": F.when(right, "").otherwise("unknown"),
+        "error_reason": F.when(right, "").otherwise(NO_REASON),
+        "involved_knowledge": F.when(point != "", F.array(point)).otherwise(_texts()),
+        "remediation_suggestions": F.when(right, _texts()).otherwise(_texts(*REMEDIES)),
+        "recommended_variant_count": F.lit(3),
+        "insufficient_data_warning": _unsourced("diagnosis"),
+    })
+
+
+def profiles(learners: DataFrame, mistakes: DataFrame, records: DataFrame, key: str, order: str) -> DataFrame:
+    """A cautious profile for each of ``learners``: the points and reasons of their mistakes in order, and a warning where nothing is known.
+
+    ``mistakes (key, order, knowledge_point, error_reason)``; of ``records``
+    only whether a learner has any counts. Repeated points are listed once, at
+    their first place, so a row holds no more than there are points and reasons.
+    """
+
+    def listed(column: str, name: str) -> DataFrame:
+        first = mistakes.where(F.coalesce(column, F.lit("")) != "").groupBy(key, column).agg(F.min(order).alias("_at"))
+        return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", column))), lambda x: x[column]).alias(name))
+
+    known = records.select(key).union(mistakes.select(key)).distinct().withColumn("_known", F.lit(True))
+    out = learners.join(listed("knowledge_point", "weak_knowledge_points"), key, "left").join(listed("error_reason", "common_error_reasons"), key, "left").join(known, key, "left")
+    lists = {c: F.coalesce(c, _texts()) for c in ("weak_knowledge_points", "common_error_reasons")}
+    fixed = {"current_stage": F.lit(FIRST_STAGE), "course_progress": F.lit(0.0), "learning_pace": F.lit("medium"), "next_stage_suggestions": F.lit(NEXT_STAGE)}
+    return out.withColumns(lists | fixed | {"insufficient_data_warning": F.when(F.col("_known"), "").otherwise(FEW_RECORDS)}).drop("_known")
+
+
+def adaptive_path(requests: DataFrame) -> DataFrame:
+    """Tomorrow's task and the order of review for ``(weak_knowledge_points, daily_study_time, exam_date)``; a null list is a missing profile."""
+    weak = F.coalesce("weak_knowledge_points", _texts())
+    task = F.struct(F.lit(1).alias("day"), F.lit(WEAK_TASK).alias("task_name"), F.lit(WEAK_TEXT).alias("task_description"), F.lit("review").alias("task_type"), F.coalesce("daily_study_time", F.lit(60)).alias("estimated_time_minutes"), F.slice(weak, 1, 3).alias("knowledge_points"), F.lit("medium").alias("difficulty"), F.lit("high").alias("priority"))
+    warning = F.when(F.col("weak_knowledge_points").isNull(), NO_PROFILE).otherwise("")
+    return requests.withColumns({"need_relearn_points": weak, "review_priority": weak, "tomorrow_tasks": F.array(task), "estimated_completion_time": T.text_or_empty(F.col("exam_date").cast("string")), "adjustment_reasons": _texts(WEAK_FIRST), "insufficient_data_warning": warning})
+
+
 def learning_actions(requests: DataFrame) -> DataFrame:
     """``actions``: review of weak points or else preview, then practice, then remedy; a plea for material where none applies."""
     three = lambda c: F.array_join(F.slice(c, 1, 3), ", ")

@@ -21,10 +21,11 @@ from scholium.operators import generators as G
 from scholium.operators import knowledge as KN
 from scholium.operators import lookups as L
 from scholium.operators import parsing as P
+from scholium.operators import rendering as RE
 from scholium.operators import retrieval as R
 from scholium.operators import structure as S
 from scholium.session import scratch
-from scholium.sources.indexes import TextIndex, VectorIndex
+from scholium.sources.indexes import BucketTable, EmbeddingCache, TextIndex, VectorIndex
 from scholium.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -980,6 +981,130 @@ def render_markdown(spark, sf):
     return _t(spark, sf, "events").select("event_id", batch.render_markdown("props").alias("markdown"))
 
 
+# --- what is kept ---
+@query(
+    """SELECT source, lang, count(*) AS n, CAST(sum(CASE WHEN source = 'src5' THEN 1 ELSE length(text) END) AS BIGINT) AS chars, count(*) FILTER (source = 'src5') AS changed FROM documents WHERE lang <> 'de' GROUP BY source, lang"""
+)
+def bucket_table(spark, sf):
+    """All documents kept, those of a source replaced (by rows with a new column), those of a language deleted."""
+    d = _docs(spark, sf).select(F.col("doc_id").alias("document_id"), "source", "lang", F.length("text").alias("chars"))
+    kept = BucketTable(spark, f"{scratch(spark)}/rows-{uuid.uuid4().hex}", buckets=16)
+    kept.replace(d)
+    kept.replace(d.where("source = 'src5'").withColumns({"chars": F.lit(1), "changed": F.lit(True)}))
+    kept.delete(d.where("lang = 'de'"))
+    return kept.rows().groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"), F.count("changed").alias("changed"))
+
+
+@query(
+    r"""WITH d AS (SELECT lang, text, regexp_matches(lower(text), '[a-z0-9_]') AS said FROM documents)
+    SELECT lang, count(*) AS n, count(*) FILTER (said) AS with_vector, (SELECT count(DISTINCT text) FROM d WHERE said) AS kept, CAST(0 AS BIGINT) AS kept_again FROM d GROUP BY lang"""
+)
+def embedding_cache(spark, sf):
+    """All texts embedded through the cache, half of them first; a third batch finds nothing to do."""
+    f = _docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "lang", "text")
+    cache = EmbeddingCache(spark, f"{scratch(spark)}/embeddings-{uuid.uuid4().hex}", "hash", 10_000_000)
+    embed = lambda rows: R.hash_embedding(rows.withColumnRenamed("digest", "chunk_id")).groupBy(F.col("chunk_id").alias("digest")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("m")).select("digest", F.transform(F.sequence(F.lit(0), F.lit(383)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("embedding"))
+    cache.fill(f.where(F.length("text") % 2 == 0), embed, "first")
+    cache.fill(f, embed, "second")
+    cache.fill(f, embed, "third")
+    kept = cache.stored().agg(F.count("*").alias("kept"))
+    again = cache.stored().join(cache.stored(but="third"), "digest", "left_anti").agg(F.count("*").alias("kept_again"))
+    return cache.embedded(f).groupBy("lang").agg(F.count("*").alias("n"), F.count("embedding").alias("with_vector")).crossJoin(kept).crossJoin(again)
+
+
+# --- results as text ---
+def _papers(spark, sf) -> DataFrame:
+    """``o_orderkey, doc``: every order as a plan of questions and days, packed twice: a fenced string under ``raw`` that holds another string."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_returnflag").alias("question_type"), F.concat(F.lit("ship "), F.col("l_partkey").cast("string")).alias("question_text"), F.col("l_linenumber").alias("score"), F.array("l_returnflag", "l_linestatus").alias("options"), F.col("l_linestatus").alias("answer")).alias("q"))
+    q = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["q"]).alias("questions"))
+    days = F.array(F.struct(F.lit(2).alias("day"), F.array("o_orderpriority", "o_orderstatus").alias("tasks")))
+    inner = F.to_json(F.struct(F.col("o_orderpriority").alias("title"), F.lit("").alias("remark"), F.struct(F.to_json(F.struct(F.col("o_custkey").alias("cust_key"))).alias("raw")).alias("ship_notes"), "questions", days.alias("daily_tasks"), F.array("o_orderstatus").alias("answers")))
+    fenced = F.concat(F.lit("```json\n"), inner, F.lit("\n```"))
+    return _t(spark, sf, "orders").join(q, "o_orderkey").select("o_orderkey", F.to_json(F.struct(fenced.alias("raw"))).alias("doc"))
+
+
+OUTLINE_SQL = """q AS (SELECT l_orderkey AS o_orderkey, string_agg('    第 ' || n || ' 题' || chr(10) || '        题型：' || l_returnflag || chr(10) || '        题干：ship ' || l_partkey || chr(10) || '        分值：' || l_linenumber || chr(10)
+  || '        选项：' || chr(10) || '            • ' || l_returnflag || chr(10) || '            • ' || l_linestatus || chr(10) || '        答案：' || l_linestatus, chr(10) ORDER BY n) AS q
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, CAST(l_partkey AS VARCHAR), l_linestatus) AS n FROM lineitem) GROUP BY l_orderkey)"""
+
+
+@query(
+    f"WITH {OUTLINE_SQL} SELECT o_orderkey, '标题：' || o_orderpriority || chr(10) || 'Ship notes：' || chr(10) || '    Cust key：' || o_custkey || chr(10) || '题目：' || chr(10) || q || chr(10) || '每日任务安排：' || chr(10) "
+    "|| '    Day 2' || chr(10) || '        任务内容：' || chr(10) || '            • ' || o_orderpriority || chr(10) || '            • ' || o_orderstatus || chr(10) || '答案：' || chr(10) || '    • ' || o_orderstatus AS text FROM orders JOIN q USING (o_orderkey)"
+)
+def json_outline(spark, sf):
+    return _papers(spark, sf).select("o_orderkey", RE.outline(F.col("doc")).alias("text"))
+
+
+@query(
+    """WITH q AS (SELECT l_orderkey AS o_orderkey, string_agg('#### 第 ' || n || ' 题  [' || l_returnflag || ']  (' || l_linenumber || ' 分)' || chr(10) || '  ship ' || l_partkey || chr(10) || '  A. ' || l_returnflag || chr(10) || '  B. ' || l_linestatus || chr(10), chr(10) ORDER BY n) AS q
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, CAST(l_partkey AS VARCHAR), l_linestatus) AS n FROM lineitem) GROUP BY l_orderkey)
+    SELECT o_orderkey, '**标题**：' || o_orderpriority || chr(10) || chr(10) || '## Ship notes' || chr(10) || chr(10) || '**Cust key**：' || o_custkey || chr(10) || chr(10) || '## 题目' || chr(10) || chr(10) || q || chr(10)
+    || '## 每日任务安排' || chr(10) || chr(10) || '**第 2 天**' || chr(10) || '### 任务内容' || chr(10) || chr(10) || '- ' || o_orderpriority || chr(10) || '- ' || o_orderstatus || chr(10) || chr(10) AS text FROM orders JOIN q USING (o_orderkey)"""
+)
+def markdown_for_students(spark, sf):
+    return _papers(spark, sf).select("o_orderkey", RE.markdown(F.col("doc"), answers=False).alias("text"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'insufficient' WHEN 4 THEN 'insufficient' ELSE 'ok' END AS answer_status, CASE WHEN event_id % 5 = 0 THEN 'read ' || event_type ELSE event_type END AS question_recognition,
+    CASE event_id % 5 WHEN 1 THEN '当前模型没有把题目代入求解，只返回了通用辅导模板。' WHEN 4 THEN '未获得有效解题内容。' WHEN 3 THEN 'try' ELSE '' END AS solving_approach,
+    CASE event_id % 5 WHEN 0 THEN event_type || '|' || user_id WHEN 1 THEN '缺少：可用于计算或推导的有效模型输出|请补充完整题干，或检查模型/OCR服务是否正常返回。' WHEN 4 THEN '缺少：可用于计算或推导的有效模型输出|请补充完整题干，或检查模型/OCR服务是否正常返回。' ELSE '' END AS steps,
+    CASE WHEN event_id % 5 = 2 THEN CAST(user_id AS VARCHAR) ELSE '' END AS final_answer,
+    CASE event_id % 5 WHEN 0 THEN 'one tip' WHEN 1 THEN '不要把通用解题模板当成真实答案。' WHEN 4 THEN '不要把通用解题模板当成真实答案。' WHEN 2 THEN 'a|b' ELSE '' END AS mistakes,
+    CASE event_id % 5 WHEN 0 THEN 'look' WHEN 1 THEN '把题目文字粘贴出来后，我再按题目逐步求解。' WHEN 4 THEN '把题目文字粘贴出来后，我再按题目逐步求解。' ELSE '可以继续追问某一步为什么这样做，或让我生成同类题。' END AS hint FROM events"""
+)
+def homework_results(spark, sf):
+    """Tutoring results in five shapes: wrapped with aliases, a template, an answer alone, an approach alone, not JSON."""
+    e, kind, user = _t(spark, sf, "events"), F.col("event_type"), F.col("user_id").cast("string")
+    obj = lambda **x: F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in x.items()]))
+    full = obj(steps=F.array(F.concat(F.lit(" "), kind), F.lit(" "), user), hints=F.array(F.lit("look"), F.lit("else")), mistake_tips="one tip", question_recognition=F.concat(F.lit("read "), kind))
+    i = F.col("event_id") % 5
+    doc = (
+        F.when(i == 0, obj(final_package=obj(tutor_result=full))).when(i == 1, obj(solving_approach="先识别题目考查", complete_steps=F.array(F.lit("整理条件"), F.lit("检查答案"))))
+        .when(i == 2, obj(tutoring=F.struct(user.alias("final_answer"), F.array(F.lit("a"), F.lit("b")).alias("mistake_tips")))).when(i == 3, obj(solving_approach=" try ", answer_status="")).otherwise("{broken")
+    )
+    out = RE.homework(e.select("event_id", kind.alias("question"), doc.alias("result")))
+    return out.select("event_id", "answer_status", "question_recognition", "solving_approach", F.array_join("complete_steps", "|").alias("steps"), "final_answer", F.array_join("common_mistakes", "|").alias("mistakes"), F.col("next_step_hint").alias("hint"))
+
+
+# --- templates ---
+@query(
+    """WITH p AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS n, bool_or(p_size > 49) AS f FROM part GROUP BY p_brand)
+    SELECT p_brand, array_to_string(n[1:5], '|') AS focus, array_to_string(n[1:3], '|') AS difficulties, CASE WHEN f THEN '' ELSE '缺少教材片段，重点难点为保守估计。' END AS warning, p_brand || ' 是本节需要理解和应用的核心内容。' AS explained, CASE WHEN f THEN '' ELSE '缺少教材片段，讲解为通用版本。' END AS warning2 FROM p"""
+)
+def keypoint_templates(spark, sf):
+    first = _t(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("n"), F.max(F.col("p_size") > 49).alias("f"))
+    asked = first.select("p_brand", F.col("n.p_name").alias("points"), F.when(F.col("f"), F.array(F.lit("x"))).alias("fragments"), F.col("p_brand").alias("knowledge_point"))
+    k = G.keypoints(asked).withColumn("warning", F.col("insufficient_data_warning")).drop("insufficient_data_warning")
+    one = F.get("key_points", F.lit(0))
+    return G.explanation(k).select("p_brand", F.array_join(one["core_focus"], "|").alias("focus"), F.array_join(one["learning_difficulties"], "|").alias("difficulties"), "warning", F.col("concept_explanation").alias("explained"), F.col("insufficient_data_warning").alias("warning2"))
+
+
+@query(
+    """SELECT o_orderkey, o_orderstatus = 'F' AS is_correct, CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE 0.0 END AS score, CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'unknown' END AS error_type,
+    CASE WHEN o_orderstatus = 'F' THEN '' ELSE '复习相关知识点|完成 2-3 道同类变式题' END AS remedies, o_orderpriority AS involved, '缺少教材片段，诊断为保守版本。' AS warning, o_orderpriority AS review, 'insufficient' AS status FROM orders"""
+)
+def diagnosis_templates(spark, sf):
+    """Diagnosis and tutoring of every order as a question whose right answer is F."""
+    o = _t(spark, sf, "orders").select("o_orderkey", F.lit("F").alias("standard_answer"), F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit("\n")).alias("student_answer"), F.col("o_orderpriority").alias("knowledge_point"), F.col("o_orderstatus").alias("question_text"), F.array().cast("array<string>").alias("fragments"))
+    d = G.diagnosis(o).withColumn("warning", F.col("insufficient_data_warning")).drop("insufficient_data_warning")
+    return G.tutor(d).select("o_orderkey", "is_correct", "score", "error_type", F.array_join("remediation_suggestions", "|").alias("remedies"), F.array_join("involved_knowledge", "|").alias("involved"), "warning", F.array_join("recommended_review", "|").alias("review"), F.col("answer_status").alias("status"))
+
+
+@query(
+    f"""WITH {ANSWERS_SQL}, m AS (SELECT user_id, error_type, min(event_id) AS f FROM a WHERE NOT is_correct AND error_type <> '' GROUP BY ALL), l AS (SELECT user_id, string_agg(error_type, '|' ORDER BY f) AS w, array_to_string((list(error_type ORDER BY f))[1:3], '|') AS t FROM m GROUP BY user_id)
+    SELECT c_custkey AS user_id, coalesce(w, '') AS weak, CASE WHEN c_custkey IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) THEN '' ELSE '学习数据较少，画像为保守版本。' END AS warning, coalesce(t, '') AS tomorrow FROM customer LEFT JOIN l ON user_id = c_custkey"""
+)
+def profile_templates(spark, sf):
+    """A profile and path for every customer, by their events as learners."""
+    a = _answers(spark, sf)
+    m = a.where(~F.col("is_correct")).select("user_id", "event_id", F.col("error_type").alias("knowledge_point"), F.col("error_type").alias("error_reason"))
+    p = G.profiles(_t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), m, a, "user_id", "event_id").withColumn("warning", F.col("insufficient_data_warning"))
+    path = G.adaptive_path(p.withColumns({"daily_study_time": F.lit(60), "exam_date": F.lit("")}))
+    return path.select("user_id", F.array_join("weak_knowledge_points", "|").alias("weak"), "warning", F.array_join(F.get("tomorrow_tasks", F.lit(0))["knowledge_points"], "|").alias("tomorrow"))
+
+
 # --- extension ---
 @query(
     "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) "

@@ -1,4 +1,4 @@
-"""Indexes that outlive a query: postings for BM25, and vectors, both kept in generations.
+"""What outlives a query: postings for BM25, vectors, rows by document, embeddings by content; kept in generations.
 
 A change appends a generation (a folder) and at last its rows in the small
 table that says which generation of a document, or of a course, is live; until
@@ -8,10 +8,13 @@ Nothing is rewritten in place but by ``compacted``.
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scholium.functions import text as T
 from scholium.operators import retrieval as R
@@ -156,3 +159,105 @@ class VectorIndex:
             return self.search(q, k, [course_id]).select("chunk_id", F.col("score").alias("vector_score"))
         scores = R.hash_search(fragments.where(F.col("course_id") == course_id), query)
         return scores.orderBy(F.col("vector_score").desc(), "chunk_id").limit(k)
+
+
+class BucketTable:
+    """Rows kept by document in a fixed number of buckets, of which a change rewrites only its own.
+
+    ``path/rows/live_generation=g/live_bucket=b`` holds the rows of a bucket as
+    of a change; ``path/live`` says, in a row for each bucket of a change, which
+    generation counts, and with which columns it was written. A change is seen
+    when its rows of ``live`` are there and not before, and after a failure it
+    can be made again; files of other buckets are neither read nor written. One
+    writer at a time. Rows without a document belong to one document of that
+    name, null. ``live_generation`` and ``live_bucket`` can't be columns.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "document_id", buckets: int = 256):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        name = F.coalesce(F.col(self.key).cast("string"), F.lit("")).cast("binary")
+        return df.withColumn("live_bucket", F.pmod(F.crc32(name), F.lit(self.buckets)).cast("int"))
+
+    def live(self) -> dict[int, tuple[int, str]]:
+        """The live generation of each bucket and its columns, one entry a bucket."""
+        if not _number(self.spark, self.path):
+            return {}
+        rows = self.spark.read.parquet(f"{self.path}/live").groupBy("bucket").agg(F.max(F.struct("generation", "columns")).alias("x"))
+        return {r.bucket: (r.x.generation, r.x.columns) for r in rows.collect()}
+
+    def rows(self, buckets: set[int] | None = None) -> DataFrame | None:
+        """The live rows, of some buckets or of all; None if there never were any. Columns that came later are null in earlier rows."""
+        live = {b: x for b, x in self.live().items() if buckets is None or b in buckets}
+        if not live:
+            return None
+        fields = {f.name: f for _, columns in sorted(set(live.values())) for f in StructType.fromJson(json.loads(columns)).fields}
+        number = [StructField("live_generation", IntegerType()), StructField("live_bucket", IntegerType())]
+        made = sorted({g for g, _ in live.values()})
+        read = self.spark.read.schema(StructType([*fields.values(), *number])).option("basePath", f"{self.path}/rows").parquet(*[f"{self.path}/rows/live_generation={g}" for g in made])
+        mine = [(F.col("live_generation") == g) & F.col("live_bucket").isin([b for b, (h, _) in live.items() if h == g]) for g in made]
+        return read.where(reduce(lambda x, y: x | y, mine)).drop("live_generation", "live_bucket")
+
+    def _change(self, new: DataFrame | None, gone: DataFrame) -> None:
+        """Writes ``new`` and what its buckets keep, which is all but the rows of the keys in ``gone``."""
+        touched = {r.live_bucket for r in self._bucketed(gone).select("live_bucket").distinct().collect()}
+        kept = self.rows(touched) if touched else None
+        if kept is not None:
+            keys = gone.select(F.col(self.key).alias("_key")).distinct()
+            stay = kept.join(keys, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
+            new = stay if new is None else stay.unionByName(new, allowMissingColumns=True)
+        if not touched or new is None:
+            return
+        g = _number(self.spark, self.path)
+        # a bucket with a very large document becomes several files, by size
+        self._bucketed(new).hint("rebalance", "live_bucket").write.mode("overwrite").partitionBy("live_bucket").parquet(f"{self.path}/rows/live_generation={g}")
+        self.spark.createDataFrame([(b, g, new.schema.json()) for b in sorted(touched)], "bucket int, generation int, columns string").coalesce(1).write.mode("append").parquet(f"{self.path}/live")
+
+    def replace(self, new: DataFrame) -> None:
+        """Puts the rows of ``new`` in place of all that its documents have."""
+        self._change(new, new.select(self.key))
+
+    def delete(self, documents: DataFrame) -> None:
+        """Forgets the documents of ``documents``."""
+        self._change(None, documents.select(self.key))
+
+
+class EmbeddingCache:
+    """Vectors by what was embedded: the digest of a model's name and a text as the model sees it.
+
+    ``path/vectors/batch=id`` holds ``digest, embedding``. Only texts that no
+    batch has are embedded, each once; a batch is named by whoever asks and is
+    overwritten when it is tried again, so no digest is there twice. One writer
+    at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, model: str, most_chars: int = 8000):
+        self.spark, self.path, self.model, self.most_chars = spark, path, model, most_chars
+
+    def digested(self, fragments: DataFrame) -> DataFrame:
+        """``fragments`` with ``seen``, the text as far as the model takes it (null: empty), and ``digest``."""
+        seen = fragments.withColumn("seen", F.substring(T.text_or_empty(F.col("text")), 1, self.most_chars))
+        return seen.withColumn("digest", F.sha2(F.concat_ws("\u0000", F.lit(self.model), "seen"), 256))
+
+    def stored(self, but: str | None = None) -> DataFrame:
+        """``digest, embedding`` of all batches but one."""
+        empty = self.spark.createDataFrame([], "digest string, embedding array<double>")
+        try:
+            rows = self.spark.read.schema("digest string, embedding array<double>, batch string").option("basePath", f"{self.path}/vectors").parquet(f"{self.path}/vectors")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return empty
+        return rows.where(F.lit(True) if but is None else F.col("batch") != but).select("digest", "embedding")
+
+    def fill(self, fragments: DataFrame, embed, batch: str) -> None:
+        """Embeds what is missing and keeps it as a batch. ``embed`` adds ``embedding`` to rows with ``text``; where that is null nothing is kept, and the next batch tries again."""
+        texts = self.digested(fragments.select("text")).groupBy("digest").agg(F.min("seen").alias("text"))
+        missing = texts.join(self.stored(but=batch).select("digest"), "digest", "left_anti")
+        got = embed(missing).where(F.col("embedding").isNotNull()).select("digest", "embedding")
+        got.write.mode("overwrite").parquet(f"{self.path}/vectors/batch={batch}")
+
+    def embedded(self, fragments: DataFrame) -> DataFrame:
+        """``fragments`` with their whole texts and ``embedding`` (null: not in the cache)."""
+        return self.digested(fragments).drop("seen").join(self.stored(), "digest", "left").drop("digest")
