@@ -41,8 +41,8 @@ def label(name: Column) -> Column:
 
 
 def _events(doc: Column, audience: str, answers: bool) -> Column:
-    mine = lambda e: e["only"].isNull() | (e["only"] == audience)
-    return F.filter(batch.json_events(doc), lambda e: mine(e) & (F.lit(answers) | ~e["secret"]))
+    events = batch.json_events(doc, audience)
+    return events if answers else F.filter(events, lambda e: ~e["secret"])
 
 
 def outline(doc: Column, answers: bool = True) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import batch
 from scholium.functions import text as T
+from scholium.operators import analysis as AN
 from scholium.operators import analytics as A
 from scholium.operators import generators as G
 from scholium.operators import knowledge as KN
@@ -981,6 +982,39 @@ def render_markdown(spark, sf):
     return _t(spark, sf, "events").select("event_id", batch.render_markdown("props").alias("markdown"))
 
 
+# --- analysis of pages ---
+ANALYSIS_TERMS = ("STEEL", "BRASS", "red", "gear", "概率", "部件")
+ANALYSIS_SQL = r"""n AS (SELECT document_id, page_no, pk, replace(replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '．', '.'), '：', ':') AS line FROM bl),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(line, '[.·•…．]{2,}\s*\d+\s*$', ''), '\s+\d{1,4}\s*$', ''), ' -—') AS title, lead(line) OVER w AS l1, lead(line, 2) OVER w AS l2, lag(line) OVER w AS l0 FROM n WINDOW w AS (PARTITION BY document_id, page_no ORDER BY pk)),
+h AS (SELECT document_id, regexp_replace(title, '\s+', '', 'g') AS key, min(pk) AS pk, arg_min(title, pk) AS title, arg_min(page_no, pk) AS page_no FROM t WHERE length(title) <= 90 AND regexp_matches(title, '^(第[一二三四五六七八九十百零〇0-9]+[章节篇]\s*.+|[0-9]+(\.[0-9]+){1,3}\s+[\x{4e00}-\x{9fa5}A-Za-z].+)') GROUP BY ALL),
+hn AS (SELECT *, row_number() OVER w - 1 AS idx, lead(page_no) OVER w AS later FROM h WINDOW w AS (PARTITION BY document_id ORDER BY pk)),
+c AS (SELECT document_id, CAST(idx AS INTEGER) AS chapter_index, left(title, 120) AS name, regexp_extract(title, '^(第[0-9]+[章节篇]|[0-9]+(\.[0-9]+){0,3})', 1) AS number, page_no AS page_start,
+  CASE WHEN idx = max(idx) OVER (PARTITION BY document_id) THEN 0 ELSE greatest(page_no, later - 1) END AS page_end FROM hn WHERE idx < 80)"""
+
+
+@query(f"WITH {BOOK_SQL}, {ANALYSIS_SQL} SELECT * FROM c")
+def analysed_chapters(spark, sf):
+    return AN.chapters(AN.lines(_book(spark, sf)))
+
+
+@query(
+    f"WITH {BOOK_SQL}, {ANALYSIS_SQL}, "
+    r"""m AS (SELECT t.*, coalesce(last_value(c.chapter_index IGNORE NULLS) OVER (PARTITION BY t.document_id ORDER BY t.pk), 0) AS chapter_index FROM t LEFT JOIN c ON c.document_id = t.document_id AND c.name = t.title),
+    x AS (SELECT *, regexp_extract(line, '^(定义|定理|性质|引理|推论|命题|公式|法则|例题|例)\s*([0-9一二三四五六七八九十.．-]*)\s*[：:]?\s*(.+)?$', ['a', 'b', 'c']) AS e FROM m),
+    e AS (SELECT 0 AS o, 0 AS no, pk, document_id, page_no, chapter_index, trim(e.a || e.b || ' ' || trim(e.c)) AS name, left(concat_ws(' ', line, l1, l2), 500) AS d, CASE WHEN e.a = '定理' THEN 'theorem' WHEN e.a = '例' THEN 'method' ELSE 'concept' END AS kp_type FROM x WHERE e.a <> ''
+      UNION ALL SELECT 0, 0, pk, document_id, page_no, chapter_index, title, left(concat_ws(' ', line, l1), 500), 'concept' FROM x WHERE e.a = '' AND length(line) <= 90 AND regexp_matches(line, '^[0-9]+(\.[0-9]+){1,3}\s+[\x{4e00}-\x{9fa5}A-Za-z].+')
+      UNION ALL SELECT 1, no, pk, document_id, page_no, chapter_index, term, left(concat_ws(' ', l0, line, l1, l2), 500), 'concept' FROM m JOIN (SELECT unnest(['STEEL', 'BRASS', 'red', 'gear', '概率', '部件']) AS term, unnest(range(6)) AS no) ON contains(line, term) QUALIFY row_number() OVER (PARTITION BY document_id, term ORDER BY pk) = 1
+      UNION ALL SELECT 2, 0, pk, document_id, page_no, chapter_index, left(line, 80), line, 'formula' FROM (SELECT * FROM (SELECT * FROM m WHERE length(line) BETWEEN 4 AND 220 AND regexp_matches(line, '[=∫∑∏→∞]|lim|sin|cos|tan|log|ln|P[{(]|[ED]\(|Var|Cov') QUALIFY row_number() OVER (PARTITION BY document_id, line ORDER BY pk) = 1) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY pk) <= 80)),
+    u AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY document_id, regexp_replace(name, '\s+', '', 'g') ORDER BY o, no, pk) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY o, no, pk) AS place FROM u)
+    SELECT document_id, CAST(place AS BIGINT) AS place, name, md5(d) AS h, kp_type, CASE WHEN name = '概率' THEN 'easy' ELSE 'medium' END AS difficulty, page_no, chapter_index FROM r WHERE place <= 300"""
+)
+def analysed_points(spark, sf):
+    rows = AN.lines(_book(spark, sf))
+    p = AN.points(rows, AN.chapters(rows), ANALYSIS_TERMS)
+    return p.select("document_id", F.col("place").cast("long").alias("place"), "name", F.md5("definition").alias("h"), "kp_type", "difficulty", "page_no", "chapter_index")
+
+
 # --- what is kept ---
 @query(
     """SELECT source, lang, count(*) AS n, CAST(sum(CASE WHEN source = 'src5' THEN 1 ELSE length(text) END) AS BIGINT) AS chars, count(*) FILTER (source = 'src5') AS changed FROM documents WHERE lang <> 'de' GROUP BY source, lang"""
