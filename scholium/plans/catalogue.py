@@ -1139,6 +1139,18 @@ def profile_templates(spark, sf):
     return path.select("user_id", F.array_join("weak_knowledge_points", "|").alias("weak"), "warning", F.array_join(F.get("tomorrow_tasks", F.lit(0))["knowledge_points"], "|").alias("tomorrow"))
 
 
+@query(
+    """WITH s AS (SELECT doc_id, unnest(range(0, 6)) AS i FROM documents), r AS (SELECT *, ['uploaded', 'parsing', 'chunking', 'embedding', 'completed'] AS names FROM s WHERE i BETWEEN 1 AND doc_id % 6 OR i = 0 AND doc_id % 7 = 0)
+    SELECT doc_id AS document_id, TIMESTAMP '2024-01-01' + to_minutes(i) AS ts, CASE WHEN i > 1 THEN names[i - 1] END AS old_status, CASE WHEN i = 0 THEN 'completed' ELSE names[i] END AS status, i > 0 AS valid, CAST(i >= 2 AS INTEGER) AS attempt, CAST(60 * greatest(0, i - 2) AS DOUBLE) AS work_seconds FROM r"""
+)
+def document_life(spark, sf):
+    """Every document on its way, some with a report that can't be; state in RocksDB, as for a stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = F.array(*[F.lit(x) for x in ("completed", "uploaded", "parsing", "chunking", "embedding", "completed")])
+    told = _docs(spark, sf).select(F.col("doc_id").alias("document_id"), F.posexplode(names).alias("i", "status")).where((F.col("i").between(1, F.col("document_id") % 6)) | ((F.col("i") == 0) & (F.col("document_id") % 7 == 0)))
+    return activity.document_life(told.select("document_id", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("i"))).alias("ts"), "status"))
+
+
 # --- extension ---
 @query(
     "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) "
