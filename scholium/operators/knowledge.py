@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import batch
 from scholium.functions import text as T
+from scholium.session import written
 
 # --- fixed values ---
 #: Confidence of graph nodes and weight of edges by kind.
@@ -97,8 +98,10 @@ def graph_edges(nodes: DataFrame, fragments: DataFrame, points: DataFrame, least
 
     In the order of writing: points belong to their chapter; prerequisites and
     confusable points by name; a chapter's formulas, examples, exercises and
-    mistakes; the chain of chapters; points with similar names.
+    mistakes; the chain of chapters; points with similar names. Every relation
+    reads nodes and points anew, so they are written first.
     """
+    nodes, points = written(nodes), written(points)
     top = lambda df, by: df.groupBy("course_id", by).agg(F.max_by("node_id", "place").alias("target"))
     chapter = top(nodes.where("node_type = 'chapter'"), "name").withColumnRenamed("name", "chapter_name").withColumnRenamed("target", "chapter_node")
     by_name = points.groupBy("course_id", "name").agg(F.max_by("kp_id", "ord").alias("named"))
@@ -107,8 +110,8 @@ def graph_edges(nodes: DataFrame, fragments: DataFrame, points: DataFrame, least
     before = points.select("course_id", "kp_id", F.explode("prerequisites").alias("name")).join(by_name, ["course_id", "name"])
     alike = points.select("course_id", "kp_id", F.explode("confusable_with").alias("name")).join(by_name, ["course_id", "name"])
     kinds = F.create_map(*[F.lit(x) for kv in FRAGMENT_RELATIONS.items() for x in kv])
-    written = nodes.where(F.col("node_type").isin(*FRAGMENT_RELATIONS)).select("course_id", "node_id", "node_type", F.col("chapter").alias("chapter_name"), F.substring("summary", 1, 20).alias("head"))
-    inside = written.join(chapter, ["course_id", "chapter_name"])
+    of_fragments = nodes.where(F.col("node_type").isin(*FRAGMENT_RELATIONS)).select("course_id", "node_id", "node_type", F.col("chapter").alias("chapter_name"), F.substring("summary", 1, 20).alias("head"))
+    inside = of_fragments.join(chapter, ["course_id", "chapter_name"])
     # a formula needs a fragment of its chapter that holds its head; one fragment each, so pairs are not multiplied
     texts = fragments.select("course_id", "chapter_name", F.explode(F.transform(T.formulas(F.col("text")), lambda x: F.substring(x, 1, 20))).alias("head"), "text").where(F.contains("text", F.col("head"))).select("course_id", "chapter_name", "head").distinct()
     formula = inside.where("node_type = 'formula'").join(texts, ["course_id", "chapter_name", "head"], "left_semi")

@@ -48,9 +48,10 @@ def ocr_budget(pages: DataFrame, most: int | None) -> DataFrame:
     p = page_profile(pages).withColumn("_need", F.col("is_scanned") | F.col("low_quality"))
     if most is None:
         return p.withColumn("do_ocr", F.col("_need")).drop("_need")
-    nth = F.row_number().over(Window.partitionBy("document_id").orderBy("ord"))  # pruned before the shuffle
-    last = p.where("_need").select("document_id", "ord").withColumn("_n", nth).where(F.col("_n") <= most).groupBy("document_id").agg(F.max("ord").alias("_last"))
-    return p.join(last, "document_id", "left").withColumn("do_ocr", F.col("_need") & F.coalesce(F.col("ord") <= F.col("_last"), F.lit(False))).drop("_need", "_last")
+    # pages in need first: a filter on the need would move below the profile, which it would compute once for every use
+    nth = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("_need").desc(), "ord"))  # pruned before the shuffle
+    last = p.select("document_id", "ord", "_need").withColumn("_n", nth).where((F.col("_n") <= most) & F.col("_need")).groupBy("document_id").agg(F.max("ord").alias("_last"))
+    return p.join(last, "document_id", "left").withColumn("do_ocr", F.when(F.col("ord") <= F.col("_last"), F.col("_need")).otherwise(F.lit(False))).drop("_need", "_last")
 
 
 def chosen_text(direct: Column, ocr: Column) -> Column:

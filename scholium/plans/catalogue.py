@@ -25,7 +25,7 @@ from scholium.operators import parsing as P
 from scholium.operators import rendering as RE
 from scholium.operators import retrieval as R
 from scholium.operators import structure as S
-from scholium.session import scratch
+from scholium.session import scratch, written
 from scholium.sources.indexes import BucketTable, EmbeddingCache, TextIndex, VectorIndex
 from scholium.streaming import activity
 
@@ -724,9 +724,8 @@ def section_chunks(spark, sf):
 
 
 def _points(spark, sf) -> DataFrame:
-    c = S.chapters(_outline(spark, sf)).select(F.concat_ws("/", "document_id", "chapter_id").alias("key"), "text")
-    names = S.chapters(_outline(spark, sf)).select(F.concat_ws("/", "document_id", "chapter_id").alias("key"), F.col("document_id").alias("course_id"), "chapter_id", "chapter_name")
-    p = KN.knowledge_points(c, "key").join(names, "key")
+    chapters = written(S.chapters(_outline(spark, sf)).select(F.concat_ws("/", "document_id", "chapter_id").alias("key"), F.col("document_id").alias("course_id"), "chapter_id", "chapter_name", "text"))
+    p = KN.knowledge_points(chapters.select("key", "text"), "key").join(chapters.drop("text"), "key")
     order = F.struct("chapter_id", "place")
     return p.withColumn("ord", F.row_number().over(Window.partitionBy("course_id").orderBy(order)).cast("long"))
 
@@ -744,8 +743,8 @@ def kp_extract(spark, sf):
 
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = S.page_chunks(_book(spark, sf)).withColumn("ord", F.col("chunk_index"))
-    p = _points(spark, sf)
+    f = written(S.page_chunks(_book(spark, sf)).withColumn("ord", F.col("chunk_index")))
+    p = written(_points(spark, sf))
     return KN.graph_nodes(f, p), f, p
 
 
