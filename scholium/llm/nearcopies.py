@@ -9,7 +9,9 @@ with, compressed. Small groups of an element emit pairs, which are verified
 from the texts. A larger group is cut into chunks that share a core of its
 members; a chunk is searched from member to member until none is left, so that
 it gives a tree of links and not its pairs; where it still holds several components, it
-is searched chunk against chunk.
+is searched chunk against chunk. The holders of a shingle that the sample shows to be
+very frequent are dealt to parts by hash before they meet, so no task holds them all;
+the parts' chunks share one core.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SEED = 42
 SAMPLE, FREQUENT, KEPT = 5_000, 4, 65_536
 #: Members of a small group at most; of a chunk; of the core of a larger one; of a member's larger groups how many are searched first.
 SMALL, CHUNK, CORE, FIRST = 32, 2_048, 32, 2
+#: Holders of a frequent shingle in one part, as the sample foretells.
+PART = 8_192
 _FILTER = 27
 _FLUSH = 1 << 20
 
@@ -81,8 +85,17 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _frequent(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a bounded sample of texts, ascending, and their counts in it."""
+def parted(tok: np.ndarray, node: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of its shingle's holders that each node is in, and the number of these parts (one, unless the shingle is hot)."""
+    if not len(hot):
+        return np.zeros(len(tok), np.int64), np.ones(len(tok), np.int64)
+    at = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
+    many = np.where(hot[at] == tok, parts[at], 1)
+    return (((mix(node.view(np.uint64)) >> np.uint64(32)) * many.astype(np.uint64)) >> np.uint64(32)).astype(np.int64), many
+
+
+def _frequent(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent shingles of a bounded sample of texts, ascending, their counts in it and the parts for their holders in all texts."""
     share = max(1, texts.count() // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(2 * SAMPLE)
 
@@ -92,7 +105,8 @@ def _frequent(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, k), pa.int64())], names=["s"])
 
     top = sample.select("text").mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT).orderBy(F.col("count").desc(), "s").limit(KEPT).toPandas().sort_values("s")
-    return top["s"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+    counts = top["count"].to_numpy(np.int64)
+    return top["s"].to_numpy(np.int64), counts, np.minimum(-(-counts * share // PART), 1 << 20)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -115,7 +129,8 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("node", F.xxhash64("text"))
-    hot = Shared(spark, _frequent(texts, shingle))
+    frequent = _frequent(texts, shingle)
+    hot = Shared(spark, frequent)
     nb = buckets_for(texts, 8 << 20)
     blobs = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
@@ -124,7 +139,8 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
         tok = np.concatenate([t for *_, t in held])
         node, n = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
         at = np.concatenate([np.arange(k) for k in sizes])
-        bucket = (mix(tok.view(np.uint64)) >> np.uint64(32)) % np.uint64(nb)
+        part = parted(tok, node, hot.value[0], hot.value[2])[0]
+        bucket = (mix(tok.view(np.uint64) + part.astype(np.uint64)) >> np.uint64(32)) % np.uint64(nb)
         order = np.lexsort((tok, bucket))
         return batches_of([(int(bucket[i[0]]), packed(tok[i], node[i], n[i].astype("<i4"), at[i].astype("<i4"))) for i in np.split(order, starts_of(bucket[order])[1:])], blobs)
 
@@ -137,7 +153,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
                 seen.add(node)
                 s = shingles(t, shingle)
                 if len(s):
-                    held.append((node, len(s), prefix(s, *hot.value)))
+                    held.append((node, len(s), prefix(s, *hot.value[:2])))
                     n += len(held[-1][2])
                 if n >= _FLUSH:
                     yield pack(held)
@@ -148,15 +164,19 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     rows = pa.schema([("node", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32())])
 
     def meet(data):
-        """Members of groups: of small ones those that could be similar to another, of larger ones all, by chunk."""
+        """Members of groups: of small ones those that could be similar to another, of larger ones and of parts all, by chunk.
+
+        The chunks of a part have numbers of their own; ``chunks`` is 0 there, as one part doesn't know the others.
+        """
         tok, node, n, at = (np.concatenate(c) for c in zip(*(unpacked(x, "<i8", "<i8", "<i4", "<i4") for x in data)))
-        order = np.lexsort((node, tok))
-        tok, node, n, at = tok[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        part, many = parted(tok, node, hot.value[0], hot.value[2])
+        order = np.lexsort((node, part, tok))
+        tok, node, n, at, part, many = tok[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64), part[order], many[order]
         own = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])])
-        tok, node, n, at = tok[own], node[own], n[own], at[own]
-        first = starts_of(tok)
+        tok, node, n, at, part, many = tok[own], node[own], n[own], at[own], part[own], many[own]
+        first = np.nonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (part[1:] != part[:-1])]))[0]
         size = np.diff(np.append(first, len(tok)))
-        few = np.repeat(size <= SMALL, size)
+        few = np.repeat((size <= SMALL) & (many[first] == 1), size)
         viable = np.zeros(len(tok), bool)
         for d in range(1, min(SMALL, len(tok))):  # members that stand d apart in their group
             i = np.nonzero((tok[d:] == tok[:-d]) & few[d:])[0]
@@ -167,12 +187,15 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
         i, each = np.nonzero(viable)[0], np.repeat(size, size)
         zero = np.zeros(len(i), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((node[i], tok[i], n[i], at[i], each[i], zero, zero + 1), rows)], schema=rows)
-        for g in np.nonzero(size > SMALL)[0].tolist():
+        for g in np.nonzero((size > SMALL) | (many[first] > 1))[0].tolist():
             i = np.arange(first[g], first[g] + size[g])
             i = i[np.argsort(mix(node[i].view(np.uint64)))]
             chunks = -(-len(i) // CHUNK)
-            chunk = np.concatenate([np.repeat(np.arange(chunks), min(CORE, len(i))), np.arange(max(0, len(i) - CORE)) % chunks])
-            i = np.concatenate([np.tile(i[:CORE], chunks), i[CORE:]])
+            if many[first[g]] > 1:
+                chunk, chunks = part[first[g]] + many[first[g]] * (np.arange(len(i)) % chunks), 0
+            else:
+                chunk = np.concatenate([np.repeat(np.arange(chunks), min(CORE, len(i))), np.arange(max(0, len(i) - CORE)) % chunks])
+                i = np.concatenate([np.tile(i[:CORE], chunks), i[CORE:]])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((node[i], tok[i], n[i], at[i], each[i], chunk, np.full(len(i), chunks)), rows)], schema=rows)
 
     def meetings(batches):
@@ -189,9 +212,17 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
 
     dealt = texts.select("node", "text").mapInArrow(prefixes, "bucket int, data binary").repartition(min(nb, 1 << 16), "bucket").sortWithinPartitions("bucket")
     member = checkpoint(dealt.mapInArrow(meetings, "node long, s long, n int, at int, size int, chunk int, chunks int"))
+    nodes, in_chunks = member.select("node"), member.select("s", "node", "chunk")
+    if (frequent[2] > 1).any():  # at most as many shingles as are kept: their true sizes fit a broadcast
+        parts, cols = member.where("chunks = 0"), member.columns
+        whole = checkpoint(parts.groupBy("s").agg(F.count("*").cast("int").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")))
+        nth = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("node"), "node"))  # pruned before the shuffle
+        core = parts.select("s", "node", "chunk").withColumn("nth", nth).where(F.col("nth") <= CORE)
+        others = parts.select("s", F.col("chunk").alias("other")).distinct()
+        in_chunks = in_chunks.unionByName(core.join(others, "s").where("chunk <> other").select("s", "node", F.col("other").alias("chunk")))
+        member = member.where("chunks > 0").unionByName(parts.drop("size", "chunks").join(F.broadcast(whole), "s").select(*cols))
 
     # texts of nodes that a filter of fixed size names; it names some more as well
-    nodes = member.select("node")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - _FILTER}) & 63 as int))")
     words = nodes.groupBy(F.shiftrightunsigned("node", 70 - _FILTER).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << _FILTER - 6, np.uint64)
@@ -243,7 +274,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     each = member.dropDuplicates(["s", "node"]).drop("chunk")
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("size").desc(), "s"))
     ahead = each.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("node", "s")
-    first = member.join(ahead, ["node", "s"], "left_semi").select("s", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node")
+    first = in_chunks.join(ahead, ["node", "s"], "left_semi").select("s", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node")
     found = checkpoint(searched(first).distinct())
     wanted = nodes.distinct()
     ids = texts.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))

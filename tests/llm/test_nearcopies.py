@@ -39,9 +39,10 @@ def jaccard_pairs(s):
     return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if s[a] and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
 
 
-@pytest.mark.parametrize("chunk", [2048, 24])
-def test_near_copies(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "part"), [(2048, 8192), (24, 8192), (24, 16)])
+def test_near_copies(spark, chunk, part, monkeypatch):
     monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+    monkeypatch.setattr(nearcopies, "PART", part)  # 16: groups are dealt to parts
     monkeypatch.setattr(nearcopies, "CORE", min(chunk, 2))
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(4000)}"
