@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 
@@ -28,6 +29,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files and broadcasts of finished steps.
+
+    Spark removes them when the driver's collector finds their plans unused,
+    by itself every half hour only; between steps that end in checkpoints, the
+    files of all steps would lie on the executors' disks together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Shared:
     """A broadcast object whose class goes along, so executors need no copy of this package.
 
@@ -112,6 +124,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = checkpoint(e.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    release(edges.sparkSession)
     out = moves[-1].withColumnRenamed("to", "component")
     for m in reversed(moves[:-1]):
         up = out.select(F.col("node").alias("to"), F.col("component").alias("up"))

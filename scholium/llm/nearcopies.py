@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, batches_of, buckets_for, bytes_column, checkpoint, connected_components
+from .common import Shared, batches_of, buckets_for, bytes_column, checkpoint, connected_components, release
 from .repeats import mix, packed, starts_of, unpacked
 
 SEED = 42
@@ -241,6 +241,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
             yield pa.RecordBatch.from_arrays([pa.array(node[there].view(np.int64)), pa.array([shrink.compress(t[i]) for i in there.tolist()], pa.binary())], names=["node", "body"])
 
     bodies = checkpoint(texts.select("node", "text").mapInArrow(chosen, "node long, body binary").dropDuplicates(["node"]))
+    release(spark)
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -276,6 +277,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     ahead = each.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("node", "s")
     first = in_chunks.join(ahead, ["node", "s"], "left_semi").select("s", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node")
     found = checkpoint(searched(first).distinct())
+    release(spark)
     wanted = nodes.distinct()
     ids = texts.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     if names is not None:
