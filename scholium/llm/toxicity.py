@@ -9,7 +9,9 @@ The gap-weighted subsequence kernel gives a word's likeness to each landmark; a
 document's value per landmark is the largest over its words. The Nyström map
 turns these values into features, beside them stands how many different words
 are alike; a linear SVM separates the classes and Platt's sigmoid makes a score
-of its margin.
+of its margin. A beginning also occurs in clean texts by chance, the more of
+them the longer they are, so beside the largest values stands the evidence of
+all words, as it is and against their number.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ POWER = 6
 WIDTH = 24
 #: Kernel values of words that a worker remembers.
 _MEMO = 300_000
+#: About so many unknown words of a batch's texts are compared at once.
+_AT_ONCE = 10_000
+#: Features beside the landmarks, and from about how many different words on evidence is held against their number.
+EXTRAS, SHARE = 3, 50
+#: How much more often a landmark occurs among the words of toxic documents.
+TIMES = 3.0
 _INNER = re.compile(r"[\W_]+")
 _LETTERS = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
@@ -64,8 +72,9 @@ def gap_kernel(s: np.ndarray, t: np.ndarray, p: int = P, decay: float = DECAY) -
 
 
 class Model:
-    def __init__(self, landmarks: list[str]):
+    def __init__(self, landmarks: list[str], worth: list[float] | None = None):
         self.landmarks = landmarks
+        self.worth = np.ones(len(landmarks)) if worth is None else np.array(worth, float)
         self.codes = coded(landmarks, max(map(len, landmarks), default=0), -1)
         self.own = gap_kernel(np.where(self.codes < 0, 0, self.codes), self.codes)
         # for each character the landmark positions that hold it, as bits
@@ -75,8 +84,8 @@ class Model:
                 self.places[ord(c), i] |= np.uint16(1 << j)
         size = np.array([len(w) for w in landmarks], np.int64)
         self.full, self.least, self.most = ((1 << size) - 1).astype(np.uint16), -(-7 * size // 10), 2 * size + 2
-        self.weights, self.bias, self.slope, self.shift = np.zeros(len(landmarks) + 1), 0.0, -1.0, 0.0
-        self.memo: dict[str, np.ndarray | None] = {}
+        self.weights, self.bias, self.slope, self.shift = np.zeros(len(landmarks) + EXTRAS), 0.0, -1.0, 0.0
+        self.memo: dict[str, tuple[np.ndarray, float] | None] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -123,26 +132,49 @@ class Model:
         names = list(spans)
         pairs = self.alike(names)
         for i, m, k in zip(*pairs.T.tolist(), self.kernel(names, pairs).tolist()):
+            worth = float(self.worth[m]) * (1.0 if names[i].startswith(self.landmarks[m]) else k)
             for w in spans[names[i]]:
-                if self.memo[w] is None:
-                    self.memo[w] = np.zeros(len(self.landmarks))
-                self.memo[w][m] = max(self.memo[w][m], k)
+                v, most = self.memo[w] or (np.zeros(len(self.landmarks)), 0.0)
+                v[m] = max(v[m], k)
+                self.memo[w] = v, max(most, worth)
 
     def values(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Per text and landmark the largest kernel value over the words, then how many words are alike; None where none is."""
+        """Per text and landmark the largest kernel value over the words, then how many words are alike, what evidence
+        they are, and that against the number of words; None where none is."""
         if not self.landmarks:
             return [None] * len(texts)
-        out = []
+        out: list[np.ndarray | None] = []
+        waiting: list[set[str]] = []
+        fresh: set[str] = set()
+
+        def tell():
+            if len(self.memo) + len(fresh) > _MEMO:
+                self.memo.clear()
+                fresh.update(*waiting)
+            self.remember(list(fresh))
+            out.extend(map(self.value, waiting))
+            waiting.clear()
+            fresh.clear()
+
         for t in texts:
             low = (t or "").lower()
-            words = set(low.split()) | set(_LETTERS.findall(low))
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            self.remember([w for w in words if w not in self.memo])
-            k = [v for w in words if (v := self.memo[w]) is not None]
-            out.append(np.append(np.max(k, axis=0), np.log1p(sum(float(v.max()) for v in k))) if k else None)
+            words = set(low.split())
+            words.update(_LETTERS.findall(low))
+            waiting.append(words)
+            fresh.update(w for w in words if w not in self.memo)
+            if len(fresh) > _AT_ONCE:
+                tell()
+        tell()
         return out
 
+    def value(self, words: set[str]) -> np.ndarray | None:
+        k = [v for w in words if (v := self.memo[w]) is not None]
+        if not k:
+            return None
+        worth = sum(e for _, e in k)
+        more = [sum(float(v.max()) for v, _ in k), worth, worth * SHARE / (SHARE + len(words))]
+        return np.append(np.max([v for v, _ in k], axis=0), np.log1p(more))
+
     def scores(self, texts: list[str | None]) -> list[float]:
         f = np.array([self.bias + (float(v @ self.weights) if v is not None else 0.0) for v in self.values(texts)])
         return (1 / (1 + np.exp(np.clip(self.slope * f + self.shift, -60, 60)))).tolist()
@@ -159,7 +191,7 @@ class Model:
             z = np.hstack([x @ root, count, np.ones((len(x), 1))])
             sign = np.where(y > 0, 1.0, -1.0)
             share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-            w, ridge = np.zeros(m + 2), np.append(np.full(m, RIDGE), [RIDGE / 100, 0.0])
+            w, ridge = np.zeros(z.shape[1]), np.append(np.full(m, RIDGE), [*[RIDGE / 100] * count.shape[1], 0.0])
             for _ in range(60):  # Newton steps on the active rows
                 miss = np.maximum(0, 1 - sign * (z @ w))
                 active = miss > 0
@@ -169,7 +201,7 @@ class Model:
                 w = w - step
                 if np.abs(step).max() < 1e-8:
                     break
-            self.weights, self.bias = np.append(root @ w[:m], w[m]), float(w[-1])
+            self.weights, self.bias = np.append(root @ w[:m], w[m:-1]), float(w[-1])
             f = z @ w
         else:
             f = np.zeros(len(y))
@@ -196,9 +228,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: i
 
     Landmarks are at most ``landmarks`` beginnings (3 to 12 characters) of words
     of the sample. Each occurs in ``min_docs`` toxic documents with different
-    openings (copies count once), and its log-likelihood ratio against the rate
-    in clean ones exceeds ``evidence`` (14: about one chance in a million, as so
+    openings (copies count once). Counted are a document's different words, as
+    a clean text of some length may hold any beginning by chance: a landmark's
+    rate among the words of toxic documents is ``TIMES`` that of clean ones, with
+    a log-likelihood ratio over ``evidence`` (14: about one chance in a million, as so
     many beginnings compete); one that only prolongs a chosen one is left out.
+    The logarithm of the two rates' ratio is what a word with it is worth as evidence.
     """
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1)).distinct()
     ids = None
@@ -211,19 +246,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: i
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         model = Model([])
-        model.fit(np.zeros((sum(n.values()), 1)), np.repeat(1.0 if n.get(1) else 0.0, sum(n.values())))
+        model.fit(np.zeros((sum(n.values()), EXTRAS)), np.repeat(1.0 if n.get(1) else 0.0, sum(n.values())))
         return model
-    words = sample.select("toxic", F.xxhash64(F.substring("text", 1, 24)).alias("opening"), F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) >= 3")
-    starts = words.select("toxic", "opening", "doc", F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(12), F.length("w"))), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"))
-    stat = starts.groupBy("w").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("opening"))).alias("bad"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("doc"))).alias("good"))
-    chance = (F.col("good") + 1) * F.lit(n[1] / n[0])
+    opening = F.when(F.col("toxic") == 1, F.xxhash64(F.substring("text", 1, 24))).otherwise(F.xxhash64("text"))
+    single = sample.groupBy("toxic", opening.alias("opening")).agg(F.min_by("text", "doc_id").alias("text"))
+    words = F.array_sort(F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)))
+    # equal beginnings are neighbours in the order, so the first of a document is the one its predecessor does not have
+    pairs = single.select("toxic", words.alias("words")).select("toxic", F.explode(F.arrays_zip("words", F.concat(F.array(F.lit("")), "words").alias("before"))).alias("p")).where("p.words is not null")
+    pairs = pairs.select("toxic", F.col("p.words").alias("word"), F.col("p.before").alias("before"))
+    starts = pairs.select("toxic", "before", F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(12), F.length("word"))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("w"))
+    new = ~F.startswith("before", F.col("w"))
+    bad, good = F.col("toxic") == 1, F.col("toxic") == 0
+    stat = starts.groupBy("w").agg(F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(good, 1)).alias("good"), F.count(F.when(bad & new, 1)).alias("docs"))
+    all_words = {r[0]: r[1] for r in pairs.groupBy("toxic").count().collect()}
+    chance = (F.col("good") + 1) * F.lit(all_words.get(1, 0) / max(1, all_words.get(0, 0)))
     gain = F.col("bad") * F.log(F.col("bad") / chance) - F.col("bad") + chance
-    stat = stat.where(F.col("bad") >= min_docs).where((F.col("bad") > chance) & (gain >= evidence))
+    stat = stat.where(F.col("docs") >= min_docs).where((F.col("bad") >= TIMES * chance) & (gain >= evidence))
     marks: list[str] = []
-    for r in stat.orderBy(gain.desc(), F.length("w").desc(), "w").limit(20 * landmarks).collect():
+    worth: list[float] = []
+    for r in stat.orderBy(gain.desc(), F.length("w").desc(), "w").limit(20 * landmarks).select("w", F.log(F.col("bad") / chance).alias("worth")).collect():
         if len(marks) < landmarks and not any(r["w"].startswith(m) or m.startswith(r["w"]) for m in marks):
             marks.append(r["w"])
-    model = Model(marks)
+            worth.append(r["worth"])
+    model = Model(marks, worth)
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
     shared = Shared(docs.sparkSession, model)
 
@@ -233,8 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, landmarks: i
             yield batches_of(rows, schema)
 
     rows = sample.select("toxic", "text").mapInArrow(features, "y int, x array<double>").collect()  # 2 * max_rows vectors at most
-    rows = sorted((r[0], r[1] if r[1] is not None else [0.0] * (len(marks) + 1)) for r in rows)
-    model.fit(np.array([r[1] for r in rows], float).reshape(len(rows), len(marks) + 1), np.array([r[0] for r in rows], float))
+    rows = sorted((r[0], r[1] if r[1] is not None else [0.0] * (len(marks) + EXTRAS)) for r in rows)
+    model.fit(np.array([r[1] for r in rows], float).reshape(len(rows), len(marks) + EXTRAS), np.array([r[0] for r in rows], float))
     return model
 
 
