@@ -289,6 +289,27 @@ def kept(own: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
     return ~(gone | lost | inside & (times >= 2) & (2 * times > asked))
 
 
+#: Bytes of a batch that are taken apart at once.
+PIECE = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch):
+    """A record batch in slices of about ``PIECE`` bytes, a row at least: a batch of ten thousand pages as Python's
+    strings, with their lines beside them, takes several times its own memory, which a worker then keeps."""
+    rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def read(batch: pa.RecordBatch):
+    """``host, lines, outline, signature`` of a batch's pages, one after the other."""
+    hosts, pages = batch.column(batch.schema.get_field_index("host")), batch.column(batch.schema.get_field_index("html"))
+    for h, page in zip(hosts, pages):
+        lines = all_lines(page.as_py())
+        own = outline(lines).tobytes()
+        yield h.as_py(), lines, own, xxhash.xxh3_64_intdigest(own) - (1 << 63)
+
+
 def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages (page_id, url, html)``.
 
@@ -310,17 +331,12 @@ def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
     keyed = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
     id_type = next(f.dataType.simpleString() for f in pages.schema if f.name == "page_id")
 
-    def read(batch):
-        for h, page in zip(batch.column(batch.schema.get_field_index("host")).to_pylist(), batch.column(batch.schema.get_field_index("html")).to_pylist()):
-            lines = all_lines(page)
-            own = outline(lines).tobytes()
-            yield h, lines, own, xxhash.xxh3_64_intdigest(own) - (1 << 63)
-
     def outlines(batches):
         for b in batches:
-            got = [(h, sig, own) for h, _, own, sig in read(b)]
-            hosts, sigs, bodies = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), b.column(b.schema.get_field_index("path")).cast(pa.string()), pa.array(sigs, pa.int64()), pa.array(bodies, pa.binary())], names=["host", "path", "sig", "body"])
+            for part in pieces(b):
+                got = [(h, sig, own) for h, _, own, sig in read(part)]
+                hosts, sigs, bodies = zip(*got) if got else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), part.column(part.schema.get_field_index("path")).cast(pa.string()), pa.array(sigs, pa.int64()), pa.array(bodies, pa.binary())], names=["host", "path", "sig", "body"])
 
     each = keyed.select("host", "path", "html").mapInArrow(outlines, "host string, path string, sig long, body binary")
     contents = each.groupBy("host", "sig").agg(F.min("path").alias("path"), F.min("body").alias("body"), F.count("*").alias("n"))
@@ -359,28 +375,30 @@ def main_text(pages: DataFrame, neighbours: int = 2) -> DataFrame:
     often = F.col("n") > max(1000, total // 4096)
     hot = Shared(spark, {(r[0], r[1]): r[2] for r in decided.where(often).select("host", "sig", "stays").collect()})  # 4096 at most
 
-    def finished(lines: list[str], stays: bytes) -> str:
-        return "\n".join(t for t, k in zip(lines, np.unpackbits(np.frombuffer(stays, np.uint8))) if k)
+    def finished(lines: str, stays: bytes) -> str:
+        return "\n".join(t for t, k in zip(lines.split("\n"), np.unpackbits(np.frombuffer(stays, np.uint8))) if k)
 
-    told_schema = pa.schema([("host", pa.string()), ("sig", pa.int64()), ("lines", pa.list_(pa.string())), ("text", pa.string())])
+    told_schema = pa.schema([("host", pa.string()), ("sig", pa.int64()), ("lines", pa.string()), ("text", pa.string())])
 
     def tell(batches):
         for b in batches:
-            rows = []
-            for h, lines, _, sig in read(b):
-                texts = ["" if state == LOST else t for state, t in lines]  # what never stays need not travel
-                stays = hot.value.get((h, sig))
-                # what is finished meets no decision: an own key keeps it where it falls
-                rows.append((h, sig, texts, None) if stays is None else (None, len(rows) * 0x9E3779B97F4A7C15 % (1 << 63), None, finished(texts, stays)))
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, told_schema)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", *told_schema.names])
-
-    told = keyed.select("page_id", "url", "html", "host").mapInArrow(tell, f"page_id {id_type}, url string, host string, sig long, lines array<string>, text string")
+            for part in pieces(b):
+                rows = []
+                for h, lines, _, sig in read(part):
+                    texts = "\n".join("" if state == LOST else t for state, t in lines)  # what never stays need not travel
+                    stays = hot.value.get((h, sig))
+                    # what is finished meets no decision: an own key keeps it where it falls
+                    rows.append((h, sig, texts, None) if stays is None else (None, len(rows) * 0x9E3779B97F4A7C15 % (1 << 63), None, finished(texts, stays)))
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, told_schema)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["page_id", "url", *told_schema.names])
+
+    told = keyed.select("page_id", "url", "html", "host").mapInArrow(tell, f"page_id {id_type}, url string, host string, sig long, lines string, text string")
     both = told.join(decided.where(~often).select("host", "sig", "stays"), ["host", "sig"], "left").select("page_id", "url", "lines", "stays", "text")
 
     def finish(batches):
         for b in batches:
-            texts = [t if t is not None else finished(x, k) for x, k, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for part in pieces(b):
+                texts = [t if t is not None else finished(x, k) for x, k, t in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(finish, f"page_id {id_type}, url string, text string, n_chars long")
