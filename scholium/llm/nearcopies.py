@@ -4,12 +4,15 @@ Two shingle sets with a Jaccard similarity of at least t share an element among
 the first n - ceil(t * n) + 1 of each, in any order that holds for all sets
 (prefix filtering). The order puts shingles that are frequent in a bounded
 sample last, so a common line seldom brings documents together. Elements travel
-as packed blobs, texts only of documents that have a partner to be compared
-with, compressed. Small groups of an element emit pairs, which are verified
-from the texts. A larger group is cut into chunks that share a core of its
-members; a chunk is searched from member to member until none is left, so that
-it gives a tree of links and not its pairs; where it still holds several components, it
-is searched chunk against chunk. The holders of a shingle that the sample shows to be
+as packed blobs. Before texts travel, members of a group meet with signatures of 128
+bytes, whose differing bits are a lower bound of the elements in which two sets differ:
+who can be similar to nobody in a group is left out of it, and no text of it moves.
+Everyone is then compared with the smallest of those it could be similar to, from the
+compressed texts. Where a group still has such pairs in different components, small
+groups emit them, to be verified. A larger group is cut into chunks that share a core
+of its members; the members with such pairs are searched chunk against chunk, from
+member to member until none is left, so that a search gives a tree of links and not
+its pairs. The holders of a shingle that the sample shows to be
 very frequent are dealt to parts by hash before they meet, so no task holds them all;
 the parts' chunks share one core.
 """
@@ -30,10 +33,14 @@ from .repeats import mix, packed, starts_of, unpacked
 SEED = 42
 #: Texts in the sample for frequent shingles, its counts that make one frequent, how many are kept.
 SAMPLE, FREQUENT, KEPT = 5_000, 4, 65_536
-#: Members of a small group at most; of a chunk; of the core of a larger one; of a member's larger groups how many are searched first.
-SMALL, CHUNK, CORE, FIRST = 32, 2_048, 32, 2
+#: Members of a small group at most; of a chunk; of the core of a larger one.
+SMALL, CHUNK, CORE = 32, 2_048, 32
 #: Holders of a frequent shingle in one part, as the sample foretells.
 PART = 8_192
+#: Bits of a signature; sets of over twice as many elements are told apart less and less, but no pair is ever lost.
+BITS = 1_024
+#: Rows of signatures that are compared at once.
+_ROWS = 8_192
 _FILTER = 27
 _FLUSH = 1 << 20
 
@@ -60,6 +67,44 @@ def similar(common, n, m):
     return 5 * common >= 4 * (n + m - common)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Of each residue modulo BITS the parity of its elements' number, as bytes: an element in one of two sets changes one bit."""
+    return np.packbits((np.bincount(s & (BITS - 1), minlength=BITS) & 1).astype(np.uint8))
+
+
+def partners(group: np.ndarray, n: np.ndarray, sig: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Of each row the first other row of its group that could be similar to it, and is of another component ``of``; -1 for none.
+
+    Rows of a group stand together. Sets of n and m elements with Jaccard >= 0.8
+    differ in (n + m) / 9 elements at most, and so in as many bits.
+    """
+    bits, n = np.ascontiguousarray(sig).view(np.uint64), n.astype(np.int64)
+    out = np.full(len(n), len(n))
+    first = starts_of(group)
+    size = np.diff(np.append(first, len(group)))
+    few = np.repeat(size <= SMALL, size)
+    for d in range(1, min(SMALL, len(n))):  # rows that stand d apart in a small group
+        i = np.nonzero((group[d:] == group[:-d]) & few[d:])[0]
+        i = i[5 * np.minimum(n[i], n[i + d]) >= 4 * np.maximum(n[i], n[i + d])]
+        if of is not None:
+            i = i[of[i] != of[i + d]]
+        i = i[9 * np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1, dtype=np.int64) <= n[i] + n[i + d]]
+        out[i], out[i + d] = np.minimum(out[i], i + d), np.minimum(out[i + d], i)
+    for lo, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        own, words = n[lo : lo + k], bits[lo : lo + k].T.copy()
+        for x in range(0, k, 256):
+            y = slice(x, min(k, x + 256))
+            apart = np.zeros((y.stop - x, k), np.int64)
+            for w in words:
+                apart += np.bitwise_count(w[y, None] ^ w)
+            near = (9 * apart <= own[y, None] + own) & (5 * np.minimum(own[y, None], own) >= 4 * np.maximum(own[y, None], own))
+            near[np.arange(len(near)), np.arange(x, y.stop)] = False
+            if of is not None:
+                near &= of[lo + x : lo + y.stop, None] != of[lo : lo + k]
+            out[lo + x : lo + y.stop] = np.where(near.any(axis=1), lo + near.argmax(axis=1), len(n))
+    return np.where(out < len(n), out, -1)
+
+
 def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the graph of similar sets: each search compares with sets not yet reached only."""
     n = np.array([len(s) for s in sets])
@@ -132,7 +177,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     frequent = _frequent(texts, shingle)
     hot = Shared(spark, frequent)
     nb = buckets_for(texts, 8 << 20)
-    blobs = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+    blobs = pa.schema([("bucket", pa.int32()), ("signed", pa.bool_()), ("data", pa.binary())])
 
     def pack(held):
         sizes = [len(t) for *_, t in held]
@@ -142,7 +187,11 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
         part = parted(tok, node, hot.value[0], hot.value[2])[0]
         bucket = (mix(tok.view(np.uint64) + part.astype(np.uint64)) >> np.uint64(32)) % np.uint64(nb)
         order = np.lexsort((tok, bucket))
-        return batches_of([(int(bucket[i[0]]), packed(tok[i], node[i], n[i].astype("<i4"), at[i].astype("<i4"))) for i in np.split(order, starts_of(bucket[order])[1:])], blobs)
+        out = [(int(bucket[i[0]]), False, packed(tok[i], node[i], n[i].astype("<i4"), at[i].astype("<i4"))) for i in np.split(order, starts_of(bucket[order])[1:])]
+        node, sig = np.array([h[0] for h in held], np.int64), np.stack([h[2] for h in held])
+        bucket = (mix(node.view(np.uint64)) >> np.uint64(32)) % np.uint64(nb)
+        order = np.argsort(bucket, kind="stable")
+        return batches_of(out + [(int(bucket[i[0]]), True, packed(sig[i], node[i])) for i in np.split(order, starts_of(bucket[order])[1:])], blobs)
 
     def prefixes(batches):
         held, n, seen = [], 0, set()
@@ -153,15 +202,19 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
                 seen.add(node)
                 s = shingles(t, shingle)
                 if len(s):
-                    held.append((node, len(s), prefix(s, *hot.value[:2])))
-                    n += len(held[-1][2])
+                    held.append((node, len(s), signature(s), prefix(s, *hot.value[:2])))
+                    n += len(held[-1][3])
                 if n >= _FLUSH:
                     yield pack(held)
                     held, n, seen = [], 0, set()
         if held:
             yield pack(held)
 
-    rows = pa.schema([("node", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32())])
+    rows = pa.schema([("node", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("sig", pa.binary())])
+
+    def batch(*cols):
+        """A batch of members; their signatures stand in rows of their own."""
+        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, rows)), pa.nulls(len(cols[0]), pa.binary())], schema=rows)
 
     def meet(data):
         """Members of groups: of small ones those that could be similar to another, of larger ones and of parts all, by chunk.
@@ -186,7 +239,7 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
             viable[i[ok]] = viable[j[ok]] = True
         i, each = np.nonzero(viable)[0], np.repeat(size, size)
         zero = np.zeros(len(i), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((node[i], tok[i], n[i], at[i], each[i], zero, zero + 1), rows)], schema=rows)
+        yield batch(node[i], tok[i], n[i], at[i], each[i], zero, zero + 1)
         for g in np.nonzero((size > SMALL) | (many[first] > 1))[0].tolist():
             i = np.arange(first[g], first[g] + size[g])
             i = i[np.argsort(mix(node[i].view(np.uint64)))]
@@ -196,12 +249,17 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
             else:
                 chunk = np.concatenate([np.repeat(np.arange(chunks), min(CORE, len(i))), np.arange(max(0, len(i) - CORE)) % chunks])
                 i = np.concatenate([np.tile(i[:CORE], chunks), i[CORE:]])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((node[i], tok[i], n[i], at[i], each[i], chunk, np.full(len(i), chunks)), rows)], schema=rows)
+            yield batch(node[i], tok[i], n[i], at[i], each[i], chunk, np.full(len(i), chunks))
 
     def meetings(batches):
         now, data = None, []
         for b in batches:
-            for bucket, x in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, signed, x in zip(*(c.to_pylist() for c in b.columns)):
+                if signed:
+                    sig, node = unpacked(x, BITS // 8, "<i8")
+                    none = pa.nulls(len(node), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(node), none, *(none.cast(f.type) for f in list(rows)[2:-1]), pa.array([z.tobytes() for z in sig], pa.binary())], schema=rows)
+                    continue
                 if bucket != now and data:
                     yield from meet(data)
                     data = []
@@ -210,17 +268,51 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
         if data:
             yield from meet(data)
 
-    dealt = texts.select("node", "text").mapInArrow(prefixes, "bucket int, data binary").repartition(min(nb, 1 << 16), "bucket").sortWithinPartitions("bucket")
-    member = checkpoint(dealt.mapInArrow(meetings, "node long, s long, n int, at int, size int, chunk int, chunks int"))
-    nodes, in_chunks = member.select("node"), member.select("s", "node", "chunk")
-    if (frequent[2] > 1).any():  # at most as many shingles as are kept: their true sizes fit a broadcast
-        parts, cols = member.where("chunks = 0"), member.columns
+    dealt = texts.select("node", "text").mapInArrow(prefixes, "bucket int, signed boolean, data binary").repartition(min(nb, 1 << 16), "bucket").sortWithinPartitions("bucket")
+    met = checkpoint(dealt.mapInArrow(meetings, "node long, s long, n int, at int, size int, chunk int, chunks int, sig binary"))
+    member, sigs = met.where("sig is null").drop("sig"), met.where("sig is not null").select("node", "sig").dropDuplicates(["node"])
+    cols, parts, in_chunks = member.columns, member.where("chunks = 0"), member
+    if dealt_out := bool((frequent[2] > 1).any()):  # at most as many shingles as are kept: their true sizes fit a broadcast
         whole = checkpoint(parts.groupBy("s").agg(F.count("*").cast("int").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")))
         nth = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("node"), "node"))  # pruned before the shuffle
-        core = parts.select("s", "node", "chunk").withColumn("nth", nth).where(F.col("nth") <= CORE)
+        core = parts.withColumn("nth", nth).where(F.col("nth") <= CORE).drop("nth")
         others = parts.select("s", F.col("chunk").alias("other")).distinct()
-        in_chunks = in_chunks.unionByName(core.join(others, "s").where("chunk <> other").select("s", "node", F.col("other").alias("chunk")))
-        member = member.where("chunks > 0").unionByName(parts.drop("size", "chunks").join(F.broadcast(whole), "s").select(*cols))
+        in_chunks = in_chunks.unionByName(core.join(others, "s").where("chunk <> other").withColumn("chunk", F.col("other")).select(*cols))
+
+    def probe(batches):
+        """The rows; ``to`` is the smallest node of their group ``(s, i, j)``, and of another component, that could be similar. Of groups in one chunk only rows with such a node."""
+        held = None
+
+        def told(t):
+            same = np.concatenate([[0], np.cumsum(np.any([np.diff(t.column(c).to_numpy()) != 0 for c in "sij"], axis=0))])
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), -1)
+            node, of = t.column("node").to_numpy(), t.column("component").to_numpy() if "component" in t.column_names else None
+            to = partners(same, t.column("n").to_numpy(), sig, of)
+            t = t.drop_columns(["sig"]).append_column("to", pa.array(node[to], mask=to < 0))
+            return t.filter(pa.array((to >= 0) | (t.column("chunks").to_numpy() != 1))).combine_chunks().to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) >= _ROWS:
+                held = held.combine_chunks()
+                last = np.nonzero(np.any([held.column(c).to_numpy() != held.column(c)[-1].as_py() for c in "sij"], axis=0))[0]
+                if len(last):  # the last group may go on
+                    yield from told(held.slice(0, int(last[-1]) + 1))
+                    held = held.slice(int(last[-1]) + 1)
+        if held is not None and len(held):
+            yield from told(held.combine_chunks())
+
+    def probed(rows: DataFrame, *more_cols: str) -> DataFrame:
+        cols = ["node", "s", "n", "at", "size", "chunks", "i", "j", *more_cols]
+        dealt = rows.select(*cols).join(sigs, "node").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "node").select(*cols, "sig")
+        return dealt.mapInArrow(probe, ", ".join(f"{c} {t}" for c, t in dealt.drop("sig").dtypes) + ", to long")
+
+    some = checkpoint(probed(in_chunks.withColumn("i", F.col("chunk")).withColumn("j", F.col("chunk"))))
+    release(spark)
+    nodes, member = some.select("node"), some
+    if dealt_out:
+        member = some.where("chunks > 0").unionByName(some.where("chunks = 0").drop("size", "chunks").join(F.broadcast(whole), "s").select(*some.columns))
 
     # texts of nodes that a filter of fixed size names; it names some more as well
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - _FILTER}) & 63 as int))")
@@ -245,11 +337,18 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
-        def sets(z):
-            return shingles(zstandard.decompress(z), shingle)
-
-        both = ((sets(a), sets(b)) for a, b in zip(x, y))
-        return pd.Series([bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))) for a, b in both], dtype=bool)
+        last, out = (None, None), []
+        for a, b in zip(x, y):
+            if b != last[0]:  # pairs come sorted by y
+                last = b, shingles(zstandard.decompress(b), shingle)
+            a, b = shingles(zstandard.decompress(a), shingle), last[1]
+            out.append(bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+        return pd.Series(out, dtype=bool)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs ``(x, y)`` of nodes that are similar."""
+        bx, by = (bodies.select(F.col("node").alias(c), F.col("body").alias(f"b{c}")) for c in "xy")
+        return pairs.join(bx, "x").join(by, "y").where(verified("bx", "by")).select("x", "y")
 
     def search(batches):
         key, nodes, held = None, [], []
@@ -272,11 +371,10 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
         dealt = rows.join(bodies, "node").select("s", "i", "j", "node", "body").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "node")
         return dealt.mapInArrow(search, "x long, y long")
 
-    each = member.dropDuplicates(["s", "node"]).drop("chunk")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("size").desc(), "s"))
-    ahead = each.withColumn("nth", nth).where(F.col("nth") <= FIRST).select("node", "s")
-    first = in_chunks.join(ahead, ["node", "s"], "left_semi").select("s", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node")
-    found = checkpoint(searched(first).distinct())
+    each = member.select("node", "s", "n", "at", "size", "chunks").dropDuplicates(["s", "node"])
+    # everyone with the smallest node that could be similar: the same few trees from all groups of alike members
+    least = member.groupBy("node").agg(F.min("to").alias("to")).where("to is not null")
+    found = checkpoint(confirmed(checkpoint(least.select(F.greatest("node", "to").alias("x"), F.least("node", "to").alias("y")).distinct())))
     release(spark)
     wanted = nodes.distinct()
     ids = texts.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
@@ -294,17 +392,20 @@ def grouped(docs: DataFrame, shingle: int = 5, names: DataFrame | None = None, m
     of = each.join(ids, "node").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = of.groupBy("s").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("s")
     of = checkpoint(of.join(open_, "s", "left_semi"))
-    # small groups: pairs of different components that could be similar, each once
-    x, y = (of.where(F.col("size") <= SMALL).select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "component")]) for k in "xy")
+    # who could be similar to a member of another component, in a larger group chunk against chunk
+    again = of.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cross = checkpoint(probed(again.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}), "component").where("to is not null"))
+    x, y = (cross.where(F.col("size") <= SMALL).select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "component")]) for k in "xy")
     two = x.join(y, "s").where("node_x < node_y and component_x <> component_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - at_x, n_y - at_y) >= 4 * (n_x + n_y)")
-    bx, by = (bodies.select(F.col("node").alias(c), F.col("body").alias(f"b{c}")) for c in "xy")
     pairs = two.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
-    more_found = pairs.join(bx, "x").join(by, "y").where(verified("bx", "by")).select("x", "y")
-    # larger ones: chunk against chunk
-    again = of.where(F.col("size") > SMALL).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    again = again.select("s", "node", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node")
-    added = checkpoint(named(more_found.unionByName(searched(again))).join(edges, ["a", "b"], "left_anti"))
+    larger = searched(cross.where(F.col("size") > SMALL).select("s", "i", "j", "node"))
+    added = checkpoint(named(checkpoint(confirmed(pairs).unionByName(larger))).join(edges, ["a", "b"], "left_anti"))
     if added.isEmpty():
         return edges, comps
-    edges = checkpoint(edges.unionByName(added))
-    return edges, connected_components(edges)
+    # components of components: few rows beside all links
+    roots = comps.select(F.col("node").alias("a"), F.col("component").alias("ra")), comps.select(F.col("node").alias("b"), F.col("component").alias("rb"))
+    joined = added.join(roots[0], "a", "left").join(roots[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    last = connected_components(checkpoint(joined)).withColumnRenamed("component", "last")
+    old = comps.join(last.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    new = last.join(comps, "node", "left_anti").select("node", F.col("last").alias("component"))
+    return edges.unionByName(added), checkpoint(old.unionByName(new))

@@ -71,6 +71,27 @@ def test_links():
     assert components(range(7), nearcopies.links(s)) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6}
 
 
+def test_partners():
+    """Signatures lose no similar pair, and leave out members of a group that are unlike each other."""
+    rng = np.random.default_rng(5)
+    sets, group = [], []
+    for g, k in enumerate((3, 32, 33, 300, 1)):  # small groups, larger ones, one over several blocks
+        base = rng.integers(-(1 << 62), 1 << 62, 120)
+        for i in range(k):  # every other member is a near copy; all hold the same ten elements
+            own = rng.integers(-(1 << 62), 1 << 62, 400)
+            sets.append(np.unique(np.concatenate([base[:10], base[rng.integers(0, 12) :], own[: rng.integers(0, 12)]]) if i % 2 else np.concatenate([base[:10], own[: rng.integers(90, 400)]])))
+            group.append(g)
+    group, n = np.array(group), np.array([len(s) for s in sets])
+    sig = np.stack([nearcopies.signature(s) for s in sets])
+    to, of = nearcopies.partners(group, n, sig), np.arange(len(n)) % 4
+    across = nearcopies.partners(group, n, sig, of)
+    assert all((group[j] == group[i]) and i != j for i, j in enumerate(to) if j >= 0)
+    for i, s in enumerate(sets):
+        alike = [j for j in range(len(n)) if j != i and group[j] == group[i] and nearcopies.similar(len(np.intersect1d(s, sets[j])), len(s), len(sets[j]))]
+        assert to[i] == (alike[0] if alike else -1)
+        assert across[i] == next((j for j in alike if of[j] != of[i]), -1)
+
+
 def test_stage_finds_all_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     s = sets(docs.select("doc_id", "text").collect())
