@@ -14,10 +14,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_column, checkpoint, connected_components
+from .common import bytes_column, checkpoint, connected_components, shuffle_parts
 
 SEED = 42
 _SLICE = 1 << 16
@@ -86,9 +86,12 @@ def linked_fingerprints(docs: DataFrame, radius: int = 2, shingle: int = 3) -> t
     fps = checkpoint(fingerprints(docs, shingle))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     masks = F.array(*[F.lit(m) for m in ball(radius // 2)])
-    balls = nodes.select(F.struct("rep", "fp").alias("n"), F.explode(masks).alias("mask")).select("n", F.col("n.fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    buckets = balls.groupBy("variant").agg(F.collect_set("n").alias("ns")).where(F.size("ns") > 1)  # bounded by the ball's size
+    # as many tasks as there are partitions, as each node becomes 65 rows or more
+    dealt = nodes.repartition(shuffle_parts(docs.sparkSession), F.xxhash64("fp"))
+    balls = dealt.select("rep", "fp", F.explode(masks).alias("mask")).select("rep", "mask", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    # few variants recur: plain rows are sorted, since an aggregate that collects would hold a buffer for each variant.
     # all of a bucket lie within radius / 2 of its variant, so a star from its smallest member loses no reachability
-    stars = buckets.select(F.array_sort("ns").alias("ns")).select(F.col("ns")[0].alias("x"), F.explode(F.slice("ns", 2, 64)).alias("y"))
-    pairs = stars.select(F.col("x.rep").alias("a"), F.col("x.fp").alias("fa"), F.col("y.rep").alias("b"), F.col("y.fp").alias("fb"))
+    bucket = Window.partitionBy("variant").orderBy("rep", "mask")
+    stars = balls.withColumns({"a": F.first("rep").over(bucket), "ma": F.first("mask").over(bucket)}).where("mask <> ma")
+    pairs = stars.select("a", F.col("variant").bitwiseXOR(F.col("ma")).alias("fa"), F.col("rep").alias("b"), F.col("variant").bitwiseXOR(F.col("mask")).alias("fb"))
     return fps, nodes, pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius).select("a", "b")

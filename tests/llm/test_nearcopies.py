@@ -100,3 +100,25 @@ def test_stage_finds_all_near_copies(spark):
     got = {r[0] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).select("doc_id").collect()}
     assert got == {d for d, c in want.items() if d == c}
     assert len(got) < len(components(s, simhashes)) - len(simhashes)  # pairs that fingerprints miss
+
+
+@pytest.mark.parametrize("radius", [2, 4])
+def test_linked_fingerprints(spark, radius, monkeypatch):
+    """Links have the components of all pairs within the radius; no aggregate gathers the variants of the fingerprints."""
+    rng = random.Random(7)
+    some = []
+    for base in (0, rng.getrandbits(64), rng.getrandbits(64)):
+        some += [base, *(base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(40)), *(base ^ (1 << i) for i in range(0, 64, 3))]
+    some += [rng.getrandbits(64) for _ in range(20)] + [1 << 63, (1 << 64) - 1]
+    rows = [(None if i == 5 else i // 2 if i < 20 else i, f) for i, f in enumerate([*some, *some[::7]])]  # some ids and fingerprints repeat
+    table = spark.createDataFrame([(d, f - (1 << 64) if f >> 63 else f) for d, f in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: table)
+    _, nodes, linked = simhash.linked_fingerprints(table, radius)
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "collect" not in plan
+    rep = {f: min(d for d, g in rows if g == f and d is not None) for f in {f for d, f in rows if d is not None}}
+    assert {(f % (1 << 64), d) for f, d in nodes.collect()} == set(rep.items())
+    want = [(a, b) for f, a in rep.items() for g, b in rep.items() if f < g and (f ^ g).bit_count() <= radius]
+    got = [tuple(r) for r in linked.collect()]
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
+    assert components(rep.values(), got) == components(rep.values(), want)
