@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import pickle
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -29,6 +30,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpoint``, but compressed and by column: for rows with long texts, of which some readers need the short columns only."""
+    path = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files and broadcasts of finished steps.
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, written
 
 #: How many letters' counts are the classifier's input, and which where no labelled document has any.
 N_LETTERS, NO_LETTERS = 32, "abcdefghijklmnopqrstuvwxyz"
@@ -121,8 +121,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
     tokens and the prior as posterior; null ids, repeated rows and further
     columns are carried; an empty table gives none. Where targets can't be met
     with rates of zero or more, the closest totals in the metric of the
-    memberships result. Carried columns cost a second pass over the texts and
-    no shuffle.
+    memberships result. Carried columns are written once beside the profile of
+    their row, so that letters are counted once; nothing of them is shuffled.
     """
     domains = sorted(targets)
     weight = np.array([max(0.0, targets[d]) for d in domains], float)
@@ -130,7 +130,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
     k = len(domains)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     letters = telling_letters(docs, ids, domain, domains)
-    known = checkpoint(profile(docs, domain, letters))
+    known = written(profile(docs, domain, letters, carry)) if carry else checkpoint(profile(docs, domain, letters))
     model = learned(known, ids, domains, len(letters))
     soft = checkpoint(with_posterior(known, model).select("doc_id", "n_tokens", "posterior"))
     t = F.col("n_tokens").cast("double")
@@ -154,7 +154,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
                 break
             steps.append(step.tolist())
     top = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    out = with_posterior(profile(docs, domain, letters, carry), model) if carry else soft
+    out = with_posterior(known, model) if carry else soft
     return out.select("doc_id", "n_tokens", top.alias("domain"), "posterior", rate_after(steps).alias("rate"), *carry)
 
 

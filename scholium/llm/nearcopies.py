@@ -22,7 +22,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import Shared, batches_of, buckets_for, bytes_column, checkpoint, connected_components, release
 from .repeats import mix, packed, starts_of, unpacked
 
-SEED = 42
 #: Texts in the sample for frequent shingles, its counts that make one frequent, how many are kept.
 SAMPLE, FREQUENT, KEPT = 5_000, 4, 65_536
 #: Members of a small group at most; of a chunk; of the core of a larger one.
@@ -43,14 +41,51 @@ BITS = 1_024
 _ROWS = 8_192
 _FILTER = 27
 _FLUSH = 1 << 20
+#: Words that are hashed at once, the weights of a byte's place in its word and of a word's in its shingle, and the codes of bytes.
+_WORDS, _PLACE, _STEP = 1 << 16, np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.multiply.accumulate(np.full(64, _PLACE))
+CODES = mix(np.arange(1, 257, dtype=np.uint64) * _PLACE)
+CODES[65:91] = CODES[97:123]
+CODES[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of a text, upper and lower case alike: the sum of its bytes' codes by place; white space has code zero.
+
+    Words are those of ``bytes.split``; so many of them are hashed at once.
+    """
+    b = np.frombuffer(text, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    space = (b == 32) | (b - np.uint8(9) < 5)  # 9 to 13, as smaller bytes wrap around
+    starts = np.flatnonzero(space[1:] < space[:-1]) + 1
+    ends = np.append(starts if space[0] else np.insert(starts, 0, 0), len(b))
+    starts, ends, out = ends[:-1], ends[1:], np.zeros(len(ends) - 1, np.uint64)
+    for lo in range(0, len(starts), _WORDS):
+        s, e = starts[lo : lo + _WORDS], ends[lo : lo + _WORDS]
+        size = e - s
+        place = np.arange(s[0], e[-1]) - np.repeat(s, size)
+        most = int(size.max())
+        powers = POWERS if most <= len(POWERS) else np.multiply.accumulate(np.full(most, _PLACE))
+        out[lo : lo + _WORDS] = np.add.reduceat(CODES.take(b[s[0] : e[-1]]) * powers.take(place), s - s[0])
+    return out
 
 
 def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
     """The distinct hashes of all shingles of k words (of all words, if fewer) as ascending signed longs."""
-    words = (text or b"").lower().split()
-    k, digest = min(k, len(words)), xxhash.xxh64_intdigest
-    n = len(words) - k + 1 if words else 0
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
+    words = word_hashes(text or b"")
+    if not len(words):
+        return np.zeros(0, np.int64)
+    k = min(k, len(words))
+    n = len(words) - k + 1
+    h = words[:n].copy()
+    for j in range(1, k):
+        h *= _STEP
+        h += words[j : j + n]
+    s = np.sort(mix(h).view(np.int64))
+    new = np.ones(n, bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -122,3 +122,18 @@ def test_linked_fingerprints(spark, radius, monkeypatch):
     got = [tuple(r) for r in linked.collect()]
     assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
     assert components(rep.values(), got) == components(rep.values(), want)
+
+
+def test_words_are_hashed_whole_and_each_once(monkeypatch):
+    """The same words and shingles as by splitting, whatever the bytes; pieces of few words give the same hashes."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abAB\x00\xff \t\n\x0b\x0c\r\x1c\x85\xa0\x08\x0e") for _ in range(rng.randrange(60))) for _ in range(3000)] + [b"x" * 300 + b" " * 200 + b"y"]
+    one = lambda w: int(nearcopies.word_hashes(w)[0])
+    for size in (1 << 16, 3):
+        monkeypatch.setattr(nearcopies, "_WORDS", size)
+        for t in texts:
+            w = t.lower().split()
+            h = nearcopies.word_hashes(t).tolist()
+            assert h == [one(x) for x in w] and len(set(h)) == len(set(w))
+            k = min(5, len(w))
+            assert len(nearcopies.shingles(t)) == len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else ())

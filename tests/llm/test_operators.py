@@ -332,6 +332,22 @@ def test_mixing_meets_targets(spark):
     assert mixing.fitted(docs.limit(0), labels, {"en": 1.0}).count() == 0
 
 
+def test_mixing_counts_the_letters_of_a_text_once(spark, monkeypatch):
+    """Carried columns bring no second pass over the texts, and are the same rows."""
+    rows = [(i, None if i == 3 else ("the cat " if i % 2 else "der Hund ") * (i % 5), "en" if i % 2 else "de", None) for i in range(40)] + [(None, "the", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    seen = []
+    monkeypatch.setattr(mixing, "profile", lambda *a, f=mixing.profile, **b: seen.append(a) or f(*a, **b))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    plain = mixing.fitted(docs, labels, {"en": 0.4, "de": 0.6}).collect()
+    assert len(seen) == 1
+    carried = mixing.fitted(docs, labels, {"en": 0.4, "de": 0.6}, carry=("text", "lang", "n"))
+    assert carried.columns == ["doc_id", "n_tokens", "domain", "posterior", "rate", "text", "lang", "n"]
+    assert sorted([(r["doc_id"], r["text"], r["lang"], r["n"]) for r in carried.collect()], key=repr) == sorted(rows, key=repr)
+    assert sorted([(r["doc_id"], r["n_tokens"], round(r["rate"], 9)) for r in carried.collect()], key=repr) == sorted([(r["doc_id"], r["n_tokens"], round(r["rate"], 9)) for r in plain], key=repr)
+    assert len(seen) == 2
+
+
 def test_mixing_of_other_scripts_and_domains(spark):
     rng = random.Random(5)
     say = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(30))
