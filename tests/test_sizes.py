@@ -42,3 +42,19 @@ def test_similarity_pairs_are_exact_in_batches(spark):
             assert first(R.vector_topk(vectors, queries, 6)) == first(every)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.fixture(scope="module")
+def long_book(spark, tmp_path_factory):
+    """Two documents of 1,030 and 8 chapters, with a section, a definition, an example and a sentence in each."""
+    folder = str(tmp_path_factory.mktemp("book"))
+    of = lambda p: (p, " ".join((WORDS[p // 12 % 7], WORDS[p // 84 % 7])), "Brand#2" if p < 96 else "Brand#1", WORDS[p // 12 % 5].upper(), p // 12 % 50 + 1)
+    made = [of(p) for p in range(12 * 1038) if p % 12 in (0, 1, 2, 4, 6)]
+    spark.createDataFrame(made, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["chapter_point_counts"])
+def test_over_999_chapters(spark, long_book, name):
+    got = rows(catalogue.QUERIES[name](spark, long_book).toPandas())
+    assert got == by_sql(long_book, "part", name)
