@@ -67,3 +67,17 @@ def test_course_outline_over_999_chapters(spark, long_book):
     ids = sorted(range(1, 1031), key=lambda n: (str(n).rjust(3, "0")[:3], n))
     assert got["Brand#1"].names == [name(n + 7) for n in ids] and got["Brand#1"].chapter_count == 1030
     assert got["Brand#2"].names == [name(c) for c in range(8)]
+
+
+def test_tokens_that_cancel_out_are_kept_once(spark, tmp_path):
+    """Two tokens with one slot and two signs: a zero vector, but a vector."""
+    seen = {}
+    for a in map("".join, product("abcdefghij", repeat=4)):
+        h = hashlib.md5(a.encode()).digest()
+        slot, sign = int.from_bytes(h[:4], "little") % 384, h[4] % 2
+        if (slot, 1 - sign) in seen:
+            break
+        seen[slot, sign] = a
+    texts = [f"{a} {seen[slot, 1 - sign]}", f"{a} {seen[slot, 1 - sign]}", a, "é ...", "", "a b c"]
+    spark.createDataFrame([(i, t, "de" if i % 2 else "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(catalogue.QUERIES["embedding_cache"](spark, str(tmp_path)).toPandas()) == by_sql(tmp_path, "documents", "embedding_cache")
