@@ -69,6 +69,15 @@ def test_course_outline_over_999_chapters(spark, long_book):
     assert got["Brand#2"].names == [name(c) for c in range(8)]
 
 
+def test_keyword_ranks_of_equal_scores_go_by_chunk(spark):
+    made = [("c", f"{chr(97 + i)}", "k", "s", "t", "small gear", 9 - i) for i in range(6)] + [("c", "z", "k", "s", "t", "rod", 1)] * 20
+    f = spark.createDataFrame(made, "course_id string, chunk_id string, chapter_name string, section_name string, chunk_type string, text string, page_start int")
+    got = {r.chunk_id: r["rank"] for r in R.keyword_search(f, "c", "small gear").collect()}
+    assert got == {c: i + 1 for i, c in enumerate("abcdef")}
+    by_page = {r.chunk_id: r["rank"] for r in R.keyword_search(f.where("chunk_id < 'z'"), "c", "small OR gear", k=3).collect()}
+    assert by_page == {"f": 1, "e": 2, "d": 3}
+
+
 def test_tokens_that_cancel_out_are_kept_once(spark, tmp_path):
     """Two tokens with one slot and two signs: a zero vector, but a vector."""
     seen = {}
