@@ -54,7 +54,7 @@ def long_book(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["page_spans", "kp_extract", "chapter_point_counts", "graph_nodes"])
+@pytest.mark.parametrize("name", ["page_spans", "kp_extract", "chapter_point_counts", "graph_nodes", "graph_edges"])
 def test_over_999_chapters(spark, long_book, name):
     got = rows(catalogue.QUERIES[name](spark, long_book).toPandas())
     assert got == by_sql(long_book, "part", name)
